@@ -90,6 +90,16 @@ class PieceEncoder:
         return [b"".join(map(self.pieces.__getitem__, (text or "").split(" "))) for text in texts]
 
 
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def _encoder(path: str, dtype: str) -> PieceEncoder:
+    """One encoder a worker process: its memory serves all tasks that the process runs."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = PieceEncoder(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
 def dtype_for(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -110,7 +120,7 @@ def _encode_shards(folder: str, tokenizer: str, end_id: int, dtype: str):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, end = PieceEncoder(tokenizer, dtype), np.array([end_id], dtype=dtype).tobytes()
+        encoder, end = _encoder(tokenizer, dtype), np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
         ids, lengths, stream = [], [], None
         name = f"{folder}/{shard:06d}-{uuid.uuid4().hex[:8]}"
