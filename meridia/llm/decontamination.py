@@ -5,9 +5,9 @@ divided by the score an item has against itself, so 1 means that a passage holds
 one threshold suits short and long items. Passages are windows of twice the longest item's words that overlap by
 half, so that every run of words as long as an item lies whole inside one passage.
 
-The search is block-max WAND: term upper bounds rule out most passages (one cumulative sum a document), and
-for the rest the pivot is chosen from list maxima, checked against the maxima of the posting blocks, and
-scored exactly only if these could still reach the threshold.
+The search is block-max WAND, over all passages of a document at once: passages are passed over whose lists' maxima can't
+reach the threshold, then blocks of items whose block maxima can't, and the items of the blocks that are left are
+scored exactly. No item at or above the threshold is lost.
 
 The index is bounded: items are dealt into parts of at most ``max_postings`` postings, and each part is
 broadcast and searched by all passages in turn. Document frequencies, lengths and self-scores are those of the
@@ -20,7 +20,6 @@ doc_id or item_id is carried as it is. Repeated rows are judged one by one. Othe
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,103 +68,86 @@ def overlap(part: list[str], passage: list[str], width: int = 3) -> float:
 
 
 class ItemIndex:
-    """Postings of one part of the benchmark: for each term the items (ascending), impacts and block maxima."""
+    """Postings of one part of the benchmark by term, in blocks of neighbouring items, with the maxima of lists and blocks.
 
-    def __init__(self, postings: list[tuple[str, int, float]], items: list[tuple[int, str]], block: int = 16):
+    Term t has block postings ``first[t] : first[t + 1]``; block posting j is for block ``blocks[j]``, whose largest impact is
+    ``tops[j]`` and whose item postings are ``start[j] : start[j + 1]``.
+    """
+
+    def __init__(self, postings: list[tuple[str, int, float]], items: list[tuple[int, str]], block: int = 4):
         self.items, self.block = items, block
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for term, item, impact in postings:
-            lists.setdefault(term, []).append((item, impact))
-        self.terms = {t: k + 1 for k, t in enumerate(lists)}
-        self.upper = np.zeros(len(lists) + 1)
-        self.lists: list[tuple[list[int], list[float], list[float], list[int], float]] = [([], [], [], [], 0.0)]
-        for k, rows in enumerate(lists.values()):
-            rows.sort()
-            ids, impacts = [r[0] for r in rows], [r[1] for r in rows]
-            tops = [max(impacts[i : i + block]) for i in range(0, len(ids), block)]
-            lasts = [ids[min(i + block, len(ids)) - 1] for i in range(0, len(ids), block)]
-            self.upper[k + 1] = max(impacts)
-            self.lists.append((ids, impacts, tops, lasts, max(impacts)))
+        self.terms: dict[str, int] = {}
+        rows = [(self.terms.setdefault(term, len(self.terms) + 1), item, impact) for term, item, impact in postings]
+        rows.sort()
+        t, self.item, self.impact = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        n = len(self.terms)
+        self.per_item = -(-len(items) // block)  # blocks
+        key = t.astype(np.int64) * (self.per_item + 1) + self.item // block
+        heads = np.nonzero(np.diff(key, prepend=-1))[0]
+        self.start = np.append(heads, len(rows))
+        self.blocks = self.item[heads] // block
+        self.tops = np.maximum.reduceat(self.impact, heads) if len(rows) else np.zeros(0)
+        self.first = np.searchsorted(t[heads], np.arange(n + 2))
+        self.upper = np.zeros(n + 1)
+        np.maximum.at(self.upper, t, self.impact)
         self.words = [split_item(text) for _, text in items]
-        self.longest = max((len(q) + len(a) for q, a in self.words), default=0)
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose impacts over the given distinct terms sum to the threshold or more."""
-        cursors = [[self.lists[t][0][0], 0, self.lists[t]] for t in terms]
-        found, slack = [], 1e-9
-        while True:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[2][4]
-                if bound + slack >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return found
-            target = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
-                pivot += 1
-            tops, until = 0.0, None
-            for c in cursors[: pivot + 1]:
-                lasts = c[2][3]
-                at = bisect_left(lasts, target, c[1] // self.block)
-                if at < len(lasts):
-                    tops += c[2][2][at]
-                    until = lasts[at] if until is None else min(until, lasts[at])
-            if tops + slack < threshold:
-                goal = (until if until is not None else target) + 1
-                if pivot + 1 < len(cursors):
-                    goal = min(goal, cursors[pivot + 1][0])
-                goal = max(goal, target + 1)
-            else:
-                goal = target + 1
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    at = bisect_left(c[2][0], target, c[1])
-                    if at < len(c[2][0]) and c[2][0][at] == target:
-                        score += c[2][1][at]
-                if score + slack >= threshold:
-                    found.append((target, score))
-            rest = []
-            for k, c in enumerate(cursors):
-                if k <= pivot:
-                    c[1] = bisect_left(c[2][0], goal, c[1])
-                    if c[1] >= len(c[2][0]):
-                        continue
-                    c[0] = c[2][0][c[1]]
-                rest.append(c)
-            cursors = rest
-            if not cursors:
-                return found
+
+    def _expand(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ranges lo : hi, the number of the range and every place in it, one after another."""
+        counts = hi - lo
+        which = np.repeat(np.arange(len(lo)), counts)
+        return which, np.arange(len(which)) + np.repeat(lo - np.cumsum(counts) + counts, counts)
+
+    def search(self, window: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+        """(window, item, score) of all items that reach the threshold, for distinct pairs (window, term), sorted.
+
+        Windows whose list maxima can't reach it are passed over, then blocks whose maxima can't; items are scored
+        exactly in the blocks that are left.
+        """
+        slack = 1e-9
+        n = int(window.max()) + 1 if len(window) else 0
+        may = np.bincount(window, weights=self.upper[term], minlength=n) + slack >= threshold
+        keep = may[window]
+        window, term = window[keep], term[keep]
+        pair, j = self._expand(self.first[term], self.first[term + 1])
+        key = window[pair] * np.int64(self.per_item) + self.blocks[j]
+        cells, at = np.unique(key, return_inverse=True)
+        may = np.bincount(at, weights=self.tops[j], minlength=len(cells)) + slack >= threshold
+        keep = may[at]
+        key, j = key[keep], j[keep]
+        posting, k = self._expand(self.start[j], self.start[j + 1])
+        full = (key[posting] // self.per_item) * np.int64(len(self.items)) + self.item[k]
+        cells, at = np.unique(full, return_inverse=True)
+        score = np.bincount(at, weights=self.impact[k], minlength=len(cells))
+        good = np.nonzero(score + slack >= threshold)[0]
+        return [(int(c) // len(self.items), int(c) % len(self.items), float(score[i])) for i, c in zip(good, cells[good])]
 
     def matches(self, text: str | None, window: int, threshold: float, question: float, answer: float) -> list[tuple]:
         """(item_id, score, question overlap, answer overlap, first word) of each verified item, best passage first."""
         words = words_of(text)
-        if not words or not self.items:
+        if not words or not len(self.item):
             return []
         get = self.terms.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        sums = np.concatenate([[0.0], np.cumsum(self.upper[ids])])
-        if sums[-1] + 1e-9 < threshold:
+        place = np.nonzero(ids)[0]
+        if self.upper[ids].sum() + 1e-9 < threshold:
             return []
-        starts = np.arange(0, max(1, len(words) - window // 2), max(1, window // 2))
-        ends = np.minimum(starts + window, len(words))
+        half = max(1, window // 2)
+        last = max(0, -(-len(words) // half) - 2)
         best: dict[int, tuple] = {}
-        for k in np.nonzero(sums[ends] - sums[starts] + 1e-6 >= threshold)[0]:
-            lo, hi = int(starts[k]), int(ends[k])
-            terms = np.unique(ids[lo:hi])
-            terms = terms[terms > 0]
-            if self.upper[terms].sum() + 1e-9 < threshold:
-                continue
-            for item, score in self.search(terms.tolist(), threshold):
+        for at in range(0, len(place), 200_000):  # a very long text in parts that share a window
+            span = place[max(0, at - window) : at + 200_000]
+            k = np.minimum(span // half, last)
+            both = np.concatenate([k, np.maximum(np.minimum(span // half - 1, last), 0)]) * np.int64(len(self.upper)) + np.tile(ids[span], 2)
+            pairs = np.unique(both)
+            for w, item, score in self.search(pairs // len(self.upper), pairs % len(self.upper), threshold):
                 if item in best and best[item][1] >= score:
                     continue
                 q, a = self.words[item]
-                passage = words[lo:hi]
+                passage = words[w * half : w * half + window] if w < last else words[w * half :]
                 found = overlap(q, passage), overlap(a, passage)
                 if found[0] >= question and found[1] >= answer:
-                    best[item] = (self.items[item][0], score, *found, lo)
+                    best[item] = (self.items[item][0], score, *found, w * half)
         return [best[i] for i in sorted(best)]
 
 
