@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY_FRAME = Window.partitionBy("video").orderBy("frame")
+def _by_frame():
+    return Window.partitionBy("video").orderBy("frame")
 
 
 def deltas(frames: DataFrame, columns: list[str]) -> DataFrame:
     """Absolute change of each column against the frame before, 0 for a video's first frame."""
-    change = {f"delta_{c}": F.coalesce(F.abs(F.col(c) - F.lag(c).over(_BY_FRAME)), F.lit(0.0)) for c in columns}
+    change = {f"delta_{c}": F.coalesce(F.abs(F.col(c) - F.lag(c).over(_by_frame())), F.lit(0.0)) for c in columns}
     return frames.withColumns(change)
 
 
@@ -27,7 +28,7 @@ def content_score(frames: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def adaptive_ratio(scored: DataFrame, width: int = 2, min_content: float = 15.0) -> DataFrame:
     """``ratio``: score over the mean of ``width`` frames on either side, at most 255; NULL without full windows."""
-    around = _BY_FRAME.rowsBetween(-width, width)
+    around = _by_frame().rowsBetween(-width, width)
     n, total = F.count("*").over(around), F.sum("score").over(around)
     mean = (total - F.col("score")) / (2.0 * width)
     ratio = (
@@ -98,7 +99,7 @@ def adaptive_cuts(scored: DataFrame, threshold: float = 3.0, width: int = 2, min
     """Cuts where ratio and score are high; the length is counted from the frame ``width`` after the candidate."""
     first = F.min("frame").over(Window.partitionBy("video"))
     rows = adaptive_ratio(scored, width, min_content).withColumn("first", first.cast("long"))
-    ahead = F.lead("frame", width).over(_BY_FRAME).cast("long")
+    ahead = F.lead("frame", width).over(_by_frame()).cast("long")
     rows = rows.withColumn("seen", ahead).where((F.col("ratio") >= threshold) & (F.col("score") >= min_content))
     rows = rows.select("video", F.col("frame").cast("long").alias("frame"), "seen", "first")
     start = F.struct(F.lit(None).cast("long").alias("last"), _empty().alias("cuts"))
@@ -111,24 +112,31 @@ def adaptive_cuts(scored: DataFrame, threshold: float = 3.0, width: int = 2, min
     return _folded(rows, F.struct("frame", "seen", "first"), start, step)
 
 
+def _fade_events(frames: DataFrame, threshold: float, ceiling: bool) -> DataFrame:
+    """(video, frame, kind, seq): crossings with seq 1; a video that starts out has that as an event at 0, with seq 0."""
+    low = F.col("value") < threshold
+    dark = ~low if ceiling else low
+    first = F.row_number().over(_by_frame()) == 1
+    rows = frames.withColumn("first", first)
+    rows = rows.withColumn("kind", F.when(F.when(F.col("first"), low).otherwise(dark), "out").otherwise("in"))
+    rows = rows.withColumn("before", F.lag("kind").over(_by_frame()))
+    rows = rows.where(F.when(F.col("first"), F.col("kind") == "out").otherwise(F.col("before") != F.col("kind")))
+    frame = F.when(F.col("first"), F.lit(0)).otherwise(F.col("frame")).cast("long")
+    return rows.select("video", frame.alias("frame"), "kind", F.when(F.col("first"), 0).otherwise(1).alias("seq"))
+
+
 def fades(frames: DataFrame, threshold: float, ceiling: bool = False) -> DataFrame:
     """(video, frame, kind): frames at which the value crosses the threshold, "out" below and "in" above it.
 
     A video's first frame starts "in" unless it lies below, whatever the method.
     """
-    low = F.col("value") < threshold
-    dark = ~low if ceiling else low
-    rows = frames.withColumn("rn", F.row_number().over(_BY_FRAME)).withColumn("state", F.when((F.col("rn") == 1) & low, "out").when(F.col("rn") == 1, "in").when(dark, "out").otherwise("in"))
-    rows = rows.withColumn("before", F.lag("state").over(_BY_FRAME))
-    return rows.where("before <> state").select("video", "frame", F.col("state").alias("kind"))
+    return _fade_events(frames, threshold, ceiling).where("seq = 1").drop("seq")
 
 
 def fade_cuts(frames: DataFrame, threshold: float, bias: float = 0.0, length: int = 15, ceiling: bool = False, final_scene: bool = False) -> DataFrame:
     """A cut between each fade out and the next fade in, if ``length`` frames passed since the last kept fade in."""
-    span = frames.groupBy("video").agg(F.min("frame").cast("long").alias("first"), F.max("frame").cast("long").alias("end"), F.min(F.struct("frame", "value"))["value"].alias("v0"))
-    events = fades(frames, threshold, ceiling).withColumn("frame", F.col("frame").cast("long"))
-    opens = span.where(F.col("v0") < threshold).select("video", F.lit(0).cast("long").alias("frame"), F.lit("out").alias("kind"), F.lit(0).alias("seq"))
-    events = events.withColumn("seq", F.lit(1)).unionByName(opens)
+    span = frames.groupBy("video").agg(F.min("frame").cast("long").alias("first"), F.max("frame").cast("long").alias("end"))
+    events = _fade_events(frames, threshold, ceiling)
     pairs = events.withColumn("out", F.lag("frame").over(Window.partitionBy("video").orderBy("seq", "frame")))
     ins = pairs.where("kind = 'in' AND out IS NOT NULL").join(span, "video").select("video", "frame", "out", "first")
     start = F.struct(F.lit(None).cast("long").alias("last"), _empty().alias("cuts"))
