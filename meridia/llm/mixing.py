@@ -139,10 +139,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
     A filter on the hash and a repeat: texts are not shuffled.
     """
     plan = _plan(_sized(docs), weights, max_epochs).select("_s", "whole", "threshold")
-    rows = docs.withColumn("h", _hash()).join(plan, F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    # the row travels as one struct, so that no column of it can clash with the plan's
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.select(row, docs["source"].cast("string").alias("source"), _hash().alias("h"))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_s"])).where(_epochs(max_epochs) > 0)
     times = F.sequence(F.lit(1).cast("long"), _epochs(max_epochs))
-    rows = rows.where(_epochs(max_epochs) > 0).withColumn("_n", F.explode(times))
-    return rows.select(*[docs[c] for c in docs.columns])
+    return rows.select("row", F.explode(times).alias("n")).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,14 +98,15 @@ def one_of_each_group(docs: DataFrame, width: int = 3, distance: int = 3) -> Dat
     goes = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     goes = materialise(goes.join(stays, "_id", "left_anti").distinct(), "goes")
-    same = F.col("doc_id") == F.col("_id")
-    kept = docs.join(broadcast_if_small(goes, goes.count(), BROADCAST_ROWS), same, "left_anti")
+    goes = broadcast_if_small(goes, goes.count(), BROADCAST_ROWS)
+    kept = docs.join(goes, docs["doc_id"] == goes["_id"], "left_anti")
     repeated = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1 AND _id IS NOT NULL")
     repeated = materialise(repeated.select("_id"), "repeated")
     n = repeated.count()
     if not n:
         return kept
     repeated = broadcast_if_small(repeated, n, BROADCAST_ROWS)
+    same = kept["doc_id"] == repeated["_id"]
     once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(repeated, same, "left_anti").unionByName(once)
 

@@ -230,13 +230,14 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, all columns kept; a filter, without a join."""
+    """The rows of ``docs`` that score below ``limit`` or hold no entry, all columns kept; a filter, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def judge(texts: pd.Series) -> pd.Series:
         own = shared.value
         tree = own.automaton()
-        return pd.Series([own.score(own.strength(tree, t)) < limit for t in texts], dtype=bool)
+        strengths = [own.strength(tree, t) for t in texts]
+        return pd.Series([not s or own.score(s) < limit for s in strengths], dtype=bool)
 
     return docs.where(F.pandas_udf(judge, "boolean")(F.col("text").cast("string")))
 
