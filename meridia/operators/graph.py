@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext.getCheckpointDir()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-meridia-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/graph-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cut lineage: written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def min_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
