@@ -21,7 +21,7 @@ def stream_event_windows(spark, sf_dir):
     name = f"windows_{uuid.uuid4().hex}"
     run = frame_rates(events).writeStream.format("memory").queryName(name).outputMode("complete")
     run.option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("start", "video", "n", F.round("mean", 4).alias("mean"))
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "video", "n", F.round("mean", 4).alias("mean"))
 
 
 @query(ORACLE_SQL["flash_filter_suppress"])

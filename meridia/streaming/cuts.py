@@ -39,6 +39,6 @@ def live_cuts(frames: DataFrame, threshold: float, length: int) -> DataFrame:
 
 def frame_rates(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Counts and mean values by video and event-time window, late events allowed for ``delay``."""
-    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", width), F.col("event_type").alias("video"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width), F.col("event_type").alias("video"))
     out = rows.agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("window.start").alias("start"), "video", "n", "mean")
