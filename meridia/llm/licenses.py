@@ -71,6 +71,12 @@ SENTENCE_END = r"(?:\r?\n)+|(?<=[.!?])\s+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def _fixed(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """A fixed table of some dozens of rows, made of literals, so that it may be broadcast."""
+    structs = (F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names))) for row in rows)
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*structs))))
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
 
@@ -78,8 +84,7 @@ def normalised(sentence: Column) -> Column:
 def known_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, place, sentence_id): the known licence sentences of each document, place counting all its sentences."""
     spark = docs.sparkSession
-    # a fixed table of some dozens of rows
-    known = F.broadcast(spark.createDataFrame([(t, i) for i, t in SENTENCES], "sentence string, sentence_id string"))
+    known = _fixed(spark, SENTENCES, ["sentence_id", "sentence"])
     cut = F.split(F.col("text").cast("string"), SENTENCE_END)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(cut).alias("place", "raw"))
     longest = max(len(t) for _, t in SENTENCES)
@@ -98,10 +103,10 @@ def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
     for depth in sorted({len(ids) for _, _, ids in RULES}):
         rules = [(name, rule, *ids) for name, rule, ids in RULES if len(ids) == depth]
         names = [f"s{k}" for k in range(depth)]
-        table = docs.sparkSession.createDataFrame(rules, ", ".join(f"{c} string" for c in ["license", "rule", *names]))
+        table = _fixed(docs.sparkSession, rules, ["license", "rule", *names])
         near = Window.partitionBy("doc_id").orderBy("place").rangeBetween(0, gap * (depth - 1))
         rows = found.withColumn("ahead", F.collect_list(F.struct("place", "sentence_id")).over(near)) if depth > 1 else found
-        rows = rows.join(F.broadcast(table), F.col("sentence_id") == F.col("s0"))
+        rows = rows.join(table, F.col("sentence_id") == F.col("s0"))
         last = F.col("place")
         for name in names[1:]:
             last = _next(F.col("ahead"), last, F.col(name), gap)
