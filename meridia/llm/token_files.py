@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .memo import Memo
 from .shared import fresh_path
+from .token_counts import byte_characters
 
 NULL_ID = -(2**63)
 SHARD = "shard long, bin string, idx string, n_docs long, n_tokens long"
@@ -48,10 +49,10 @@ class PieceEncoder:
     token reaches over a cut. Pieces with special strings go to the library whole. ``limit`` bounds the memory.
     """
 
-    #: the pre-tokenizer pattern of the vocabulary for ASCII pieces (a fixed value of the format)
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    #: pieces that normalization leaves alone but for case, and whose bytes stand for themselves
-    PLAIN = re.compile(r"[\x21-\x7e]+")
+    #: the pre-tokenizer pattern of the vocabulary for plain pieces in lower case (a fixed value of the format)
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: pieces of ASCII and Latin-1 letters, which normalization leaves alone but for their case
+    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str, dtype: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,7 +64,10 @@ class PieceEncoder:
         self.model, self.dtype = self.tokenizer.model, dtype
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if added else None
+        back = {b: c for c, b in byte_characters().items()}
+        self.as_bytes = {k: "".join(back[b] for b in chr(k).encode()) for k in range(0xC0, 0x100)}
         self.pieces, self.words = Memo(self._piece, limit), Memo(self._word, limit)
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -77,10 +81,13 @@ class PieceEncoder:
         return self._packed([t.id for t in self.model.tokenize(word)])
 
     def _piece(self, piece: str) -> bytes:
-        if any(s in piece for s in self.specials):
+        if self.special and self.special.search(piece):
             return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if self.PLAIN.fullmatch(piece):
-            words = self.WORDS.findall(piece.lower())
+            lower = piece.lower()
+            words = self.WORDS.findall(lower)
+            if not lower.isascii():
+                words = [w.translate(self.as_bytes) for w in words]
         else:
             words = [w for w, _ in self.cut(self.normalize(piece))]
         return b"".join(map(self.words.__getitem__, words))
