@@ -30,6 +30,8 @@ from .shared import map_batches
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: a space that has white space beside it: only then may a cut at spaces differ from the pattern's
 CLOSE_SPACES = regex.compile(r" \s|\s ")
+#: bytes of a piece's beginning that pieces share
+STEM = 6
 #: of a byte, which no merge made
 SINGLE = (-1, b"", b"")
 RESULT = "doc_id long, n_bytes long, n_tokens long"
@@ -58,11 +60,16 @@ class PrefixCounter:
             pair = as_bytes(a), as_bytes(b)
             self.rank[pair] = k
             self.made.setdefault(pair[0] + pair[1], (k, *pair))
-        self.vocabulary = {as_bytes(t) for t in spec["model"]["vocab"]}
-        self.longest = max(map(len, self.vocabulary))
+        #: of each token whether its own bytes encode to it, None before that was asked
+        self.usable: dict[bytes, bool | None] = dict.fromkeys(map(as_bytes, spec["model"]["vocab"]))
+        self.longest = max(map(len, self.usable))
+        #: of pairs of tokens whether they stay apart, forgotten at the limit
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: counts and last tokens of the beginnings of pieces, forgotten at the limit
+        self.stems: dict[bytes, tuple[list[int], list[bytes]]] = {}
+        self.limit = limit
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.own: dict[bytes, bool] = {}
         self.known = Memo(self._piece_total, limit)
         self.spans = Memo(self._span_total, limit)
 
@@ -79,10 +86,8 @@ class PrefixCounter:
         return parts
 
     def _stands(self, token: bytes) -> bool:
-        """Whether the vocabulary's token is what its own bytes encode to."""
-        known = self.own.get(token)
-        if known is None:
-            known = self.own[token] = self.merge(token) == [token]
+        """Whether the vocabulary's token is what its own bytes encode to; remembered."""
+        known = self.usable[token] = self.merge(token) == [token]
         return known
 
     def _beside(self, a: bytes, b: bytes) -> bool:
@@ -105,20 +110,45 @@ class PrefixCounter:
                 return True
 
     def table(self, piece: bytes) -> list[int]:
-        """``table[i]``: the tokens of the first i bytes of the piece, i from 0."""
-        counts, last = [0], [b""]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
+        """``table[i]``: the tokens of the first i bytes of the piece, i from 0.
+
+        A prefix's entries don't depend on what follows, so pieces that begin alike share those of their beginning.
+        """
+        if len(piece) <= STEM:
+            return self._grown(piece, [0], [b""])[0]
+        stem = self.stems.get(piece[:STEM])
+        if stem is None:
+            if len(self.stems) > self.limit:
+                self.stems.clear()
+            stem = self.stems[piece[:STEM]] = self._grown(piece[:STEM], [0], [b""])
+        return self._grown(piece, stem[0].copy(), stem[1].copy())[0]
+
+    def _grown(self, piece: bytes, counts: list[int], last: list[bytes]) -> tuple[list[int], list[bytes]]:
+        """The counts and the last tokens of the prefixes, carried on from those given to the end of the piece."""
+        usable, pairs, longest = self.usable, self.pairs, self.longest
+        if len(pairs) > self.limit:
+            pairs.clear()
+        for end in range(len(counts), len(piece) + 1):
+            for start in range(end - longest if end > longest else 0, end):
                 token = piece[start:end]
-                if token not in self.vocabulary or not self._stands(token):
+                good = usable.get(token, False)
+                if good is None:
+                    good = self._stands(token)
+                if not good:
                     continue
-                if not start or self._beside(last[start], token):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+                if start:
+                    pair = last[start], token
+                    apart = pairs.get(pair)
+                    if apart is None:
+                        apart = pairs[pair] = self._beside(*pair)
+                    if not apart:
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(token)
+                break
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece[:end]!r}")
-        return counts
+        return counts, last
 
     def pieces(self, text: str) -> list[str]:
         """The text cut where no token reaches over; special strings are pieces of their own."""
