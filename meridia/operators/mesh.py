@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shapes import Tri
-from ..functions.vectors import EPSILON, Vec
+from ..functions.shapes import Ray, Tri
+from ..functions.vectors import EPSILON, Vec, held
 from .graph import min_labels
 
 KEY = "mesh_id"
@@ -166,3 +166,33 @@ def samples(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
     t = corners()
     p = t.a * (1 - u) + t.b * (u * (1 - v)) + t.c * (u * v)
     return f.select("s_idx", KEY, "t_idx", *(c.alias(k) for k, c in zip("xyz", p)))
+
+
+#: rows of a query side that are broadcast at most; larger ones are left to Spark
+BROADCAST_QUERIES = 100_000
+
+
+def _against(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Every query row with every triangle: a stated set of queries against all triangles, the queries broadcast if counted as few."""
+    few = queries.count() <= BROADCAST_QUERIES
+    return with_corners(vertices, triangles).crossJoin(F.broadcast(queries) if few else queries)
+
+
+def ray_hits(rays: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(ray, mesh_id, t_idx, distance) of all triangles that ``rays(ray, ox, oy, oz, dx, dy, dz)`` hit, their borders included."""
+    rows = _against(rays, vertices, triangles)
+    t = corners()
+    rows = rows.withColumn("distance", Ray(Vec.columns("o"), Vec.columns("d")).triangle(t.a, t.b, t.c))
+    return rows.where("distance IS NOT NULL").select("ray", KEY, "t_idx", "distance")
+
+
+def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(query, mesh_id, t_idx, distance, x, y, z): the nearest surface point of each of ``queries(query, qx, qy, qz)`` on each mesh.
+
+    The smaller t_idx wins ties. An aggregate keeps only the best so far, so no candidate list is sorted.
+    """
+    p, t = Vec.columns("q"), corners()
+    rows, foot = held(_against(queries, vertices, triangles), foot=t.foot(p))
+    rows, near = held(rows, near=t.closest(p, foot))
+    item = F.struct(near.distance(p).alias("distance"), "t_idx", *(c.alias(k) for k, c in zip("xyz", near)))
+    return rows.groupBy("query", KEY).agg(F.min(item).alias("m")).select("query", KEY, "m.t_idx", "m.distance", "m.x", "m.y", "m.z")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import item_id, normalised, socket_type, upload_date
 
-NODES = "nodes array<struct<id:string,type:string,inputs:array<struct<name:string,type:string,link:bigint>>,outputs:array<struct<name:string,type:string,links:array<bigint>>>>>"
+NODES = "nodes array<struct<id:string,type:string,inputs:array<struct<name:string,type:string,link:bigint>>,outputs:array<struct<name:string,type:string,links:array<bigint>>>,widgets_values:array<string>>>"
 LINKS = "links array<array<string>>"
 
 
@@ -57,6 +57,18 @@ def socket_types(workflows: DataFrame) -> DataFrame:
     return rows.groupBy("workflow").agg(pick("inputs"), pick("outputs"), pick("links"))
 
 
+# Node types whose text widgets name assets, and what they name.
+ASSET_TYPES = {"CheckpointLoaderSimple": "model", "LoraLoader": "model", "VAELoader": "model", "ControlNetLoader": "model", "LoadImage": "image", "SaveImage": "output"}
+
+
+def assets(workflows: DataFrame) -> DataFrame:
+    """(workflow, kind, value): text widgets of nodes that load models or images or save outputs; numbers are left out."""
+    rows = parsed(workflows).select("workflow", F.explode("g.nodes").alias("n")).select("workflow", F.col("n.type").alias("type"), F.explode("n.widgets_values").alias("value"))
+    kind = F.try_element_at(F.create_map(*(F.lit(v) for pair in ASSET_TYPES.items() for v in pair)), F.col("type"))
+    rows = rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("value").try_cast("double").isNull() & (F.trim("value") != ""))
+    return rows.select("workflow", "kind", "value").distinct()
+
+
 def prompt_links(prompts: DataFrame) -> DataFrame:
     """(prompt, node, input, origin, slot) of the inputs that are two-element [node, slot] arrays, from ``prompts(prompt, json)``."""
     shape = "map<string,struct<class_type:string,inputs:map<string,string>>>"

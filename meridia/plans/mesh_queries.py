@@ -92,3 +92,25 @@ def laplacian_smooth(spark, sf_dir):
  SELECT p.s_idx, p.mesh_id, p.t_idx, {r('ax * (1 - sqrt(t)) + bx * sqrt(t) * (1 - v) + cx * sqrt(t) * v', 'x')} FROM (SELECT *, s_idx * 0.618034 - floor(s_idx * 0.618034) AS v FROM p) p JOIN corners c ON c.mesh_id = p.mesh_id AND c.t_idx = p.t_idx""")
 def sample_points_uniform(spark, sf_dir):
     return mesh.samples(*lifts.grid_mesh(spark, sf_dir), 50).select("s_idx", "mesh_id", "t_idx", tidy(F.col("x")).alias("x"))
+
+
+_RAYS = "rays AS (SELECT i AS ray, 0.3 + i * 0.7 AS ox, 0.4 + i * 0.5 AS oy, -5.0 AS oz FROM range(15) t(i))"
+
+
+@query(f"""WITH {mesh_sql()}, {_CORNERS}, {_RAYS}, h AS (SELECT ray, mesh_id, t_idx, nx, ny, nz, n2, (ox - ax) * nx + (oy - ay) * ny + (oz - az) * nz AS above, nz AS facing, ax, ay, bx, by_, cx, cy, ox, oy FROM rays, faces),
+ w AS (SELECT *, ((by_ - cy) * (ox - cx) + (cx - bx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (ox - cx) + (ax - cx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v FROM h)
+ SELECT ray, mesh_id, t_idx, {r('-above / facing', 'distance')} FROM w WHERE u >= -1.1920929e-07 AND v >= -1.1920929e-07 AND u + v <= 1 + 1.1920929e-07""")
+def mesh_ray_hits(spark, sf_dir):
+    rays = spark.range(15).select(F.col("id").alias("ray"), (0.3 + F.col("id") * 0.7).alias("ox"), (0.4 + F.col("id") * 0.5).alias("oy"), F.lit(-5.0).alias("oz"), *(F.lit(v).alias(n) for n, v in (("dx", 0.0), ("dy", 0.0), ("dz", 1.0))))
+    return mesh.ray_hits(rays, *lifts.grid_mesh(spark, sf_dir)).withColumn("distance", tidy(F.col("distance")))
+
+
+@query(f"""WITH {mesh_sql()}, {_CORNERS}, q AS (SELECT i AS query, t_idx, mesh_id, (ax + bx + cx) / 3 + nx / n2 * 0.01 AS qx FROM range(5) t(i), faces WHERE t_idx = i * 40 AND mesh_id = 0)
+ SELECT query, mesh_id, t_idx, 0.01 AS distance FROM q""")
+def mesh_closest_points(spark, sf_dir):
+    """Points a little above the middle of some faces find these faces again."""
+    v, t = lifts.grid_mesh(spark, sf_dir)
+    v, t = v.where("mesh_id = 0"), t.where("mesh_id = 0")
+    f = mesh.faces(v, t).where("t_idx % 40 = 0 AND t_idx < 200")
+    q = f.select((F.col("t_idx") / 40).cast("long").alias("query"), *((F.col(f"m{k}") + F.col(f"n{k}") * 0.01).alias(f"q{k}") for k in "xyz"))
+    return mesh.closest_points(q, v, t).select("query", "mesh_id", "t_idx", tidy(F.col("distance")).alias("distance"))

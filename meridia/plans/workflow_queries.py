@@ -133,3 +133,28 @@ def latent_mask(spark, sf_dir):
 def edit_points(spark, sf_dir):
     e = lifts.table(spark, sf_dir, "events")
     return e.select("event_id", edit_point(F.col("event_id"), F.lit(25.0)).alias("edit"))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS workflow, k AS kind, v AS value FROM events, (VALUES ('model', 'a.ckpt'), ('image', 'in.png')) t(k, v) WHERE event_id % 40 = 0")
+def workflow_assets(spark, sf_dir):
+    e = lifts.table(spark, sf_dir, "events").where("event_id % 40 = 0")
+    json = '{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["a.ckpt",7]},{"id":2,"type":"LoadImage","widgets_values":["in.png"," "]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}'
+    return workflow.assets(e.select(F.col("event_id").alias("workflow"), F.lit(json).alias("json")))
+
+
+@query("SELECT page_id FROM pages WHERE page_id * 10 BETWEEN 100 AND 2000 AND page_id % 3 <> 2")
+def local_file_filter(spark, sf_dir):
+    i = F.col("page_id")
+    ending = F.element_at(F.array(*map(F.lit, (".MP4", ".webm", ".txt"))), (i % 3 + 1).cast("int"))
+    rows = lifts.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/v/clip"), i.cast("string"), ending).alias("path"), (i * 10).alias("length"))
+    return workflow.file_filter(rows, 100, 2000, ("mp4", ".WEBM")).select("page_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 5 <> 0 AND (event_id % 7 = 0 OR (event_id % 256 >= 96 AND event_id % 256 >= 1.35 * 100))")
+def red_observations(spark, sf_dir):
+    """Observations of wanted kinds that have a region and are red, as said or by their colour."""
+    e = lifts.table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    rows = e.select("event_id", F.col("event_type").alias("label"), F.when(i % 5 != 0, i).alias("region"), (i % 256).alias("r"), F.when(i % 7 == 0, "Red").alias("colour"))
+    red = tx.is_red(F.col("r"), F.lit(100), F.lit(60), F.col("colour"))
+    return rows.where(F.col("label").isin("click", "view") & F.col("region").isNotNull() & red).select("event_id")
