@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    root = root or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="spark-meridia-")
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
