@@ -63,9 +63,10 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
     same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.value") == F.col("y.value"))
     zero, one = rows.where("side = 0").alias("x"), rows.where("side = 1").alias("y")
-    across = zero.join(one, same & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # sizes after the explode are guessed far too low, so say that neither side is one to broadcast
+    across = zero.join(one.hint("merge"), same & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     plain = rows.where("side = -1")
-    equal = plain.alias("x").join(plain.alias("y"), same & (F.col("x.fp") < F.col("y.fp")) & near)
+    equal = plain.alias("x").join(plain.alias("y").hint("merge"), same & (F.col("x.fp") < F.col("y.fp")) & near)
     equal = equal.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     both = across.unionByName(equal)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
