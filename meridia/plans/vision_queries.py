@@ -13,14 +13,19 @@ from .lifts import POINTS, r
 from .registry import query
 
 
+#: features an image: the number of images grows with the table, the pairs to compare between two images don't
+_PER_IMAGE = 40
+
+
 def _features(spark, sf_dir):
-    """(image_id, feature, words): sign bits of the 64 components as one word; five images, a few features each."""
-    v = lifts.table(spark, sf_dir, "embeddings").where("vec_id < 200")
+    """(image_id, feature, words): sign bits of 62 components as one word; all rows, ``_PER_IMAGE`` of them an image."""
+    v = lifts.table(spark, sf_dir, "embeddings")
     word = None
     for k in range(62):
         bit = F.when(F.col("embedding")[k] > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
         word = bit if word is None else word.bitwiseOR(bit)
-    return v.select((F.col("vec_id") % 5).alias("image_id"), F.floor(F.col("vec_id") / 5).alias("feature"), F.array(word).alias("words"))
+    image = F.floor(F.col("vec_id") / _PER_IMAGE)
+    return v.select(image.alias("image_id"), (F.col("vec_id") % _PER_IMAGE).alias("feature"), F.array(word).alias("words"))
 
 
 _WORD = " | ".join(f"CASE WHEN embedding[{k + 1}] > 0 THEN CAST({1 << k} AS BIGINT) ELSE 0 END" for k in range(62))
