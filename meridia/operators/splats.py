@@ -58,7 +58,7 @@ def retain_opacity(splats: DataFrame, least: float) -> DataFrame:
 
 
 def project(
-    splats: DataFrame, lens: Intrinsics, pose: Pose, min_depth: float = 0.01, deviations: float = 3.0, max_radius: float = 256.0
+    splats: DataFrame, lens: Intrinsics, pose: Pose, min_depth: float = 1e-4, deviations: float = 3.0, max_radius: float = 4096.0
 ) -> DataFrame:
     """(idx, u, v, depth, radius, opacity, r, g, b) of the splats before the camera."""
     c = pose.to_camera(Vec.columns())

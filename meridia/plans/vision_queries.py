@@ -116,7 +116,7 @@ _PROJECTED = f"{_SP}, pr AS (SELECT idx, 20 * x / (z + 1.2) + 12 AS u, 20 * y /
 
 def _projected(spark, sf_dir):
     pose = Pose(Vec.of(0, 0, -1.2), Vec.of(1, 0, 0), Vec.of(0, 1, 0), Vec.of(0, 0, 1))
-    return splats.project(_splats(spark, sf_dir).where("idx % 10 = 0"), Intrinsics.of(24, 24, 20, 20, 12, 12), pose, max_radius=4.0)
+    return splats.project(_splats(spark, sf_dir), Intrinsics.of(24, 24, 20, 20, 12, 12), pose)
 
 
 @query(f"WITH {_PROJECTED} SELECT idx, {r('u', 'u')}, {r('v', 'v')}, {r('depth', 'depth')}, {r('radius', 'radius')} FROM pr")

@@ -57,3 +57,49 @@ def test_all_features_are_matched(spark, sf_dir, embeddings):
     assert {tuple(r) for r in QUERIES["build_tracks"](spark, sf_dir).select("track", "image_id", "feature").collect()} == tracks
     lengths = {r["length"]: r["n"] for r in QUERIES["track_length_histogram"](spark, sf_dir).collect()}
     assert lengths == Counter(map(len, good.values()))
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def brute_projection(embeddings):
+    out = {}
+    for i, e in embeddings.items():
+        depth = e[2] + 1.2
+        if depth > 1e-4:
+            radius = min(max(math.exp(max(e[3:6]) - 3) * 20 / depth * 3, 1), 4096)
+            out[i] = (20 * e[0] / depth + 12, 20 * e[1] / depth + 12, depth, radius)
+    return out
+
+
+def test_all_splats_are_projected_and_drawn(spark, sf_dir, embeddings):
+    want = brute_projection(embeddings)
+    rows = QUERIES["project_gaussian"](spark, sf_dir).select("idx", "u", "v", "depth", "radius").collect()
+    assert {r[0]: tuple(r)[1:] for r in rows} == {i: pytest.approx(x, rel=1e-6, abs=2e-6) for i, x in want.items()}
+    drawn = {(r["px"], r["py"]): r for r in QUERIES["render_projected_splats"](spark, sf_dir).collect()}
+    assert len(drawn) == 576
+    far_first = sorted(want, key=lambda i: (-want[i][2], i))
+    for px, py in [(0, 0), (12, 12), (5, 17), (23, 8)]:
+        alpha = red = 0.0
+        for i in far_first:
+            u, v, _, radius = want[i]
+            squared = (px - u) ** 2 + (py - v) ** 2
+            if math.sqrt(squared) <= radius:
+                e = embeddings[i]
+                a = sigmoid(e[6] * 8) * math.exp(-0.5 * squared / radius**2)
+                red = min(max(e[7] * 3 * 0.2820948 + 0.5, 0), 1) * a + red * (1 - a)
+                alpha = a + alpha * (1 - a)
+        assert (drawn[px, py]["r"], drawn[px, py]["alpha"]) == pytest.approx((red, alpha), abs=2e-5)
+
+
+def test_projection_keeps_near_and_large_splats(spark):
+    from meridia.functions.cameras import Intrinsics, Pose
+    from meridia.functions.vectors import Vec
+    from meridia.operators import splats
+
+    columns = "idx long, x double, y double, z double, sx double, sy double, sz double, logit double, r double, g double, b double"
+    rows = spark.createDataFrame([(1, 0.0, 0.0, 0.005, -9.0, -9.0, -9.0, 0.0, 0.5, 0.5, 0.5), (2, 0.0, 0.0, 1.0, 3.0, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5)], columns)
+    pose = Pose(Vec.of(0, 0, 0), Vec.of(1, 0, 0), Vec.of(0, 1, 0), Vec.of(0, 0, 1))
+    got = {r["idx"]: r["radius"] for r in splats.project(rows, Intrinsics.of(24, 24, 20, 20, 12, 12), pose).collect()}
+    assert got == {1: pytest.approx(max(math.exp(-9) * 20 / 0.005 * 3, 1)), 2: pytest.approx(math.exp(3) * 60)}
