@@ -14,8 +14,8 @@ from .registry import query
 
 
 def _workflows(spark, sf_dir):
-    """(workflow, json): a chain of three nodes an event group; every fourth lacks a node, every fifth repeats a link."""
-    e = lifts.table(spark, sf_dir, "events").where("event_id % 50 = 0").select((F.col("event_id") / 50).cast("long").alias("workflow"))
+    """(workflow, json): a chain of three nodes an event; every fourth lacks a node, every fifth repeats a link."""
+    e = lifts.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("workflow"))
     node = lambda n, kind, ins, outs: f'{{"id":{n},"type":"{kind}","inputs":[{ins}],"outputs":[{outs}]}}'
     one = node(1, "Load", "", '{"name":"o","type":"image","links":[1]}')
     two = node('"2"', "Scale", '{"name":"i","type":"IMAGE","link":1}', '{"name":"o","type":" bool ","links":[2]}')
@@ -47,7 +47,7 @@ def observed_socket_types(spark, sf_dir):
 
 @query("SELECT CAST(event_id AS BIGINT) AS prompt, '2' AS node, 'images' AS input, '1' AS origin, CAST(event_id % 3 AS INTEGER) AS slot FROM events WHERE event_id % 20 = 0")
 def prompt_links(spark, sf_dir):
-    e = lifts.table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    e = lifts.table(spark, sf_dir, "events")
     json = F.concat(F.lit('{"1":{"class_type":"Load","inputs":{"name":"a.png","size":[1,2,3]}},"2":{"class_type":"Save","inputs":{"images":["1",'), (F.col("event_id") % 3).cast("string"), F.lit(']}}}'))
     return workflow.prompt_links(e.select(F.col("event_id").alias("prompt"), json.alias("json")))
 
@@ -137,7 +137,7 @@ def edit_points(spark, sf_dir):
 
 @query("SELECT CAST(event_id AS BIGINT) AS workflow, k AS kind, v AS value FROM events, (VALUES ('model', 'a.ckpt'), ('image', 'in.png')) t(k, v) WHERE event_id % 40 = 0")
 def workflow_assets(spark, sf_dir):
-    e = lifts.table(spark, sf_dir, "events").where("event_id % 40 = 0")
+    e = lifts.table(spark, sf_dir, "events")
     json = '{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["a.ckpt",7]},{"id":2,"type":"LoadImage","widgets_values":["in.png"," "]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}'
     return workflow.assets(e.select(F.col("event_id").alias("workflow"), F.lit(json).alias("json")))
 
