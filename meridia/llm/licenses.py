@@ -1,10 +1,11 @@
 """License scans by sentence rules, in DataFrame operations alone.
 
-Texts are cut into sentences (at line ends and after . ! ? followed by white space), which are normalised: lower case, marks
-to spaces, versions and words kept, copyright lines reduced to their opening. Known licence sentences have
-identifiers; a document's sentences are mapped to them by an equality join with that fixed table. Rules are ordered
-sequences of identifiers: a rule matches where its sentences follow each other in the text with nothing but
-their order between them (other known or unknown sentences may stand in between up to ``gap`` sentences).
+Texts are cut into places (at line ends and after . ! ? followed by white space), and these into parts (after : ; and the
+brackets of list marks). Parts are normalised: lower case, marks to spaces. Known licence sentences have identifiers; one
+is found where a run of parts, one after the other, holds just its words. So a wrapped sentence is found over its lines,
+and one that ends in a colon before the next on its line. It has the place where it begins. Rules are ordered sequences of
+identifiers: a rule matches where its sentences follow each other in the text, each beginning within ``gap`` places after
+the end of the one before (other known or unknown sentences may stand in between).
 
 Nulls and empty texts match nothing. A null doc_id is carried, though rows that share it are one document. Repeated rows
 of a doc_id repeat nothing: matches are by (doc_id, place). An empty table gives an empty result; other columns are ignored.
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 # Sentences of well-known licences, normalised as below, under their identifiers.
 SENTENCES = [
     ("mit-name", "released under the mit license"),
@@ -66,11 +69,18 @@ RULES = [
     ("CC-BY-SA-4.0", "ccbysa4-named", ["ccbysa4-name"]),
     ("BSD-2-Clause", "bsd2-text", ["bsd-grant", "bsd-source", "bsd-binary"]),
 ]
-#: Java pattern between sentences, and of what normalisation turns into one space
+#: Java patterns between places, between parts of a place, and of what normalisation turns into one space
 SENTENCE_END = r"(?:\r?\n)+|(?<=[.!?])\s+"
+PART_END = r"(?<=[:;])\s+|(?<=\))(?=\s)(?<=^\s{0,40}[^\p{L}\p{N}\s]{0,4}\s{0,4}\(?[0-9A-Za-z]{1,4}\))\s+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def _beginnings() -> list[str]:
+    """Every known sentence and what it has before each of its spaces: with these a run of parts can begin."""
+    words = [t.split(" ") for _, t in SENTENCES]
+    return sorted({" ".join(w[: k + 1]) for w in words for k in range(len(w))})
+
+
 def _fixed(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
     """A fixed table of some dozens of rows, made of literals, so that it may be broadcast."""
     structs = (F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names))) for row in rows)
@@ -82,44 +92,66 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, sentence_id): the known licence sentences of each document, place counting all its sentences."""
-    spark = docs.sparkSession
-    known = _fixed(spark, SENTENCES, ["sentence_id", "sentence"])
-    cut = F.split(F.col("text").cast("string"), SENTENCE_END)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(cut).alias("place", "raw"))
-    longest = max(len(t) for _, t in SENTENCES)
-    # a sentence that normalises to a known one isn't much longer; far longer ones need no normalising
-    rows = rows.where(F.length("raw") <= 8 * longest).select("doc_id", "place", normalised(F.col("raw")).alias("sentence"))
-    return rows.join(known, "sentence").select("doc_id", "place", "sentence_id").distinct()
+    """(doc_id, part, last_part, place, last_place, sentence_id): the known licence sentences of each document.
+
+    Parts count those of the document that hold words, places all pieces between sentence and line ends.
+    """
+    known = _fixed(docs.sparkSession, SENTENCES, ["sentence_id", "sentence"])
+    longest = max(len(t.split(" ")) for _, t in SENTENCES)
+
+    def parts(piece: Column, place: Column) -> Column:
+        return F.transform(F.split(piece, PART_END), lambda t: F.struct(place.alias("place"), normalised(t).alias("words")))
+
+    cut = F.flatten(F.transform(F.split(F.col("text").cast("string"), SENTENCE_END), parts))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(cut, lambda p: p["words"] != "").alias("parts"))
+
+    def run(part: Column) -> Column:
+        ahead = F.slice("parts", part["part"] + 1, longest)
+        return F.struct(part["part"].alias("part"), F.array_join(ahead["words"], "\n").alias("ahead"), ahead["place"].alias("places"))
+
+    numbered = F.transform("parts", lambda p, k: F.struct(k.alias("part"), p["words"].alias("words")))
+    begin = F.filter(numbered, lambda p: p["words"].isin(_beginnings()))
+    rows = rows.select("doc_id", F.inline(F.transform(begin, run)))
+    end = F.length("sentence")
+    same = F.translate("ahead", "\n", " ").startswith(F.col("sentence")) & F.substring("ahead", end + 1, F.lit(1)).isin("", "\n")
+    rows = rows.join(known, same)
+    over = F.size(F.split(F.substring("ahead", F.lit(1), end), "\n")) - 1
+    return rows.select(
+        "doc_id", "part", (F.col("part") + over).alias("last_part"), F.col("places")[0].alias("place"),
+        F.col("places")[over].alias("last_place"), "sentence_id",
+    ).distinct()
 
 
 def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
     """(doc_id, license, rule, first_place, last_place): every place at which a rule's sentences stand in order.
 
-    From each sentence that opens a rule, the next known sentence the rule wants must follow within ``gap`` sentences.
+    From each sentence that opens a rule, each next sentence the rule wants must begin within ``gap`` places of the end of
+    the one before. All ways are tried; ``last_place`` is where the last sentence begins in the one that ends first.
     """
-    found = known_sentences(docs)
+    found = materialise(known_sentences(docs), "known-sentences")
     out = None
     for depth in sorted({len(ids) for _, _, ids in RULES}):
         rules = [(name, rule, *ids) for name, rule, ids in RULES if len(ids) == depth]
         names = [f"s{k}" for k in range(depth)]
         table = _fixed(docs.sparkSession, rules, ["license", "rule", *names])
-        near = Window.partitionBy("doc_id").orderBy("place").rangeBetween(0, gap * (depth - 1))
-        rows = found.withColumn("ahead", F.collect_list(F.struct("place", "sentence_id")).over(near)) if depth > 1 else found
-        rows = rows.join(table, F.col("sentence_id") == F.col("s0"))
-        last = F.col("place")
+        rows = found.join(table, F.col("sentence_id") == F.col("s0")).withColumn("first_place", F.col("place"))
         for name in names[1:]:
-            last = _next(F.col("ahead"), last, F.col(name), gap)
-        rows = rows.withColumn("last_place", last).where(F.col("last_place").isNotNull())
-        rows = rows.select("doc_id", "license", "rule", F.col("place").alias("first_place"), "last_place")
+            rows = _followed(rows, found, name, gap)
+        rows = rows.groupBy("doc_id", "license", "rule", "first_place").agg(F.min("place").alias("last_place"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _next(ahead: Column, after: Column, wanted: Column, gap: int) -> Column:
-    """The first place within ``gap`` after ``after`` that holds the wanted sentence, or null."""
-    fits = F.filter(ahead, lambda s: (s["place"] > after) & (s["place"] <= after + gap) & (s["sentence_id"] == wanted))
-    return F.array_min(F.transform(fits, lambda s: s["place"]))
+def _followed(rows: DataFrame, found: DataFrame, wanted: str, gap: int) -> DataFrame:
+    """``rows`` moved on to each sentence of the column ``wanted`` that begins within ``gap`` places after their end."""
+    here = ["part", "last_part", "place", "last_place", "sentence_id"]
+    kept = [c for c in rows.columns if c not in ("doc_id", *here)]
+    ends = rows.select("doc_id", F.col("last_place").alias("at"), F.col("last_part").alias("end"), F.struct(kept).alias("kept"))
+    begins = found.select("doc_id", F.col("place").alias("at"), F.struct(here).alias("next"))
+    near = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, gap)
+    both = ends.unionByName(begins, allowMissingColumns=True).withColumn("ahead", F.collect_list("next").over(near))
+    both = both.where("kept IS NOT NULL").select("doc_id", "end", "kept.*", F.explode("ahead").alias("next"))
+    return both.where((F.col("next.part") > F.col("end")) & (F.col("next.sentence_id") == F.col(wanted))).select("doc_id", *kept, "next.*").distinct()
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
