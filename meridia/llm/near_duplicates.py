@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures.
+"""SimHash near-duplicates by deletion-variant signatures, and near copies by the similarity of their shingle sets.
 
 Fingerprints of 64 bits link when they differ in at most ``distance`` (3) bits. They are cut into two halves, so
 that of two linked fingerprints one half differs in at most one bit. Each half is indexed under its own value
@@ -10,6 +10,10 @@ Equal fingerprints are one vertex: copies, however many, never form pairs. A pai
 listed once. Links are between different fingerprints, which the join keeps apart by key; a large group of
 near copies costs as many links as it holds between different fingerprints.
 
+``one_of_each_similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such sets differ
+in more bits of a SimHash than wildcards reach, so candidates share a band of MinHash values; every candidate is then
+decided by the sets themselves. Texts with equal sets are one vertex.
+
 Nulls and empty texts: a null text counts as empty; texts without words have fingerprint zero, which links like any other.
 Rows with a null doc_id get a fingerprint and take part, but a class is named by its smallest doc_id that is not null.
 Repeated rows are one row each. An empty table gives an empty result. Other columns are ignored.
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fingerprints import simhash
+from .fingerprints import bands, set_id, shingles, signed, simhash
 from .shared import broadcast_if_small, components, map_batches, materialise
 
 HALF = 32
@@ -35,7 +39,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def start():
         def fingerprint(batch: dict) -> dict:
             prints = [simhash(t, width) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "fp": [p - (1 << 64) if p >> 63 else p for p in prints]}
+            return {"doc_id": batch["doc_id"], "fp": [signed(p) for p in prints]}
 
         return fingerprint
 
@@ -77,16 +81,73 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     prints = materialise(with_fingerprints(docs, width), "fingerprints")
     vertices = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
     classes = components(links(vertices.select("fp"), distance))
-    # the class of each fingerprint with links, named by the smallest doc_id of all its fingerprints
+    names = materialise(_named(vertices, classes), "classes")
+    return prints.join(names, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id")
+    )
+
+
+def _named(vertices: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, name): each vertex with the smallest doc_id of all vertices of its class."""
     members = vertices.join(classes, vertices["fp"] == classes["id"]).select("fp", "first", "component_id")
     members = materialise(members, "members")
     named = materialise(members.groupBy("component_id").agg(F.min("first").alias("name")), "names")
     linked = members.join(named, "component_id").select("fp", "name")
     single = vertices.join(linked, "fp", "left_anti").select("fp", F.col("first").alias("name"))
-    names = materialise(linked.unionByName(single), "classes")
-    return prints.join(names, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id")
-    )
+    return linked.unionByName(single)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per row: component_id the smallest doc_id reachable over texts of that similarity.
+
+    Bands are cut for a similarity of 0.8 or more; less is refused.
+    """
+    if similarity < 0.8:
+        raise ValueError("the MinHash bands find similarities of 0.8 or more")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def start():
+        def sign(batch: dict) -> dict:
+            sets = [shingles(t, width) for t in batch["text"]]
+            return {"doc_id": batch["doc_id"], "fp": [set_id(s) for s in sets], "keys": [bands(s) for s in sets]}
+
+        return sign
+
+    def start_sets():
+        def take(batch: dict) -> dict:
+            sets = [shingles(t, width) for t in batch["text"]]
+            return {"fp": [set_id(s) for s in sets], "set": [s.view("int64").tolist() for s in sets]}
+
+        return take
+
+    prints = materialise(map_batches(slim, start, "doc_id long, fp long, keys array<long>"), "bands")
+    vertices = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
+    rows = materialise(prints.dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("key")), "keys")
+    low = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("key", "a")
+    star = materialise(rows.join(low, "key").where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "candidates")
+    # the sets of the candidates alone, from one document of each; rows without a doc_id are all looked at
+    wanted = star.select(F.col("a").alias("fp")).union(star.select("b")).distinct()
+    ids = materialise(vertices.join(wanted, "fp", "left_semi").where("first IS NOT NULL").select(F.col("first").alias("_id")).distinct(), "ids")
+    ids = broadcast_if_small(ids, ids.count(), BROADCAST_ROWS)
+    some = slim.join(ids, slim["doc_id"] == ids["_id"], "left_semi").unionByName(slim.where("doc_id IS NULL"))
+    sets = materialise(map_batches(some.select("text"), start_sets, "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), sets.select(F.col("fp").alias("b"), F.col("set").alias("t"))
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("n", F.size(F.array_intersect("s", "t")))
+        return materialise(both.where(F.col("n") / (F.size("s") + F.size("t") - F.col("n")) >= similarity).select("a", "b"), name)
+
+    # first each member of a band with its smallest, then the pairs that this has not brought into one class
+    links = similar(star, "links")
+    classes = components(links)
+    rows = rows.join(classes, rows["fp"] == classes["id"], "left").select("fp", "key", F.coalesce("component_id", "fp").alias("label"))
+    rows = materialise(rows, "labels")
+    x, y = rows.alias("x"), rows.alias("y").hint("merge")
+    apart = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    links = links.unionByName(similar(pairs.join(star, ["a", "b"], "left_anti"), "more-links"))
+    names = materialise(_named(vertices, components(links)), "classes")
+    return prints.join(names, "fp").select("doc_id", F.col("name").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
@@ -95,7 +156,16 @@ def one_of_each_group(docs: DataFrame, width: int = 3, distance: int = 3) -> Dat
     A doc_id that several rows carry is one document, of which one row stays. Rows with a null doc_id stay.
     The ids that go are broadcast only if counted as at most ``BROADCAST_ROWS``.
     """
-    groups = materialise(near_duplicates(docs, width, distance).select("doc_id", "component_id"), "groups")
+    return _one_of_each(docs, near_duplicates(docs, width, distance))
+
+
+def one_of_each_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``one_of_each_group``, with groups of texts whose shingle sets are similar."""
+    return _one_of_each(docs, similar_groups(docs, width, similarity))
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    groups = materialise(groups.select("doc_id", "component_id"), "groups")
     goes = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     goes = materialise(goes.join(stays, "_id", "left_anti").distinct(), "goes")
