@@ -11,8 +11,8 @@ ids with local offsets; it returns one count per shard. Prefix sums of the count
 pass adds them. Files are named by attempt and only those of successful tasks are listed, so retried and
 speculative tasks do no harm.
 
-Nulls and empty texts: a null text counts as empty, giving the end id alone. A null doc_id sorts first and is
-stored as the smallest 64-bit integer, read back as null. Repeated doc_ids are all written, in the order of their texts.
+Nulls and empty texts: a null text counts as empty, giving the end id alone. A null doc_id sorts first; the manifest
+has the number of them in each shard, and they are read back as null. Repeated doc_ids are all written, in the order of their texts.
 An empty table gives a dataset without shards. Other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import re
 import uuid
 import zlib
 from array import array
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +36,28 @@ from .memo import Memo
 from .shared import fresh_path
 from .token_counts import byte_characters
 
-NULL_ID = -(2**63)
-SHARD = "shard long, bin string, idx string, n_docs long, n_tokens long"
+SHARD = "shard long, bin string, idx string, n_docs long, n_null long, n_tokens long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class PieceEncoder:
-    """Encodes whole texts with the tokenizers library, remembering the ids of words and pieces seen before.
+    """Encodes whole texts with the tokenizers library, remembering the ids of the words seen before.
 
-    Texts are cut at single spaces into pieces, and these into words by the library's normalizer and pre-tokenizer;
-    its model encodes each new word. That is exact for tokenizers that drop white space and normalize within words: no
-    token reaches over a cut. Pieces with special strings go to the library whole. ``limit`` bounds the memory.
+    Plain text (ASCII and Latin-1 letters, which normalization leaves alone but for their case) is cut into words by one
+    pattern, and the library's model encodes each new word. Other texts are cut at white space; pieces with other characters
+    go through the library's normalizer and pre-tokenizer, those with special strings to the library whole. That is exact
+    for tokenizers that drop white space and normalize within words: no token reaches over a cut. ``limit`` and the length
+    of what is remembered bound the memory, and long texts are encoded span by span.
     """
 
-    #: the pre-tokenizer pattern of the vocabulary for plain pieces in lower case (a fixed value of the format)
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-    #: pieces of ASCII and Latin-1 letters, which normalization leaves alone but for their case
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+    #: the pre-tokenizer pattern of the vocabulary for plain text in lower case (a fixed value of the format)
+    WORDS = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r]+")
+    #: Latin-1 codes of plain text
+    PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+    SPACE = re.compile(r"[ \t\n\r]+")
+    SPAN = 1 << 18
 
-    def __init__(self, path: str, dtype: str, limit: int = 300_000):
+    def __init__(self, path: str, dtype: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,37 +67,56 @@ class PieceEncoder:
         self.model, self.dtype = self.tokenizer.model, dtype
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added)) if added else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         back = {b: c for c, b in byte_characters().items()}
         self.as_bytes = {k: "".join(back[b] for b in chr(k).encode()) for k in range(0xC0, 0x100)}
-        self.pieces, self.words = Memo(self._piece, limit), Memo(self._word, limit)
+        self.words, self.odd = Memo(self._word, limit), Memo(self._odd, limit // 4)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    @property
-    def code(self) -> str:
-        return "H" if self.dtype == "<u2" else "I"
+        return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return self._packed([t.id for t in self.model.tokenize(word)])
+        """A plain word in lower case; the model wants its UTF-8 bytes as characters."""
+        return self._packed([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.as_bytes))])
 
-    def _piece(self, piece: str) -> bytes:
-        if self.special and self.special.search(piece):
+    def _odd(self, piece: str) -> bytes:
+        if any(s in piece for s in self.special):
             return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if self.PLAIN.fullmatch(piece):
-            lower = piece.lower()
-            words = self.WORDS.findall(lower)
-            if not lower.isascii():
-                words = [w.translate(self.as_bytes) for w in words]
-        else:
-            words = [w for w, _ in self.cut(self.normalize(piece))]
-        return b"".join(map(self.words.__getitem__, words))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, packed little-endian."""
-        return [b"".join(map(self.pieces.__getitem__, (text or "").split(" "))) for text in texts]
+        tokenize = self.model.tokenize
+        return self._packed([t.id for word, _ in self.cut(self.normalize(piece)) for t in tokenize(word)])
+
+    def _plain(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.PLAIN) and not any(s in text for s in self.special)
+        except UnicodeEncodeError:
+            return False
+
+    def _span(self, text: str) -> bytes:
+        get = self.words.__getitem__
+        if not self._plain(text):
+            pieces = self.SPACE.split(text)
+            if len(pieces) == 1:
+                return self.odd[text]
+            return b"".join([self._span(p) if self._plain(p) else self.odd[p] for p in pieces if p])
+        lower = text.lower()
+        if len(text) <= 2 * self.SPAN:
+            return b"".join(map(get, self.WORDS.findall(lower)))
+        # without a space to cut at: a list of all its words at once could take many times its size
+        found = (m.group() for m in self.WORDS.finditer(lower))
+        return b"".join(iter(lambda: b"".join(map(get, islice(found, 50_000))), b""))
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text, packed little-endian."""
+        text = text or ""
+        if len(text) <= self.SPAN:
+            return self._span(text) if text else b""
+        out, at = [], 0
+        while at < len(text):
+            end = self.SPACE.search(text, at + self.SPAN)
+            end = end.end() if end else len(text)
+            out.append(self._span(text[at:end]))
+            at = end
+        return b"".join(out)
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -129,20 +151,21 @@ def _encode_shards(folder: str, tokenizer: str, end_id: int, dtype: str):
         shard = TaskContext.get().partitionId()
         encoder, end = _encoder(tokenizer, dtype), np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
-        ids, lengths, stream = [], [], None
+        ids, lengths, n_null, stream = [], [], 0, None
         name = f"{folder}/{shard:06d}-{uuid.uuid4().hex[:8]}"
         for batch in batches:
             texts = batch.column("text")
             for at in range(0, len(batch), 256):  # a few texts at a time, for long ones
                 docs = batch.column("doc_id").slice(at, 256).to_pylist()
-                for doc, packed in zip(docs, encoder.encode(texts.slice(at, 256).to_pylist())):
+                for doc, packed in zip(docs, map(encoder.encode, texts.slice(at, 256).to_pylist())):
                     if stream is None:
                         fs, path = _open(f"{name}.bin")
                         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                         stream = fs.open_output_stream(path)
                     stream.write(packed)
                     stream.write(end)
-                    ids.append(NULL_ID if doc is None else doc)
+                    n_null += doc is None
+                    ids.append(doc or 0)
                     lengths.append(len(packed) // width + 1)
         if stream is not None:
             stream.close()
@@ -150,11 +173,8 @@ def _encode_shards(folder: str, tokenizer: str, end_id: int, dtype: str):
             fs, path = _open(f"{name}.loc")
             with fs.open_output_stream(path) as out:
                 out.write(np.array(ids, dtype="<i8").tobytes() + starts.astype("<i8").tobytes())
-            row = [[shard], [f"{name}.bin"], [f"{name}.loc"], [len(ids)], [int(starts[-1])]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                names=["shard", "bin", "idx", "n_docs", "n_tokens"],
-            )
+            row = {"shard": shard, "bin": f"{name}.bin", "idx": f"{name}.loc", "n_docs": len(ids), "n_null": n_null, "n_tokens": int(starts[-1])}
+            yield pa.RecordBatch.from_pylist([row])
 
     return run
 
@@ -227,7 +247,7 @@ def _read_shards(batches):
             for at in range(0, n, 10_000):
                 span = range(at, min(n, at + 10_000))
                 sums = [zlib.crc32(ids[starts[k] : starts[k + 1]].astype("<u4").tobytes()) for k in span]
-                docs = [None if d == NULL_ID else d for d in index[at : span.stop].tolist()]
+                docs = [None if k < row["n_null"] else d for k, d in zip(span, index[at : span.stop].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(docs, pa.int64()),
