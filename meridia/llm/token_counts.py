@@ -7,8 +7,9 @@ text is kept with the piece; a text is the sum of its pieces, which are cut wher
 count at any byte prefix is a sum over whole pieces and one table lookup. Truncation ("how many bytes fit into k
 tokens") and budget questions need no further encoding.
 
-Pieces are cut by the vocabulary's own pre-tokenizer pattern. Special strings inside a text are one token, as the
-library has it by default.
+Pieces are cut by the vocabulary's own pre-tokenizer pattern, in texts of the scripts for which it is tested to cut as the
+library does; blocks with other characters are cut by the library. Special strings inside a text are one token, as the
+library has it by default. Long texts are counted block by block, and long pieces keep only the end of their table.
 
 Nulls and empty texts count 0 tokens and 0 bytes. A null doc_id is carried. Repeated rows are counted one by one; an
 empty table gives an empty result; other columns are ignored.
@@ -17,8 +18,9 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,16 @@ from .shared import map_batches
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: a space that has white space beside it: only then may a cut at spaces differ from the pattern's
 CLOSE_SPACES = regex.compile(r" \s|\s ")
+#: any character but those whose classes are tested to be the library's, which knows another version of Unicode
+UNTESTED = regex.compile(
+    r"[^\u0000-\u0557\u05D0-\u06FF\u0900-\u097F\u0E00-\u0E7F\u2010-\u2064\u20A0-\u20BF\u2190-\u27BF"
+    r"\u3000-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3\uFF00-\uFF65\U0001F300-\U0001FAFF]"
+)
+#: places where no piece of the pattern reaches over, and how far apart those are at which long texts are cut
+BORDER = regex.compile(r"(?<=[!-~])(?=[ \n][!-~])|(?<=[。、，！？])(?=[一-鿿])")
+BLOCK = 1 << 16
+#: contractions whose first two characters alone are two pieces
+CONTRACTED = {"'re": "'r", "'ve": "'v", "'ll": "'l"}
 #: bytes of a piece's beginning that pieces share
 STEM = 6
 #: of a byte, which no merge made
@@ -72,6 +84,9 @@ class PrefixCounter:
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known = Memo(self._piece_total, limit)
         self.spans = Memo(self._span_total, limit)
+        from tokenizers import Tokenizer
+
+        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain BPE of a short byte string: the definition the program below rests on."""
@@ -124,7 +139,10 @@ class PrefixCounter:
         return self._grown(piece, stem[0].copy(), stem[1].copy())[0]
 
     def _grown(self, piece: bytes, counts: list[int], last: list[bytes]) -> tuple[list[int], list[bytes]]:
-        """The counts and the last tokens of the prefixes, carried on from those given to the end of the piece."""
+        """The counts and the last tokens of the prefixes, carried on from those given to the end of the piece.
+
+        What is given may be an end of the prefixes before, of ``longest`` at least; the empty prefix has no last token.
+        """
         usable, pairs, longest = self.usable, self.pairs, self.longest
         if len(pairs) > self.limit:
             pairs.clear()
@@ -136,8 +154,9 @@ class PrefixCounter:
                     good = self._stands(token)
                 if not good:
                     continue
-                if start:
-                    pair = last[start], token
+                before = last[start]
+                if before:
+                    pair = before, token
                     apart = pairs.get(pair)
                     if apart is None:
                         apart = pairs[pair] = self._beside(*pair)
@@ -151,47 +170,90 @@ class PrefixCounter:
         return counts, last
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut where no token reaches over; special strings are pieces of their own."""
-        if self.splitter is None or not any(s in text for s in self.special):
-            return PATTERN.findall(text)
-        out, at = [], 0
-        for m in self.splitter.finditer(text):
-            out += PATTERN.findall(text[at : m.start()])
-            out.append(m.group())
-            at = m.end()
-        return out + PATTERN.findall(text[at:])
+        """Plain text cut where no token reaches over."""
+        if UNTESTED.search(text):
+            return [text[a:b] for _, (a, b) in self.cut(text)]
+        return PATTERN.findall(text)
 
     def _piece_total(self, piece: str) -> int:
-        return 1 if piece in self.special else self.table(piece.encode("utf-8", "surrogatepass"))[-1]
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) <= BLOCK:
+            return self.table(data)[-1]
+        # of a very long piece only the end of the table is kept
+        counts, last, begin = [0], [b""], 0
+        for end in range(BLOCK, len(data) + BLOCK, BLOCK):
+            counts, last = self._grown(data[begin:end], counts, last)
+            begin += max(0, len(counts) - self.longest - 1)
+            counts, last = counts[-self.longest - 1 :], last[-self.longest - 1 :]
+        return counts[-1]
 
     def _span_total(self, span: str) -> int:
         return sum(map(self.known.__getitem__, PATTERN.findall(span)))
 
-    def total(self, text: str | None) -> int:
-        """Tokens of the whole text: the last entry of its prefix counts."""
-        if not text:
-            return 0
-        if CLOSE_SPACES.search(text) or any(s in text for s in self.special):
+    def _plain_total(self, text: str) -> int:
+        if UNTESTED.search(text) or CLOSE_SPACES.search(text):
             return sum(map(self.known.__getitem__, self.pieces(text)))
         # a single space always begins a new piece of the pattern: cut there
         first, *rest = text.split(" ")
         return self.spans[first] + sum(map(self.spans.__getitem__, map(" ".__add__, rest)))
 
-    def prefix_counts(self, text: str | None) -> list[int]:
-        """Tokens of every byte prefix of the text whose end lies in a piece of the whole text, from 0 bytes on."""
-        out = [0]
-        for piece in self.pieces(text or ""):
-            data = piece.encode("utf-8", "surrogatepass")
-            inner = self.table(data) if piece not in self.special else [0] + [1] * len(data)
-            base = out[-1]
-            out += [base + k for k in inner[1:]]
-        return out
+    def _segments(self, text: str) -> Iterator[tuple[str, str]]:
+        """Plain texts, each with the special string that ends it; "" for the last."""
+        at = 0
+        if any(s in text for s in self.special):
+            for m in self.splitter.finditer(text):
+                yield text[at : m.start()], m.group()
+                at = m.end()
+        yield text[at:], ""
 
-    def boundaries(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Byte ends of the text's pieces and the tokens up to each: what is kept of a text for later questions."""
-        pieces = self.pieces(text or "")
-        ends = accumulate(len(p.encode("utf-8", "surrogatepass")) for p in pieces)
-        return list(ends), list(accumulate(map(self.known.__getitem__, pieces)))
+    def total(self, text: str | None) -> int:
+        """Tokens of the whole text: the last entry of its prefix counts."""
+        return sum(self._plain_total(b) for plain, _ in self._segments(text or "") for b in blocks(plain)) + sum(
+            bool(special) for _, special in self._segments(text or "")
+        )
+
+    def prefix_counts(self, text: str | None) -> np.ndarray:
+        """Tokens of the first 0, 1, 2 .. characters of the text, as the library has them for each of these prefixes.
+
+        A prefix that ends inside a special string is plain text; one that ends with white space or inside a contraction is
+        cut otherwise there than the whole text.
+        """
+        out, base = [np.zeros(1, dtype=np.int32)], 0
+        for plain, special in self._segments(text or ""):
+            counts = self._plain_counts(plain + special)
+            out.append(base + counts[1 : len(plain) + len(special) + (not special)])
+            base += int(counts[len(plain)]) + bool(special)
+            if special:
+                out.append(np.array([base], dtype=np.int32))
+        return np.concatenate(out)
+
+    def _plain_counts(self, text: str) -> np.ndarray:
+        out, base, run = [np.zeros(1, dtype=np.int32)], 0, ""
+        for piece in self.pieces(text):
+            data = piece.encode("utf-8", "surrogatepass")
+            table = np.array(self.table(data), dtype=np.int32)
+            inner = table if len(data) == len(piece) else table[np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in piece)])]
+            if piece in CONTRACTED:
+                inner[2] = sum(map(self.known.__getitem__, CONTRACTED[piece]))
+            counts = base + inner
+            if run and piece[0].isspace():  # up to here the text ends with all of the white space in one piece
+                counts[1] = base - self.known[run] + self.known[run + piece[0]]
+            out.append(counts[1:])
+            base, run = base + int(table[-1]), piece if piece.isspace() else ""
+        return np.concatenate(out)
+
+
+def blocks(text: str) -> Iterator[str]:
+    """The text, cut about every ``BLOCK`` characters at a border where no piece reaches over."""
+    at = 0
+    while len(text) - at > BLOCK:
+        border = BORDER.search(text, at + BLOCK)
+        if border is None:
+            break
+        yield text[at : border.start()]
+        at = border.start()
+    if at < len(text):
+        yield text[at:]
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -224,27 +286,27 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_batches(slim, start, RESULT)
 
 
-def prefix_boundaries(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, byte_ends, token_ends): tokens up to the end of every piece of each text."""
+def prefix_tables(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, counts): the tokens of the first 0, 1, 2 .. characters of each text, one entry more than it has characters."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def start():
         counter = _counter(tokenizer)
+        return lambda batch: {"doc_id": batch["doc_id"], "counts": [counter.prefix_counts(t) for t in batch["text"]]}
 
-        def bounds(batch: dict) -> dict:
-            both = [counter.boundaries(t) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "byte_ends": [x[0] for x in both], "token_ends": [x[1] for x in both]}
+    return map_batches(slim, start, "doc_id long, counts array<int>")
 
-        return bounds
 
-    return map_batches(slim, start, "doc_id long, byte_ends array<long>, token_ends array<long>")
+def fits(tables: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_chars): the longest prefix of at most ``budget`` tokens, from ``prefix_tables``."""
+    longest = F.array_max(F.filter(F.transform("counts", lambda n, k: F.when(n <= budget, k)), lambda k: k.isNotNull()))
+    return tables.select("doc_id", F.coalesce(longest, F.lit(0)).cast("long").alias("n_chars"))
 
 
-def fits(bounds: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, n_bytes): the longest prefix of whole pieces within ``budget`` tokens, from ``prefix_boundaries``."""
-    n = F.size(F.filter("token_ends", lambda t: t <= budget))
-    held = F.when(n > 0, F.element_at("byte_ends", n)).otherwise(F.lit(0).cast("long"))
-    return bounds.select("doc_id", held.alias("n_bytes"))
+def tokens_within(tables: DataFrame, n_chars: int) -> DataFrame:
+    """(doc_id, n_tokens): the tokens of the first ``n_chars`` characters, or of all there are, from ``prefix_tables``."""
+    at = F.least(F.lit(n_chars), F.size("counts") - 1)
+    return tables.select("doc_id", F.element_at("counts", at + 1).cast("long").alias("n_tokens"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,27 +55,6 @@ def test_token_counts(spark, sf_dir, docs):
     assert token_counts.token_counts(no_documents(spark), path).count() == 0
 
 
-SPACED = ["a  b", "foo \n bar", "\n \nfoo", "foo\n  bar", "x\r\n\r\n  y", "don't 's  'S", "  lead", "trail  ", "\x1c a\x85b", "<|endoftext|>x<|endoftext|>", "日本語 テスト  123"]
-
-
-def test_prefix_counts_are_exact_at_every_prefix():
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    counter, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
-    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    assert [counter.total(t) for t in SPACED] == [size(t) for t in SPACED]
-    for word in ("interchangeable", "Donaudampfschiff", "aaaaaaaaaaaa", "x9y8z7"):
-        assert [counter.total(word[:k]) for k in range(len(word) + 1)] == [size(word[:k]) for k in range(len(word) + 1)]
-        table = counter.table(f" {word}".encode())
-        assert table == [0] + [size(f" {word}"[: k + 1]) for k in range(len(word) + 1)]
-    text = "One two three, four!"
-    assert counter.prefix_counts(text)[-1] == counter.boundaries(text)[1][-1] == size(text)
-
-
-def test_budgets_need_no_encoding(spark):
-    bounds = token_counts.prefix_boundaries(spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
-    assert {r["doc_id"]: r["n_bytes"] for r in token_counts.fits(bounds, 2).collect()} == {1: 7, 2: 0}
-
-
 def component_names(ids, prints):
     pairs = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
     names = {}
