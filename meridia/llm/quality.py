@@ -6,8 +6,9 @@ text is read. Training takes a bounded hash sample of labelled rows (``max_rows`
 apart by FTRL-proximal steps and averaged; both are parameters. Scoring is a sparse dot product over whole texts, the
 weights (4 bytes times 2^bits) being the only thing broadcast.
 
-Nulls and empty texts score by the bias alone. Rows without a label, with a null label or null doc_id are not learned from. Repeated rows
-are scored one by one. Without labels of both kinds the score is the share of ones, 0.5 where there are none.
+Nulls and empty texts score by the bias alone. Rows without a label, with a null label or null doc_id are not learned from; a
+doc_id that repeats in labels or documents is learned from once. Repeated rows are scored one by one. Labels of one kind alone
+draw all scores to their side; without any labels every score is 0.5. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,6 +77,14 @@ def sampled(labels: DataFrame, max_rows: int) -> DataFrame:
     return labels.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, y, text) of the sampled labels: each doc_id once, with its largest label and the first of its texts."""
+    once = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    # the sample is bounded by a parameter and holds no doc_id twice, so it may be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(sampled(once, max_rows)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -90,9 +99,7 @@ def train(
     gain: float = 50.0,
 ) -> np.ndarray:
     """Weights from ``docs(doc_id, text)`` and ``labels(doc_id, y)``; the bias is last. See ``sampled`` for the bound."""
-    rows = sampled(labels.where("doc_id IS NOT NULL AND y IS NOT NULL").select("doc_id", "y"), max_rows)
-    # the sample is bounded by a parameter, so it may be broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    chosen = labelled(docs, labels, max_rows)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards)).cast("int")
     chosen = chosen.select(shard.alias("shard"), "doc_id", "y", "text").groupBy("shard")
 
@@ -120,7 +127,7 @@ def score(docs: DataFrame, weights: np.ndarray, gain: float = 50.0) -> DataFrame
 
         def one(text: str | None) -> float:
             found = features(text, bits)
-            total = w[-1] + (float(w[found].sum(dtype=np.float64)) * gain / len(found) if len(found) else 0.0)
+            total = float(w[-1]) + (float(w[found].sum(dtype=np.float64)) * gain / len(found) if len(found) else 0.0)
             return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
         return lambda batch: {"doc_id": batch["doc_id"], "score": [one(t) for t in batch["text"]]}

@@ -6,11 +6,14 @@ fixed list and from labelled rows: beginnings and words that toxic texts hold fa
 entry weighs the logarithm of its odds. Exception phrases take back the weight of the entries they cover.
 
 The sum of the weights is divided by a power of the text's length in words, and a logistic curve fitted to the labels
-turns it into a score. Learning takes a bounded hash sample of labelled rows (``max_rows``); its counts are Spark
-aggregations, and what reaches the driver is bounded by ``max_entries``. Scoring reads whole texts.
-
-Nulls and empty texts hold no entry and score as such a text. Rows with null labels or doc_ids are not learned from.
-Repeated rows are scored one by one; an empty table gives an empty result. Only the text is read for a score.
+turns it into a score. The curve stays below 0.25 for a text that holds no entry. Learning takes a bounded hash sample of
+labelled rows (``max_rows``); its counts are Spark aggregations. What reaches the driver is bounded with the sample: an entry
+is in a ``share`` of its toxic texts, so there are at most 1 / share times as many as an average one has words and beginnings.
+Scoring reads whole texts.
+
+Nulls and empty texts hold no entry and score as such a text. Rows with null labels or doc_ids are not learned from; a doc_id
+that repeats is learned from once, as in ``quality.labelled``. Repeated rows are scored one by one; an empty table
+gives an empty result. Only the text is read for a score.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import SCORED, sampled, with_verdict
+from .quality import SCORED, labelled, with_verdict
 from .quality import held_out as in_fold
 from .shared import map_batches, materialise
 
@@ -44,6 +47,8 @@ LOOK_ALIKES = {
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 INVISIBLE = "­​‌‍⁠﻿"
 MARKS = "".join(map(chr, range(33, 127)))
+#: highest log odds of a text that holds no entry
+CLEAN = -1.1
 
 _FOLD = {ord(c): " " for c in MARKS if not c.isalnum()} | {ord(c): " " for c in "\t\n\r\x0b\x0c«»„“”‘’‚…–—¿¡·•‹›"}
 _FOLD |= {ord(a): b for a, b in LOOK_ALIKES.items()} | {ord(a): b for a, b in STAND_INS.items()}
@@ -153,7 +158,6 @@ def learn(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 16_000,
-    max_entries: int = 50_000,
     shortest: int = 4,
     longest: int = 7,
     least: int = 3,
@@ -168,14 +172,12 @@ def learn(
     likelier in toxic texts.
     """
     spark = docs.sparkSession
-    rows = sampled(labels.where("doc_id IS NOT NULL AND y IS NOT NULL").select("doc_id", "y"), max_rows)
-    # the sample is bounded by a parameter, so it may be broadcast
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("y", "text"), "labelled")
+    rows = materialise(labelled(docs, labels, max_rows).select("y", "text"), "labelled")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     least = max(least, math.ceil(share * n_toxic))
     common = _counted(rows.where("y = 1"), shortest, longest).where(F.col("n") >= least)
-    toxic = {r["entry"]: r["n"] for r in common.orderBy(F.desc("n"), "entry").limit(max_entries).collect()}
+    toxic = {r["entry"]: r["n"] for r in common.collect()}
     wanted = spark.sparkContext.broadcast(frozenset(toxic))
     clean = {r["entry"]: r["n"] for r in _counted(rows.where("y = 0"), shortest, longest, wanted).collect()}
     entries = _chosen(toxic, clean, n_toxic, n_clean, least, ratio)
@@ -191,7 +193,7 @@ def learn(
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon, steps: int = 30) -> tuple[float, float]:
-    """Slope and bias of the logistic curve through (strength, label), from counts by rounded strength."""
+    """Slope and bias of the logistic curve through (strength, label), from counts by rounded strength; at most ``CLEAN`` at 0."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def start():
@@ -210,7 +212,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon, steps: int = 30) -> tuple[float, f
         h = np.array([[(w * x * x).sum() + 0.5, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(h, g)
         slope, bias = slope + np.clip(step[0], -2, 2), bias + np.clip(step[1], -2, 2)
-    return float(max(slope, 0.0)), float(bias)
+    return float(max(slope, 0.0)), float(min(bias, CLEAN))
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -230,14 +232,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit`` or hold no entry, all columns kept; a filter, without a join."""
+    """The rows of ``docs`` that score below ``limit``, all columns kept; a filter, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def judge(texts: pd.Series) -> pd.Series:
         own = shared.value
         tree = own.automaton()
-        strengths = [own.strength(tree, t) for t in texts]
-        return pd.Series([not s or own.score(s) < limit for s in strengths], dtype=bool)
+        return pd.Series([own.score(own.strength(tree, t)) < limit for t in texts], dtype=bool)
 
     return docs.where(F.pandas_udf(judge, "boolean")(F.col("text").cast("string")))
 

@@ -1,24 +1,78 @@
 """Learned operators by held-out accuracy, shards and pipeline by round trips."""
 
+import math
+import re
+from zlib import crc32
+
 import numpy as np
 import pytest
 from helpers import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from meridia.llm import quality, shards, toxicity
 from meridia.llm.queries import QUERIES
 
 
-def accuracy(spark, sf_dir, name, column):
-    rows = QUERIES[name](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").toPandas()
-    return (rows.predicted == rows[column]).mean()
+def held_out(spark, sf_dir, name, column):
+    """Accuracy, and the chance that a row labelled 1 outscores one labelled 0, over rows that were not learned from."""
+    rows = QUERIES[name](spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").toPandas()
+    ones, zeros = rows.score[rows[column] == 1].to_numpy(), rows.score[rows[column] == 0].to_numpy()
+    assert len(ones) > 10 and len(zeros) > 10
+    auc = ((ones[:, None] > zeros[None]) + 0.5 * (ones[:, None] == zeros[None])).mean()
+    return (rows.predicted == rows[column]).mean(), auc
 
 
 def test_quality(spark):
-    assert accuracy(spark, "/root/testdata/sf0.01", "op7_quality", "quality") > 0.9
+    accuracy, auc = held_out(spark, "/root/testdata/sf0.1", "op7_quality", "quality")
+    assert accuracy > 0.95 and auc > 0.98
 
 
 def test_toxicity(spark):
-    assert accuracy(spark, "/root/testdata/sf0.01", "op9_toxicity", "toxic") > 0.9
+    accuracy, auc = held_out(spark, "/root/testdata/sf0.1", "op9_toxicity", "toxic")
+    assert accuracy > 0.95 and auc > 0.93
+
+
+def plain_quality(text, weights, bits=18, gain=50.0):
+    """The score of one text by a loop over its tokens, with Python's integers."""
+    tokens = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", text or "")
+    h = [crc32(t.encode()) for t in tokens]
+    mask = (1 << 64) - 1
+    found = [(x * 0x9E3779B97F4A7C15 & mask) >> (64 - bits) for x in h]
+    for a, b in zip(h, h[1:]):
+        two = 0x5BD1E995 if a == b else (a * 0x9E3779B1 + b * 0x85EBCA6B) & mask
+        found.append((two * 0xC2B2AE3D27D4EB4F & mask) >> (64 - bits))
+    total = float(weights[-1]) + (sum(float(weights[f]) for f in found) * gain / len(found) if found else 0.0)
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_equal_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
+    weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("y")))
+    texts = sorted((str(r["doc_id"]), plain_quality(r["text"], weights)) for r in docs.collect())
+    got = sorted((str(r["doc_id"]), r["score"]) for r in quality.score(docs, weights).collect())
+    assert [g[0] for g in got] == [t[0] for t in texts] and np.allclose([g[1] for g in got], [t[1] for t in texts], atol=1e-9)
+
+
+def plain_toxicity(text, lexicon):
+    """The score of one text by searching every entry at every place."""
+    folded = toxicity.fold(text)
+    count = lambda entry: sum(folded.startswith(entry, k) for k in range(len(folded)))
+    total = sum(w * count(e) for e, w in lexicon.entries.items())
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        total -= sum(w for e, w in lexicon.entries.items() if e in phrase) * count(phrase)
+    strength = math.log1p(total / max(1, len(folded.split())) ** lexicon.power) if total > 1e-12 else 0.0
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, lexicon.slope * strength + lexicon.bias))))
+
+
+def test_toxicity_scores_equal_a_plain_search(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
+    docs = docs.where("text IS NULL OR length(text) < 20000")
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("y")))
+    lexicon.entries = dict(sorted(lexicon.entries.items())[:60]) | {" idiot ": 3.0, " clown ": 3.0}
+    docs = docs.unionByName(spark.createDataFrame([(900, "The class clown is an 1d10t, a clown fish")], "doc_id long, text string"))
+    want = sorted((str(r["doc_id"]), plain_toxicity(r["text"], lexicon)) for r in docs.collect())
+    got = sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score(docs, lexicon).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
 
 
 def test_ftrl_separates_and_averages():
@@ -29,15 +83,37 @@ def test_ftrl_separates_and_averages():
 
 def test_scores_of_odd_rows(spark):
     odd = odd_documents(spark)
-    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (7, None)], "doc_id long, y int")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (7, None), (9, 0), (9, 0)], "doc_id long, y int")
     weights = quality.train(odd.select("doc_id", "text"), labels)
-    assert quality.score(odd, weights).count() == 10
+    scores = {}
+    for r in quality.score(odd, weights).collect():
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    assert sorted(map(len, scores.values())) == [1] * 8 + [2]
+    assert scores[2] == scores[3] == scores[4] == [1 / (1 + math.exp(-float(weights[-1])))]
+    assert scores[1] == scores[6] and scores[1][0] > 0.5 > scores[9][0] == scores[9][1]
     assert quality.score(no_documents(spark), weights).count() == 0
     lexicon = toxicity.learn(odd, labels)
-    assert toxicity.score(odd, lexicon).count() == 10
+    held = {r["doc_id"]: r["score"] for r in toxicity.score(odd, lexicon).collect()}
+    nothing = lexicon.score(0.0)
+    assert nothing < 0.25 and {held[k] for k in (None, 2, 3, 4, 7, 8)} == {nothing}
     assert toxicity.score(no_documents(spark), lexicon).count() == 0
     kept = toxicity.without_toxic(odd, lexicon)
-    assert kept.columns == odd.columns and kept.count() == 10
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in toxicity.score(odd, lexicon).where("score < 0.3").collect())
+
+
+def test_labels_of_one_kind_and_none(spark):
+    odd = odd_documents(spark).select("doc_id", "text")
+    ones = spark.createDataFrame([(1, 1), (9, 1)], "doc_id long, y int")
+    assert all(r["score"] > 0.5 for r in quality.score(odd, quality.train(odd, ones)).collect())
+    assert all(r["score"] == 0.5 for r in quality.score(odd, quality.train(odd, ones.limit(0))).collect())
+    assert toxicity.learn(odd, ones.limit(0)).score(0.0) < 0.25
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, y int")
+    assert sorted(tuple(r) for r in quality.labelled(docs, labels, 100).collect()) == [(1, 1, "a"), (2, 0, None)]
 
 
 def test_disguises_and_exceptions():
