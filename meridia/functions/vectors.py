@@ -17,8 +17,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: single-precision machine epsilon, the tolerance of all degenerate cases (a fixed value)
+#: single-precision machine epsilon, the tolerance of degenerate shapes (a fixed value)
 EPSILON = 1.1920929e-07
+#: double-precision machine epsilon, the least length of what has a direction (a fixed value)
+TINY = 2.220446049250313e-16
 
 
 def num(value):
@@ -64,8 +66,11 @@ def clamp(value, low, high):
 
 
 def tidy(value, digits: int = 6) -> Column:
-    """Rounded for comparison, without negative zeros."""
-    return F.round(col(value).cast("double"), digits) + F.lit(0.0)
+    """Rounded for comparison, without negative zeros.
+
+    Averages of exact decimals often lie on a tie, where the order of the sum decides; a tenth of a billionth moves them off.
+    """
+    return F.round(col(value).cast("double") + 1e-10, digits) + F.lit(0.0)
 
 
 def held(df: DataFrame, **values) -> tuple:
@@ -131,9 +136,9 @@ class Vec(NamedTuple):
 
     def normalised(self) -> Vec:
         n = self.length()
-        if not isinstance(n, Column) and n <= EPSILON:
+        if not isinstance(n, Column) and n <= TINY:
             return Vec(None, None, None)
-        return Vec(*(pick(n > EPSILON, a / n) for a in self))
+        return Vec(*(pick(n > TINY, a / n) for a in self))
 
     def where(self, condition: Column, other: Vec) -> Vec:
         """This vector where the condition holds, the other elsewhere."""
@@ -184,9 +189,9 @@ class Quat(NamedTuple):
 
     def normalised(self) -> Quat:
         n = sqrt(self.dot(self))
-        if not isinstance(n, Column) and n <= EPSILON:
+        if not isinstance(n, Column) and n <= TINY:
             return Quat(None, None, None, None)
-        return Quat(*(pick(n > EPSILON, a / n) for a in self))
+        return Quat(*(pick(n > TINY, a / n) for a in self))
 
     def conjugate(self) -> Quat:
         return Quat(-self.x, -self.y, -self.z, self.w)
@@ -282,9 +287,9 @@ class Mat:
     def inverse(self) -> Mat:
         """By cofactors; NULL where the determinant vanishes."""
         n, d = len(self.rows), self.determinant()
-        if not isinstance(d, Column) and abs(d) <= EPSILON:
+        if not isinstance(d, Column) and d == 0:
             return Mat([[None] * n for _ in range(n)])
-        scale = pick(absolute(d) > EPSILON, 1.0 / d)
+        scale = pick(d != 0, 1.0 / d)
         return Mat([[self.minor(j, i).determinant() * (-1.0) ** (i + j) * scale for j in range(n)] for i in range(n)])
 
     def apply(self, v: Vec) -> Vec:

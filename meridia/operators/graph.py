@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-meridia-")
-        sc.setCheckpointDir(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage: written to the shared folder and read back."""
-    path = shared_path(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .tables import written
 
 
 def min_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -35,15 +15,15 @@ def min_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> Dat
     Raises if labels still change after ``max_rounds``.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _written(both)
-    labels = _written(nodes.select("id", F.col("id").alias("label")).distinct())
+    both = written(both, "links")
+    labels = written(nodes.select("id", F.col("id").alias("label")).distinct(), "labels")
     for _ in range(max_rounds):
         heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("low"))
         step = labels.join(heard, labels["id"] == heard["a"], "left")
-        step = _written(step.select("id", "label", F.least("label", F.coalesce("low", "label")).alias("next")))
+        step = written(step.select("id", "label", F.least("label", F.coalesce("low", "label")).alias("next")), "step")
         jump = step.select(F.col("id").alias("of"), F.col("next").alias("further"))
         after = step.join(jump, step["next"] == jump["of"], "left")
-        after = _written(after.select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")))
+        after = written(after.select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "after")
         changed = after.where(F.col("label") != F.col("next")).limit(1).count()
         labels = after.select("id", F.col("next").alias("label"))
         if not changed:

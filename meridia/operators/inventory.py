@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_number, shell_quote
+from .tables import numbered
 
 # Folders of model kinds, and the endings of model files.
 KINDS = {"checkpoints": "checkpoint", "loras": "lora", "vae": "vae", "controlnet": "controlnet", "clip": "clip", "upscale_models": "upscaler", "embeddings": "embedding"}
@@ -33,8 +34,9 @@ def extra_paths_yaml(base: str, folders: dict[str, str]) -> str:
 
 
 def image_list(images: DataFrame) -> DataFrame:
-    """``images(image_id, camera_id, name)`` with frame numbers, those without one first."""
-    return images.withColumn("frame", frame_number(F.col("name"))).orderBy(F.col("frame").asc_nulls_first(), "name", "image_id")
+    """``images(image_id, camera_id, name)`` with frame numbers and their ``place`` from 1, those without a number first."""
+    rows = numbered(images.withColumn("frame", frame_number(F.col("name"))), [F.col("frame").asc_nulls_first(), "name", "image_id"], "place")
+    return rows.withColumn("place", F.col("place") + 1)
 
 
 def image_counts(images: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shapes import Ray, Tri
+from ..functions.shapes import Box, Ray, Tri
 from ..functions.vectors import EPSILON, Vec, held
 from .graph import min_labels
+from .tables import written
 
 KEY = "mesh_id"
 
@@ -123,15 +124,47 @@ def merged(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFr
     return v, t
 
 
-def welded(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices with equal coordinates become the one of the smallest number; collapsed triangles go."""
+def welded(vertices: DataFrame, triangles: DataFrame, epsilon: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Vertices within ``epsilon`` of an earlier one that stays become the first such; collapsed triangles go.
+
+    In the order of v_idx a vertex stays unless one that stays lies within ``epsilon``. Vertices with equal coordinates become
+    one first. Neighbours are found by cells of that size; then rounds decide all vertices whose earlier neighbours are decided.
+    """
+    if epsilon < 0:
+        raise ValueError("the distance must not be negative")
     first = vertices.groupBy(KEY, "x", "y", "z").agg(F.min("v_idx").alias("to"))
     to = vertices.join(first, [KEY, "x", "y", "z"]).select(KEY, "v_idx", "to")
+    if epsilon > 0:
+        nearer = _first_within(first.withColumnRenamed("to", "v_idx"), epsilon).select(KEY, F.col("v_idx").alias("to"), F.col("rep").alias("_rep"))
+        to = to.join(nearer, [KEY, "to"]).select(KEY, "v_idx", F.col("_rep").alias("to"))
     out = triangles
     for c in "abc":
         out = out.join(to.withColumnRenamed("v_idx", c).withColumnRenamed("to", f"_{c}"), [KEY, c])
     out = out.select(KEY, "t_idx", *(F.col(f"_{c}").alias(c) for c in "abc")).where("a <> b AND b <> c AND a <> c")
-    return first.select(KEY, F.col("to").alias("v_idx"), "x", "y", "z"), out
+    stay = to.where("v_idx = to").select(KEY, "v_idx")
+    return vertices.join(stay, [KEY, "v_idx"], "left_semi").select(KEY, "v_idx", "x", "y", "z"), out
+
+
+def _first_within(vertices: DataFrame, epsilon: float) -> DataFrame:
+    """(mesh_id, v_idx, rep): the vertex itself if it stays, else the first of those that stay within ``epsilon``."""
+    here, filed = vertices, vertices.select(KEY, F.col("v_idx").alias("u"), *(F.col(k).alias(f"u{k}") for k in "xyz"))
+    for k in "xyz":
+        at = F.floor(F.col(k) / epsilon)
+        here = here.withColumn(f"c{k}", F.explode(F.sequence(at - 1, at + 1)))
+        filed = filed.withColumn(f"c{k}", F.floor(F.col(f"u{k}") / epsilon))
+    near = (F.col("u") < F.col("v_idx")) & (Vec.columns().distance(Vec.columns("u")) <= epsilon)
+    earlier = written(here.join(filed, [KEY, "cx", "cy", "cz"]).where(near).select(KEY, "v_idx", "u"), "earlier")
+    known = written(vertices.join(earlier, [KEY, "v_idx"], "left_anti").select(KEY, "v_idx", F.col("v_idx").alias("rep")), "known")
+    while True:
+        of = known.select(KEY, F.col("v_idx").alias("u"), F.col("rep").alias("_rep"))
+        open_ = earlier.join(known, [KEY, "v_idx"], "left_anti").join(of, [KEY, "u"], "left")
+        heard = open_.groupBy(KEY, "v_idx").agg(F.min(F.when(F.col("_rep") == F.col("u"), F.col("u"))).alias("first"), F.min(F.when(F.col("_rep").isNull(), F.col("u"))).alias("unknown"))
+        # it goes to the first that stays once all before that are decided, and stays itself if all of them went elsewhere
+        sure = F.col("unknown").isNull() | (F.col("first") < F.col("unknown"))
+        step = written(heard.where(sure).select(KEY, "v_idx", F.coalesce("first", "v_idx").alias("rep")), "decided")
+        if step.isEmpty():
+            return known
+        known = written(known.unionByName(step), "known")
 
 
 def smoothed(vertices: DataFrame, triangles: DataFrame, rounds: int, factor: float) -> DataFrame:
@@ -172,27 +205,56 @@ def samples(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
 BROADCAST_QUERIES = 100_000
 
 
-def _against(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Every query row with every triangle: a stated set of queries against all triangles, the queries broadcast if counted as few."""
+def _blocks(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Triangles with their corners and a block, and the blocks with the bounds of their triangles.
+
+    A mesh of n triangles is cut by the places of its centroids into about sqrt(n) blocks, so that queries are
+    compared with few bounds and then with the triangles of few blocks.
+    """
+    t = corners()
+    rows = with_corners(vertices, triangles).withColumns({f"m{k}": c for k, c in zip("xyz", t.centroid())})
+    ends = [f(f"m{k}").alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
+    rows = rows.join(rows.groupBy(KEY).agg(F.ceil(F.pow(F.count("*"), F.lit(1 / 6))).alias("side"), *ends), KEY)
+    for k in "xyz":
+        share = (F.col(f"m{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0))
+        rows = rows.withColumn(f"b{k}_", F.coalesce(F.least(F.floor(share * F.col("side")), F.col("side") - 1), F.lit(0)))
+    block = F.struct("bx_", "by_", "bz_")
+    rows = written(rows.select(KEY, "t_idx", block.alias("block"), *(f"{c}{k}" for c in "abc" for k in "xyz")), "blocks")
+    low = (F.min(F.least(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"lo_{k}") for k in "xyz")
+    high = (F.max(F.greatest(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"hi_{k}") for k in "xyz")
+    return rows, rows.groupBy(KEY, "block").agg(*low, *high)
+
+
+def _against(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every query row with every block: a stated set of queries, broadcast if counted as few."""
     few = queries.count() <= BROADCAST_QUERIES
-    return with_corners(vertices, triangles).crossJoin(F.broadcast(queries) if few else queries)
+    return blocks.crossJoin(F.broadcast(queries) if few else queries)
 
 
 def ray_hits(rays: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """(ray, mesh_id, t_idx, distance) of all triangles that ``rays(ray, ox, oy, oz, dx, dy, dz)`` hit, their borders included."""
-    rows = _against(rays, vertices, triangles)
-    t = corners()
-    rows = rows.withColumn("distance", Ray(Vec.columns("o"), Vec.columns("d")).triangle(t.a, t.b, t.c))
-    return rows.where("distance IS NOT NULL").select("ray", KEY, "t_idx", "distance")
+    rows, blocks = _blocks(vertices, triangles)
+    ray, t = Ray(Vec.columns("o"), Vec.columns("d")), corners()
+    # a little wider than the triangles, whose borders count
+    wide = {f"{e}_{k}": F.col(f"{e}_{k}") + F.lit(s * 1e-5) * (1 + F.abs(F.col(f"{e}_{k}"))) for e, s in (("lo", -1), ("hi", 1)) for k in "xyz"}
+    met = _against(rays, blocks.withColumns(wide)).where(ray.box(Box.columns())[1].isNotNull())
+    near = met.drop(*wide).join(rows, [KEY, "block"]).withColumn("distance", ray.triangle(t.a, t.b, t.c))
+    return near.where("distance IS NOT NULL").select("ray", KEY, "t_idx", "distance")
 
 
 def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """(query, mesh_id, t_idx, distance, x, y, z): the nearest surface point of each of ``queries(query, qx, qy, qz)`` on each mesh.
 
-    The smaller t_idx wins ties. An aggregate keeps only the best so far, so no candidate list is sorted.
+    Blocks that begin farther off than another ends are left out. The smaller t_idx wins ties. An aggregate keeps only the best
+    so far, so no candidate list is sorted.
     """
-    p, t = Vec.columns("q"), corners()
-    rows, foot = held(_against(queries, vertices, triangles), foot=t.foot(p))
-    rows, near = held(rows, near=t.closest(p, foot))
-    item = F.struct(near.distance(p).alias("distance"), "t_idx", *(c.alias(k) for k, c in zip("xyz", near)))
-    return rows.groupBy("query", KEY).agg(F.min(item).alias("m")).select("query", KEY, "m.t_idx", "m.distance", "m.x", "m.y", "m.z")
+    rows, blocks = _blocks(vertices, triangles)
+    p, t, box = Vec.columns("q"), corners(), Box.columns()
+    end = Vec(*(F.greatest(F.abs(c - a), F.abs(c - b)) for c, a, b in zip(p, box.low, box.high))).length()
+    met = _against(queries, blocks).withColumn("begin", box.distance(p)).withColumn("end", end)
+    met = met.withColumn("end", F.min("end").over(Window.partitionBy("query", KEY))).where(F.col("begin") <= F.col("end") * (1 + 1e-9))
+    near = met.select("query", "qx", "qy", "qz", KEY, "block").join(rows, [KEY, "block"])
+    near, foot = held(near, foot=t.foot(p))
+    near, at = held(near, near=t.closest(p, foot))
+    item = F.struct(at.distance(p).alias("distance"), "t_idx", *(c.alias(k) for k, c in zip("xyz", at)))
+    return near.groupBy("query", KEY).agg(F.min(item).alias("m")).select("query", KEY, "m.t_idx", "m.distance", "m.x", "m.y", "m.z")

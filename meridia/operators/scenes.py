@@ -1,14 +1,16 @@
 """Scene detection over per-frame metrics: frames(video, frame, value), any number of videos at once.
 
-Window functions compare neighbouring frames; decisions that carry state run as a fold over a video's frames in order,
-inside the engine. A fold sees only the events that can change its state, which keeps its array short.
+Window functions compare neighbouring frames; decisions that carry state run as a fold over a video's frames in order, which
+a task streams. A fold sees only the events that can change its state.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _by_frame():
     return Window.partitionBy("video").orderBy("frame")
 
@@ -39,60 +41,99 @@ def adaptive_ratio(scored: DataFrame, width: int = 2, min_content: float = 15.0)
     return scored.withColumn("ratio", F.when(n == 2 * width + 1, ratio))
 
 
-def _folded(rows: DataFrame, item: Column, start: Column, step) -> DataFrame:
-    """(video, cut): the ``cuts`` that a fold over each video's ordered items collects."""
-    ordered = rows.groupBy("video").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    cuts = F.aggregate("items", start, step, lambda s: s["cuts"])
-    return ordered.select("video", F.explode(cuts).alias("cut"))
+def _folded(rows: DataFrame, order: list[str], machine) -> DataFrame:
+    """(video, cut): what ``machine()``, a function with state, gives for the rows of a video in order, where it is not None.
+
+    A task streams its videos sorted, with the state of one video at a time, however many rows that has.
+    """
+    ordered = rows.select("video", *order).repartition("video").sortWithinPartitions("video", *order)
+
+    def run(batches):
+        video, step = object(), None
+        for batch in batches:
+            columns, out = batch.to_pydict(), []
+            for now, *values in zip(columns["video"], *(columns[c] for c in order)):
+                if step is None or now != video:
+                    video, step = now, machine()
+                cut = step(*values)
+                if cut is not None:
+                    out.append((now, cut))
+            videos, cuts = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(videos, batch.schema.field("video").type), pa.array(cuts, pa.int64())], names=["video", "cut"])
+
+    return ordered.mapInArrow(run, f"video {rows.schema['video'].dataType.simpleString()}, cut long")
 
 
+def _spaced(length: int):
+    """Machine of (frame, counted, first): a frame cuts if what is counted is ``length`` after the last cut, or the first frame."""
 
-def _empty() -> Column:
-    return F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    def machine():
+        last = None
+
+        def step(frame, counted, first):
+            nonlocal last
+            last = first if last is None else last
+            if counted - last < length:
+                return None
+            last = frame
+            return frame
+
+        return step
+
+    return machine
 
 
 def suppressed_cuts(frames: DataFrame, above: Column, length: int) -> DataFrame:
     """Cuts at frames ``above`` that come at least ``length`` frames after the last cut (or a video's first frame).
 
-    Only frames above the threshold and each video's first frame enter the fold.
+    Only frames above the threshold enter the fold, with their video's first frame.
     """
     first = F.min("frame").over(Window.partitionBy("video"))
     rows = frames.select("video", F.col("frame").cast("long").alias("frame"), above.alias("above"), first.cast("long").alias("first"))
     rows = rows.where("above")
     if length <= 0:
         return rows.select("video", F.col("frame").alias("cut"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), _empty().alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.coalesce(s["last"], x["first"])
-        cut = x["frame"] - last >= length
-        return F.struct(F.when(cut, x["frame"]).otherwise(last).alias("last"), F.when(cut, F.concat(s["cuts"], F.array(x["frame"]))).otherwise(s["cuts"]).alias("cuts"))
-
-    return _folded(rows, F.struct("frame", "first"), start, step)
+    return _folded(rows.withColumn("counted", F.col("frame")), ["frame", "counted", "first"], _spaced(length))
 
 
 def merged_cuts(frames: DataFrame, above: Column, length: int) -> DataFrame:
-    """Cuts where bursts of frames ``above``, closer than ``length``, give one cut at the burst's last such frame."""
-    rows = frames.select("video", F.col("frame").cast("long").alias("frame"), above.alias("above"))
+    """Cuts where bursts of frames ``above``, closer than ``length``, give one cut at the burst's last such frame.
+
+    The fold sees each video's first frame, the frames above, and of the others the first that is ``length`` after one above.
+    """
+    rows = frames.select("video", F.col("frame").cast("long").alias("frame"), F.coalesce(above, F.lit(False)).alias("above"))
     if length <= 0:
         return rows.where("above").select("video", F.col("frame").alias("cut"))
-    null = F.lit(None).cast("long")
-    start = F.struct(null.alias("last"), F.lit(False).alias("enabled"), F.lit(False).alias("merging"), null.alias("since"), _empty().alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.coalesce(s["last"], x["frame"])
-        far = x["frame"] - before >= length
-        last = F.when(x["above"], x["frame"]).otherwise(before)
-        ends = s["merging"] & far & ~x["above"] & (last - s["since"] >= length)
-        plain = ~s["merging"] & x["above"] & far
-        begins = ~s["merging"] & x["above"] & ~far & s["enabled"]
-        cuts = F.when(ends, F.concat(s["cuts"], F.array(last))).when(plain, F.concat(s["cuts"], F.array(x["frame"]))).otherwise(s["cuts"])
-        return F.struct(
-            last.alias("last"), (s["enabled"] | plain).alias("enabled"), F.coalesce((s["merging"] & ~ends) | begins, F.lit(False)).alias("merging"),
-            F.when(begins, x["frame"]).otherwise(s["since"]).alias("since"), cuts.alias("cuts"),
-        )
-
-    return _folded(rows, F.struct("frame", "above"), start, step)
+    by_frame = _by_frame()
+    latest = F.last(F.when(F.col("above") | (F.col("place") == 1), F.col("frame")), ignorenulls=True).over(by_frame.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("place", F.row_number().over(by_frame)).withColumn("latest", latest)
+    rows = rows.withColumn("far", F.col("frame") - F.col("latest") >= length)
+    repeats = F.lag("far").over(by_frame) & (F.lag("latest").over(by_frame) == F.col("latest"))
+    rows = rows.withColumn("repeats", F.coalesce(repeats, F.lit(False))).where("above OR place = 1 OR (far AND NOT repeats)")
+
+    def machine():
+        last = since = None
+        enabled = merging = False
+
+        def step(frame, is_above):
+            nonlocal last, since, enabled, merging
+            before = frame if last is None else last
+            far = frame - before >= length
+            last = frame if is_above else before
+            if merging:
+                if far and not is_above and last - since >= length:
+                    merging = False
+                    return last
+            elif is_above and far:
+                enabled = True
+                return frame
+            elif is_above and enabled:
+                merging, since = True, frame
+            return None
+
+        return step
+
+    return _folded(rows, ["frame", "above"], machine)
 
 
 def adaptive_cuts(scored: DataFrame, threshold: float = 3.0, width: int = 2, min_content: float = 15.0, length: int = 15) -> DataFrame:
@@ -100,16 +141,9 @@ def adaptive_cuts(scored: DataFrame, threshold: float = 3.0, width: int = 2, min
     first = F.min("frame").over(Window.partitionBy("video"))
     rows = adaptive_ratio(scored, width, min_content).withColumn("first", first.cast("long"))
     ahead = F.lead("frame", width).over(_by_frame()).cast("long")
-    rows = rows.withColumn("seen", ahead).where((F.col("ratio") >= threshold) & (F.col("score") >= min_content))
-    rows = rows.select("video", F.col("frame").cast("long").alias("frame"), "seen", "first")
-    start = F.struct(F.lit(None).cast("long").alias("last"), _empty().alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.coalesce(s["last"], x["first"])
-        cut = x["seen"] - last >= length
-        return F.struct(F.when(cut, x["frame"]).otherwise(last).alias("last"), F.when(cut, F.concat(s["cuts"], F.array(x["frame"]))).otherwise(s["cuts"]).alias("cuts"))
-
-    return _folded(rows, F.struct("frame", "seen", "first"), start, step)
+    rows = rows.withColumn("counted", ahead).where((F.col("ratio") >= threshold) & (F.col("score") >= min_content))
+    rows = rows.select("video", F.col("frame").cast("long").alias("frame"), "counted", "first")
+    return _folded(rows, ["frame", "counted", "first"], _spaced(length))
 
 
 def _fade_events(frames: DataFrame, threshold: float, ceiling: bool) -> DataFrame:
@@ -138,24 +172,26 @@ def fade_cuts(frames: DataFrame, threshold: float, bias: float = 0.0, length: in
     span = frames.groupBy("video").agg(F.min("frame").cast("long").alias("first"), F.max("frame").cast("long").alias("end"))
     events = _fade_events(frames, threshold, ceiling)
     pairs = events.withColumn("out", F.lag("frame").over(Window.partitionBy("video").orderBy("seq", "frame")))
-    ins = pairs.where("kind = 'in' AND out IS NOT NULL").join(span, "video").select("video", "frame", "out", "first")
-    start = F.struct(F.lit(None).cast("long").alias("last"), _empty().alias("cuts"))
-    split = lambda x: F.floor((x["frame"] + x["out"] + (bias * (x["frame"] - x["out"])).cast("long")) / 2).cast("long")
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.coalesce(s["last"], x["first"])
-        cut = x["frame"] - last >= length
-        return F.struct(F.when(cut, x["frame"]).otherwise(last).alias("last"), F.when(cut, F.concat(s["cuts"], F.array(split(x)))).otherwise(s["cuts"]).alias("cuts"))
-
-    if not final_scene:
-        return _folded(ins, F.struct("frame", "out", "first"), start, step)
-    ordered = ins.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "out", "first"))).alias("items"))
-    state = ordered.select("video", F.aggregate("items", start, step).alias("s"))
-    latest = events.groupBy("video").agg(F.max(F.struct("seq", "frame", "kind")).alias("e"))
-    ends = span.join(latest, "video").join(state, "video", "left")
-    last = F.coalesce("s.last", "first")
-    tail = F.when((F.col("e.kind") == "out") & (F.col("end") - last >= length), F.array("e.frame")).otherwise(_empty())
-    return ends.select("video", F.explode(F.concat(F.coalesce("s.cuts", _empty()), tail)).alias("cut"))
+    ins = pairs.where("kind = 'in' AND out IS NOT NULL").join(span, "video").select("video", F.lit(False).alias("ends"), "frame", "out", "first")
+    if final_scene:
+        # a video that ends in the dark is cut where that began, if the last scene is long enough
+        latest = events.groupBy("video").agg(F.max(F.struct("seq", "frame", "kind")).alias("e")).where("e.kind = 'out'")
+        ins = ins.unionByName(span.join(latest, "video").select("video", F.lit(True).alias("ends"), F.col("end").alias("frame"), F.col("e.frame").alias("out"), "first"))
+
+    def machine():
+        last = None
+
+        def step(ends, frame, out, first):
+            nonlocal last
+            last = first if last is None else last
+            if frame - last < length:
+                return None
+            last = frame
+            return out if ends else (frame + out + int(bias * (frame - out))) // 2
+
+        return step
+
+    return _folded(ins, ["ends", "frame", "out", "first"], machine)
 
 
 def scenes(cuts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -196,7 +232,7 @@ def sampled_frames(found: DataFrame, n: int, margin: int = 1) -> DataFrame:
 
 
 def accuracy(predicted: DataFrame, actual: DataFrame) -> DataFrame:
-    """Recall, precision and F1 (in percent) of cuts (video, cut) over all videos together."""
+    """Recall, precision and F1 (in percent) of cuts (video, cut) over all videos together; 0 where there is nothing to divide by."""
     both = predicted.distinct().join(actual.distinct(), ["video", "cut"], "left_semi")
     row = both.agg(F.count("*").alias("hits")).crossJoin(predicted.distinct().agg(F.count("*").alias("found"))).crossJoin(actual.distinct().agg(F.count("*").alias("wanted")))
     ratio = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cameras import Intrinsics, Pose
 from ..functions.vectors import Mat, Quat, Vec, clamp, col, greatest
 
+#: layers of a pixel that are painted at once
+LAYERS = 1024
 #: the constant term of spherical harmonics (a fixed value)
 SH_C0 = 0.2820948
 
@@ -83,15 +85,20 @@ def render(projected: DataFrame, width: int, height: int, background=(0.0, 0.0,
     reach = F.col("radius") * F.col("radius")
     hits = hits.where(F.sqrt(squared) <= F.col("radius"))
     a = clamp(F.col("opacity") * F.exp(-0.5 * squared / reach), 0, 1)
-    layer = F.struct((-F.col("depth")).alias("far"), "idx", a.alias("a"), "r", "g", "b")
-    stacks = hits.groupBy("px", "py").agg(F.array_sort(F.collect_list(layer)).alias("stack"))
-    start = F.struct(*(col(float(c)).alias(k) for k, c in zip("rgb", background)), col(0.0).alias("alpha"))
+    far_first = Window.partitionBy("px", "py").orderBy(F.desc("depth"), "idx")
+    hits = hits.select("px", "py", "depth", "idx", a.alias("a"), "r", "g", "b").withColumn("run", F.floor((F.row_number().over(far_first) - 1) / LAYERS))
 
     def over(below: Column, top: Column) -> Column:
         rest = 1 - top["a"]
-        return F.struct(*((top[k] * top["a"] + below[k] * rest).alias(k) for k in "rgb"), (top["a"] + below["alpha"] * rest).alias("alpha"))
+        return F.struct(*((top[k] * top["a"] + below[k] * rest).alias(k) for k in "rgb"), (top["a"] + below["alpha"] * rest).alias("alpha"), (below["left"] * rest).alias("left"))
 
-    painted = stacks.select("px", "py", F.aggregate("stack", start, over).alias("c"))
+    # a pixel's layers are painted in runs of bounded length, and these over each other
+    layer = F.struct((-F.col("depth")).alias("far"), "idx", "a", "r", "g", "b")
+    clear = F.struct(*(col(0.0).alias(k) for k in (*"rgb", "alpha")), col(1.0).alias("left"))
+    runs = hits.groupBy("px", "py", "run").agg(F.aggregate(F.array_sort(F.collect_list(layer)), clear, over).alias("c"))
+    start = F.struct(*(col(float(c)).alias(k) for k, c in zip("rgb", background)), col(0.0).alias("alpha"))
+    onto = lambda below, top: F.struct(*((top["c"][k] + below[k] * top["c"]["left"]).alias(k) for k in (*"rgb", "alpha")))
+    painted = runs.groupBy("px", "py").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("run", "c"))), start, onto).alias("c"))
     spark = projected.sparkSession
     pixels = spark.range(width * height).select((F.col("id") % width).alias("px"), F.floor(F.col("id") / width).alias("py"))
     out = pixels.join(painted, ["px", "py"], "left")

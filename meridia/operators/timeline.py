@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,41 +44,58 @@ def tumbling(records: DataFrame, size: int, order: str = "idx") -> DataFrame:
     return records.groupBy("stream", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def _greedy(rows: pd.DataFrame, gap: int, least: float) -> int:
-    """Tracks of one scene: each box joins the best overlapping track seen lately, or opens one."""
-    opened, live = 0, []
-    for frame, x, y, w, h in rows.itertuples(index=False):
-        live = [track for track in live if frame - track[0] <= gap]  # others can't be joined any more
+class _Greedy:
+    """Tracks of one scene: each box joins the best overlapping track seen lately, or opens one. Holds the live tracks alone."""
+
+    def __init__(self, gap: int, least: float):
+        self.gap, self.least, self.opened, self.live = gap, least, 0, []
+
+    def add(self, frame, x, y, w, h) -> None:
+        self.live = [track for track in self.live if frame - track[0] <= self.gap]  # others can't be joined any more
         best, top = None, 0.0
-        for track in live:
+        for track in self.live:
             wide = min(track[1] + track[3], x + w) - max(track[1], x)
             high = min(track[2] + track[4], y + h) - max(track[2], y)
             if wide <= 0 or high <= 0:
                 continue
             share = wide * high / (track[3] * track[4] + w * h - wide * high)
-            if share >= least and share > top:
+            if share >= self.least and share > top:
                 best, top = track, share
         if best is None:
-            opened += 1
-            live.append([frame, x, y, w, h])
+            self.opened += 1
+            self.live.append([frame, x, y, w, h])
         else:
             best[:] = [frame, x, y, w, h]
-    return opened
 
 
 def distinct_tracks(boxes: DataFrame, sample_every: int = 1, least: float = 0.5) -> DataFrame:
     """(scene, n_tracks) by greedy tracking of ``boxes(scene, frame, idx, x, y, width, height)``.
 
-    The state is a list of boxes, which no expression folds well: a scene's rows go to one grouped-map call.
+    A task streams its scenes in frame order; its state is the live tracks of one scene.
     """
     gap = max(1, sample_every) * 2
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "idx"], kind="stable")
-        n = _greedy(pdf[["frame", "x", "y", "width", "height"]], gap, least)
-        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "n_tracks": [n]})
-
-    return boxes.groupBy("scene").applyInPandas(count, "scene string, n_tracks long")
+    names = ["frame", "x", "y", "width", "height"]
+    ordered = boxes.select("scene", "frame", "idx", *names[1:]).repartition("scene").sortWithinPartitions("scene", "frame", "idx")
+
+    def run(batches):
+        scene, tracks = None, None
+        for batch in batches:
+            columns, done = batch.to_pydict(), []
+            for now, *box in zip(columns["scene"], *(columns[c] for c in names)):
+                if tracks is None or now != scene:
+                    if tracks is not None:
+                        done.append((scene, tracks.opened))
+                    scene, tracks = now, _Greedy(gap, least)
+                tracks.add(*box)
+            yield _counts(done)
+        yield _counts([] if tracks is None else [(scene, tracks.opened)])
+
+    return ordered.mapInArrow(run, "scene string, n_tracks long")
+
+
+def _counts(done: list[tuple]) -> pa.RecordBatch:
+    scenes, counts = zip(*done) if done else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(scenes, pa.string()), pa.array(counts, pa.int64())], names=["scene", "n_tracks"])
 
 
 def peak_visible(boxes: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cameras import Intrinsics, Pose, reprojection_error
 from ..functions.shapes import closest_between_rays, ray_angle
 from ..functions.vectors import Vec
 from .graph import min_labels
+from .tables import numbered
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -33,11 +34,9 @@ def match_features(
     both = pairs.join(left, "left_image").join(right, "right_image").withColumn("distance", hamming(F.col("lw"), F.col("rw")))
     both = both.where("distance IS NOT NULL").drop("lw", "rw")
     key = ["left_image", "right_image", "left_feature"]
-    best = F.min(F.struct("distance", "right_feature"))
-    near = both.groupBy(key).agg(best.alias("best")).select(*key, "best.distance", "best.right_feature")
-    beyond = both.join(near.select(*key, F.col("distance").alias("_best")), key).where("distance > _best")
-    second = beyond.groupBy(key).agg(F.min("distance").alias("second"))
-    out = near.join(second, key, "left").where(F.col("distance") <= max_distance)
+    # a set of distances holds at most as many as a descriptor has bits
+    found = both.groupBy(key).agg(F.min(F.struct("distance", "right_feature")).alias("best"), F.sort_array(F.collect_set("distance")).alias("all"))
+    out = found.select(*key, "best.distance", "best.right_feature", F.get("all", F.lit(1)).alias("second")).where(F.col("distance") <= max_distance)
     out = out.where(F.col("second").isNull() | (F.col("distance") <= ratio * F.col("second"))).drop("second")
     if cross_check:
         rkey = ["left_image", "right_image", "right_feature"]
@@ -48,8 +47,9 @@ def match_features(
 
 def adjacent_pairs(images: DataFrame) -> DataFrame:
     """(left_image, right_image) of consecutive image ids."""
-    follows = F.lead("image_id").over(Window.orderBy("image_id"))
-    return images.select(F.col("image_id").alias("left_image"), follows.alias("right_image")).where("right_image IS NOT NULL")
+    placed = numbered(images.select("image_id").distinct(), ["image_id"], "place")
+    after = placed.select(F.col("image_id").alias("right_image"), (F.col("place") - 1).alias("place"))
+    return placed.withColumnRenamed("image_id", "left_image").join(after, "place").select("left_image", "right_image")
 
 
 def build_tracks(matches: DataFrame) -> DataFrame:

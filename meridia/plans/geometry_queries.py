@@ -30,8 +30,8 @@ def voxel_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({a: tidy(F.col(a)) for a in "xyz"})
 
 
-@query("""SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS vx, CAST(floor(l_extendedprice / 1000 / 5) AS BIGINT) AS vy, CAST(floor(l_discount * 100 / 5) AS BIGINT) AS vz,
- round(avg(l_quantity), 4) + 0.0 AS x, round(avg(l_extendedprice / 1000), 4) + 0.0 AS y, round(avg(l_discount * 100), 4) + 0.0 AS z, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
+@query(f"""SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS vx, CAST(floor(l_extendedprice / 1000 / 5) AS BIGINT) AS vy, CAST(floor(l_discount * 100 / 5) AS BIGINT) AS vz,
+ {r('avg(l_quantity)', 'x', 4)}, {r('avg(l_extendedprice / 1000)', 'y', 4)}, {r('avg(l_discount * 100)', 'z', 4)}, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
 def voxel_downsample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lifts.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"))
     out = cloud.voxel_downsample(rows, 5)

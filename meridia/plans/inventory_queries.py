@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions.vectors import tidy
 from ..operators import inventory, scene_graph
+from ..operators.tables import numbered
 from . import lifts
 from .lifts import POINTS, r
 from .registry import query
@@ -48,12 +49,10 @@ def scene_tree(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_TREE} SELECT id, {r('x * 50 / (z + 1) + 50', 'sx')}, {r('40 - y * 50 / (z + 1)', 'sy')}, row_number() OVER (ORDER BY z DESC, id) AS layer FROM tree WHERE z + 1 > 0.9 AND z + 1 < 1.2")
 def scene_projection(spark, sf_dir):
-    from pyspark.sql import Window
-
     flat = scene_graph.flattened(_tree(spark, sf_dir)).withColumn("z", F.col("z") + 1)
     out = scene_graph.projected(flat, 100, 80, 50, 0.9, 1.2)
-    layer = F.row_number().over(Window.orderBy(F.desc("z"), "id")).cast("long")
-    return out.select("id", tidy(F.col("sx")).alias("sx"), tidy(F.col("sy")).alias("sy"), layer.alias("layer"))
+    out = numbered(out, [F.desc("z"), "id"], "layer")
+    return out.select("id", tidy(F.col("sx")).alias("sx"), tidy(F.col("sy")).alias("sy"), (F.col("layer") + 1).alias("layer"))
 
 
 @query()
@@ -72,10 +71,7 @@ _IMAGES = "im AS (SELECT page_id AS image_id, page_id % 3 AS camera_id, CASE WHE
 
 @query(f"WITH {_IMAGES} SELECT image_id, frame, row_number() OVER (ORDER BY frame NULLS FIRST, image_id) AS place FROM im")
 def image_list(spark, sf_dir):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(F.col("frame").asc_nulls_first(), "name", "image_id")).cast("long")
-    return inventory.image_list(_images(spark, sf_dir)).select("image_id", "frame", place.alias("place"))
+    return inventory.image_list(_images(spark, sf_dir)).select("image_id", "frame", "place")
 
 
 @query(f"WITH {_IMAGES} SELECT camera_id, count(*) AS images, min(frame) AS first_frame, max(frame) AS last_frame FROM im GROUP BY 1")

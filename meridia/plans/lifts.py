@@ -93,5 +93,5 @@ triangles AS (SELECT mesh_id, t_idx, CASE WHEN t_idx % 2 = 1 THEN low + 1 ELSE l
 
 
 def r(expression: str, name: str, digits: int = 6) -> str:
-    """SQL of a rounded column without negative zeros."""
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    """SQL of a rounded column without negative zeros; ties are moved up, as in ``tidy``."""
+    return f"round({expression} + 1e-10, {digits}) + 0.0 AS {name}"

@@ -113,7 +113,8 @@ def scene_sample_frames(spark, sf_dir):
 
 
 @query(f"""WITH {_SCORE}, p AS (SELECT video, frame AS cut FROM s WHERE score >= 330), a AS (SELECT video, frame AS cut FROM s WHERE score >= 300 AND frame % 3 <> 0), h AS (SELECT count(*) AS hits FROM (SELECT * FROM p INTERSECT SELECT * FROM a)),
- m AS (SELECT hits, 100.0 * hits / (SELECT count(*) FROM a) AS recall, 100.0 * hits / (SELECT count(*) FROM p) AS precision FROM h) SELECT hits, {r('recall', 'recall')}, {r('precision', 'precision')}, {r('2 * recall * precision / (recall + precision)', 'f1')} FROM m""")
+ m AS (SELECT hits, CASE WHEN (SELECT count(*) FROM a) > 0 THEN 100.0 * hits / (SELECT count(*) FROM a) ELSE 0 END AS recall, CASE WHEN (SELECT count(*) FROM p) > 0 THEN 100.0 * hits / (SELECT count(*) FROM p) ELSE 0 END AS precision FROM h)
+ SELECT hits, {r('recall', 'recall')}, {r('precision', 'precision')}, {r('CASE WHEN hits > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END', 'f1')} FROM m""")
 def detector_accuracy(spark, sf_dir):
     actual = _scored(spark, sf_dir).where("score >= 300 AND frame % 3 <> 0").select("video", F.col("frame").alias("cut"))
     out = scenes.accuracy(_cuts(spark, sf_dir), actual)

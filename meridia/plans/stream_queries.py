@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_path
+from ..functions.vectors import tidy
+from ..operators.tables import fresh_path
 from ..streaming.cuts import frame_rates, live_cuts
 from . import lifts
 from .lifts import r
@@ -20,17 +21,17 @@ def stream_event_windows(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"windows_{uuid.uuid4().hex}"
     run = frame_rates(events).writeStream.format("memory").queryName(name).outputMode("complete")
-    run.option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "video", "n", F.round("mean", 4).alias("mean"))
+    run.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "video", "n", tidy(F.col("mean"), 4).alias("mean"))
 
 
 @query(ORACLE_SQL["flash_filter_suppress"])
 def stream_scene_cuts(spark, sf_dir):
     """The live detector over frames that come in files, its cuts written to a folder."""
-    source, out = shared_path(spark, "frames"), shared_path(spark, "cuts")
+    source, out = fresh_path(spark, "frames"), fresh_path(spark, "cuts")
     frames = lifts.frames(spark, sf_dir)
     frames.repartition("video").sortWithinPartitions("video", "frame").write.parquet(source)
     stream = spark.readStream.schema(frames.schema).parquet(source)
     run = live_cuts(stream, 200, 12).writeStream.format("parquet").outputMode("append").option("path", out)
-    run.option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    run.option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("video string, cut long").parquet(out)

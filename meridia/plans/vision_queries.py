@@ -29,7 +29,7 @@ def _features(spark, sf_dir):
 
 
 _WORD = " | ".join(f"CASE WHEN embedding[{k + 1}] > 0 THEN CAST({1 << k} AS BIGINT) ELSE 0 END" for k in range(62))
-_MATCH = f"""feats AS (SELECT vec_id % 5 AS image_id, vec_id // 5 AS feature, {_WORD} AS w FROM embeddings WHERE vec_id < 200),
+_MATCH = f"""feats AS (SELECT vec_id // {_PER_IMAGE} AS image_id, vec_id % {_PER_IMAGE} AS feature, {_WORD} AS w FROM embeddings),
  d AS (SELECT a.image_id AS left_image, b.image_id AS right_image, a.feature AS left_feature, b.feature AS right_feature, bit_count(xor(a.w, b.w)) AS distance FROM feats a JOIN feats b ON b.image_id = a.image_id + 1),
  best AS (SELECT *, min(distance) OVER l AS d1, row_number() OVER (PARTITION BY left_image, right_image, left_feature ORDER BY distance, right_feature) AS k,
   row_number() OVER (PARTITION BY left_image, right_image, right_feature ORDER BY distance, left_feature) AS back FROM d WINDOW l AS (PARTITION BY left_image, right_image, left_feature)),
@@ -105,13 +105,13 @@ def splat_stats(spark, sf_dir):
     return out.select("n", *(tidy(F.col(c)).alias(c) for c in out.columns[1:]))
 
 
-@query(f"WITH {_SP} SELECT idx, {r('x * 2 + 1', 'x')}, {r('sx + ln(2.0)', 'sx')}, {r('1 / (1 + exp(-logit))', 'opacity')}, {r('r', 'r')} FROM sp WHERE 1 / (1 + exp(-logit)) >= 0.4 AND idx % 2 = 0")
+@query(f"WITH {_SP} SELECT idx, {r('x * 2 + 1', 'x')}, {r('sx + ln(2.0)', 'sx')}, {r('1 / (1 + exp(-logit))', 'opacity')}, {r('r', 'r')} FROM sp WHERE 1 / (1 + exp(-logit)) >= 0.4")
 def splat_transform_and_filter(spark, sf_dir):
-    out = splats.transformed(splats.retain_opacity(_splats(spark, sf_dir), 0.4), 2.0, (1.0, 0.0, 0.0)).where("idx % 2 = 0")
+    out = splats.transformed(splats.retain_opacity(_splats(spark, sf_dir), 0.4), 2.0, (1.0, 0.0, 0.0))
     return out.select("idx", tidy(F.col("x")).alias("x"), tidy(F.col("sx")).alias("sx"), tidy(splats.opacity(F.col("logit"))).alias("opacity"), tidy(F.col("r")).alias("r"))
 
 
-_PROJECTED = f"{_SP}, pr AS (SELECT idx, 20 * x / (z + 1.2) + 12 AS u, 20 * y / (z + 1.2) + 12 AS v, z + 1.2 AS depth, least(greatest(exp(greatest(sx, sy, sz)) * 20 / (z + 1.2) * 3.0, 1.0), 4.0) AS radius, 1 / (1 + exp(-logit)) AS opacity, r, g, b FROM sp WHERE z + 1.2 > 0.01 AND idx % 10 = 0)"
+_PROJECTED = f"{_SP}, pr AS (SELECT idx, 20 * x / (z + 1.2) + 12 AS u, 20 * y / (z + 1.2) + 12 AS v, z + 1.2 AS depth, least(greatest(exp(greatest(sx, sy, sz)) * 20 / (z + 1.2) * 3.0, 1.0), 4096.0) AS radius, 1 / (1 + exp(-logit)) AS opacity, r, g, b FROM sp WHERE z + 1.2 > 0.0001)"
 
 
 def _projected(spark, sf_dir):

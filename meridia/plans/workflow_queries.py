@@ -25,7 +25,7 @@ def _workflows(spark, sf_dir):
     return e.select("workflow", F.concat(F.lit('{"nodes":'), nodes, F.lit(',"links":'), links, F.lit(',"extra":{"k":1}}')).alias("json"))
 
 
-_W = "w AS (SELECT CAST(event_id // 50 AS BIGINT) AS workflow FROM events WHERE event_id % 50 = 0)"
+_W = "w AS (SELECT CAST(event_id AS BIGINT) AS workflow FROM events)"
 
 
 @query(f"""WITH {_W} SELECT workflow, 'link_without_node' AS problem, '2' AS ref FROM w WHERE workflow % 4 = 0 UNION ALL SELECT workflow, 'repeated_link', '1' FROM w WHERE workflow % 5 = 0
@@ -45,7 +45,7 @@ def observed_socket_types(spark, sf_dir):
     return out.select("workflow", *(F.concat_ws(",", c).alias(c) for c in ("inputs", "outputs", "links")))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS prompt, '2' AS node, 'images' AS input, '1' AS origin, CAST(event_id % 3 AS INTEGER) AS slot FROM events WHERE event_id % 20 = 0")
+@query("SELECT CAST(event_id AS BIGINT) AS prompt, '2' AS node, 'images' AS input, '1' AS origin, CAST(event_id % 3 AS INTEGER) AS slot FROM events")
 def prompt_links(spark, sf_dir):
     e = lifts.table(spark, sf_dir, "events")
     json = F.concat(F.lit('{"1":{"class_type":"Load","inputs":{"name":"a.png","size":[1,2,3]}},"2":{"class_type":"Save","inputs":{"images":["1",'), (F.col("event_id") % 3).cast("string"), F.lit(']}}}'))
@@ -135,7 +135,7 @@ def edit_points(spark, sf_dir):
     return e.select("event_id", edit_point(F.col("event_id"), F.lit(25.0)).alias("edit"))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS workflow, k AS kind, v AS value FROM events, (VALUES ('model', 'a.ckpt'), ('image', 'in.png')) t(k, v) WHERE event_id % 40 = 0")
+@query("SELECT CAST(event_id AS BIGINT) AS workflow, k AS kind, v AS value FROM events, (VALUES ('model', 'a.ckpt'), ('image', 'in.png')) t(k, v)")
 def workflow_assets(spark, sf_dir):
     e = lifts.table(spark, sf_dir, "events")
     json = '{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["a.ckpt",7]},{"id":2,"type":"LoadImage","widgets_values":["in.png"," "]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}'

@@ -48,7 +48,7 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     v = rows.where(kind == "v").withColumn("v_idx", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).cast("long"))
     ok = F.size("t") == 4
     v = v.select(F.col("file").alias("mesh_id"), "v_idx", *(_checked(ok, F.get("t", F.lit(k + 1)), "a vertex needs three numbers").cast("double").alias(a) for k, a in enumerate("xyz")))
-    ids = F.transform(F.slice("t", 2, 1 << 20), lambda s: F.split(s, "/")[0].cast("long") - 1)
+    ids = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda s: F.split(s, "/")[0].cast("long") - 1)
     f = rows.where(kind == "f").select("file", "line_no", ids.alias("ids"))
     good = F.forall("ids", lambda i: i >= 0)
     return v, _fan(f.withColumn("ids", _checked(good, F.col("ids"), "face corners must be positive")))
@@ -71,7 +71,7 @@ def read_ply_points(spark: SparkSession, path: str) -> DataFrame:
 def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parts = _ply_parts(spark, path)
     rows = parts.select("file", F.posexplode(F.expr("slice(ls, end + 1 + nv, nf)")).alias("line_no", "line")).withColumn("t", tokens(F.col("line")))
-    ids = F.transform(F.slice("t", 2, 1 << 20), lambda s: s.cast("long"))
+    ids = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda s: s.cast("long"))
     faces = rows.select("file", "line_no", _checked(F.get("t", F.lit(0)).cast("int") == F.size("t") - 1, ids, "a face must list as many corners as it says").alias("ids"))
     return read_ply_points(spark, path), _fan(faces)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
 from .files import joined_lines, lines, tokens
 
 
@@ -20,7 +21,7 @@ def _at(k: int, kind: str):
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     """(camera_id, model, width, height, params) of cameras.txt."""
     rows = _data_lines(spark, path)
-    params = F.transform(F.slice("t", 5, 64), lambda s: s.cast("double"))
+    params = F.transform(F.slice("t", F.lit(5), F.size("t")), lambda s: s.cast("double"))
     return rows.select(_at(0, "long").alias("camera_id"), _at(1, "string").alias("model"), _at(2, "int").alias("width"), _at(3, "int").alias("height"), params.alias("params"))
 
 
@@ -40,7 +41,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     names = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
     return heads.withColumn("p", p).select(
         _at(0, "long").alias("image_id"), *(_at(k + 1, "double").alias(n) for k, n in enumerate(names)), _at(8, "long").alias("camera_id"),
-        F.array_join(F.slice("t", 10, 64), " ").alias("name"), F.when(F.size("p") >= 3, triple).otherwise(none).alias("points2d"),
+        F.array_join(F.slice("t", F.lit(10), F.size("t")), " ").alias("name"), F.when(F.size("p") >= 3, triple).otherwise(none).alias("points2d"),
     )
 
 
@@ -79,8 +80,8 @@ def sparse_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = points.select("point_id", "line_no", F.posexplode("track").alias("pos", "e")).select("point_id", "line_no", "pos", "e.*")
     first = e.groupBy("point_id", "line_no", "image_id").agg(F.min(F.struct("pos", "feature")).alias("f")).select("point_id", "line_no", "image_id", "f.feature")
     kept = first.groupBy("point_id", "line_no").agg(F.count("*").alias("images")).where("images >= 2")
-    numbered = kept.withColumn("new_id", F.row_number().over(Window.orderBy("line_no")).cast("long")).select("point_id", "new_id")
-    return points.join(numbered, "point_id"), first.join(numbered, "point_id").select("new_id", "image_id", "feature")
+    placed = numbered(kept, ["line_no"], "new_id").select("point_id", (F.col("new_id") + 1).alias("new_id"))
+    return points.join(placed, "point_id"), first.join(placed, "point_id").select("new_id", "image_id", "feature")
 
 
 def views(images: DataFrame, cameras: DataFrame) -> DataFrame:

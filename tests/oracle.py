@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connection(sf_dir):
@@ -17,7 +18,7 @@ def connection(sf_dir):
 def plain(value):
     if hasattr(value, "item"):
         value = value.item()
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     return round(value, 6) + 0.0 if isinstance(value, float) and math.isfinite(value) else value
 
