@@ -17,15 +17,13 @@ others but can't name a component. Repeated rows are copies. An empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lattice import cell_ids, cells, projections
-from .shared import components, materialise
+from .shared import components, forest, materialise
 
 SIGNED = "label int, rep long, n long, unit array<double>, own array<long>, near array<array<long>>"
 FOUND = "kind int, a long, b long"
@@ -61,23 +59,6 @@ def _signatures(tables: int, probes: int, scale: float, seed: int):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges that keep the components of the pairs (a, b), one less than vertices in each."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            yield x, y
-
-
 def _meet(own_x, near_x, own_y, near_y) -> np.ndarray:
     """For each pair and table: whether the two meet in a cell that one of them owns."""
     return (own_x == own_y) | (near_x == own_y[:, :, None]).any(2) | (near_y == own_x[:, :, None]).any(2)
@@ -113,7 +94,7 @@ def _compare(threshold: float):
         np.add.at(degree, p, n[q])
         np.add.at(degree, q, n[p])
         some = np.nonzero(degree)[0]
-        edges = list(_forest(rep[p], rep[q]))
+        edges = list(forest(rep[p], rep[q]))
         return pa.table(
             {
                 "kind": pa.array([0] * len(some) + [1] * len(edges), pa.int32()),

@@ -7,8 +7,8 @@ meet under the variant of that bit, on opposite sides of it. So an equality join
 of the plain values) finds each half's candidates once, and the bit count of the whole decides.
 
 Equal fingerprints are one vertex: copies, however many, never form pairs. A pair found through both halves is
-listed once. Links are between different fingerprints, which the join keeps apart by key; a large group of
-near copies costs as many links as it holds between different fingerprints.
+listed once. Keys of halves that over ``HOT`` fingerprints share are not joined: their members are dealt into chunks, pairs of chunks
+are compared in tasks of their own, and each gives back a spanning forest of its links instead of the links.
 
 ``one_of_each_similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such sets differ
 in more bits of a SimHash than wildcards reach, so candidates share a band of MinHash values; every candidate is then
@@ -16,34 +16,47 @@ decided by the sets themselves. Texts with equal sets are one vertex.
 
 Nulls and empty texts: a null text counts as empty; texts without words have fingerprint zero, which links like any other.
 Rows with a null doc_id get a fingerprint and take part, but a class is named by its smallest doc_id that is not null.
-Repeated rows are one row each. An empty table gives an empty result. Other columns are ignored.
+Repeated rows are one row each. An empty table gives an empty result. Other columns are ignored. Where one row of a group
+stays, rows that share a doc_id but not their text are judged apart.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import bands, set_id, shingles, signed, simhash
-from .shared import broadcast_if_small, components, map_batches, materialise
+from .shared import broadcast_if_small, components, forest, map_batches, materialise
 
 HALF = 32
+#: fingerprints that share a half before its keys are taken apart, and members of a chunk of these
+HOT, CHUNK = 512, 512
 #: rows of one 64-bit id that are broadcast at most
 BROADCAST_ROWS = 500_000
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp the SimHash of the whole text as a signed 64-bit integer."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, h, fp): h a hash of the text, fp the SimHash of the whole text as a signed 64-bit integer."""
 
     def start():
         def fingerprint(batch: dict) -> dict:
             prints = [simhash(t, width) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "fp": [signed(p) for p in prints]}
+            return {"doc_id": batch["doc_id"], "h": batch["h"], "fp": [signed(p) for p in prints]}
 
         return fingerprint
 
-    return map_batches(slim, start, "doc_id long, fp long")
+    return map_batches(_slim(docs), start, "doc_id long, h long, fp long")
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"), text.alias("text"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _variants(half: Column, which: int) -> Column:
@@ -58,12 +71,25 @@ def _variants(half: Column, which: int) -> Column:
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct ``fp`` values that differ in at most ``distance`` bits (3 at most)."""
+    """(a, b), a < b: pairs of distinct ``fp`` values that differ in at most ``distance`` bits (3 at most).
+
+    All of them, but for pairs under crowded keys: of these, as many as join the same fingerprints into the same classes.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one variant bit find up to 3 differing bits")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", HALF)
     rows = prints.select("fp", F.explode(F.concat(_variants(low, 0), _variants(high, 1))).alias("v"))
     rows = rows.select("fp", "v.slot", "v.value", "v.side")
+    halves = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("which"), low.alias("half")), F.struct(F.lit(1).alias("which"), high.alias("half")))).alias("x"))
+    crowded = materialise(halves.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("x.which", "x.half"), "crowded")
+    n = crowded.count()
+    forests = None
+    if n:
+        keys = F.when(F.col("which") == 0, _variants(F.col("half"), 0)).otherwise(_variants(F.col("half"), 1))
+        keys = materialise(crowded.select(F.explode(keys).alias("k")).select("k.slot", "k.value").distinct(), "hot-keys")
+        keys = broadcast_if_small(keys, n * (HALF + 1), BROADCAST_ROWS)
+        forests = _forests(rows.join(keys, ["slot", "value"], "left_semi"), distance)
+        rows = rows.join(keys, ["slot", "value"], "left_anti").select("fp", "slot", "value", "side")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
     same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.value") == F.col("y.value"))
     zero, one = rows.where("side = 0").alias("x"), rows.where("side = 1").alias("y")
@@ -73,22 +99,63 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     equal = plain.alias("x").join(plain.alias("y").hint("merge"), same & (F.col("x.fp") < F.col("y.fp")) & near)
     equal = equal.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     both = across.unionByName(equal)
+    if forests is not None:
+        both = both.unionByName(forests)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forests(rows: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that keep the classes of ``rows(slot, value, side, fp)``, found by pairs of chunks of each key's members.
+
+    Under a variant the 0-side is compared with the 1-side, under a plain value all members with each other.
+    """
+    rows = materialise(rows, "hot-rows")
+    place = ["slot", "value"]
+    sizes = rows.groupBy(place).agg(*(F.count_if(F.col("side") == s).alias(f"n{k}") for k, s in enumerate((0, 1, -1))))
+    rows = rows.join(sizes.where("(n0 > 0 AND n1 > 0) OR n2 > 1"), place)
+    chunks = [F.greatest(F.ceil(F.col(f"n{k}") / CHUNK), F.lit(1)).cast("int") for k in range(3)]
+    of = F.when(F.col("side") == 0, chunks[0]).when(F.col("side") == 1, chunks[1]).otherwise(chunks[2])
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), of).cast("int"))
+    others = F.when(F.col("side") == 0, chunks[1]).when(F.col("side") == 1, chunks[0]).otherwise(chunks[2])
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1)))
+    left = F.when(F.col("side") == 0, F.col("chunk")).when(F.col("side") == 1, F.col("o")).otherwise(F.least("chunk", "o"))
+    right = F.when(F.col("side") == 0, F.col("o")).when(F.col("side") == 1, F.col("chunk")).otherwise(F.greatest("chunk", "o"))
+    rows = rows.select(*place, "fp", "side", "chunk", left.alias("i"), right.alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        fp, side, chunk = (table.column(c).to_numpy() for c in ("fp", "side", "chunk"))
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        at, to = (fp[side == 0], fp[side == 1]) if (side >= 0).any() else (fp[chunk == first], fp[chunk == second])
+        x, y = np.nonzero(np.bitwise_count(at.view(np.uint64)[:, None] ^ to.view(np.uint64)[None]) <= distance)
+        edges = [(a, b) for a, b in forest(at[x], to[y]) if a != b]
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialise(rows.groupBy(*place, "i", "j").applyInArrow(compare, "a long, b long").distinct(), "hot-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: component_id the smallest doc_id reachable by links."""
-    prints = materialise(with_fingerprints(docs, width), "fingerprints")
-    vertices = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
-    classes = components(links(vertices.select("fp"), distance))
-    names = materialise(_named(vertices, classes), "classes")
-    return prints.join(names, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id")
+    return _near_groups(docs, width, distance).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name.doc_id").alias("component_id")
     )
 
 
+def _near_groups(docs: DataFrame, width: int, distance: int) -> DataFrame:
+    """(doc_id, h, fp, name) per row: name the first (doc_id, h) of its class."""
+    prints = materialise(with_fingerprints(docs, width), "fingerprints")
+    vertices = _vertices(prints)
+    names = materialise(_named(vertices, components(links(vertices.select("fp"), distance))), "classes")
+    return prints.join(names, "fp")
+
+
+def _vertices(prints: DataFrame) -> DataFrame:
+    """(fp, first): each distinct fp with its first (doc_id, h), null where no row of it has a doc_id."""
+    return materialise(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")), "vertices")
+
+
 def _named(vertices: DataFrame, classes: DataFrame) -> DataFrame:
-    """(fp, name): each vertex with the smallest doc_id of all vertices of its class."""
+    """(fp, name): each vertex with the first (doc_id, h) of all vertices of its class."""
     members = vertices.join(classes, vertices["fp"] == classes["id"]).select("fp", "first", "component_id")
     members = materialise(members, "members")
     named = materialise(members.groupBy("component_id").agg(F.min("first").alias("name")), "names")
@@ -102,14 +169,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     Bands are cut for a similarity of 0.8 or more; less is refused.
     """
+    return _similar_groups(docs, width, similarity).select("doc_id", F.col("name.doc_id").alias("component_id"))
+
+
+def _similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, h, fp, name) per row: name the first (doc_id, h) of its class."""
     if similarity < 0.8:
         raise ValueError("the MinHash bands find similarities of 0.8 or more")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = _slim(docs)
 
     def start():
         def sign(batch: dict) -> dict:
             sets = [shingles(t, width) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "fp": [set_id(s) for s in sets], "keys": [bands(s) for s in sets]}
+            return {"doc_id": batch["doc_id"], "h": batch["h"], "fp": [set_id(s) for s in sets], "keys": [bands(s) for s in sets]}
 
         return sign
 
@@ -120,16 +192,16 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
         return take
 
-    prints = materialise(map_batches(slim, start, "doc_id long, fp long, keys array<long>"), "bands")
-    vertices = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
+    prints = materialise(map_batches(slim, start, "doc_id long, h long, fp long, keys array<long>"), "bands")
+    vertices = _vertices(prints)
     rows = materialise(prints.dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("key")), "keys")
     low = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("key", "a")
     star = materialise(rows.join(low, "key").where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "candidates")
     # the sets of the candidates alone, from one document of each; rows without a doc_id are all looked at
     wanted = star.select(F.col("a").alias("fp")).union(star.select("b")).distinct()
-    ids = materialise(vertices.join(wanted, "fp", "left_semi").where("first IS NOT NULL").select(F.col("first").alias("_id")).distinct(), "ids")
+    ids = materialise(vertices.join(wanted, "fp", "left_semi").where("first IS NOT NULL").select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "ids")
     ids = broadcast_if_small(ids, ids.count(), BROADCAST_ROWS)
-    some = slim.join(ids, slim["doc_id"] == ids["_id"], "left_semi").unionByName(slim.where("doc_id IS NULL"))
+    some = slim.join(ids, (slim["doc_id"] == ids["_id"]) & (slim["h"] == ids["_h"]), "left_semi").unionByName(slim.where("doc_id IS NULL"))
     sets = materialise(map_batches(some.select("text"), start_sets, "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
     left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), sets.select(F.col("fp").alias("b"), F.col("set").alias("t"))
 
@@ -147,39 +219,38 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     links = links.unionByName(similar(pairs.join(star, ["a", "b"], "left_anti"), "more-links"))
     names = materialise(_named(vertices, components(links)), "classes")
-    return prints.join(names, "fp").select("doc_id", F.col("name").alias("component_id"))
+    return prints.drop("keys").join(names, "fp")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` that no other row precedes in their group: the smallest doc_id stays.
+    """The rows of ``docs`` that no other row precedes in their group, by doc_id and then by a hash of the text.
 
-    A doc_id that several rows carry is one document, of which one row stays. Rows with a null doc_id stay.
-    The ids that go are broadcast only if counted as at most ``BROADCAST_ROWS``.
+    Rows with a null doc_id stay. Of rows that share both doc_id and text the least by all columns stays. Rows that
+    share a doc_id alone are judged apart. What goes is broadcast only if counted as at most ``BROADCAST_ROWS``.
     """
-    return _one_of_each(docs, near_duplicates(docs, width, distance))
+    return _one_of_each(docs, _near_groups(docs, width, distance))
 
 
 def one_of_each_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """As ``one_of_each_group``, with groups of texts whose shingle sets are similar."""
-    return _one_of_each(docs, similar_groups(docs, width, similarity))
+    return _one_of_each(docs, _similar_groups(docs, width, similarity))
 
 
 def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    groups = materialise(groups.select("doc_id", "component_id"), "groups")
-    goes = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    goes = materialise(goes.join(stays, "_id", "left_anti").distinct(), "goes")
-    goes = broadcast_if_small(goes, goes.count(), BROADCAST_ROWS)
-    kept = docs.join(goes, docs["doc_id"] == goes["_id"], "left_anti")
-    repeated = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1 AND _id IS NOT NULL")
-    repeated = materialise(repeated.select("_id"), "repeated")
-    n = repeated.count()
-    if not n:
-        return kept
-    repeated = broadcast_if_small(repeated, n, BROADCAST_ROWS)
-    same = kept["doc_id"] == repeated["_id"]
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    groups = groups.where("doc_id IS NOT NULL").select(F.struct("doc_id", "h").alias("row"), "name")
+    found = materialise(groups.groupBy("row").agg(F.count("*").alias("n"), F.first("name").alias("name")), "groups")
+    goes = found.where("row <> name").select("row.*")
+    repeats = found.where("row = name AND n > 1").select("row.*")
+    # the row travels as one struct, so that no column of it can clash
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"))
+    kept = rows.join(broadcast_if_small(goes, goes.count(), BROADCAST_ROWS), ["doc_id", "h"], "left_anti")
+    n = repeats.count()
+    if n:
+        repeats = broadcast_if_small(repeats, n, BROADCAST_ROWS)
+        once = kept.join(repeats, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("row").alias("row"))
+        kept = kept.join(repeats, ["doc_id", "h"], "left_anti").unionByName(once.select("doc_id", "h", "row"))
+    return kept.select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

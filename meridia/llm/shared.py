@@ -1,46 +1,21 @@
-"""Shared folder, written tables and connected components for the corpus operators.
+"""Written tables, batches and connected components for the corpus operators.
 
-Lineage is cut with Parquet tables in the folder that ``spark.checkpoint.dir`` names, which the driver and
-all executors see. A folder of our own is set only where the session has none (tests on one machine).
+Lineage is cut with Parquet tables in the folder that ``spark.checkpoint.dir`` names, which the driver and all executors see.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh local folder where it is unset (one machine only)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-meridia-")
-        sc.setCheckpointDir(root)
-    if ":/" not in root:
-        path = sc._jvm.org.apache.hadoop.fs.Path(root)
-        root = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, grouped by application so that it can be cleared as one."""
-    return f"{shared_root(spark)}/meridia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..operators.tables import fresh_path  # noqa: F401  the operators take it from here
+from ..operators.tables import written as materialise
 
 
 def map_batches(df: DataFrame, start, schema: str) -> DataFrame:
@@ -60,6 +35,23 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that keep the components of the pairs (a, b), one less than vertices in each."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            yield x, y
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (id, component_id), component_id the smallest id reachable.
 

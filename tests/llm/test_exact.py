@@ -77,6 +77,8 @@ def test_near_duplicates_of_odd_rows(spark):
     prints = [simhash(r[1]) for r in rows]
     want = sorted(map(str, zip([r[0] for r in rows], (f"{p:016x}" for p in prints), component_names([r[0] for r in rows], prints))))
     assert sorted(str(tuple(r)) for r in near_duplicates.near_duplicates(odd).collect()) == want
+    both = near_duplicates.one_of_each_group(spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (1, "v w x y z")], "doc_id long, text string"))
+    assert sorted(map(tuple, both.collect())) == [(1, "a b c d e"), (1, "v w x y z")]
     kept = near_duplicates.one_of_each_group(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "7", "8", "9", "None"]
@@ -96,6 +98,20 @@ def test_links_find_all_pairs(spark):
     assert {tuple(r) for r in near_duplicates.links(df).collect()} == want and len(want) > 50
 
 
+def test_crowded_halves_keep_all_classes(spark):
+    rng = np.random.default_rng(6)
+    crowd = sorted({int(x) << 32 | 7 for x in rng.integers(0, 2**31, 20_000)} | {int(x) << 32 | 5 for x in rng.integers(0, 2**31, 700)} | {(9 << 32) + (1 << k) for k in range(32)})
+    prints = np.array(crowd, dtype=np.uint64)
+    want = []
+    for at in range(0, len(prints), 2000):
+        i, j = np.nonzero(np.bitwise_count(prints[at : at + 2000, None] ^ prints[None]) <= 3)
+        want += [(a, b) for a, b in zip((i + at).tolist(), j.tolist()) if a < b]
+    names = classes(len(crowd), want)
+    stars = shared.components(near_duplicates.links(spark.createDataFrame([(p,) for p in crowd], "fp long")))
+    got = {r["id"]: r["component_id"] for r in stars.collect()}
+    assert len(want) > 100 and [got.get(p, p) for p in crowd] == [crowd[k] for k in names]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component_id"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
