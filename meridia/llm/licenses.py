@@ -7,84 +7,173 @@ and one that ends in a colon before the next on its line. It has the place where
 identifiers: a rule matches where its sentences follow each other in the text, each beginning within ``gap`` places after
 the end of the one before (other known or unknown sentences may stand in between).
 
-Nulls and empty texts match nothing. A null doc_id is carried, though rows that share it are one document. Repeated rows
-of a doc_id repeat nothing: matches are by (doc_id, place). An empty table gives an empty result; other columns are ignored.
+Every known sentence holds one of a few words, so texts without any of these are passed over after one search of the whole
+text. The others are cut and normalised once; all rules work on the sentences found.
+
+Nulls and empty texts match nothing. Rows are scanned one by one: those that share a doc_id, or have none, are texts of
+their own, and repeated rows repeat their matches. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
-# Sentences of well-known licences, normalised as below, under their identifiers.
-SENTENCES = [
-    ("mit-name", "released under the mit license"),
-    ("mit-name", "licensed under the mit license"),
-    ("mit-name", "this project is licensed under the mit license"),
-    ("mit-title", "the mit license mit"),
-    ("mit-title", "mit license"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("apache2-name", "licensed under the apache license version 2 0"),
-    ("apache2-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache2-copy", "you may obtain a copy of the license at"),
-    ("apache2-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache2-warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl3-name", "this work is licensed under the gnu general public license version 3"),
-    ("gpl3-name", "licensed under the gnu general public license version 3"),
-    ("gpl-grant", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-details", "see the gnu general public license for more details"),
-    ("ccbync4-name", "licensed under cc by nc 4 0"),
-    ("ccbync4-name", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("ccby4-name", "licensed under cc by 4 0"),
-    ("ccby4-name", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("ccbysa4-name", "licensed under cc by sa 4 0"),
-    ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("spdx-mit", "spdx license identifier mit"),
-    ("spdx-apache2", "spdx license identifier apache 2 0"),
-    ("spdx-gpl3", "spdx license identifier gpl 3 0"),
+# SPDX identifiers of licences and the names they go by.
+NAMES = [
+    ("MIT", "MIT License", "Expat License"),
+    ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0 License"),
+    ("GPL-3.0", "GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0 License"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    ("BSD-2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"),
+    ("BSD-3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    ("0BSD", "BSD Zero Clause License", "Zero-Clause BSD License"),
+    ("ISC", "ISC License"),
+    ("MPL-1.1", "Mozilla Public License, version 1.1", "Mozilla Public License 1.1"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    ("EPL-1.0", "Eclipse Public License, version 1.0", "Eclipse Public License 1.0"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    ("CDDL-1.0", "Common Development and Distribution License, version 1.0", "Common Development and Distribution License 1.0"),
+    ("EUPL-1.2", "European Union Public License, version 1.2", "European Union Public Licence v1.2", "EUPL 1.2"),
+    ("BSL-1.0", "Boost Software License, version 1.0", "Boost Software License 1.0"),
+    ("Zlib", "zlib License", "zlib/libpng License"),
+    ("Unlicense", "Unlicense"),
+    ("WTFPL", "Do What The Fuck You Want To Public License", "WTFPL"),
+    ("Artistic-2.0", "Artistic License 2.0", "Artistic License, version 2.0"),
+    ("PSF-2.0", "Python Software Foundation License, version 2", "PSF License"),
+    ("OFL-1.1", "SIL Open Font License, version 1.1", "SIL Open Font License 1.1"),
+    ("ODbL-1.0", "Open Database License", "Open Database License v1.0", "ODC Open Database License v1.0"),
+    ("ODC-By-1.0", "Open Data Commons Attribution License", "ODC Attribution License"),
+    ("PDDL-1.0", "Open Data Commons Public Domain Dedication and License"),
+    ("PostgreSQL", "PostgreSQL License"),
+    ("MS-PL", "Microsoft Public License"),
+    ("OpenRAIL-M", "CreativeML Open RAIL-M License", "CreativeML OpenRAIL-M License"),
+]
+#: sentences that name a licence, from the names above
+NAMING = [
+    "licensed under the {}", "released under the {}", "distributed under the {}", "available under the {}", "published under the {}",
+    "licensed under the terms of the {}", "distributed under the terms of the {}", "released under the terms of the {}",
+    "this work is licensed under the {}", "this project is licensed under the {}", "this software is licensed under the {}",
+    "this project is released under the {}", "this software is released under the {}", "this file is licensed under the {}", "this code is licensed under the {}",
+    "this program is licensed under the {}", "this library is licensed under the {}", "this dataset is licensed under the {}", "this package is licensed under the {}",
+]
+# The elements of Creative Commons licences, their names and versions.
+COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+COMMONS_VERSIONS = [("3.0", "Unported"), ("4.0", "International")]
+COMMONS_NAMING = [
+    "licensed under CC {id} {v}", "released under CC {id} {v}", "this work is licensed under CC {id} {v}", "licensed under the CC {id} {v} license", "available under CC {id} {v}",
+    "this work is licensed under a Creative Commons {name} {v} {place} License", "licensed under a Creative Commons {name} {v} {place} License", "licensed under the Creative Commons {name} {v} {place} License",
+    "this work is licensed under the Creative Commons {name} {v} {place} License", "licensed under the Creative Commons {name} {v} License", "this article is licensed under a Creative Commons {name} {v} {place} License",
+]
+# Sentences of licence texts and notices under their identifiers.
+TEXTS = [
+    ("mit-title", "the MIT License (MIT)"),
+    ("mit-title", "MIT License"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-notice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    ("mit-warranty", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("apache2-header", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("apache2-copy", "You may obtain a copy of the License at"),
+    ("apache2-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache2-warranty", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-warranty", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("mpl2-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("unlicense-release", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-free", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("boost-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("zlib-warranty", "This software is provided as-is, without any express or implied warranty"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("wtfpl-grant", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("cc0-waiver", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0-waiver", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law"),
+    ("gpl-details", "See the GNU General Public License for more details"),
+    ("lgpl-details", "See the GNU Lesser General Public License for more details"),
+    ("agpl-details", "See the GNU Affero General Public License for more details"),
 ]
-# Licences and the ordered sentence identifiers that are evidence of them.
-RULES = [
-    ("MIT", "mit-named", ["mit-name"]),
+# The notices of the GNU licences, by identifier, what they cover, name and versions.
+GNU = [
+    ("gpl", "program", "GNU General Public License", [("GPL-2.0", "2"), ("GPL-3.0", "3")]),
+    ("lgpl", "library", "GNU Lesser General Public License", [("LGPL-2.1", "2.1"), ("LGPL-3.0", "3")]),
+    ("agpl", "program", "GNU Affero General Public License", [("AGPL-3.0", "3")]),
+]
+# Licences and the ordered sentence identifiers of their texts.
+TEXT_RULES = [
     ("MIT", "mit-text", ["mit-grant", "mit-notice"]),
     ("MIT", "mit-full", ["mit-grant", "mit-notice", "mit-warranty"]),
-    ("MIT", "mit-spdx", ["spdx-mit"]),
-    ("Apache-2.0", "apache2-named", ["apache2-name"]),
     ("Apache-2.0", "apache2-notice", ["apache2-header", "apache2-copy"]),
     ("Apache-2.0", "apache2-full", ["apache2-header", "apache2-copy", "apache2-warranty"]),
-    ("Apache-2.0", "apache2-spdx", ["spdx-apache2"]),
-    ("GPL-3.0", "gpl3-named", ["gpl3-name"]),
-    ("GPL-3.0", "gpl3-notice", ["gpl-grant", "gpl-warranty"]),
-    ("GPL-3.0", "gpl3-full", ["gpl-grant", "gpl-warranty", "gpl-details"]),
-    ("GPL-3.0", "gpl3-spdx", ["spdx-gpl3"]),
-    ("CC-BY-NC-4.0", "ccbync4-named", ["ccbync4-name"]),
-    ("CC-BY-4.0", "ccby4-named", ["ccby4-name"]),
-    ("CC-BY-SA-4.0", "ccbysa4-named", ["ccbysa4-name"]),
     ("BSD-2-Clause", "bsd2-text", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", "bsd3-text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("ISC", "isc-text", ["isc-grant"]),
+    ("ISC", "isc-full", ["isc-grant", "isc-warranty"]),
+    ("0BSD", "0bsd-full", ["0bsd-grant", "isc-warranty"]),
+    ("MPL-2.0", "mpl2-notice", ["mpl2-header", "mpl2-copy"]),
+    ("Unlicense", "unlicense-text", ["unlicense-release", "unlicense-free"]),
+    ("BSL-1.0", "boost-text", ["boost-grant"]),
+    ("Zlib", "zlib-text", ["zlib-warranty", "zlib-grant"]),
+    ("WTFPL", "wtfpl-text", ["wtfpl-grant"]),
+    ("CC0-1.0", "cc0-text", ["cc0-waiver"]),
 ]
 #: Java patterns between places, between parts of a place, and of what normalisation turns into one space
 SENTENCE_END = r"(?:\r?\n)+|(?<=[.!?])\s+"
 PART_END = r"(?<=[:;])\s+|(?<=\))(?=\s)(?<=^\s{0,40}[^\p{L}\p{N}\s]{0,4}\s{0,4}\(?[0-9A-Za-z]{1,4}\))\s+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: every known sentence holds one of these words
+ANCHORS = ["license", "licence", "licensed", "permission", "redistribution", "redistributions", "warranty", "warranties", "copyright", "unencumbered", "mpl", "anyone", "released", "distributed", "available", "published", "permitted"]
+
+
+def _plain(text: str) -> str:
+    """An ASCII text normalised as the scanned ones are."""
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
+    """Known sentences as (identifier, normalised text), and rules as (licence, rule, identifiers in order)."""
+    sentences, rules = list(TEXTS), list(TEXT_RULES)
+    names = {spdx: [form.format(name) for name in found for form in NAMING] for spdx, *found in NAMES}
+    for version, place in COMMONS_VERSIONS:
+        for short, name in COMMONS:
+            names[f"CC-{short}-{version}"] = [form.format(id=short, name=name, v=version, place=place) for form in COMMONS_NAMING]
+    names["CC0-1.0"] = [f"{verb} under {the}" for verb in ("licensed", "released", "this work is licensed") for the in ("CC0 1.0", "the CC0 1.0 Universal License", "CC0 1.0 Universal")]
+    for spdx, forms in names.items():
+        key = spdx.lower()
+        sentences += [(f"{key}-name", form) for form in forms]
+        sentences += [(f"{key}-spdx", f"SPDX-License-Identifier: {spdx}{more}") for more in ("", "-only", "-or-later")]
+        rules += [(spdx, f"{key}-named", [f"{key}-name"]), (spdx, f"{key}-spdx", [f"{key}-spdx"])]
+    for kind, thing, name, versions in GNU:
+        sentences.append((f"{kind}-warranty", f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"))
+        for spdx, version in versions:
+            key = spdx.lower()
+            sentences += [(f"{key}-grant", f"This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version") for mark in ":;"]
+            rules += [(spdx, f"{key}-notice", [f"{key}-grant", f"{kind}-warranty"]), (spdx, f"{key}-full", [f"{key}-grant", f"{kind}-warranty", f"{kind}-details"])]
+    # one wording may serve several identifiers: the warranty of two GNU notices is the same
+    return sorted({(k, _plain(t)) for k, t in sentences}), rules
 
 
-def _beginnings() -> list[str]:
-    """Every known sentence and what it has before each of its spaces: with these a run of parts can begin."""
-    words = [t.split(" ") for _, t in SENTENCES]
-    return sorted({" ".join(w[: k + 1]) for w in words for k in range(len(w))})
+SENTENCES, RULES = _tables()
 
 
 def _fixed(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
-    """A fixed table of some dozens of rows, made of literals, so that it may be broadcast."""
-    structs = (F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names))) for row in rows)
-    return F.broadcast(spark.range(1).select(F.inline(F.array(*structs))))
+    """A fixed table of at most some thousand rows, made of literals, so that it may be broadcast."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS fixed({', '.join(names)})"))
 
 
 def normalised(sentence: Column) -> Column:
@@ -92,32 +181,38 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, last_part, place, last_place, sentence_id): the known licence sentences of each document.
+    """(row, doc_id, part, last_part, place, last_place, sentence_id): the known licence sentences of each row.
 
-    Parts count those of the document that hold words, places all pieces between sentence and line ends.
+    Parts count those of the text that hold words, places all pieces between sentence and line ends.
     """
-    known = _fixed(docs.sparkSession, SENTENCES, ["sentence_id", "sentence"])
+    known = _fixed(docs.sparkSession, SENTENCES, ["sentence_id", "sentence"]).withColumn("opening", F.substring_index("sentence", " ", 1))
     longest = max(len(t.split(" ")) for _, t in SENTENCES)
+    # what a run of parts may begin with: the words of a known sentence up to one of its spaces, or all of it
+    begins = sorted({" ".join(words[: k + 1]) for _, t in SENTENCES for words in [t.split(" ")] for k in range(len(words))})
 
     def parts(piece: Column, place: Column) -> Column:
         return F.transform(F.split(piece, PART_END), lambda t: F.struct(place.alias("place"), normalised(t).alias("words")))
 
-    cut = F.flatten(F.transform(F.split(F.col("text").cast("string"), SENTENCE_END), parts))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(cut, lambda p: p["words"] != "").alias("parts"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.where(F.lower("text").rlike("|".join(ANCHORS)))
+    cut = F.flatten(F.transform(F.split(F.col("text"), SENTENCE_END), parts))
+    rows = rows.select("row", "doc_id", F.filter(cut, lambda p: p["words"] != "").alias("parts"))
+    rows = rows.withColumn("numbered", F.transform("parts", lambda p, k: F.struct(k.alias("part"), p["words"].alias("words"))))
+    begin = F.expr("filter(numbered, p -> p.words IN (" + ", ".join(f"'{b}'" for b in begins) + "))")
 
     def run(part: Column) -> Column:
         ahead = F.slice("parts", part["part"] + 1, longest)
         return F.struct(part["part"].alias("part"), F.array_join(ahead["words"], "\n").alias("ahead"), ahead["place"].alias("places"))
 
-    numbered = F.transform("parts", lambda p, k: F.struct(k.alias("part"), p["words"].alias("words")))
-    begin = F.filter(numbered, lambda p: p["words"].isin(_beginnings()))
-    rows = rows.select("doc_id", F.inline(F.transform(begin, run)))
+    rows = rows.select("row", "doc_id", F.inline(F.transform(begin, run)))
+    rows = rows.withColumn("flat", F.translate("ahead", "\n", " "))
     end = F.length("sentence")
-    same = F.translate("ahead", "\n", " ").startswith(F.col("sentence")) & F.substring("ahead", end + 1, F.lit(1)).isin("", "\n")
-    rows = rows.join(known, same)
+    same = (F.substring_index("flat", " ", 1) == F.col("opening")) & F.col("flat").startswith(F.col("sentence"))
+    rows = rows.join(known, same & F.substring("ahead", end + 1, F.lit(1)).isin("", "\n"))
     over = F.size(F.split(F.substring("ahead", F.lit(1), end), "\n")) - 1
     return rows.select(
-        "doc_id", "part", (F.col("part") + over).alias("last_part"), F.col("places")[0].alias("place"),
+        "row", "doc_id", "part", (F.col("part") + over).alias("last_part"), F.col("places")[0].alias("place"),
         F.col("places")[over].alias("last_place"), "sentence_id",
     ).distinct()
 
@@ -137,7 +232,7 @@ def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
         rows = found.join(table, F.col("sentence_id") == F.col("s0")).withColumn("first_place", F.col("place"))
         for name in names[1:]:
             rows = _followed(rows, found, name, gap)
-        rows = rows.groupBy("doc_id", "license", "rule", "first_place").agg(F.min("place").alias("last_place"))
+        rows = rows.groupBy("row", "doc_id", "license", "rule", "first_place").agg(F.min("place").alias("last_place")).drop("row")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -145,13 +240,13 @@ def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
 def _followed(rows: DataFrame, found: DataFrame, wanted: str, gap: int) -> DataFrame:
     """``rows`` moved on to each sentence of the column ``wanted`` that begins within ``gap`` places after their end."""
     here = ["part", "last_part", "place", "last_place", "sentence_id"]
-    kept = [c for c in rows.columns if c not in ("doc_id", *here)]
-    ends = rows.select("doc_id", F.col("last_place").alias("at"), F.col("last_part").alias("end"), F.struct(kept).alias("kept"))
-    begins = found.select("doc_id", F.col("place").alias("at"), F.struct(here).alias("next"))
-    near = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, gap)
+    kept = [c for c in rows.columns if c not in ("row", *here)]
+    ends = rows.select("row", F.col("last_place").alias("at"), F.col("last_part").alias("end"), F.struct(kept).alias("kept"))
+    begins = found.select("row", F.col("place").alias("at"), F.struct(here).alias("next"))
+    near = Window.partitionBy("row").orderBy("at").rangeBetween(0, gap)
     both = ends.unionByName(begins, allowMissingColumns=True).withColumn("ahead", F.collect_list("next").over(near))
-    both = both.where("kept IS NOT NULL").select("doc_id", "end", "kept.*", F.explode("ahead").alias("next"))
-    return both.where((F.col("next.part") > F.col("end")) & (F.col("next.sentence_id") == F.col(wanted))).select("doc_id", *kept, "next.*").distinct()
+    both = both.where("kept IS NOT NULL").select("row", "end", "kept.*", F.explode("ahead").alias("next"))
+    return both.where((F.col("next.part") > F.col("end")) & (F.col("next.sentence_id") == F.col(wanted))).select("row", *kept, "next.*").distinct()
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

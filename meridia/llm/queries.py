@@ -33,18 +33,15 @@ def _values(rows: list[tuple]) -> str:
 
 
 def _license_sql(gap: int = 5) -> str:
-    """Rules of one, two and three sentences as self-joins of the known sentences."""
-    longest = 8 * max(len(t) for _, t in SENTENCES)
+    """Rules as self-joins of the known sentences; sentences are looked for on one line each, as they stand in the tables."""
     parts = []
-    for depth in (1, 2, 3):
+    for depth in sorted({len(ids) for _, _, ids in RULES}):
         rules = [(name, rule, *ids) for name, rule, ids in RULES if len(ids) == depth]
-        if not rules:
-            continue
         names = ", ".join(f"s{k}" for k in range(depth))
         last, join = "f0.place", ""
         for k in range(1, depth):
             join += (
-                f" JOIN LATERAL (SELECT min(g.place) AS place FROM found g WHERE g.doc_id IS NOT DISTINCT FROM f0.doc_id AND g.sentence_id = r.s{k}"
+                f" JOIN LATERAL (SELECT min(g.place) AS place FROM found g WHERE g.rid = f0.rid AND g.sentence_id = r.s{k}"
                 f" AND g.place > {last} AND g.place <= {last} + {gap}) f{k} ON f{k}.place IS NOT NULL"
             )
             last = f"f{k}.place"
@@ -54,15 +51,14 @@ def _license_sql(gap: int = 5) -> str:
         )
     return f"""
 WITH known(sentence_id, sentence) AS ({_values(SENTENCES)}),
-cut AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\r\\n\\x0B\\f]+', '\\1' || chr(10), 'g'), '(\\r?\\n)+') AS parts
+cut AS (SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\r\\n\\x0B\\f]+', '\\1' || chr(10), 'g'), '(\\r?\\n)+') AS parts
   FROM documents WHERE text IS NOT NULL),
-sentences AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS place FROM cut),
-found AS (SELECT DISTINCT doc_id, CAST(place AS INTEGER) AS place, sentence_id FROM sentences JOIN known
-  ON known.sentence = trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) WHERE length(raw) <= {longest})
+sentences AS (SELECT doc_id, rid, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS place FROM cut),
+found AS (SELECT DISTINCT doc_id, rid, CAST(place AS INTEGER) AS place, sentence_id FROM sentences JOIN known
+  ON known.sentence = trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))
 {" UNION ALL ".join(parts)}"""
 
 
-
 ORACLE_SQL = {
     "op4_licenses": _license_sql(),
 }

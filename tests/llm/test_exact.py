@@ -225,7 +225,7 @@ def test_licenses(spark, sf_dir):
 
 
 def test_license_rules_keep_order(spark):
-    grant, notice = (t for i, t in licenses.SENTENCES if i in ("mit-grant", "mit-notice"))
+    grant, notice = (next(t for i, t in licenses.SENTENCES if i == want) for want in ("mit-grant", "mit-notice"))
     warranty = next(t for i, t in licenses.SENTENCES if i == "mit-warranty")
     far = "\n".join(f"filler {k}" for k in range(9))
     rows = [(1, f"Intro. {grant}. {notice}! Other words.\n{warranty.upper()}"), (2, f"{notice}. {grant}."), (3, f"{grant}\n{far}\n{notice}"), (4, None), (5, ""), (None, "Released under the MIT License."), (7, "Not released under the MIT license today.")]
