@@ -9,8 +9,8 @@ The search is block-max WAND, over all passages of a document at once: passages
 reach the threshold, then blocks of items whose block maxima can't, and the items of the blocks that are left are
 scored exactly. No item at or above the threshold is lost.
 
-The index is bounded: items are dealt into parts of at most ``max_postings`` postings, and each part is
-broadcast and searched by all passages in turn. Document frequencies, lengths and self-scores are those of the
+The index is bounded: items are dealt into parts of at most ``max_postings`` postings in expectation, and each part is
+broadcast, searched by all passages and let go before the next is made. Document frequencies, lengths and self-scores are those of the
 whole benchmark, in every part. Nothing is shuffled but the benchmark.
 
 Nulls and empty texts: documents with null or empty text, and items without words, match nothing. A null
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import map_batches, materialise
 
 WORD = re.compile(r"[^\W_]+")
 #: where a test item says itself where its answer begins
@@ -151,35 +151,30 @@ class ItemIndex:
         return [best[i] for i in sorted(best)]
 
 
-def index_parts(benchmark: DataFrame, k1: float, b: float, max_postings: int) -> Iterator[tuple[ItemIndex, int]]:
-    """Index parts of bounded size, with the longest item's words over the whole benchmark."""
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
+def index_parts(benchmark: DataFrame, k1: float, b: float, max_postings: int) -> Iterator[tuple[ItemIndex, int, int]]:
+    """Index parts of bounded size one after the other, with the longest item's words and the number of parts."""
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     words = F.pandas_udf(lambda texts: texts.map(words_of), "array<string>")
-    items = items.withColumn("words", words(F.col("text").cast("string"))).where(F.size("words") > 0)
-    items = items.withColumn("row", F.monotonically_increasing_id()).persist()
-    try:
-        n, mean, longest = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
-        if not n:
-            return
-        tf = items.select("row", F.size("words").alias("dl"), F.explode("words").alias("term"))
-        tf = tf.groupBy("row", "dl", "term").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-        impacts = tf.join(df, "term").select("row", "term", weight.alias("impact")).persist()
-        total = impacts.count()
-        parts = -(-total // max_postings)
-        own = impacts.groupBy("row").agg(F.sum("impact").alias("own"))
-        scaled = impacts.join(own, "row").select("row", "term", (F.col("impact") / F.col("own")).alias("impact"))
-        for part in range(parts):
-            mine = F.pmod(F.xxhash64("row"), F.lit(parts)) == part
-            rows = items.where(mine).select("row", "item_id", "text").orderBy("item_id", "row").collect()
-            at = {r["row"]: k for k, r in enumerate(rows)}
-            postings = [(r["term"], at[r["row"]], r["impact"]) for r in scaled.where(mine).collect()]
-            yield ItemIndex(postings, [(r["item_id"], r["text"]) for r in rows]), longest
-        impacts.unpersist()
-    finally:
-        items.unpersist()
+    items = items.withColumn("words", words("text")).where(F.size("words") > 0)
+    items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    n, mean, longest = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    if not n:
+        return
+    tf = items.select("row", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    tf = tf.groupBy("row", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    impacts = materialise(tf.join(df, "term").select("row", "term", weight.alias("impact")), "impacts")
+    parts = -(-impacts.count() // max_postings)
+    own = impacts.groupBy("row").agg(F.sum("impact").alias("own"))
+    scaled = impacts.join(own, "row").select("row", "term", (F.col("impact") / F.col("own")).alias("impact"))
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("row"), F.lit(parts)) == part
+        rows = items.where(mine).select("row", "item_id", "text").orderBy("item_id", "row").collect()
+        at = {r["row"]: k for k, r in enumerate(rows)}
+        postings = [(r["term"], at[r["row"]], r["impact"]) for r in scaled.where(mine).collect()]
+        yield ItemIndex(postings, [(r["item_id"], r["text"]) for r in rows]), longest, parts
 
 
 def contaminated(
@@ -199,16 +194,26 @@ def contaminated(
     """
     out = None
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for shared, window in _searchers(benchmark, k1, b, max_postings):
-        found = map_batches(slim, _finder(shared, (window, threshold, question, answer)), RESULT)
+
+    def search(shared, window: int) -> DataFrame:
+        return map_batches(slim, _finder(shared, (window, threshold, question, answer)), RESULT)
+
+    for found in _part_by_part(benchmark, k1, b, max_postings, search):
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def _searchers(benchmark: DataFrame, k1: float, b: float, max_postings: int):
+def _part_by_part(benchmark: DataFrame, k1: float, b: float, max_postings: int, search) -> Iterator[DataFrame]:
+    """``search(broadcast index, window)`` for each part; where there are several, its result is written and the part let go
+    before the next is made, so that one is held at a time."""
     sc = benchmark.sparkSession.sparkContext
-    for index, longest in index_parts(benchmark, k1, b, max_postings):
-        yield sc.broadcast(index), 2 * max(longest, 1)
+    for index, longest, parts in index_parts(benchmark, k1, b, max_postings):
+        shared = sc.broadcast(index)
+        found = search(shared, 2 * max(longest, 1))
+        if parts > 1:
+            found = materialise(found, "searched")
+            shared.destroy()
+        yield found
 
 
 def _finder(shared, limits: tuple):
@@ -243,10 +248,15 @@ def without_contaminated(
     b: float = 0.75,
     max_postings: int = 2_000_000,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns kept, in one pass and without a join."""
-    for shared, window in _searchers(benchmark, k1, b, max_postings):
-        docs = docs.where(_judge(shared, (window, threshold, question, answer))(F.col("text").cast("string")))
-    return docs
+    """The rows of ``docs`` that hold no test item, all columns kept, without a join; a filter for each part of the index."""
+    left = docs
+
+    def search(shared, window: int) -> DataFrame:
+        return left.where(_judge(shared, (window, threshold, question, answer))(F.col("text").cast("string")))
+
+    for left in _part_by_part(benchmark, k1, b, max_postings, search):  # noqa: B007  each part searches what the last one left
+        pass
+    return left
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ also looks into the neighbouring cells nearest to it. Two vectors are compared i
 of one of them, within equal labels, and linked if their cosine in double precision is at least ``threshold``.
 
 Equal vectors of a label are one class with a count, so copies form no pairs. A cell's members are compared in
-chunks of at most ``chunk``: chunk pairs are groups of their own, so a crowded cell is many small tasks. A group gives
-back only sums and a spanning forest, never its pairs: a link that is found in several tables or cells
+chunks of about ``chunk``: chunk pairs are compared apart, so a crowded cell is many small pieces of work; pieces are dealt
+into groups of about ``rows_at_once`` rows. A group gives back only sums and spanning forests, never its pairs: a link that is found in several tables or cells
 counts only in the first, which each group can tell from the cells its members carry.
 
 Not linked: null labels, and vectors that are null, empty, zero or hold null or non-finite components; they are
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,42 +65,68 @@ def _meet(own_x, near_x, own_y, near_y) -> np.ndarray:
     return (own_x == own_y) | (near_x == own_y[:, :, None]).any(2) | (near_y == own_x[:, :, None]).any(2)
 
 
-def _compare(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        t, cell = rows["t"][0], rows["cell"][0]
-        first, second = rows["i"][0], rows["j"][0]
-        unit, rep = np.array(rows["unit"]), np.array(rows["rep"])
-        n, chunk = np.array(rows["n"]), np.array(rows["chunk"])
-        own, near = np.array(rows["own"]), np.array(rows["near"]).reshape(len(rep), len(rows["own"][0]), -1)
-        left, right = np.nonzero(chunk == first)[0], np.nonzero(chunk == second)[0]
-        cos = unit[left] @ unit[right].T
-        p, q = np.nonzero(cos >= threshold - 1e-9)
+def _numbers(column: pa.ChunkedArray, *shape: int) -> np.ndarray:
+    """A column of lists, of lists of numbers or numbers, as one array of that shape."""
+    values = column.combine_chunks()
+    while pa.types.is_list(values.type):
+        values = values.flatten()
+    return values.to_numpy(zero_copy_only=False).reshape(shape)
+
+
+def _compare(threshold: float, tables: int):
+    """Links within each (label, dim, t, cell, i, j) of a group of many such cells."""
+
+    def cell_links(t, cell, same, unit, rep, n, left, right, own, near):
+        p, q = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-9)
         p, q = left[p], right[q]
+        if same:
+            keep = rep[p] < rep[q]
+            p, q = p[keep], q[keep]
+        if not len(p):
+            return p, q
         # exactly as one pair would be computed, and each pair once
-        keep = (rep[p] < rep[q]) if first == second else np.ones(len(p), dtype=bool)
-        p, q = p[keep], q[keep]
         good = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+        good &= (own[p, t] == cell) | (own[q, t] == cell)
         p, q = p[good], q[good]
-        owned = (own[p, t] == cell) | (own[q, t] == cell)
-        p, q = p[owned], q[owned]
         # only the first table counts, and in it the own cell of the smaller id before that of the larger
         meets = _meet(own[p], near[p], own[q], near[q])
         small, large = np.where(rep[p] < rep[q], p, q), np.where(rep[p] < rep[q], q, p)
         home = own[small, t]
         at_home = (own[large, t] == home) | (near[large, t] == home[:, None]).any(1)
         here = ~meets[:, :t].any(1) & (cell == np.where(at_home, home, own[large, t]))
-        p, q = p[here], q[here]
-        degree = np.zeros(len(rep), dtype=np.int64)
-        np.add.at(degree, p, n[q])
-        np.add.at(degree, q, n[p])
-        some = np.nonzero(degree)[0]
-        edges = list(forest(rep[p], rep[q]))
+        return p[here], q[here]
+
+    def run(table: pa.Table) -> pa.Table:
+        ones, others = [], []
+        degrees: dict[int, int] = {}
+        for dim in np.unique(table.column("dim").to_numpy()).tolist():
+            part = table.filter(pc.equal(table.column("dim"), dim))
+            size = len(part)
+            unit, own = _numbers(part.column("unit"), size, dim), _numbers(part.column("own"), size, tables)
+            near = _numbers(part.column("near"), size, tables, -1)
+            label, t, cell, i, j, chunk, rep, n = (part.column(c).to_numpy() for c in ("label", "t", "cell", "i", "j", "chunk", "rep", "n"))
+            order = np.lexsort((chunk, j, i, cell, t, label))
+            keys = np.stack([c[order].astype(np.int64) for c in (label, t, cell, i, j)])
+            ends = np.append(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, size)
+            begin = 0
+            for end in ends.tolist():
+                rows, begin = order[begin:end], end
+                at = rows[0]
+                left, right = rows[chunk[rows] == i[at]], rows[chunk[rows] == j[at]]
+                p, q = cell_links(t[at], cell[at], i[at] == j[at], unit, rep, n, left, right, own, near)
+                if not len(p):
+                    continue
+                for a, b in ((p, q), (q, p)):
+                    for r, k in zip(rep[a].tolist(), n[b].tolist()):
+                        degrees[r] = degrees.get(r, 0) + k
+                a, b = zip(*forest(rep[p], rep[q]))
+                ones += a
+                others += b
         return pa.table(
             {
-                "kind": pa.array([0] * len(some) + [1] * len(edges), pa.int32()),
-                "a": pa.array(rep[some].tolist() + [e[0] for e in edges], pa.int64()),
-                "b": pa.array(degree[some].tolist() + [e[1] for e in edges], pa.int64()),
+                "kind": pa.array([0] * len(degrees) + [1] * len(ones), pa.int32()),
+                "a": pa.array([*degrees, *ones], pa.int64()),
+                "b": pa.array([*degrees.values(), *others], pa.int64()),
             }
         )
 
@@ -113,7 +140,8 @@ def embedding_duplicates(
     probes: int = 2,
     scale: float = 2.0,
     seed: int = 7,
-    chunk: int = 256,
+    chunk: int = 512,
+    rows_at_once: int = 4096,
 ) -> DataFrame:
     """Per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept.
 
@@ -159,7 +187,11 @@ def embedding_duplicates(
     )
     files = files.select(*place, "rep", "chunk", F.explode(pair).alias("p")).select(*place, "rep", "chunk", "p.i", "p.j")
     members = files.join(signed.drop("label"), "rep")
-    found = members.groupBy(*place, "i", "j").applyInArrow(_compare(threshold), FOUND)
+    # a group takes many cells: of about ``rows_at_once`` rows, and of one pair of chunks at least
+    copies = sizes.agg(F.sum(F.col("members") * F.ceil(F.col("members") / chunk))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(*place, "i", "j"), F.lit(-(-copies // rows_at_once) or 1))
+    members = members.withColumn("bucket", bucket)
+    found = members.groupBy("bucket").applyInArrow(_compare(threshold, tables), FOUND)
     found = materialise(found, "found")
     degrees = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     stars = components(found.where("kind = 1").select("a", "b"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
 from .shared import broadcast_if_small, materialise
 
 BITS, LEVELS = 12, 4
@@ -33,27 +34,23 @@ def word_count(text):
 def targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """``totals(source, source_size)`` with each source's ``target`` in tokens.
 
-    Sources in code-point order, null last, take the weights in turn. One row per source, so the windows over
-    all of them are small: their rows are sources, not documents.
+    Sources in code-point order, null last, take the weights in turn. A source is full if its share of what the full ones leave
+    reaches its cap; sums over all sources tell the share, until no more become full. They are sums of whole numbers, so
+    that reruns agree to the last bit.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rn") % len(weights) + 1).cast("int"))
-    rows = totals.withColumn("rn", F.row_number().over(order) - 1).withColumn("weight", weight.cast("double"))
-    rows = rows.withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
-    # sources fill up in the order of cap / weight; a source is full if the level of what is left reaches its cap
-    fill = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "rn")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("fill_no", F.row_number().over(fill))
-    rows = rows.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    rows = rows.withColumn("all_weight", F.sum("weight").over(everything))
-    rows = rows.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    rows = rows.withColumn("weight_left", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
-    rows = rows.withColumn("full", F.col("level") * F.col("weight") > F.col("cap"))
-    level = F.min(F.when(~F.col("full"), F.struct("fill_no", "level"))).over(everything)["level"]
-    rows = rows.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight")))
-    return rows.select("source", "source_size", "target")
+    rows = numbered(totals, [F.col("source").asc_nulls_last()], "rn").withColumn("weight", weight.cast("long"))
+    rows = materialise(rows.withColumn("cap", F.col("source_size") * max_epochs).drop("rn"), "sources")
+    total, free = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not free:
+        return rows.select("source", "source_size", F.lit(0.0).alias("target"))
+    level, n = total / free, 0
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("cap")
+        caps, free, now = rows.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if now == n:
+            return rows.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
+        level, n = (total - caps) / free, now
 
 
 def _thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:

@@ -135,31 +135,86 @@ def test_shards_keep_all_rows(spark, sf_dir, tmp_path):
     s = store(spark, tmp_path)
     for k in range(3):
         s.append(docs.where(f"doc_id % 3 = {k}").repartition(4))
-    before = s.manifest()
+    before = s.shards()
+    assert s.version() == 3
     s.compact()
-    after = s.manifest()
-    assert after["version"] > before["version"] == 3 and len(after["shards"]) < len(before["shards"])
-    assert all(x["n_bytes"] <= 1.5 * 40_000 for x in after["shards"])
+    after = s.shards()
+    assert s.version() > 3 and len(after) < len(before) and s.head()["settled"]
+    assert all(x["n_bytes"] <= 1.5 * 40_000 for x in after)
+    tiers = [x["tier"] for x in s.head()["open"]]
+    assert all(tiers.count(t) < 3 for t in tiers)
     want = sorted(map(repr, docs.collect()))
     assert sorted(map(repr, s.read().collect())) == want == sorted(map(repr, s.read(3).collect()))
     assert s.vacuum() > 0 and s.vacuum() == 0
     assert sorted(map(repr, s.read().collect())) == want
-    assert s.compact() == after["version"]
+    assert s.compact() == s.version()
+
+
+def test_groups_follow_the_tiers(spark, tmp_path):
+    s = store(spark, tmp_path, target_bytes=1000, small_bytes=100, fan_in=3)
+    shard = lambda n: {"path": f"p{n}", "n_bytes": n, "tier": s.tier(n)}
+    assert [s.tier(n) for n in (1, 100, 101, 300, 301, 900, 901)] == [0, 0, 1, 1, 2, 2, 3]
+    assert [[x["n_bytes"] for x in g] for g in s._groups([shard(n) for n in (90, 20, 60, 250, 310, 240)])] == [[20, 60, 90]]
+    assert [[x["n_bytes"] for x in g] for g in s._groups([shard(n) for n in (250, 260, 270, 280, 290, 10)])] == [[250, 260, 270], [280, 290]]
 
 
 def test_of_two_writers_one_fails(spark, tmp_path):
     s = store(spark, tmp_path)
-    base = s.manifest()
+    base = s.head()
     assert s._commit(base, []) == 1
     with pytest.raises(Exception, match="exist"):
         s._commit(base, [])
 
 
+def test_appends_try_again(spark, tmp_path, monkeypatch):
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    commit, first = s._commit, []
+
+    def late(*args, **options):
+        if not first:
+            first.append(other.append(rows))
+        return commit(*args, **options)
+
+    monkeypatch.setattr(s, "_commit", late)
+    assert s.append(rows) == 2 and s.read().count() == 2
+
+
+def test_columns_come_and_go(spark, tmp_path):
+    s = store(spark, tmp_path, small_bytes=4_000, fan_in=2)
+    s.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    s.append(spark.createDataFrame([(2, "b", 0.5)], "doc_id long, text string, extra double"))
+    s.append(spark.createDataFrame([(3,)], "doc_id long"))
+    want = [(1, "a", None), (2, "b", 0.5), (3, None, None)]
+    assert sorted(tuple(r) for r in s.read().collect()) == want
+    s.compact()
+    assert len(s.shards()) < 3 and sorted(tuple(r) for r in s.read().collect()) == want
+    with pytest.raises(ValueError, match="doc_id"):
+        s.append(spark.createDataFrame([("4",)], "doc_id string"))
+
+
+def test_vacuum_leaves_what_is_not_yet_committed(spark, tmp_path, monkeypatch):
+    s, other = store(spark, tmp_path, fan_in=2), store(spark, tmp_path)
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for _ in range(3):
+        s.append(rows)
+    commit = other._commit
+
+    def late(*args, **options):
+        s.compact()
+        assert s.vacuum() >= 3
+        return commit(other.head(), other.head()["open"] + args[1][-1:], *args[2:], **options)
+
+    monkeypatch.setattr(other, "_commit", late)
+    other.append(rows)
+    assert s.read().count() == 4 and s.vacuum(older_than=-60) == 0
+
+
 def test_shards_of_odd_and_no_rows(spark, tmp_path):
     s = store(spark, tmp_path)
     assert s.read() is None and s.compact() == 0
     s.append(no_documents(spark))
-    assert s.manifest()["shards"] == []
+    assert s.shards() == []
     odd = odd_documents(spark)
     s.append(odd)
     s.compact()
@@ -167,9 +222,9 @@ def test_shards_of_odd_and_no_rows(spark, tmp_path):
 
 
 def test_shard_query(spark, sf_dir):
-    got = {r["doc_id"]: r["n_bytes"] for r in QUERIES["op10_shards"](spark, sf_dir).collect()}
+    got = sorted(tuple(r) for r in QUERIES["op10_shards"](spark, sf_dir).select("doc_id", "n_bytes", "text_crc32", "lang", "source", "n_chars").collect())
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    assert got == {r["doc_id"]: None if r["text"] is None else len(r["text"].encode()) for r in rows}
+    assert got == sorted((r["doc_id"], len(r["text"].encode()), crc32(r["text"].encode()), r["lang"], r["source"], r["n_chars"]) for r in rows)
 
 
 def test_pipeline(spark, sf_dir):
