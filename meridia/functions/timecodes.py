@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def padded(number: Column, width: int) -> Column:
+    """A whole number with leading zeros up to ``width`` digits; longer ones stay whole."""
+    text = number.cast("long").cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def timecode(frame: Column, fps: Column, digits: int = 3) -> Column:
     """HH:MM:SS.nnn, the fraction rounded half to even; seconds that round up to 60 carry over."""
     total = frame / fps
@@ -14,9 +20,7 @@ def timecode(frame: Column, fps: Column, digits: int = 3) -> Column:
     hours, rest = F.floor(whole / (3600 * unit)), whole % (3600 * unit)
     minutes, rest = F.floor(rest / (60 * unit)), rest % (60 * unit)
     seconds = F.floor(rest / unit)
-    parts = [F.lpad(p.cast("string"), 2, "0") for p in (minutes, seconds)]
-    hh = F.when(hours < 100, F.lpad(hours.cast("string"), 2, "0")).otherwise(hours.cast("string"))
-    text = F.concat_ws(":", hh, *parts)
+    text = F.concat_ws(":", *(padded(p, 2) for p in (hours, minutes, seconds)))
     return F.concat(text, F.lit("."), F.lpad((rest % unit).cast("string"), digits, "0")) if digits else text
 
 
@@ -45,7 +49,7 @@ def edit_point(frame: Column, fps: Column) -> Column:
     total = frame / fps
     seconds = F.floor(total)
     clock = (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60, F.floor((total - seconds) * fps + 1e-6))
-    return F.concat_ws(":", *(F.lpad(p.cast("long").cast("string"), 2, "0") for p in clock))
+    return F.concat_ws(":", *(padded(p, 2) for p in clock))
 
 
 def downscale_factor(width: Column, least: int = 256) -> Column:

@@ -83,12 +83,14 @@ def _spaced(length: int):
     return machine
 
 
-def suppressed_cuts(frames: DataFrame, above: Column, length: int) -> DataFrame:
+def suppressed_cuts(frames: DataFrame, above: Column, length: int, skip_zero: bool = False) -> DataFrame:
     """Cuts at frames ``above`` that come at least ``length`` frames after the last cut (or a video's first frame).
 
-    Only frames above the threshold enter the fold, with their video's first frame.
+    Only frames above the threshold enter the fold, with their video's first frame. With ``skip_zero`` a first frame 0 does not
+    count as one, so that lengths are counted from frame 1.
     """
     first = F.min("frame").over(Window.partitionBy("video"))
+    first = F.greatest(first, F.lit(1)) if skip_zero else first
     rows = frames.select("video", F.col("frame").cast("long").alias("frame"), above.alias("above"), first.cast("long").alias("first"))
     rows = rows.where("above")
     if length <= 0:
@@ -194,6 +196,20 @@ def fade_cuts(frames: DataFrame, threshold: float, bias: float = 0.0, length: in
     return _folded(ins, ["ends", "frame", "out", "first"], machine)
 
 
+def buffered_frames(detector: str, width: int = 2, length: int = 15, merges: bool = True) -> int:
+    """How many frames later than its own a cut may be told at most, by detector; what a live consumer must hold back."""
+    late = {"adaptive": width, "content": length if merges else 0, "threshold": 0, "histogram": 0, "hash": 0}
+    if detector not in late:
+        raise ValueError(f"no detector is known as {detector}")
+    return late[detector]
+
+
+def marked_frames(cuts: DataFrame, found: DataFrame) -> DataFrame:
+    """(video, frame) of all cuts and of the first and last frames of all scenes, each once, in order."""
+    ends = found.select("video", F.explode(F.array("start_frame", "end_frame")).alias("frame"))
+    return cuts.select("video", F.col("cut").alias("frame")).unionByName(ends).distinct().orderBy("video", "frame")
+
+
 def scenes(cuts: DataFrame, spans: DataFrame) -> DataFrame:
     """(video, scene, start_frame, end_frame): half-open intervals between the cuts of ``spans(video, first, end)``."""
     starts = spans.select("video", F.col("first").alias("start_frame")).unionByName(cuts.select("video", F.col("cut").alias("start_frame"))).distinct()

@@ -11,7 +11,7 @@ from ..functions.cameras import Intrinsics, Pose, reprojection_error
 from ..functions.shapes import closest_between_rays, ray_angle
 from ..functions.vectors import Vec
 from .graph import min_labels
-from .tables import numbered
+from .tables import numbered, written
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -110,3 +110,17 @@ def compared_histograms(left: DataFrame, right: DataFrame) -> DataFrame:
     """(length, difference) of two histograms, missing lengths counting 0."""
     r = right.select("length", F.col("n").alias("m"))
     return left.join(r, "length", "full_outer").select("length", (F.coalesce("m", F.lit(0)) - F.coalesce("n", F.lit(0))).alias("difference"))
+
+
+def known_pose_map(
+    features: DataFrame, images: DataFrame, matches: DataFrame, min_angle: float = 0.0, max_distance: float = float("inf"), max_error: float = float("inf")
+) -> tuple[DataFrame, DataFrame]:
+    """(points, rejects) of images whose poses are known: matches become tracks, and tracks that pass the limits points.
+
+    ``features(image_id, feature, u, v)``, ``images(image_id, px.., rx.., ux.., fx.., focal_x, focal_y, cx, cy)``. ``rejects(track,
+    n)`` are the tracks without a point, which are kept apart rather than dropped.
+    """
+    tracks = written(build_tracks(matches), "tracks")
+    seen = tracks.join(features, ["image_id", "feature"]).join(images, "image_id")
+    points = written(triangulate(seen, min_angle, max_distance, max_error), "points")
+    return points, tracks.join(points, "track", "left_anti").groupBy("track").agg(F.count("*").alias("n"))

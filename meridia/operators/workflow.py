@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_id, normalised, socket_type, upload_date
+from ..functions.text import item_id, normalised, socket_type, upload_date, source_url
 
 NODES = "nodes array<struct<id:string,type:string,inputs:array<struct<name:string,type:string,link:bigint>>,outputs:array<struct<name:string,type:string,links:array<bigint>>>,widgets_values:array<string>>>"
 LINKS = "links array<array<string>>"
@@ -111,6 +111,41 @@ def manifest_filter(
     return items
 
 
+def playlist_items(playlists: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Items of ``playlists(collection, json)``: entries that are not null in their order, the first ``max_items`` of each, ids made unique.
+
+    (collection, pos, item_id, youtube_id, playlist_index, title, source_url, duration_seconds, upload_date); an entry without an
+    index has its place from 1, one without a page address that of its id.
+    """
+    entry = "struct<id:string,title:string,webpage_url:string,url:string,duration:double,upload_date:string,playlist_index:bigint>"
+    rows = playlists.select("collection", F.from_json("json", f"struct<entries:array<{entry}>>").alias("p"))
+    kept = F.filter("p.entries", lambda e: e["id"].isNotNull() | e["title"].isNotNull() | e["webpage_url"].isNotNull() | e["url"].isNotNull())
+    if max_items is not None:
+        kept = F.slice(kept, 1, max_items)
+    rows = rows.select("collection", F.posexplode(kept).alias("pos", "e"))
+    watch = F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("e.id"))
+    items = rows.select(
+        "collection", "pos", item_id(F.coalesce("e.id", "e.title")).alias("item_id"), F.col("e.id").alias("youtube_id"),
+        F.coalesce("e.playlist_index", F.col("pos") + 1).alias("playlist_index"), F.col("e.title").alias("title"),
+        F.coalesce(source_url(F.col("e.webpage_url"), fallback=source_url(F.col("e.url"), fallback=watch)), watch).alias("source_url"),
+        F.col("e.duration").alias("duration_seconds"), F.col("e.upload_date").alias("upload_date"),
+    )
+    k = F.row_number().over(Window.partitionBy("collection", "item_id").orderBy("pos")) - 1
+    return items.withColumn("item_id", F.when(k > 0, F.concat_ws("-", "item_id", k.cast("string"))).otherwise(F.col("item_id")))
+
+
+def as_json(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(workflow, json): the file form of ``nodes(workflow, id, type, inputs, outputs, widgets_values)`` and
+    ``links(workflow, id, origin, origin_slot, target, target_slot, type)``. A workflow is one row."""
+    pair = F.concat_ws(",", F.col("id").cast("string"), F.to_json(F.array("origin")), "origin_slot", F.to_json(F.array("target")), "target_slot", F.to_json(F.array("type")))
+    row = F.concat(F.lit("["), F.regexp_replace(pair, r"[\[\]]", ""), F.lit("]"))
+    wires = links.groupBy("workflow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("row")))), lambda s: s["row"]), ",").alias("links"))
+    body = F.to_json(F.struct("id", "type", "inputs", "outputs", "widgets_values"))
+    boxes = nodes.groupBy("workflow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", body.alias("body")))), lambda s: s["body"]), ",").alias("nodes"))
+    text = F.concat(F.lit('{"nodes":['), "nodes", F.lit('],"links":['), F.coalesce("links", F.lit("")), F.lit("]}"))
+    return boxes.join(wires, "workflow", "left").select("workflow", text.alias("json"))
+
+
 def with_unique_ids(items: DataFrame, order: str = "pos") -> DataFrame:
     """Cleaned ids, the k-th repeat of an id (k from 1) suffixed -k in the order given."""
     clean = items.withColumn("item_id", item_id(F.col("item_id")))

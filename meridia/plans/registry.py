@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import geometry_queries, inventory_queries, mesh_queries, scene_queries, stream_queries, vision_queries, workflow_queries  # noqa: E402, F401
+from . import geometry_queries, inventory_queries, mesh_queries, report_queries, scene_queries, source_queries, stream_queries, vision_queries, workflow_queries  # noqa: E402, F401

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timecodes import edit_point, parse_timecode, timecode
+from ..functions.text import escape_xml
+from ..functions.timecodes import edit_point, padded, parse_timecode, timecode
 
 
 def scene_list(scenes: DataFrame, fps: float) -> DataFrame:
@@ -55,7 +56,7 @@ def edit_list(scenes: DataFrame, fps: float, title: str) -> DataFrame:
     """(video, content): CMX 3600 edit lists."""
     rate = F.lit(float(fps))
     i, o = edit_point(F.col("start_frame"), rate), edit_point(F.col("end_frame"), rate)
-    line = F.concat(F.lpad(F.col("scene").cast("string"), 3, "0"), F.lit("  AX       V     C        "), F.concat_ws(" ", i, o, i, o))
+    line = F.concat(padded(F.col("scene"), 3), F.lit("  AX       V     C        "), F.concat_ws(" ", i, o, i, o))
     items = F.transform(F.array_sort(F.collect_list(F.struct("scene", line.alias("line")))), lambda s: s["line"])
     head = F.lit(f"* CREATED WITH MERIDIA\nTITLE: {title}\nFCM: NON-DROP FRAME\n\n")
     return scenes.groupBy("video").agg(F.concat(head, F.array_join(items, "\n"), F.lit("\n")).alias("content"))
@@ -68,6 +69,41 @@ def keyframe_list(scenes: DataFrame) -> DataFrame:
     return scenes.groupBy("video").agg(F.concat(F.array_join(items, "\n"), F.lit("\n")).alias("content"))
 
 
+def _seconds(frames: Column, rate: Column) -> Column:
+    return F.concat(F.format_string("%.3f", frames / rate), F.lit("s"))
+
+
+def xml_list(scenes: DataFrame, fps: float) -> DataFrame:
+    """(video, content): FCPXML edit lists, a clip for each scene."""
+    rate = F.lit(float(fps))
+    start, length = F.col("start_frame"), F.col("end_frame") - F.col("start_frame")
+    shot = F.concat(F.lit("Shot "), F.col("scene").cast("string"))
+    clip = F.format_string(
+        '<clip name="%s" duration="%s" start="%s" offset="%s"><asset-clip ref="asset1" duration="%s" start="%s" offset="0s" name="%s"/></clip>',
+        shot, _seconds(length, rate), _seconds(start, rate), _seconds(start, rate), _seconds(length, rate), _seconds(start, rate), shot,
+    )
+    items = F.transform(F.array_sort(F.collect_list(F.struct("scene", clip.alias("clip")))), lambda s: s["clip"])
+    name, whole = escape_xml(F.col("video").cast("string")), _seconds(F.max("end_frame"), rate)
+    head = F.format_string(
+        '<fcpxml version="1.9"><resources><format id="format1" name="FFVideoFormat1080p24"/><asset id="asset1" name="%s" duration="%s" hasVideo="1" hasAudio="1" format="format1"/></resources>'
+        '<library><event name="Shot Detection"><project name="%s"><sequence format="format1" duration="%s"><spine>', F.col("name"), F.col("whole"), F.col("name"), F.col("whole"),
+    )
+    rows = scenes.groupBy("video").agg(whole.alias("whole"), F.array_join(items, "").alias("clips")).withColumn("name", name)
+    return rows.select("video", F.concat(head, "clips", F.lit("</spine></sequence></project></event></library></fcpxml>")).alias("content"))
+
+
+def timeline_list(scenes: DataFrame, fps: float) -> DataFrame:
+    """(video, content): OpenTimelineIO JSON, a video track with a clip for each scene."""
+    time = lambda frames: F.struct(F.lit("RationalTime.1").alias("OTIO_SCHEMA"), F.lit(float(fps)).alias("rate"), frames.cast("double").alias("value"))
+    span = F.struct(F.lit("TimeRange.1").alias("OTIO_SCHEMA"), time(F.col("end_frame") - F.col("start_frame")).alias("duration"), time(F.col("start_frame")).alias("start_time"))
+    clip = F.struct(F.lit("Clip.2").alias("OTIO_SCHEMA"), F.concat(F.lit("Shot "), F.col("scene").cast("string")).alias("name"), span.alias("source_range"))
+    clips = F.transform(F.array_sort(F.collect_list(F.struct("scene", clip.alias("clip")))), lambda s: s["clip"])
+    track = F.struct(F.lit("Track.1").alias("OTIO_SCHEMA"), F.lit("Video").alias("kind"), F.lit("Video 1").alias("name"), F.col("clips").alias("children"))
+    stack = F.struct(F.lit("Stack.1").alias("OTIO_SCHEMA"), F.lit("tracks").alias("name"), F.array(track).alias("children"))
+    document = F.struct(F.lit("Timeline.1").alias("OTIO_SCHEMA"), F.col("video").cast("string").alias("name"), time(F.lit(0)).alias("global_start_time"), stack.alias("tracks"))
+    return scenes.groupBy("video").agg(clips.alias("clips")).select("video", F.to_json(document).alias("content"))
+
+
 def html_table(scenes: DataFrame, fps: float) -> DataFrame:
     """(video, content): an HTML table of each video's scenes."""
     rows = scene_list(scenes, fps)
@@ -82,5 +118,5 @@ def split_commands(scenes: DataFrame, fps: float) -> DataFrame:
     """(video, scene, command): what an external splitter would be told; nothing is run."""
     rate = F.lit(float(fps))
     length = F.col("end_frame") - F.col("start_frame")
-    out = F.concat_ws("-", "video", F.lit("Scene"), F.lpad(F.col("scene").cast("string"), 3, "0"))
+    out = F.concat_ws("-", "video", F.lit("Scene"), padded(F.col("scene"), 3))
     return scenes.select("video", "scene", F.concat_ws(" ", F.lit("ffmpeg -ss"), timecode(F.col("start_frame"), rate), F.lit("-i"), "video", F.lit("-t"), timecode(length, rate), F.concat(out, F.lit(".mp4"))).alias("command"))
