@@ -110,6 +110,46 @@ def broad_phase_between(spark, sf_dir):
     return spatial.overlap_pairs(b.where("idx % 2 = 0"), b.where("idx % 2 = 1"), cell=0.08)
 
 
+#: half sides of the boxes of three shapes over all orders, and what gathers their places into clusters
+_SHAPES = {"sparse": (2.0, 100_000.0), "clustered": (0.4, 40.0), "overlapping": (12.0, 100_000.0)}
+
+
+def _order_boxes(spark, sf_dir, shape: str) -> DataFrame:
+    half, width = _SHAPES[shape]
+    at = {"x": F.col("o_totalprice") / 100, "y": F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double"), "z": (F.col("o_orderkey") % 1000).cast("double")}
+    o = lifts.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), *((c % width).alias(a) for a, c in at.items()))
+    side = F.when(F.col("idx") % 500 == 0, half * 40).otherwise(half)
+    return o.select("idx", *((F.col(a) - side).alias(f"lo_{a}") for a in "xyz"), *((F.col(a) + side).alias(f"hi_{a}") for a in "xyz"))
+
+
+def _order_pairs(shape: str) -> str:
+    half, width = _SHAPES[shape]
+    ends = ", ".join(f"{a} {sign} h AS {e}_{a}" for e, sign in (("lo", "-"), ("hi", "+")) for a in "xyz")
+    return f"""WITH o AS (SELECT o_orderkey AS idx, (o_totalprice / 100) % {width} AS x, CAST(datediff('day', TIMESTAMP '1992-01-01', o_orderdate) AS DOUBLE) % {width} AS y, CAST(o_orderkey % 1000 AS DOUBLE) % {width} AS z,
+ CASE WHEN o_orderkey % 500 = 0 THEN {half} * 40 ELSE {half} END AS h FROM orders), b AS (SELECT idx, {ends} FROM o) SELECT a.idx AS left_idx, b.idx AS right_idx FROM b a JOIN b ON a.idx < b.idx AND {_OVERLAP}"""
+
+
+@query(_order_pairs("sparse"))
+def broad_phase_sparse(spark, sf_dir):
+    """Boxes of two sizes over all orders, on two grids."""
+    return spatial.overlap_pairs(_order_boxes(spark, sf_dir, "sparse"), cell=5.0)
+
+
+@query(_order_pairs("clustered"))
+def broad_phase_clustered(spark, sf_dir):
+    return spatial.overlap_pairs(_order_boxes(spark, sf_dir, "clustered"), cell=1.0)
+
+
+@query(_order_pairs("overlapping"))
+def broad_phase_overlapping(spark, sf_dir):
+    return spatial.overlap_pairs(_order_boxes(spark, sf_dir, "overlapping"), cell=25.0)
+
+
+@query(_order_pairs("sparse"))
+def sweep_sparse(spark, sf_dir):
+    return spatial.sweep_pairs(_order_boxes(spark, sf_dir, "sparse"), 5.0)
+
+
 @query(f"WITH e AS (SELECT greatest(hi_x - lo_x, hi_y - lo_y, hi_z - lo_z) * (1 + idx % 3) AS e FROM ({BOXES})) SELECT {r('e', 'median')} FROM (SELECT e, row_number() OVER (ORDER BY e) AS k, count(*) OVER () AS n FROM e) WHERE k = n // 2 + 1")
 def auto_cell_size(spark, sf_dir):
     extent = spatial.largest_extent() * (1 + F.col("idx") % 3)
