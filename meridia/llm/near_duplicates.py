@@ -11,8 +11,9 @@ listed once. Keys of halves that over ``HOT`` fingerprints share are not joined:
 are compared in tasks of their own, and each gives back a spanning forest of its links instead of the links.
 
 ``one_of_each_similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such sets differ
-in more bits of a SimHash than wildcards reach, so candidates share a band of MinHash values; every candidate is then
-decided by the sets themselves. Texts with equal sets are one vertex.
+in more bits of a SimHash than wildcards reach, so candidates share a band of MinHash values. Texts that hang together by bands
+are a cluster; its members are dealt into chunks, and tasks compare the sets of pairs of chunks, each giving back a
+spanning forest of the pairs that are similar. Texts with equal sets are one vertex.
 
 Nulls and empty texts: a null text counts as empty; texts without words have fingerprint zero, which links like any other.
 Rows with a null doc_id get a fingerprint and take part, but a class is named by its smallest doc_id that is not null.
@@ -33,6 +34,8 @@ from .shared import broadcast_if_small, components, forest, map_batches, materia
 HALF = 32
 #: fingerprints that share a half before its keys are taken apart, and members of a chunk of these
 HOT, CHUNK = 512, 512
+#: shingles of a chunk of a cluster of candidates, and of what a group compares, about
+SHINGLES = 400_000
 #: rows of one 64-bit id that are broadcast at most
 BROADCAST_ROWS = 500_000
 
@@ -181,45 +184,96 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame
     def start():
         def sign(batch: dict) -> dict:
             sets = [shingles(t, width) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "h": batch["h"], "fp": [set_id(s) for s in sets], "keys": [bands(s) for s in sets]}
+            return {"doc_id": batch["doc_id"], "h": batch["h"], "fp": [set_id(s) for s in sets], "size": [len(s) for s in sets], "keys": [bands(s) for s in sets]}
 
         return sign
 
     def start_sets():
         def take(batch: dict) -> dict:
             sets = [shingles(t, width) for t in batch["text"]]
-            return {"fp": [set_id(s) for s in sets], "set": [s.view("int64").tolist() for s in sets]}
+            return {"fp": [set_id(s) for s in sets], "set": [s.view("int64") for s in sets]}
 
         return take
 
-    prints = materialise(map_batches(slim, start, "doc_id long, h long, fp long, keys array<long>"), "bands")
+    prints = materialise(map_batches(slim, start, "doc_id long, h long, fp long, size long, keys array<long>"), "bands")
     vertices = _vertices(prints)
-    rows = materialise(prints.dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("key")), "keys")
+    sizes = materialise(prints.groupBy("fp").agg(F.max("size").alias("size"), F.first("keys").alias("keys")), "sizes")
+    rows = sizes.select("fp", F.explode("keys").alias("key"))
+    # texts that share a band hang together through the smallest of it: clusters hold all candidates
     low = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("key", "a")
-    star = materialise(rows.join(low, "key").where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "candidates")
+    clusters = components(rows.join(low, "key").where("a < fp").select("a", F.col("fp").alias("b")))
+    members = materialise(_dealt(clusters.select(F.col("id").alias("fp"), F.col("component_id").alias("cluster")).join(sizes.select("fp", "size"), "fp")), "members")
     # the sets of the candidates alone, from one document of each; rows without a doc_id are all looked at
-    wanted = star.select(F.col("a").alias("fp")).union(star.select("b")).distinct()
-    ids = materialise(vertices.join(wanted, "fp", "left_semi").where("first IS NOT NULL").select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "ids")
+    wanted = members.select("fp").distinct()
+    ids = vertices.join(wanted, "fp", "left_semi").where("first IS NOT NULL")
+    ids = materialise(ids.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "ids")
     ids = broadcast_if_small(ids, ids.count(), BROADCAST_ROWS)
     some = slim.join(ids, (slim["doc_id"] == ids["_id"]) & (slim["h"] == ids["_h"]), "left_semi").unionByName(slim.where("doc_id IS NULL"))
     sets = materialise(map_batches(some.select("text"), start_sets, "fp long, set array<long>").dropDuplicates(["fp"]), "sets")
-    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), sets.select(F.col("fp").alias("b"), F.col("set").alias("t"))
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("n", F.size(F.array_intersect("s", "t")))
-        return materialise(both.where(F.col("n") / (F.size("s") + F.size("t") - F.col("n")) >= similarity).select("a", "b"), name)
-
-    # first each member of a band with its smallest, then the pairs that this has not brought into one class
-    links = similar(star, "links")
-    classes = components(links)
-    rows = rows.join(classes, rows["fp"] == classes["id"], "left").select("fp", "key", F.coalesce("component_id", "fp").alias("label"))
-    rows = materialise(rows, "labels")
-    x, y = rows.alias("x"), rows.alias("y").hint("merge")
-    apart = (F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    links = links.unionByName(similar(pairs.join(star, ["a", "b"], "left_anti"), "more-links"))
+    shingles_dealt = members.agg(F.sum("size")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(int(shingles_dealt // SHINGLES) + 1))
+    dealt = members.join(sets.hint("merge"), "fp").withColumn("bucket", bucket)
+    links = dealt.groupBy("bucket").applyInArrow(_similar_pairs(similarity), "a long, b long")
     names = materialise(_named(vertices, components(links)), "classes")
-    return prints.drop("keys").join(names, "fp")
+    return prints.drop("keys", "size").join(names, "fp")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members(cluster, fp, size)`` with a chunk, once for each pair (i, j) of chunks of its cluster that it belongs to.
+
+    A chunk has about ``CHUNK`` members or ``SHINGLES`` shingles at most, whatever the cluster.
+    """
+    sums = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("chunks"))
+    rows = members.join(sums, "cluster").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("cluster", "fp", "size", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
+
+
+def _similar_pairs(similarity: float):
+    """For groups of many (cluster, i, j): a spanning forest of the pairs of chunk i and chunk j that are similar."""
+
+    def shared(values: np.ndarray, sizes: np.ndarray, n: int, own: bool) -> np.ndarray:
+        """How many shingles each of the first n sets shares with each of the others (or of the first n)."""
+        out = np.zeros((n, n if own else len(sizes) - n), dtype=np.float32)
+        _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        common = counts > 1
+        keep = common[column]
+        owner, column = owner[keep], (np.cumsum(common) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for at in range(0, int(common.sum()), 4096):
+            part = slice(*np.searchsorted(column, [at, at + 4096]))
+            held = np.zeros((len(sizes), 4096), dtype=np.float32)
+            held[owner[part], column[part] - at] = 1
+            out += held[:n] @ (held[:n] if own else held[n:]).T
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster, i, j, chunk, fp = (table.column(c).to_numpy() for c in ("cluster", "i", "j", "chunk", "fp"))
+        lists = table.column("set").combine_chunks()
+        sizes, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        order = np.lexsort((chunk, j, i, cluster))
+        keys = np.stack([cluster[order], i[order].astype(np.int64), j[order].astype(np.int64)])
+        stops = np.append(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, len(order)) if len(order) else []
+        begin, ones, others = 0, [], []
+        for stop in map(int, stops):
+            rows, begin = order[begin:stop], stop
+            own = i[rows[0]] == j[rows[0]]
+            n = len(rows) if own else int((chunk[rows] == i[rows[0]]).sum())
+            if n == 0 or (len(rows) < 2 if own else n == len(rows)):
+                continue
+            both = shared(np.concatenate([values[ends[r] - sizes[r] : ends[r]] for r in rows]), sizes[rows], n, own).astype(np.float64)
+            left, right = rows[:n], rows if own else rows[n:]
+            x, y = np.nonzero(both / (sizes[left][:, None] + sizes[right][None] - both) >= similarity)
+            a, b = fp[left[x]], fp[right[y]]
+            for p, q in forest(a[a != b], b[a != b]):
+                ones.append(p)
+                others.append(q)
+        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(others, pa.int64())})
+
+    return run
 
 
 def one_of_each_group(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:

@@ -48,3 +48,23 @@ def test_stage_on_the_table_and_odd_rows(spark, sf_dir):
     assert odd.columns == odd_documents(spark).columns
     assert sorted(str(r["doc_id"]) for r in odd.collect()) == ["1", "2", "7", "8", "9", "None"]
     assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, no_documents(spark), sf_dir).count() == 0
+
+
+def test_a_large_loose_cluster_and_long_texts(spark, sf_dir, monkeypatch):
+    """Copies of one text, each changed on its own, so that few are similar to the first: chunks must find all classes."""
+    from meridia.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "CHUNK", 40)
+    monkeypatch.setattr(near_duplicates, "SHINGLES", 3000)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            copy[at] = f"x{rng.integers(0, 50)}"
+        rows.append((k, " ".join(copy)))
+    long = [f"v{k}" for k in rng.integers(0, 9000, 8000)]
+    rows += [(500, " ".join(long)), (501, " ".join([*long[:4000], "y", *long[4000:]])), (502, " ".join(reversed(long)))]
+    kept = stage(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS), sf_dir)
+    assert kept == brute_kept(rows) and kept[-2:] == [500, 502]
