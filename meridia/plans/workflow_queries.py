@@ -14,42 +14,75 @@ from .registry import query
 
 
 def _workflows(spark, sf_dir):
-    """(workflow, json): a chain of three nodes an event; every fourth lacks a node, every fifth repeats a link."""
-    e = lifts.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("workflow"))
-    node = lambda n, kind, ins, outs: f'{{"id":{n},"type":"{kind}","inputs":[{ins}],"outputs":[{outs}]}}'
-    one = node(1, "Load", "", '{"name":"o","type":"image","links":[1]}')
-    two = node('"2"', "Scale", '{"name":"i","type":"IMAGE","link":1}', '{"name":"o","type":" bool ","links":[2]}')
-    three = node(3, "Save", '{"name":"i","type":"MODEL_PATCH","link":2},{"name":"j","type":"LATENT","link":9}', "")
-    nodes = F.when(F.col("workflow") % 4 == 0, f"[{one},{two}]").otherwise(f"[{one},{two},{three}]")
-    links = F.when(F.col("workflow") % 5 == 0, '[[1,1,0,2,0,"IMAGE"],[1,1,0,2,0,"IMAGE"],[2,2,0,3,0,"BOOL"]]').otherwise('[[1,1,0,2,0,"IMAGE"],[2,2,0,3,0,"BOOL"]]')
-    return e.select("workflow", F.concat(F.lit('{"nodes":'), nodes, F.lit(',"links":'), links, F.lit(',"extra":{"k":1}}')).alias("json"))
-
-
-_W = "w AS (SELECT CAST(event_id AS BIGINT) AS workflow FROM events)"
-
-
-@query(f"""WITH {_W} SELECT workflow, 'link_without_node' AS problem, '2' AS ref FROM w WHERE workflow % 4 = 0 UNION ALL SELECT workflow, 'repeated_link', '1' FROM w WHERE workflow % 5 = 0
- UNION ALL SELECT workflow, 'input_without_link', '3' FROM w WHERE workflow % 4 <> 0""")
+    """(workflow, json): a chain of two to four nodes an event, of types that follow the event; every fourth lacks its last
+    node, every fifth repeats a link, every seventh has an input that no link feeds."""
+    i = F.col("event_id")
+    e = lifts.table(spark, sf_dir, "events").withColumn("n", (2 + i % 3).cast("int"))
+    s = lambda c: c.cast("string")
+    kind = lambda k: F.element_at(F.array(*map(F.lit, ("image", "LATENT", " bool ", "MODEL_PATCH"))), ((i + k) % 4 + 1).cast("int"))
+
+    def node(k):
+        feed = F.when((i % 7 == 0) & (k == F.col("n")), F.lit("9")).otherwise(s(k - 1))
+        ins = F.when(k > 1, F.concat(F.lit('{"name":"i","type":"'), kind(k - 1), F.lit('","link":'), feed, F.lit("}"))).otherwise("")
+        outs = F.when(k < F.col("n"), F.concat(F.lit('{"name":"o","type":"'), kind(k), F.lit('","links":['), s(k), F.lit("]}"))).otherwise("")
+        mark = F.when(k % 2 == 0, '"').otherwise("")
+        return F.concat(F.lit('{"id":'), mark, s(k), mark, F.lit(',"type":"'), F.col("event_type"), F.lit('","inputs":['), ins, F.lit('],"outputs":['), outs, F.lit("]}"))
+
+    def link(k):
+        return F.concat(F.lit("["), s(k), F.lit(","), s(k), F.lit(",0,"), s(k + 1), F.lit(',0,"'), kind(k), F.lit('"]'))
+
+    last = F.when(i % 4 == 0, F.col("n") - 1).otherwise(F.col("n"))
+    nodes = F.array_join(F.transform(F.sequence(F.lit(1), last), node), ",")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n") - 1), link), ",")
+    links = F.when(i % 5 == 0, F.concat(link(F.lit(1)), F.lit(","), links)).otherwise(links)
+    return e.select(i.cast("long").alias("workflow"), F.concat(F.lit('{"nodes":['), nodes, F.lit('],"links":['), links, F.lit('],"extra":{"k":1}}')).alias("json"))
+
+
+#: the same texts, taken apart with JSON functions
+_W = """e AS (SELECT CAST(event_id AS BIGINT) AS i, CAST(2 + event_id % 3 AS INTEGER) AS n, event_type FROM events), kinds AS (SELECT ['image', 'LATENT', ' bool ', 'MODEL_PATCH'] AS kinds),
+ ns AS (SELECT i, string_agg('{"id":' || CASE WHEN k % 2 = 0 THEN '"' || k || '"' ELSE k::VARCHAR END || ',"type":"' || event_type || '","inputs":[' || CASE WHEN k > 1 THEN '{"name":"i","type":"' || kinds[(i + k - 1) % 4 + 1] || '","link":' || CASE WHEN i % 7 = 0 AND k = n THEN 9 ELSE k - 1 END || '}' ELSE '' END
+  || '],"outputs":[' || CASE WHEN k < n THEN '{"name":"o","type":"' || kinds[(i + k) % 4 + 1] || '","links":[' || k || ']}' ELSE '' END || ']}', ',' ORDER BY k) AS nodes FROM e, kinds, range(1, 5) t(k) WHERE k <= n - CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END GROUP BY 1),
+ ls AS (SELECT i, string_agg('[' || k || ',' || k || ',0,' || (k + 1) || ',0,"' || kinds[(i + k) % 4 + 1] || '"]', ',' ORDER BY k, c) AS links FROM e, kinds, range(1, 5) t(k), range(2) u(c) WHERE k < n AND (c = 0 OR (k = 1 AND i % 5 = 0)) GROUP BY 1),
+ w AS (SELECT i AS workflow, CAST('{"nodes":[' || nodes || '],"links":[' || links || '],"extra":{"k":1}}' AS JSON) AS json FROM ns JOIN ls USING (i)),
+ n AS (SELECT workflow, x->>'id' AS id, CAST(x->'inputs' AS JSON[]) AS ins, CAST(x->'outputs' AS JSON[]) AS outs FROM (SELECT workflow, unnest(CAST(json->'nodes' AS JSON[])) AS x FROM w)),
+ l AS (SELECT workflow, CAST(x->>0 AS BIGINT) AS id, x->>1 AS origin, x->>3 AS target, x->>5 AS type FROM (SELECT workflow, unnest(CAST(json->'links' AS JSON[])) AS x FROM w)),
+ i AS (SELECT workflow, id, x->>'type' AS type, CAST(x->>'link' AS BIGINT) AS link FROM (SELECT workflow, id, unnest(ins) AS x FROM n)),
+ o AS (SELECT workflow, id, x->>'type' AS type, unnest(CAST(x->'links' AS BIGINT[])) AS link FROM (SELECT workflow, id, unnest(outs) AS x FROM n))"""
+_SOCKET = "CASE upper(trim(type)) WHEN 'BOOL' THEN 'BOOLEAN' WHEN 'MODEL_PATCH' THEN 'MODEL' ELSE upper(trim(type)) END"
+
+
+@query(f"""WITH {_W} SELECT workflow, 'repeated_link' AS problem, CAST(id AS VARCHAR) AS ref FROM l GROUP BY 1, 3 HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT l.workflow, 'link_without_node', CAST(l.id AS VARCHAR) FROM l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workflow = l.workflow AND n.id = l.origin) OR NOT EXISTS (SELECT 1 FROM n WHERE n.workflow = l.workflow AND n.id = l.target)
+ UNION ALL SELECT DISTINCT workflow, 'input_without_link', i.id FROM i WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.workflow = i.workflow AND l.id = i.link)
+ UNION ALL SELECT DISTINCT workflow, 'output_without_link', o.id FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.workflow = o.workflow AND l.id = o.link)""")
 def workflow_validate(spark, sf_dir):
     return workflow.problems(_workflows(spark, sf_dir))
 
 
-@query(f"WITH {_W} SELECT workflow, CAST(id AS BIGINT) AS id, o AS origin, t AS target, k AS type FROM w, (VALUES (1, '1', '2', 'IMAGE'), (2, '2', '3', 'BOOL')) v(id, o, t, k) UNION ALL SELECT workflow, 1, '1', '2', 'IMAGE' FROM w WHERE workflow % 5 = 0")
+@query(f"WITH {_W} SELECT workflow, id, origin, target, type FROM l")
 def workflow_links(spark, sf_dir):
     return workflow.links(_workflows(spark, sf_dir)).select("workflow", "id", "origin", "target", "type")
 
 
-@query(f"WITH {_W} SELECT workflow, CASE WHEN workflow % 4 = 0 THEN 'IMAGE' ELSE 'IMAGE,LATENT,MODEL' END AS inputs, 'BOOLEAN,IMAGE' AS outputs, 'BOOLEAN,IMAGE' AS links FROM w")
+@query(f"""WITH {_W}, a AS (SELECT workflow, 'i' AS k, {_SOCKET} AS t FROM i UNION SELECT workflow, 'o', {_SOCKET} FROM o UNION SELECT workflow, 'l', {_SOCKET} FROM l)
+ SELECT workflow, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 'i'), '') AS inputs, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 'o'), '') AS outputs, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 'l'), '') AS links FROM a GROUP BY 1""")
 def observed_socket_types(spark, sf_dir):
     out = workflow.socket_types(_workflows(spark, sf_dir))
     return out.select("workflow", *(F.concat_ws(",", c).alias(c) for c in ("inputs", "outputs", "links")))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS prompt, '2' AS node, 'images' AS input, '1' AS origin, CAST(event_id % 3 AS INTEGER) AS slot FROM events")
+_PROMPT = """p AS (SELECT event_id AS prompt, CAST('{"1":{"class_type":"Load","inputs":{"name":"a.png","size":[1,2,3]}},"' || (2 + event_id % 4) || '":{"class_type":"' || event_type || '","inputs":{"images":["1",' || (event_id % 3) || '],"mask":' || CASE WHEN event_id % 2 = 0 THEN '["' || (event_id % 9) || '",1]' ELSE '["x",-1]' END || '}}}' AS JSON) AS json FROM events),
+ n AS (SELECT prompt, unnest(json_keys(json)) AS node, json FROM p), b AS (SELECT prompt, node, json_extract(json, '$."' || node || '".inputs') AS ins FROM n), v AS (SELECT prompt, node, unnest(json_keys(ins)) AS input, ins FROM b),
+ x AS (SELECT prompt, node, input, json_extract(ins, '$."' || input || '"') AS raw FROM v)"""
+
+
+@query(f"WITH {_PROMPT} SELECT CAST(prompt AS BIGINT) AS prompt, node, input, raw->>0 AS origin, CAST(raw->>1 AS INTEGER) AS slot FROM x WHERE json_type(raw) = 'ARRAY' AND json_array_length(raw) = 2 AND CAST(raw->>1 AS INTEGER) >= 0")
 def prompt_links(spark, sf_dir):
-    e = lifts.table(spark, sf_dir, "events")
-    json = F.concat(F.lit('{"1":{"class_type":"Load","inputs":{"name":"a.png","size":[1,2,3]}},"2":{"class_type":"Save","inputs":{"images":["1",'), (F.col("event_id") % 3).cast("string"), F.lit(']}}}'))
-    return workflow.prompt_links(e.select(F.col("event_id").alias("prompt"), json.alias("json")))
+    i = F.col("event_id")
+    s = lambda c: c.cast("string")
+    mask = F.when(i % 2 == 0, F.concat(F.lit('["'), s(i % 9), F.lit('",1]'))).otherwise('["x",-1]')
+    json = F.concat(F.lit('{"1":{"class_type":"Load","inputs":{"name":"a.png","size":[1,2,3]}},"'), s(2 + i % 4), F.lit('":{"class_type":"'), F.col("event_type"), F.lit('","inputs":{"images":["1",'), s(i % 3), F.lit('],"mask":'), mask, F.lit("}}}"))
+    return workflow.prompt_links(lifts.table(spark, sf_dir, "events").select(i.alias("prompt"), json.alias("json")))
 
 
 def _items(spark, sf_dir):
@@ -135,11 +168,14 @@ def edit_points(spark, sf_dir):
     return e.select("event_id", edit_point(F.col("event_id"), F.lit(25.0)).alias("edit"))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS workflow, k AS kind, v AS value FROM events, (VALUES ('model', 'a.ckpt'), ('image', 'in.png')) t(k, v)")
+@query("""WITH w AS (SELECT event_id AS workflow, CAST('{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["' || event_type || '.ckpt",7]},{"id":2,"type":"' || CASE WHEN event_id % 2 = 0 THEN 'LoadImage' ELSE 'SaveImage' END || '","widgets_values":["in' || user_id || '.png"," ","12"]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}' AS JSON) AS json FROM events),
+ n AS (SELECT workflow, x->>'type' AS type, unnest(CAST(x->'widgets_values' AS JSON[])) AS v FROM (SELECT workflow, unnest(CAST(json->'nodes' AS JSON[])) AS x FROM w)),
+ k AS (SELECT CAST(workflow AS BIGINT) AS workflow, CASE type WHEN 'CheckpointLoaderSimple' THEN 'model' WHEN 'LoadImage' THEN 'image' WHEN 'SaveImage' THEN 'output' END AS kind, v->>'$' AS value FROM n)
+ SELECT DISTINCT workflow, kind, value FROM k WHERE kind IS NOT NULL AND trim(value) <> '' AND TRY_CAST(value AS DOUBLE) IS NULL""")
 def workflow_assets(spark, sf_dir):
-    e = lifts.table(spark, sf_dir, "events")
-    json = '{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["a.ckpt",7]},{"id":2,"type":"LoadImage","widgets_values":["in.png"," "]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}'
-    return workflow.assets(e.select(F.col("event_id").alias("workflow"), F.lit(json).alias("json")))
+    kind = F.when(F.col("event_id") % 2 == 0, "LoadImage").otherwise("SaveImage")
+    json = F.concat(F.lit('{"nodes":[{"id":1,"type":"CheckpointLoaderSimple","widgets_values":["'), F.col("event_type"), F.lit('.ckpt",7]},{"id":2,"type":"'), kind, F.lit('","widgets_values":["in'), F.col("user_id").cast("string"), F.lit('.png"," ","12"]},{"id":3,"type":"KSampler","widgets_values":["euler"]}],"links":[]}'))
+    return workflow.assets(lifts.table(spark, sf_dir, "events").select(F.col("event_id").alias("workflow"), json.alias("json")))
 
 
 @query("SELECT page_id FROM pages WHERE page_id * 10 BETWEEN 100 AND 2000 AND page_id % 3 <> 2")
