@@ -1,4 +1,4 @@
-"""Connected components by propagating the smallest label, with written tables between rounds."""
+"""Connected components by large-star and small-star steps, with written tables between them."""
 
 from __future__ import annotations
 
@@ -8,24 +8,44 @@ from pyspark.sql import functions as F
 from .tables import written
 
 
-def min_labels(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, label) for ``nodes(id)`` and undirected ``links(a, b)``: label is the smallest id reachable.
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components of ``edges(a, b)``: (id, component_id), component_id the smallest id reachable.
 
-    Each round takes the smallest label among neighbours, then the label of the label, which shortens long chains.
-    Raises if labels still change after ``max_rounds``.
+    Alternates the large-star and small-star steps, which end in one star per component. Each step is a
+    minimum per vertex (combined map-side) joined back to the edges; both sides of the join are written
+    tables or plain exchanges, so that Spark can split a hub's edges. Raises if it has not settled
+    after ``max_rounds``. Self-links and nulls are ignored; an empty input gives no rows.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "links")
-    labels = written(nodes.select("id", F.col("id").alias("label")).distinct(), "labels")
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    edges = written(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    )
+    before = None
     for _ in range(max_rounds):
-        heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(heard, labels["id"] == heard["a"], "left")
-        step = written(step.select("id", "label", F.least("label", F.coalesce("low", "label")).alias("next")), "step")
-        jump = step.select(F.col("id").alias("of"), F.col("next").alias("further"))
-        after = step.join(jump, step["next"] == jump["of"], "left")
-        after = written(after.select("id", "label", F.least("next", F.coalesce("further", "next")).alias("next")), "after")
-        changed = after.where(F.col("label") != F.col("next")).limit(1).count()
-        labels = after.select("id", F.col("next").alias("label"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = written(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "low")
+        large = (
+            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ).where("u <> v").distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = (
+            large.join(low, "u")
+            .where("v <> m")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(low.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
+        edges = written(small, "small")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            return stars.unionByName(stars.select(F.col("component_id").alias("id"), "component_id").distinct())
+        before = now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def min_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) for ``nodes(id)`` and undirected ``links(a, b)``: label is the smallest id reachable. Ids may be structs."""
+    stars = components(links.select("a", "b"))
+    return nodes.select("id").distinct().join(stars, "id", "left").select("id", F.coalesce("component_id", "id").alias("label"))
