@@ -1,4 +1,4 @@
-"""Written tables, batches and connected components for the corpus operators.
+"""Written tables, batches and forests for the corpus operators.
 
 Lineage is cut with Parquet tables in the folder that ``spark.checkpoint.dir`` names, which the driver and all executors see.
 """
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..operators.tables import fresh_path  # noqa: F401  the operators take it from here
-from ..operators.tables import written as materialise
+# the operators take these from here
+from ..operators.graph import components  # noqa: F401
+from ..operators.tables import fresh_path  # noqa: F401
+from ..operators.tables import written as materialise  # noqa: F401
 
 
 def map_batches(df: DataFrame, start, schema: str) -> DataFrame:
@@ -50,40 +52,3 @@ def forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
         if p != q:
             parent[max(p, q)] = min(p, q)
             yield x, y
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (id, component_id), component_id the smallest id reachable.
-
-    Alternates the large-star and small-star steps, which end in one star per component. Each step is a
-    minimum per vertex (combined map-side) joined back to the edges; both sides of the join are written
-    tables or plain exchanges, so that Spark can split a hub's edges. Raises if it has not settled
-    after ``max_rounds``. Self-links and nulls are ignored; an empty input gives no rows.
-    """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = materialise(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    before = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "low")
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).where("u <> v").distinct()
-        large = materialise(large, "large")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (
-            large.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = materialise(small, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-            return stars.unionByName(stars.select(F.col("component_id").alias("id"), "component_id").distinct())
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
