@@ -35,7 +35,7 @@ HALF = 32
 #: fingerprints that share a half before its keys are taken apart, and members of a chunk of these
 HOT, CHUNK = 512, 512
 #: shingles of a chunk of a cluster of candidates, and of what a group compares, about
-SHINGLES = 400_000
+SHINGLES = 200_000
 #: rows of one 64-bit id that are broadcast at most
 BROADCAST_ROWS = 500_000
 
@@ -242,9 +242,9 @@ def _similar_pairs(similarity: float):
         owner, column = owner[keep], (np.cumsum(common) - 1)[column[keep]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        for at in range(0, int(common.sum()), 4096):
-            part = slice(*np.searchsorted(column, [at, at + 4096]))
-            held = np.zeros((len(sizes), 4096), dtype=np.float32)
+        for at in range(0, int(common.sum()), 2048):
+            part = slice(*np.searchsorted(column, [at, at + 2048]))
+            held = np.zeros((len(sizes), 2048), dtype=np.float32)
             held[owner[part], column[part] - at] = 1
             out += held[:n] @ (held[:n] if own else held[n:]).T
         return out
