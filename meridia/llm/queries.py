@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .embedding_duplicates import op6_embedding_duplicates
+from .hard_negatives import op11_hard_negatives
+from .language import op13_language
 from .licenses import RULES, SENTENCES, op4_licenses
 from .mixing import op5_mixing
 from .near_duplicates import op3_near_duplicates
@@ -12,6 +14,7 @@ from .shards import op10_shards
 from .token_counts import op8_token_counts
 from .token_files import op2_token_files
 from .toxicity import op9_toxicity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_shards": op10_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_language": op13_language,
 }
 
 

@@ -32,6 +32,28 @@ def map_batches(df: DataFrame, start, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def summed(df: DataFrame, start, height: int, width: int) -> np.ndarray:
+    """The sum over all batches of a (height, width) matrix: ``start()`` is called once a task and gives the function of a batch.
+
+    Tasks add up their batches; Spark adds the parts by row of the matrix, so that only one matrix comes to the driver."""
+    kind = "i int, y array<double>"
+
+    def part(batches):
+        apply, total = start(), np.zeros((height, width))
+        for batch in batches:
+            total += apply(batch)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(height), pa.int32()), "y": pa.array(list(total), pa.list_(pa.float64()))})
+
+    def add(table: pa.Table) -> pa.Table:
+        y = table.column("y").combine_chunks().flatten().to_numpy().reshape(-1, width).sum(axis=0)
+        return pa.table({"i": table.column("i").slice(0, 1), "y": pa.array([y], pa.list_(pa.float64()))})
+
+    found = df.mapInArrow(part, kind).groupBy("i").applyInArrow(add, kind).toArrow()
+    out = np.zeros((height, width))
+    out[found.column("i").to_numpy()] = np.array(found.column("y").to_pylist()).reshape(-1, width)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` only when its counted rows are within ``limit``; else leave the join to Spark."""
     return F.broadcast(df) if rows <= limit else df
