@@ -118,9 +118,12 @@ def _pack(dim: int):
 
 def blocks(rows: DataFrame, depth: int, block_rows: int, by_label: bool, dim: int, name: str) -> DataFrame:
     """``rows(rid, vec_id, label, x, path, lows, highs)`` as BLOCKS of about ``block_rows`` rows, with root, own depth and prefix."""
-    rows = rows.withColumn("root", F.col("label").cast("string") if by_label else F.lit("all"))
-    sizes = materialise(rows.groupBy("root").agg(F.count("*").alias("size")), "roots")
-    rows = rows.join(broadcast_if_small(sizes, sizes.count(), 100_000), "root")
+    if by_label:
+        rows = rows.withColumn("root", F.col("label").cast("string"))
+        sizes = materialise(rows.groupBy("root").agg(F.count("*").alias("size")), "roots")
+        rows = rows.join(broadcast_if_small(sizes, sizes.count(), 100_000), "root")
+    else:
+        rows = rows.withColumns({"root": F.lit("all"), "size": F.lit(rows.count())})
     own = F.least(F.greatest(F.ceil(F.log2(F.col("size") / block_rows)), F.lit(0)), F.lit(depth)).cast("int")
     rows = rows.withColumn("own", own).withColumn("prefix", F.expr(f"shiftright(path, {depth} - own)"))
     crowds = materialise(rows.groupBy("root", "prefix").agg(F.count("*").alias("crowd")), "crowds")
