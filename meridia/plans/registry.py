@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import geometry_queries, inventory_queries, mesh_queries, render_queries, report_queries, scene_queries, source_queries, stream_queries, type_queries, vision_queries, workflow_queries  # noqa: E402, F401
+from . import edge_queries, geometry_queries, inventory_queries, mesh_queries, render_queries, report_queries, scene_queries, source_queries, stream_queries, type_queries, vision_queries, workflow_queries  # noqa: E402, F401
