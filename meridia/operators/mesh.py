@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,60 +204,110 @@ def samples(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
     return f.select("s_idx", KEY, "t_idx", *(c.alias(k) for k, c in zip("xyz", p)))
 
 
-#: rows of a query side that are broadcast at most; larger ones are left to Spark
-BROADCAST_QUERIES = 100_000
+#: levels of eight that a step of a search goes down, and about how many triangles a leaf holds
+STEP, LEAF = 2, 24
 
 
-def _blocks(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Triangles with their corners and a block, and the blocks with the bounds of their triangles.
+def _tree(vertices: DataFrame, triangles: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Triangles with their corners and ``code``, and the depth of the tree of their codes.
 
-    A mesh of n triangles is cut by the places of its centroids into about sqrt(n) blocks, so that queries are
-    compared with few bounds and then with the triangles of few blocks.
+    A code holds the bits of the centroid's place within the bounds of its ``keys``, one of each axis after the other, so that its
+    first bits are a cell of an octree at every level.
     """
     t = corners()
     rows = with_corners(vertices, triangles).withColumns({f"m{k}": c for k, c in zip("xyz", t.centroid())})
+    rows = written(rows.select(KEY, "t_idx", *(f"{c}{k}" for c in "abcm" for k in "xyz")), "corners")
     ends = [f(f"m{k}").alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
-    rows = rows.join(rows.groupBy(KEY).agg(F.ceil(F.pow(F.count("*"), F.lit(1 / 6))).alias("side"), *ends), KEY)
-    for k in "xyz":
-        share = (F.col(f"m{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0))
-        rows = rows.withColumn(f"b{k}_", F.coalesce(F.least(F.floor(share * F.col("side")), F.col("side") - 1), F.lit(0)))
-    block = F.struct("bx_", "by_", "bz_")
-    rows = written(rows.select(KEY, "t_idx", block.alias("block"), *(f"{c}{k}" for c in "abc" for k in "xyz")), "blocks")
-    low = (F.min(F.least(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"lo_{k}") for k in "xyz")
-    high = (F.max(F.greatest(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"hi_{k}") for k in "xyz")
-    return rows, rows.groupBy(KEY, "block").agg(*low, *high)
-
-
-def _against(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every query row with every block: a stated set of queries, broadcast if counted as few."""
-    few = queries.count() <= BROADCAST_QUERIES
-    return blocks.crossJoin(F.broadcast(queries) if few else queries)
+    bounds = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), *ends), "bounds")
+    most = bounds.agg(F.max("n")).first()[0] or 1
+    depth = STEP * max(1, min(5, math.ceil(math.log(max(1, most / LEAF), 8**STEP))))
+    rows = rows.join(bounds, keys) if keys else rows.join(F.broadcast(bounds), F.lit(True))
+    code = F.lit(0).cast("long")
+    for axis, k in enumerate("xyz"):
+        share = F.coalesce((F.col(f"m{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0)), F.lit(0.0))
+        rows = rows.withColumn(f"i{k}", F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)).cast("long"))
+        for bit in range(depth):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"i{k}"), bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + axis))
+    return written(rows.withColumn("code", code).select(KEY, "t_idx", "code", *(f"{c}{k}" for c in "abc" for k in "xyz")), "coded"), depth
+
+
+def _level(rows: DataFrame, depth: int, level: int, keys: list[str]) -> DataFrame:
+    """(keys, up, cell, lo.., hi..): the cells of a level with the bounds of their triangles, ``up`` their cell of the step before."""
+    low = [F.min(F.least(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"lo_{k}") for k in "xyz"]
+    high = [F.max(F.greatest(*(F.col(f"{c}{k}") for c in "abc"))).alias(f"hi_{k}") for k in "xyz"]
+    cells = rows.groupBy(*keys, F.shiftright("code", 3 * (depth - level)).alias("cell")).agg(*low, *high)
+    return cells.withColumn("up", F.shiftright("cell", 3 * STEP))
+
+
+def _descended(queries: DataFrame, rows: DataFrame, depth: int, keys: list[str], kept) -> DataFrame:
+    """``queries(.., keys, cell)`` at the root with the leaf cells that ``kept`` leaves of them, a step of levels at a time, by equality of
+    cells. Each step drops the bounds of the one before."""
+    found = queries
+    for level in range(STEP, depth + 1, STEP):
+        nodes = _level(rows, depth, level, keys)
+        # the first step has at most 8^STEP cells a key
+        found = kept(found.withColumnRenamed("cell", "up").join(F.broadcast(nodes) if level == STEP and not keys else nodes, [*keys, "up"]))
+        found = found.drop("up", *(f"{e}_{k}" for e in ("lo", "hi") for k in "xyz"))
+    return found
 
 
 def ray_hits(rays: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """(ray, mesh_id, t_idx, distance) of all triangles that ``rays(ray, ox, oy, oz, dx, dy, dz)`` hit, their borders included."""
-    rows, blocks = _blocks(vertices, triangles)
+    """(ray, mesh_id, t_idx, distance) of all triangles that ``rays(ray, ox, oy, oz, dx, dy, dz)`` hit, their borders included.
+
+    All meshes are one tree of bounds, which the rays go down.
+    """
+    rows, depth = _tree(vertices, triangles, [])
     ray, t = Ray(Vec.columns("o"), Vec.columns("d")), corners()
     # a little wider than the triangles, whose borders count
     wide = {f"{e}_{k}": F.col(f"{e}_{k}") + F.lit(s * 1e-5) * (1 + F.abs(F.col(f"{e}_{k}"))) for e, s in (("lo", -1), ("hi", 1)) for k in "xyz"}
-    met = _against(rays, blocks.withColumns(wide)).where(ray.box(Box.columns())[1].isNotNull())
-    near = met.drop(*wide).join(rows, [KEY, "block"]).withColumn("distance", ray.triangle(t.a, t.b, t.c))
+
+    def kept(met: DataFrame) -> DataFrame:
+        return met.withColumns(wide).where(ray.box(Box.columns())[1].isNotNull())
+
+    met = _descended(rays.withColumn("cell", F.lit(0).cast("long")), rows, depth, [], kept).withColumnRenamed("cell", "code")
+    near = met.join(rows, "code").withColumn("distance", ray.triangle(t.a, t.b, t.c))
     return near.where("distance IS NOT NULL").select("ray", KEY, "t_idx", "distance")
 
 
+def _nearest_weights(near: DataFrame, p: Vec) -> tuple[DataFrame, Column, Column]:
+    """``near`` with the weights of b and c in the point of a triangle nearest to ``p``: a corner, on a side, or inside."""
+    t = corners()
+    near, ab, ac, ap, bp, cp = held(near, ab=t.b - t.a, ac=t.c - t.a, ap=p - t.a, bp=p - t.b, cp=p - t.c)
+    near, (d1, d2, d3, d4, d5, d6) = held(near, d=tuple(f for v in (ap, bp, cp) for f in (ab.dot(v), ac.dot(v))))
+    near, (va, vb, vc) = held(near, v=(d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2))
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    side = over(d4 - d3, (d4 - d3) + (d5 - d6))
+    cases = [
+        ((d1 <= 0) & (d2 <= 0), zero, zero), ((d3 >= 0) & (d4 <= d3), one, zero), ((vc <= 0) & (d1 >= 0) & (d3 <= 0), over(d1, d1 - d3), zero),
+        ((d6 >= 0) & (d5 <= d6), zero, one), ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, over(d2, d2 - d6)), ((va <= 0) & (d4 >= d3) & (d5 >= d6), one - side, side),
+    ]
+    first = lambda k: reduce(lambda w, case: w.when(case[0], case[k]), cases[1:], F.when(cases[0][0], cases[0][k]))
+    total = va + vb + vc
+    near, w = held(near, w=(first(1).otherwise(over(vb, total)), first(2).otherwise(over(vc, total))))
+    return near, *w
+
+
 def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """(query, mesh_id, t_idx, distance, x, y, z): the nearest surface point of each of ``queries(query, qx, qy, qz)`` on each mesh.
 
-    Blocks that begin farther off than another ends are left out. The smaller t_idx wins ties. An aggregate keeps only the best
-    so far, so no candidate list is sorted.
+    Each mesh is a tree of bounds; cells that begin farther off than another ends are left out at every step. The smaller t_idx wins ties. An
+    aggregate keeps only the best so far, so no candidate list is sorted.
     """
-    rows, blocks = _blocks(vertices, triangles)
+    rows, depth = _tree(vertices, triangles, [KEY])
     p, t, box = Vec.columns("q"), corners(), Box.columns()
     end = Vec(*(F.greatest(F.abs(c - a), F.abs(c - b)) for c, a, b in zip(p, box.low, box.high))).length()
-    met = _against(queries, blocks).withColumn("begin", box.distance(p)).withColumn("end", end)
-    met = met.withColumn("end", F.min("end").over(Window.partitionBy("query", KEY))).where(F.col("begin") <= F.col("end") * (1 + 1e-9))
-    near = met.select("query", "qx", "qy", "qz", KEY, "block").join(rows, [KEY, "block"])
-    near, foot = held(near, foot=t.foot(p))
-    near, at = held(near, near=t.closest(p, foot))
+
+    def kept(met: DataFrame) -> DataFrame:
+        met = met.withColumn("begin", box.distance(p)).withColumn("end", F.min(end).over(Window.partitionBy("query", KEY)))
+        return met.where(F.col("begin") <= F.col("end") * (1 + 1e-9)).drop("begin", "end")
+
+    # the result has a row for each query and mesh
+    meshes = written(rows.select(KEY).distinct(), "meshes").limit(2).collect()
+    some = queries.select("query", "qx", "qy", "qz")
+    start = some.withColumn(KEY, F.lit(meshes[0][0])) if len(meshes) == 1 else some.crossJoin(rows.select(KEY).distinct())
+    met = _descended(start.withColumn("cell", F.lit(0).cast("long")), rows, depth, [KEY], kept).withColumnRenamed("cell", "code")
+    near, v, w = _nearest_weights(met.join(rows, [KEY, "code"]), p)
+    near, at = held(near, near=t.a + (t.b - t.a) * v + (t.c - t.a) * w)
     item = F.struct(at.distance(p).alias("distance"), "t_idx", *(c.alias(k) for k, c in zip("xyz", at)))
     return near.groupBy("query", KEY).agg(F.min(item).alias("m")).select("query", KEY, "m.t_idx", "m.distance", "m.x", "m.y", "m.z")

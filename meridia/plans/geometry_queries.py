@@ -365,8 +365,17 @@ def box_iou(spark, sf_dir):
     return rows.select("idx", tidy(shapes.iou(a, b)).alias("iou"), x.alias("px"), w.alias("pw"))
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, round(6.0 * (id + 1) * (id + 1) * (id + 1), 6) + 0.0 AS determinant, 1.0 AS unit FROM range(20) t(id)")
+_M = [[f'"{p}{a}"' + (" + 1" if p == q else "") for a, q in zip("xyz", "abc")] for p in "abc"]
+_MINOR = "(({0}) * ({3}) - ({1}) * ({2}))"
+_DET = " + ".join(f"({_M[0][k]}) * {_MINOR.format(_M[1][(k + 1) % 3], _M[1][(k + 2) % 3], _M[2][(k + 1) % 3], _M[2][(k + 2) % 3])}" for k in range(3))
+
+
+@query(f"""SELECT idx, {r(_DET, 'determinant')}, {r(_MINOR.format(_M[1][1], _M[1][2], _M[2][1], _M[2][2]) + f' / ({_DET})', 'inverse_xx')}, {r(f'({_M[0][0]}) * ({_M[0][1]}) + ({_M[0][1]}) * ({_M[1][1]}) + ({_M[0][2]}) * ({_M[2][1]})', 'square_xy')},
+ {r(_M[2][0], 'transposed_xz')} FROM ({TRIPLES})""")
 def matrix_operations(spark, sf_dir):
-    k = F.col("id") + 1
-    m = Mat([[k * 1.0, 1, 0], [0, k * 2.0, 1], [0, 0, k * 3.0]])
-    return spark.range(20).select("id", tidy(m.determinant()).alias("determinant"), tidy((m @ m.inverse()).rows[1][1]).alias("unit"))
+    """Determinant, inverse, product and transpose of a matrix near one, of nine components."""
+    c = lambda p, a: F.col(f"{p}{a}") + (1.0 if "abc".index(p) == "xyz".index(a) else 0.0)
+    m = Mat([[c(p, a) for a in "xyz"] for p in "abc"])
+    rows = lifts.point_pairs(spark, sf_dir)
+    out = {"determinant": m.determinant(), "inverse_xx": m.inverse().rows[0][0], "square_xy": (m @ m).rows[0][1], "transposed_xz": m.transpose().rows[0][2]}
+    return rows.select("idx", *(tidy(v).alias(n) for n, v in out.items()))

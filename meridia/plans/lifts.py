@@ -70,26 +70,31 @@ SAMPLES = "SELECT DISTINCT user_id AS track, CAST(floor(epoch(ts)) AS DOUBLE) AS
 
 
 def grid_mesh(spark: SparkSession, sf_dir: str, side: int = 12) -> tuple[DataFrame, DataFrame]:
-    """A bent square grid of two meshes, as vertices and triangles."""
-    v = spark.range(2 * side * side).select(F.floor(F.col("id") / (side * side)).cast("int").alias("mesh_id"), (F.col("id") % (side * side)).alias("v_idx"))
+    """Square grids of points, as many meshes as there are embeddings for, as vertices and triangles: bent, and rough by the first component.
+
+    A square of four points is two triangles; some are missing. The last grid may end early.
+    """
+    v = table(spark, sf_dir, "embeddings")
+    n = side * side
+    v = v.select(F.floor(F.col("vec_id") / n).cast("int").alias("mesh_id"), (F.col("vec_id") % n).alias("v_idx"), F.col("embedding")[0].cast("double").alias("e"))
     x, y = (F.col("v_idx") % side).cast("double"), F.floor(F.col("v_idx") / side).cast("double")
-    v = v.select("mesh_id", "v_idx", x.alias("x"), y.alias("y"), ((x * x + y * F.col("mesh_id")) * 0.1).alias("z"))
-    n = side - 1
-    t = spark.range(2 * n * n * 2).select(F.floor(F.col("id") / (n * n * 2)).cast("int").alias("mesh_id"), (F.col("id") % (n * n * 2)).alias("t_idx"))
-    quad = F.floor(F.col("t_idx") / 2)
-    low = F.floor(quad / n) * side + quad % n
-    odd = F.col("t_idx") % 2 == 1
-    t = t.select("mesh_id", "t_idx", F.when(odd, low + 1).otherwise(low).alias("a"), F.when(odd, low + side + 1).otherwise(low + 1).alias("b"), (low + side).alias("c"))
+    v = v.select("mesh_id", "v_idx", x.alias("x"), y.alias("y"), ((x * x + y * F.col("mesh_id")) * 0.1 + F.col("e")).alias("z"))
+    ends = v.groupBy("mesh_id").agg(F.max("v_idx").alias("last"))
+    low = v.where(F.col("x") < side - 1).join(ends, "mesh_id").where(F.col("v_idx") + side + 1 <= F.col("last"))
+    quad = F.floor(F.col("v_idx") / side) * (side - 1) + F.col("v_idx") % side
+    i = F.col("v_idx")
+    two = F.array(F.struct((quad * 2).alias("t_idx"), i.alias("a"), (i + 1).alias("b"), (i + side).alias("c")), F.struct((quad * 2 + 1).alias("t_idx"), (i + 1).alias("a"), (i + side + 1).alias("b"), (i + side).alias("c")))
+    t = low.select("mesh_id", F.explode(two).alias("t")).select("mesh_id", "t.*")
     return v, t.where("t_idx % 17 <> 5")
 
 
 def mesh_sql(side: int = 12) -> str:
-    n = side - 1
-    return f"""vertices AS (SELECT CAST(range // {side * side} AS INTEGER) AS mesh_id, range % {side * side} AS v_idx, CAST(range % {side * side} % {side} AS DOUBLE) AS x,
-  CAST(range % {side * side} // {side} AS DOUBLE) AS y,
-  (CAST(range % {side * side} % {side} AS DOUBLE) * CAST(range % {side * side} % {side} AS DOUBLE) + CAST(range % {side * side} // {side} AS DOUBLE) * CAST(range // {side * side} AS INTEGER)) * 0.1 AS z FROM range({2 * side * side})),
-raw AS (SELECT CAST(range // {n * n * 2} AS INTEGER) AS mesh_id, range % {n * n * 2} AS t_idx, (range % {n * n * 2} // 2) // {n} * {side} + (range % {n * n * 2} // 2) % {n} AS low FROM range({4 * n * n})),
-triangles AS (SELECT mesh_id, t_idx, CASE WHEN t_idx % 2 = 1 THEN low + 1 ELSE low END AS a, CASE WHEN t_idx % 2 = 1 THEN low + {side} + 1 ELSE low + 1 END AS b, low + {side} AS c FROM raw WHERE t_idx % 17 <> 5)"""
+    n = side * side
+    return f"""vertices AS (SELECT CAST(vec_id // {n} AS INTEGER) AS mesh_id, vec_id % {n} AS v_idx, CAST(vec_id % {n} % {side} AS DOUBLE) AS x, CAST(vec_id % {n} // {side} AS DOUBLE) AS y,
+  (CAST(vec_id % {n} % {side} AS DOUBLE) * CAST(vec_id % {n} % {side} AS DOUBLE) + CAST(vec_id % {n} // {side} AS DOUBLE) * CAST(vec_id // {n} AS INTEGER)) * 0.1 + CAST(embedding[1] AS DOUBLE) AS z FROM embeddings),
+raw AS (SELECT v.mesh_id, v_idx AS low, odd, (v_idx // {side} * {side - 1} + v_idx % {side}) * 2 + odd AS t_idx FROM vertices v
+  JOIN (SELECT mesh_id, max(v_idx) AS last FROM vertices GROUP BY 1) e ON e.mesh_id = v.mesh_id AND v_idx + {side} + 1 <= last, (VALUES (0), (1)) o(odd) WHERE v_idx % {side} < {side - 1}),
+triangles AS (SELECT mesh_id, t_idx, low + odd AS a, CASE WHEN odd = 1 THEN low + {side} + 1 ELSE low + 1 END AS b, low + {side} AS c FROM raw WHERE t_idx % 17 <> 5)"""
 
 
 def r(expression: str, name: str, digits: int = 6) -> str:

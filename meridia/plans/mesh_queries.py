@@ -1,4 +1,4 @@
-"""Queries on meshes: a bent grid of two meshes, made alike in Spark and in SQL."""
+"""Queries on meshes: bent grids of the embeddings, made alike in Spark and in SQL."""
 
 from __future__ import annotations
 
@@ -94,23 +94,38 @@ def sample_points_uniform(spark, sf_dir):
     return mesh.samples(*lifts.grid_mesh(spark, sf_dir), 50).select("s_idx", "mesh_id", "t_idx", tidy(F.col("x")).alias("x"))
 
 
-_RAYS = "rays AS (SELECT i AS ray, 0.3 + i * 0.7 AS ox, 0.4 + i * 0.5 AS oy, -5.0 AS oz FROM range(15) t(i))"
+_PLACE = ", ".join(f"5.5 + 8 * CAST(embedding[{k}] AS DOUBLE) AS {{p}}{a}" for k, a in ((5, "x"), (6, "y"))) + ", {z} AS {p}z"
+_RAYS = f"rays AS (SELECT vec_id AS ray, {_PLACE.format(p='o', z='-50.0')} FROM embeddings)"
 
 
-@query(f"""WITH {mesh_sql()}, {_CORNERS}, {_RAYS}, h AS (SELECT ray, mesh_id, t_idx, nx, ny, nz, n2, (ox - ax) * nx + (oy - ay) * ny + (oz - az) * nz AS above, nz AS facing, ax, ay, bx, by_, cx, cy, ox, oy FROM rays, faces),
+def _places(spark, sf_dir, prefix: str, name: str):
+    """A place over the grids for each embedding, with its other components."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    return lifts.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(name), (5.5 + 8 * e(4)).alias(f"{prefix}x"), (5.5 + 8 * e(5)).alias(f"{prefix}y"), (2 + 8 * e(6)).alias(f"{prefix}z"))
+
+
+@query(f"""WITH {mesh_sql()}, {_CORNERS}, {_RAYS}, h AS (SELECT ray, mesh_id, t_idx, nx, ny, nz, n2, (ox - ax) * nx + (oy - ay) * ny + (oz - az) * nz AS above, nz AS facing, ax, ay, bx, by_, cx, cy, ox, oy FROM rays JOIN faces
+ ON ox BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND oy BETWEEN least(ay, by_, cy) AND greatest(ay, by_, cy)),
  w AS (SELECT *, ((by_ - cy) * (ox - cx) + (cx - bx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (ox - cx) + (ax - cx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v FROM h)
  SELECT ray, mesh_id, t_idx, {r('-above / facing', 'distance')} FROM w WHERE u >= -1.1920929e-07 AND v >= -1.1920929e-07 AND u + v <= 1 + 1.1920929e-07""")
 def mesh_ray_hits(spark, sf_dir):
-    rays = spark.range(15).select(F.col("id").alias("ray"), (0.3 + F.col("id") * 0.7).alias("ox"), (0.4 + F.col("id") * 0.5).alias("oy"), F.lit(-5.0).alias("oz"), *(F.lit(v).alias(n) for n, v in (("dx", 0.0), ("dy", 0.0), ("dz", 1.0))))
+    rays = _places(spark, sf_dir, "o", "ray").withColumns({"oz": F.lit(-50.0), "dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(1.0)})
     return mesh.ray_hits(rays, *lifts.grid_mesh(spark, sf_dir)).withColumn("distance", tidy(F.col("distance")))
 
 
-@query(f"""WITH {mesh_sql()}, {_CORNERS}, q AS (SELECT i AS query, t_idx, mesh_id, (ax + bx + cx) / 3 + nx / n2 * 0.01 AS qx FROM range(5) t(i), faces WHERE t_idx = i * 40 AND mesh_id = 0)
- SELECT query, mesh_id, t_idx, 0.01 AS distance FROM q""")
+def _segment(p: str, q: str) -> str:
+    """Squared distance of the query from the segment between two corners."""
+    at = lambda c, k: "by_" if c + k == "by" else c + k
+    d = {k: f"({at(q, k)} - {at(p, k)})" for k in "xyz"}
+    t = f"greatest(0, least(1, ({' + '.join(f'(q{k} - {at(p, k)}) * {d[k]}' for k in 'xyz')}) / ({' + '.join(f'{d[k]} * {d[k]}' for k in 'xyz')})))"
+    return " + ".join(f"pow(q{k} - {at(p, k)} - {t} * {d[k]}, 2)" for k in "xyz")
+
+
+@query(f"""WITH {mesh_sql()}, {_CORNERS}, q AS (SELECT vec_id AS query, {_PLACE.format(p='q', z='2 + 8 * CAST(embedding[7] AS DOUBLE)')} FROM embeddings),
+ h AS (SELECT *, ((qx - ax) * nx + (qy - ay) * ny + (qz - az) * nz) / n2 AS above FROM q, faces), f AS (SELECT *, qx - above * nx / n2 AS fx, qy - above * ny / n2 AS fy FROM h),
+ w AS (SELECT *, ((by_ - cy) * (fx - cx) + (cx - bx) * (fy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (fx - cx) + (ax - cx) * (fy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v FROM f)
+ SELECT query, mesh_id, {r("sqrt(min(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN above * above ELSE least(" + _segment("a", "b") + ", " + _segment("b", "c") + ", " + _segment("c", "a") + ") END))", "distance")} FROM w GROUP BY 1, 2""")
 def mesh_closest_points(spark, sf_dir):
-    """Points a little above the middle of some faces find these faces again."""
-    v, t = lifts.grid_mesh(spark, sf_dir)
-    v, t = v.where("mesh_id = 0"), t.where("mesh_id = 0")
-    f = mesh.faces(v, t).where("t_idx % 40 = 0 AND t_idx < 200")
-    q = f.select((F.col("t_idx") / 40).cast("long").alias("query"), *((F.col(f"m{k}") + F.col(f"n{k}") * 0.01).alias(f"q{k}") for k in "xyz"))
-    return mesh.closest_points(q, v, t).select("query", "mesh_id", "t_idx", tidy(F.col("distance")).alias("distance"))
+    """How far a place for each embedding lies from each of the meshes."""
+    found = mesh.closest_points(_places(spark, sf_dir, "q", "query"), *lifts.grid_mesh(spark, sf_dir))
+    return found.select("query", "mesh_id", tidy(F.col("distance")).alias("distance"))

@@ -11,7 +11,7 @@ from . import lifts
 from .lifts import POINTS, r
 from .registry import query
 from .source_queries import _reconstruction, _splats
-from .vision_queries import _PX, synthetic_frames
+from .vision_queries import _PX, pixel_frames
 
 _POINTS = "pts AS (SELECT vec_id AS point_id, vec_id % 4 + 1 AS length, (vec_id % 10) / 4.0 AS error FROM embeddings)"
 _HISTOGRAM = "(SELECT string_agg(length || ':' || n, ',' ORDER BY length) FROM (SELECT length, count(*) AS n FROM pts GROUP BY 1)) AS histogram"
@@ -87,21 +87,19 @@ def known_pose_sparse_mapper(spark, sf_dir):
     return good.unionByName(rejects.select(name, (-F.col("n")).alias("n"), *(F.lit(None).cast("double").alias(c) for c in "xyz")))
 
 
-@query(f"""WITH {_PX}, y AS (SELECT video, frame, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) // 16 AS bin FROM px), n AS (SELECT video, frame, bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
+@query(f"""WITH RECURSIVE {_PX}, y AS (SELECT video, frame, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) // 16 AS bin FROM px), n AS (SELECT video, frame, bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
  d AS (SELECT f.video, f.frame, k AS bin, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT video, frame FROM px) f CROSS JOIN range(16) t(k) LEFT JOIN n ON n.video = f.video AND n.frame = f.frame AND n.bin = k),
  c AS (SELECT a.video, a.frame, corr(a.n, b.n) AS c FROM d a JOIN d b ON b.video = a.video AND b.frame = a.frame - 1 AND b.bin = a.bin GROUP BY 1, 2), hot AS (SELECT video, frame FROM c WHERE c <= 0.95),
- s1 AS (SELECT video, min(frame) AS cut FROM hot WHERE frame >= 1 + 4 GROUP BY 1), s2 AS (SELECT h.video, min(frame) AS cut FROM hot h JOIN s1 ON s1.video = h.video AND h.frame >= s1.cut + 4 GROUP BY 1), s3 AS (SELECT h.video, min(frame) AS cut FROM hot h JOIN s2 ON s2.video = h.video AND h.frame >= s2.cut + 4 GROUP BY 1)
- SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3""")
+ keep AS (SELECT video, (SELECT min(frame) FROM hot h WHERE h.video = v.video AND frame >= 1 + 4) AS cut FROM (SELECT DISTINCT video FROM hot) v
+ UNION ALL SELECT k.video, (SELECT min(frame) FROM hot h WHERE h.video = k.video AND frame >= k.cut + 4) FROM keep k WHERE k.cut IS NOT NULL) SELECT video, cut FROM keep WHERE cut IS NOT NULL""")
 def histogram_detector(spark, sf_dir):
-    return frame_hash.histogram_cuts(synthetic_frames(spark), 0.05, 16, 4)
+    return frame_hash.histogram_cuts(pixel_frames(spark, sf_dir), 0.05, 16, 4)
 
 
 @query()
 def hash_detector(spark, sf_dir):
-    """Cuts by perceptual hashes of frames of a checkerboard that turns over half way."""
-    px = synthetic_frames(spark, side=32)
-    flip = F.when((F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8) + F.floor(F.col("frame") / 6)) % 2 == 0, 200).otherwise(20)
-    return frame_hash.hash_cuts(px.withColumns({c: flip for c in "rgb"}), 0.395, 8, 2, 3)
+    """Cuts by perceptual hashes of the embeddings' pictures."""
+    return frame_hash.hash_cuts(pixel_frames(spark, sf_dir, side=32), 0.395, 8, 2, 3)
 
 
 _S = 0.001

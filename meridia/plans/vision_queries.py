@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels
@@ -152,18 +153,20 @@ def render_ray(spark, sf_dir):
     return rows.select("idx", tidy(F.col("m.opacity")).alias("opacity"), F.col("m.samples").alias("samples"), tidy(F.col("m.r")).alias("r"))
 
 
-def synthetic_frames(spark, videos: int = 2, count: int = 12, side: int = 8):
-    """(video, frame, y, x, r, g, b): frames of one colour that change hard or fade, from expressions alone."""
-    n = side * side
-    rows = spark.range(videos * count * n).select(F.floor(F.col("id") / (count * n)).alias("video"), (F.floor(F.col("id") / n) % count).alias("frame"), (F.floor(F.col("id") / side) % side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
-    hard = F.when(F.col("frame") < count // 2, 32).otherwise(200)
-    fade = (32 + F.col("frame") * 15).cast("int")
-    base = F.when(F.col("video") == 0, hard).otherwise(fade)
-    return rows.select("video", "frame", "y", "x", (base + F.col("x")).cast("int").alias("r"), base.cast("int").alias("g"), (base - F.col("y") * 2).cast("int").alias("b"))
+def pixel_frames(spark, sf_dir, side: int = 8):
+    """(video, frame, y, x, r, g, b): each embedding is a picture of 8 by 8 fields, a field for each component, each label a video."""
+    v = lifts.table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    v = v.select(F.col("label").cast("long").alias("video"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("frame"), "embedding")
+    rows = v.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    y, x = F.floor(F.col("p") / side).cast("int"), (F.col("p") % side).cast("int")
+    field = F.floor(y * 8 / side) * 8 + F.floor(x * 8 / side)
+    level = lambda k: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 300 * F.element_at("embedding", ((field + k) % 64 + 1).cast("int")).cast("double")))).cast("int")
+    return rows.select("video", "frame", y.alias("y"), x.alias("x"), level(0).alias("r"), level(21).alias("g"), level(42).alias("b"))
 
 
-_PX = """px AS (SELECT video, frame, y, x, base + x AS r, base AS g, base - y * 2 AS b FROM (SELECT *, CASE WHEN video = 0 THEN CASE WHEN frame < 6 THEN 32 ELSE 200 END ELSE 32 + frame * 15 END AS base
- FROM (SELECT i // 768 AS video, i // 64 % 12 AS frame, i // 8 % 8 AS y, i % 8 AS x FROM range(1536) t(i))))"""
+_LEVEL = "greatest(0, least(255, CAST(floor(128 + 300 * CAST(embedding[(p + {k}) % 64 + 1] AS DOUBLE)) AS INTEGER)))"
+_PX = f"""px AS (SELECT CAST(label AS BIGINT) AS video, frame, p // 8 AS y, p % 8 AS x, {_LEVEL.format(k=0)} AS r, {_LEVEL.format(k=21)} AS g, {_LEVEL.format(k=42)} AS b
+ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings WHERE label IS NOT NULL), range(64) t(p))"""
 
 
 @query(f"""WITH {_PX}, h AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS span FROM px),
@@ -172,7 +175,7 @@ _PX = """px AS (SELECT video, frame, y, x, base + x AS r, base AS g, base - y *
  SELECT a.video, a.frame, {r('avg(coalesce(abs(a.hue - b.hue), 0))', 'hue')}, {r('avg(coalesce(abs(a.sat - b.sat), 0))', 'sat')}, {r('avg(coalesce(abs(a.lum - b.lum), 0))', 'lum')} FROM c a LEFT JOIN c b ON b.video = a.video AND b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x GROUP BY 1, 2""")
 def pixel_frame_deltas(spark, sf_dir):
     """Mean absolute change of hue, saturation and value against the frame before, pixel by pixel."""
-    px = synthetic_frames(spark)
+    px = pixel_frames(spark, sf_dir)
     hue, sat, lum = pixels.hsv(F.col("r"), F.col("g"), F.col("b"))
     rows = px.select("video", "frame", "y", "x", hue.alias("hue"), sat.alias("sat"), lum.alias("lum"))
     before = rows.select("video", (F.col("frame") + 1).alias("frame"), "y", "x", *(F.col(c).alias(f"b_{c}") for c in ("hue", "sat", "lum")))
@@ -185,7 +188,7 @@ def pixel_frame_deltas(spark, sf_dir):
  SELECT a.video, a.frame, {r('corr(a.n, b.n)', 'correlation')} FROM d a JOIN d b ON b.video = a.video AND b.frame = a.frame - 1 AND b.bin = a.bin GROUP BY 1, 2""")
 def histogram_correlation(spark, sf_dir):
     """Pearson correlation of the brightness histograms of neighbouring frames."""
-    px = synthetic_frames(spark)
+    px = pixel_frames(spark, sf_dir)
     level = F.floor(pixels.luma(F.col("r"), F.col("g"), F.col("b")) / 16)
     counts = px.groupBy("video", "frame").agg(*(F.count_if(level == k).alias(f"h{k}") for k in range(16)))
     dense = counts.select("video", "frame", F.posexplode(F.array(*(f"h{k}" for k in range(16)))).alias("bin", "n"))
@@ -196,13 +199,13 @@ def histogram_correlation(spark, sf_dir):
 
 @query(f"WITH {_PX} SELECT video, frame, {r('avg((r + g + b) / 3.0)', 'value')} FROM px GROUP BY 1, 2")
 def frame_mean(spark, sf_dir):
-    px = synthetic_frames(spark)
+    px = pixel_frames(spark, sf_dir)
     return px.groupBy("video", "frame").agg(tidy(F.avg((F.col("r") + F.col("g") + F.col("b")) / 3.0)).alias("value"))
 
 
 @query(f"WITH {_PX} SELECT video, frame, {r('avg(r)', 'r')}, {r('avg(g)', 'g')}, {r('avg(b)', 'b')} FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 7 GROUP BY 1, 2")
 def mean_rgb(spark, sf_dir):
-    inside = synthetic_frames(spark).where(F.col("x").between(2, 5) & F.col("y").between(1, 7))
+    inside = pixel_frames(spark, sf_dir).where(F.col("x").between(2, 5) & F.col("y").between(1, 7))
     return inside.groupBy("video", "frame").agg(*(tidy(F.avg(c)).alias(c) for c in "rgb"))
 
 
@@ -211,10 +214,10 @@ def hash_frame(spark, sf_dir):
     """Perceptual hashes of frames and their distance to the frame before."""
     from ..operators.frame_hash import hash_distances
 
-    return hash_distances(synthetic_frames(spark, side=32), 4, 2)
+    return hash_distances(pixel_frames(spark, sf_dir, side=32), 4, 2)
 
 
-@query(f"WITH {_PX}, d AS (SELECT video, frame, avg((r + g + b) / 3.0) AS v FROM px GROUP BY 1, 2), s AS (SELECT *, coalesce(abs(v - lag(v) OVER (PARTITION BY video ORDER BY frame)), 0) AS score FROM d) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS cut FROM s WHERE score >= 100")
+@query(f"WITH {_PX}, d AS (SELECT video, frame, avg((r + g + b) / 3.0) AS v FROM px GROUP BY 1, 2), s AS (SELECT *, coalesce(abs(v - lag(v) OVER (PARTITION BY video ORDER BY frame)), 0) AS score FROM d) SELECT CAST(video AS BIGINT) AS video, CAST(frame AS BIGINT) AS cut FROM s WHERE score >= 4.003")
 def content_cuts_of_pixels(spark, sf_dir):
     scored = scenes.content_score(frame_mean(spark, sf_dir), {"value": 1.0})
-    return scenes.suppressed_cuts(scored, F.col("score") >= 100, 2)
+    return scenes.suppressed_cuts(scored, F.col("score") >= 4.003, 1)
