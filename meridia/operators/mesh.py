@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shapes import Box, Ray, Tri
@@ -131,7 +132,7 @@ def welded(vertices: DataFrame, triangles: DataFrame, epsilon: float = 0.0) -> t
     """Vertices within ``epsilon`` of an earlier one that stays become the first such; collapsed triangles go.
 
     In the order of v_idx a vertex stays unless one that stays lies within ``epsilon``. Vertices with equal coordinates become
-    one first. Neighbours are found by cells of that size; then rounds decide all vertices whose earlier neighbours are decided.
+    one first. Neighbours are found by cells of that size; then blocks decide in order, and exchange what they decided.
     """
     if epsilon < 0:
         raise ValueError("the distance must not be negative")
@@ -148,8 +149,36 @@ def welded(vertices: DataFrame, triangles: DataFrame, epsilon: float = 0.0) -> t
     return vertices.join(stay, [KEY, "v_idx"], "left_semi").select(KEY, "v_idx", "x", "y", "z"), out
 
 
-def _first_within(vertices: DataFrame, epsilon: float) -> DataFrame:
-    """(mesh_id, v_idx, rep): the vertex itself if it stays, else the first of those that stay within ``epsilon``."""
+#: vertices of a block of ``welded``, which decides in order by itself
+WELD_BLOCK = 16_384
+
+
+def _decided(table: pa.Table) -> pa.Table:
+    """What a block can decide of (v_idx, u, rep): ``u`` are the earlier neighbours, ``rep`` what is known of them from elsewhere."""
+    order = table.sort_by([("v_idx", "ascending"), ("u", "ascending")])
+    vs, us, reps = (order.column(c).to_pylist() for c in ("v_idx", "u", "rep"))
+    known: dict[int, int] = {}
+    i = 0
+    while i < len(vs):
+        v, rep, sure = vs[i], vs[i], True
+        while i < len(vs) and vs[i] == v:
+            at = known.get(us[i], reps[i])
+            if sure and rep == v:
+                # the first that stays takes it, once all before that are decided
+                sure = at is not None
+                rep = us[i] if at == us[i] else rep
+            i += 1
+        if sure:
+            known[v] = rep
+    return pa.table({KEY: pa.array([order.column(KEY)[0].as_py()] * len(known), table.schema.field(KEY).type), "v_idx": pa.array(known.keys(), pa.int64()), "rep": pa.array(known.values(), pa.int64())})
+
+
+def _first_within(vertices: DataFrame, epsilon: float, block: int = WELD_BLOCK) -> DataFrame:
+    """(mesh_id, v_idx, rep): the vertex itself if it stays, else the first of those that stay within ``epsilon``.
+
+    Vertices that lie together are a block of about ``block``. In each round every block decides all it can in order, and tells the others what it
+    decided; so rounds are as many as a chain of dependent vertices goes over to another block, not as it has vertices.
+    """
     here, filed = vertices, vertices.select(KEY, F.col("v_idx").alias("u"), *(F.col(k).alias(f"u{k}") for k in "xyz"))
     for k in "xyz":
         at = F.floor(F.col(k) / epsilon)
@@ -157,24 +186,30 @@ def _first_within(vertices: DataFrame, epsilon: float) -> DataFrame:
         filed = filed.withColumn(f"c{k}", F.floor(F.col(f"u{k}") / epsilon))
     near = (F.col("u") < F.col("v_idx")) & (Vec.columns().distance(Vec.columns("u")) <= epsilon)
     earlier = written(here.join(filed, [KEY, "cx", "cy", "cz"]).where(near).select(KEY, "v_idx", "u"), "earlier")
+    ends = [f(k).alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
+    placed = _with_code(vertices.join(vertices.groupBy(KEY).agg(*ends), KEY), "", 10).select(KEY, "v_idx", "code")
+    parts = -(-placed.count() // block) or 1
+    placed = written(placed.repartitionByRange(parts, KEY, "code").withColumn("block", F.spark_partition_id()), "weld-blocks")
     known = written(vertices.join(earlier, [KEY, "v_idx"], "left_anti").select(KEY, "v_idx", F.col("v_idx").alias("rep")), "known")
+    open_ = written(earlier.join(placed.select(KEY, "v_idx", "block"), [KEY, "v_idx"]), "open")
+    kind = f"{KEY} {vertices.schema[KEY].dataType.simpleString()}, v_idx long, rep long"
     while True:
-        of = known.select(KEY, F.col("v_idx").alias("u"), F.col("rep").alias("_rep"))
-        open_ = earlier.join(known, [KEY, "v_idx"], "left_anti").join(of, [KEY, "u"], "left")
-        heard = open_.groupBy(KEY, "v_idx").agg(F.min(F.when(F.col("_rep") == F.col("u"), F.col("u"))).alias("first"), F.min(F.when(F.col("_rep").isNull(), F.col("u"))).alias("unknown"))
-        # it goes to the first that stays once all before that are decided, and stays itself if all of them went elsewhere
-        sure = F.col("unknown").isNull() | (F.col("first") < F.col("unknown"))
-        step = written(heard.where(sure).select(KEY, "v_idx", F.coalesce("first", "v_idx").alias("rep")), "decided")
+        heard = open_.join(known.withColumnRenamed("v_idx", "u"), [KEY, "u"], "left").select(KEY, "v_idx", "u", "rep", "block")
+        step = written(heard.groupBy(KEY, "block").applyInArrow(lambda t: _decided(t), kind), "decided")
         if step.isEmpty():
             return known
         known = written(known.unionByName(step), "known")
+        open_ = written(open_.join(step, [KEY, "v_idx"], "left_anti"), "open")
 
 
 def smoothed(vertices: DataFrame, triangles: DataFrame, rounds: int, factor: float) -> DataFrame:
-    """Laplacian smoothing: each round moves every vertex towards the mean of its neighbours, all at once."""
+    """Laplacian smoothing: each round moves every vertex towards the mean of its neighbours, all at once. Every four
+    rounds are a written table, so that the plan doesn't grow with the rounds."""
     near = vertex_neighbours(triangles)
     out = vertices.select(KEY, "v_idx", *(F.col(k).cast("double").alias(k) for k in "xyz"))
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done and done % 4 == 0:
+            near, out = (near if done > 4 else written(near, "neighbours")), written(out, "smoothed")
         mean = near.join(out.withColumnRenamed("v_idx", "to"), [KEY, "to"]).groupBy(KEY, "v_idx").agg(*(F.avg(k).alias(f"m{k}") for k in "xyz"))
         moved = out.join(mean, [KEY, "v_idx"], "left")
         out = moved.select(KEY, "v_idx", *((F.col(k) * (1 - factor) + F.coalesce(f"m{k}", k) * factor).alias(k) for k in "xyz"))
@@ -208,6 +243,17 @@ def samples(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
 STEP, LEAF = 2, 24
 
 
+def _with_code(rows: DataFrame, place: str, depth: int) -> DataFrame:
+    """``rows`` with ``code``: ``depth`` bits of each axis of their place within l.. and h.., one of each axis after the other."""
+    code = F.lit(0).cast("long")
+    for axis, k in enumerate("xyz"):
+        share = F.coalesce((F.col(f"{place}{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0)), F.lit(0.0))
+        rows = rows.withColumn(f"i{k}", F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)).cast("long"))
+        for bit in range(depth):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"i{k}"), bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + axis))
+    return rows.withColumn("code", code)
+
+
 def _tree(vertices: DataFrame, triangles: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """Triangles with their corners and ``code``, and the depth of the tree of their codes.
 
@@ -222,13 +268,8 @@ def _tree(vertices: DataFrame, triangles: DataFrame, keys: list[str]) -> tuple[D
     most = bounds.agg(F.max("n")).first()[0] or 1
     depth = STEP * max(1, min(5, math.ceil(math.log(max(1, most / LEAF), 8**STEP))))
     rows = rows.join(bounds, keys) if keys else rows.join(F.broadcast(bounds), F.lit(True))
-    code = F.lit(0).cast("long")
-    for axis, k in enumerate("xyz"):
-        share = F.coalesce((F.col(f"m{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0)), F.lit(0.0))
-        rows = rows.withColumn(f"i{k}", F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)).cast("long"))
-        for bit in range(depth):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"i{k}"), bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + axis))
-    return written(rows.withColumn("code", code).select(KEY, "t_idx", "code", *(f"{c}{k}" for c in "abc" for k in "xyz")), "coded"), depth
+    rows = _with_code(rows, "m", depth)
+    return written(rows.select(KEY, "t_idx", "code", *(f"{c}{k}" for c in "abc" for k in "xyz")), "coded"), depth
 
 
 def _level(rows: DataFrame, depth: int, level: int, keys: list[str]) -> DataFrame:
@@ -245,8 +286,15 @@ def _descended(queries: DataFrame, rows: DataFrame, depth: int, keys: list[str],
     found = queries
     for level in range(STEP, depth + 1, STEP):
         nodes = _level(rows, depth, level, keys)
-        # the first step has at most 8^STEP cells a key
-        found = kept(found.withColumnRenamed("cell", "up").join(F.broadcast(nodes) if level == STEP and not keys else nodes, [*keys, "up"]))
+        if level == STEP and not keys:
+            # at most 8^STEP cells, which every query looks at
+            names = [c for c in nodes.columns if c != "up"]
+            first = [F.struct(*(F.lit(row[c]).alias(c) for c in names)) for row in nodes.collect()]
+            kinds = F.array(*first) if first else F.lit(None).cast(f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in nodes.schema if f.name != 'up')}>>")
+            found = found.drop("cell").withColumn("_first", F.explode(kinds))
+            found = kept(found.select("*", *(F.col(f"_first.{c}").alias(c) for c in names)).drop("_first"))
+        else:
+            found = kept(found.withColumnRenamed("cell", "up").join(nodes, [*keys, "up"]))
         found = found.drop("up", *(f"{e}_{k}" for e in ("lo", "hi") for k in "xyz"))
     return found
 
@@ -306,7 +354,8 @@ def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame
     meshes = written(rows.select(KEY).distinct(), "meshes").limit(2).collect()
     some = queries.select("query", "qx", "qy", "qz")
     start = some.withColumn(KEY, F.lit(meshes[0][0])) if len(meshes) == 1 else some.crossJoin(rows.select(KEY).distinct())
-    met = _descended(start.withColumn("cell", F.lit(0).cast("long")), rows, depth, [KEY], kept).withColumnRenamed("cell", "code")
+    keys = [] if len(meshes) == 1 else [KEY]
+    met = _descended(start.withColumn("cell", F.lit(0).cast("long")), rows, depth, keys, kept).withColumnRenamed("cell", "code")
     near, v, w = _nearest_weights(met.join(rows, [KEY, "code"]), p)
     near, at = held(near, near=t.a + (t.b - t.a) * v + (t.c - t.a) * w)
     item = F.struct(at.distance(p).alias("distance"), "t_idx", *(c.alias(k) for k, c in zip("xyz", at)))

@@ -119,11 +119,12 @@ def tiny_directions(spark, sf_dir):
     return lifts.points(spark, sf_dir).select("idx", tidy(v.normalised().x).alias("ux"), tidy(q.normalised().x).alias("qx"))
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT idx, x, y, z FROM ({POINTS}) WHERE idx < 300), e AS (SELECT a.idx AS v, b.idx AS u FROM p a JOIN p b ON b.idx < a.idx AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) <= 0.06),
- g AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS kept UNION ALL SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.v = g.i + 1 AND list_contains(g.kept, e.u)) THEN kept ELSE list_append(kept, g.i + 1) END FROM g WHERE i < 299),
- k AS (SELECT unnest(kept) AS rep FROM g WHERE i = 299) SELECT rep AS v_idx FROM k""")
+@query(f"""WITH RECURSIVE p AS (SELECT idx, x, y, z FROM ({POINTS})), e AS (SELECT a.idx AS v, list(b.idx) AS us FROM p a JOIN p b ON b.idx < a.idx AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) <= 0.06 GROUP BY 1),
+ g AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS kept UNION ALL SELECT i + 1, CASE WHEN list_has_any(kept, coalesce((SELECT us FROM e WHERE e.v = g.i + 1), [])) THEN kept ELSE list_append(kept, g.i + 1) END FROM g WHERE i < (SELECT max(idx) FROM p)),
+ k AS (SELECT unnest(kept) AS rep FROM g WHERE i = (SELECT max(idx) FROM p)) SELECT rep AS v_idx FROM k""")
 def weld_within_distance(spark, sf_dir):
-    """The vertices that stay where those within a distance of an earlier one that stays are welded to it; a mesh of 300 points."""
-    v = lifts.points(spark, sf_dir).where("idx < 300").select(F.lit(0).alias("mesh_id"), F.col("idx").alias("v_idx"), "x", "y", "z")
-    t = spark.range(298).select(F.lit(0).alias("mesh_id"), F.col("id").alias("t_idx"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c"))
+    """The vertices that stay where those within a distance of an earlier one that stays are welded to it."""
+    v = lifts.points(spark, sf_dir).select(F.lit(0).alias("mesh_id"), F.col("idx").alias("v_idx"), "x", "y", "z")
+    i = F.col("v_idx")
+    t = v.select("mesh_id", i.alias("t_idx"), i.alias("a"), (i + 1).alias("b"), (i + 2).alias("c"))
     return mesh.welded(v, t, 0.06)[0].select("v_idx")
