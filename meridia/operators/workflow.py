@@ -137,8 +137,8 @@ def playlist_items(playlists: DataFrame, max_items: int | None = None) -> DataFr
 def as_json(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(workflow, json): the file form of ``nodes(workflow, id, type, inputs, outputs, widgets_values)`` and
     ``links(workflow, id, origin, origin_slot, target, target_slot, type)``. A workflow is one row."""
-    pair = F.concat_ws(",", F.col("id").cast("string"), F.to_json(F.array("origin")), "origin_slot", F.to_json(F.array("target")), "target_slot", F.to_json(F.array("type")))
-    row = F.concat(F.lit("["), F.regexp_replace(pair, r"[\[\]]", ""), F.lit("]"))
+    plain = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    row = F.concat(F.lit("["), F.concat_ws(",", F.col("id").cast("string"), plain("origin"), "origin_slot", plain("target"), "target_slot", plain("type")), F.lit("]"))
     wires = links.groupBy("workflow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("row")))), lambda s: s["row"]), ",").alias("links"))
     body = F.to_json(F.struct("id", "type", "inputs", "outputs", "widgets_values"))
     boxes = nodes.groupBy("workflow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", body.alias("body")))), lambda s: s["body"]), ",").alias("nodes"))

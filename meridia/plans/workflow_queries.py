@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.timecodes import downscale_factor, edit_point
 from ..functions.vectors import tidy
-from ..operators import workflow
+from ..operators import workflow, workflow_files, workflow_templates
 from . import lifts
 from .lifts import r
 from .registry import query
@@ -194,3 +194,59 @@ def red_observations(spark, sf_dir):
     rows = e.select("event_id", F.col("event_type").alias("label"), F.when(i % 5 != 0, i).alias("region"), (i % 256).alias("r"), F.when(i % 7 == 0, "Red").alias("colour"))
     red = tx.is_red(F.col("r"), F.lit(100), F.lit(60), F.col("colour"))
     return rows.where(F.col("label").isin("click", "view") & F.col("region").isNotNull() & red).select("event_id")
+
+
+#: modes and their nodes, wires and widgets, as counted by hand
+_MODES = "(VALUES (0, 'text_to_image', 7, 9, 13), (1, 'image_to_image', 8, 11, 11), (2, 'inpaint', 9, 12, 12), (3, 'upscale', 4, 3, 3), (4, 'flux_inpaint', 11, 12, 17)) m(k, mode, nodes, links, widgets)"
+
+
+def _requests(spark, sf_dir):
+    """A request for each document, of one mode after the other; some lack what their mode needs."""
+    d, i = lifts.table(spark, sf_dir, "documents"), F.col("doc_id")
+    modes = F.array(*(F.lit(m) for m in ("text_to_image", "image_to_image", "inpaint", "upscale", "flux_inpaint")))
+    return d.select(
+        i.alias("workflow"), F.element_at(modes, (i % 5 + 1).cast("int")).alias("mode"), "text", F.coalesce(F.col("text"), F.lit("")).alias("prompt"), F.concat(F.lit('no "'), F.coalesce("lang", F.lit("none")), F.lit('"')).alias("negative_prompt"),
+        (512 + 64 * (i % 3)).alias("width"), F.when(i % 41 == 0, 0).otherwise(512).alias("height"), (20 + i % 7).alias("steps"), (i % 9 * 0.5 + 1).cast("double").alias("cfg_scale"), F.lit("euler").alias("sampler_name"), F.lit("normal").alias("scheduler"), i.alias("seed"),
+        F.concat(F.lit("base-"), F.coalesce("source", F.lit("none")), F.lit(".safetensors")).alias("checkpoint"), F.lit("4x.pth").alias("upscale_model"), F.when(i % 11 != 3, F.concat(F.lit("in"), i.cast("string"), F.lit(".png"))).alias("input_image"),
+        F.when(i % 13 != 5, F.lit("mask.png")).alias("mask_image"), (i % 4 * 0.25).cast("double").alias("denoise"), F.lit("out").alias("output_prefix"),
+    )
+
+
+@query(f"""SELECT doc_id AS workflow, coalesce(reason, 'ok') AS reason, CASE WHEN reason IS NULL THEN nodes END AS nodes, CASE WHEN reason IS NULL THEN links END AS links, CASE WHEN reason IS NULL THEN widgets END AS widgets,
+ CASE WHEN reason IS NULL THEN nodes END AS last_node, CASE WHEN reason IS NULL AND mode <> 'upscale' THEN CASE WHEN mode = 'text_to_image' THEN '1.0' ELSE CAST(CAST(doc_id % 4 * 0.25 AS DOUBLE) AS VARCHAR) END END AS denoise,
+ CASE WHEN reason IS NULL AND mode <> 'upscale' THEN md5(coalesce(text, '')) END AS prompt, CASE WHEN reason IS NULL THEN 0 END AS problems
+ FROM (SELECT *, CASE WHEN doc_id % 41 = 0 THEN 'width and height must be positive' WHEN mode IN ('image_to_image', 'upscale') AND doc_id % 11 = 3 THEN 'input_image is needed'
+  WHEN mode IN ('inpaint', 'flux_inpaint') AND (doc_id % 11 = 3 OR doc_id % 13 = 5) THEN 'input_image and mask_image are needed' END AS reason FROM documents JOIN {_MODES} ON m.k = doc_id % 5)""")
+def generation_workflows(spark, sf_dir):
+    """Workflows of all modes, written as JSON, taken apart and validated: what they hold, and why requests are rejected."""
+    boxes, wires, rejected = workflow_templates.generated(_requests(spark, sf_dir))
+    own = boxes.groupBy("workflow").agg(
+        F.count("*").alias("nodes"), F.sum(F.size("widgets_values")).alias("widgets"), F.max("id").alias("last_node"), F.max(F.when(F.col("type") == "KSampler", F.element_at("widgets_values", 6))).alias("denoise"),
+        F.min(F.when(F.col("type") == "CLIPTextEncode", F.struct("id", F.md5(F.element_at(F.from_json(F.concat(F.lit("["), F.element_at("widgets_values", 1), F.lit("]")), "array<string>"), 1)).alias("p")))).alias("prompt"),
+    )
+    files = workflow.as_json(boxes.withColumn("outputs", F.transform("outputs", lambda o: F.struct(o["name"], o["type"], o["links"]))), wires)
+    wrong = workflow.problems(files).groupBy("workflow").agg(F.count("*").alias("problems"))
+    good = own.join(wires.groupBy("workflow").agg(F.count("*").alias("links")), "workflow").join(wrong, "workflow", "left")
+    good = good.select("workflow", F.lit("ok").alias("reason"), "nodes", "links", "widgets", "last_node", "denoise", F.col("prompt.p").alias("prompt"), F.coalesce("problems", F.lit(0).cast("long")).alias("problems"))
+    return good.unionByName(rejected, allowMissingColumns=True)
+
+
+_FILE = """'{"version":0.4,"mood":{"deep":[1,{"x":null}]},"nodes":[{"id":1,"type":"Load","pos":[1.5,2],"outputs":[{"name":"IMAGE","type":"IMAGE[]","links":[7],"tint":"#f00"}],"flags":{"k":' || (props ->> '$.k') || '}},'
+ || '{"id":"two","type":"Save","inputs":[{"name":"images","type":"IMAGE[]","link":7,"shape":3}],"widgets_values":["' || event_type || '",[1,"[a]"],true]}],"links":[[7,1,0,"two",0,"IMAGE[]","more"]],"last_link_id":' || event_id || '}'"""
+
+
+@query(f"""WITH w AS (SELECT event_id AS workflow, {_FILE} AS j FROM events) SELECT workflow, true AS same, j ->> '$.mood.deep[0]' AS deep, j ->> '$.nodes[0].flags.k' AS flag, j ->> '$.nodes[0].outputs[0].tint' AS tint, j ->> '$.nodes[1].inputs[0].shape' AS shape,
+ j ->> '$.nodes[1].widgets_values[1][1]' AS widget, j ->> '$.links[0][5]' AS type, j ->> '$.links[0][6]' AS more, 'two' AS target FROM w""")
+def workflow_round_trip(spark, sf_dir):
+    """Files with unknown fields at all levels, taken apart and put together again: equal as JSON, and what they hold."""
+    e = lifts.table(spark, sf_dir, "events")
+    e = e.withColumn("k", F.get_json_object("props", "$.k"))
+    sql = _FILE.replace("(props ->> '$.k')", "k").replace("\n", " ")
+    files = e.select(F.col("event_id").alias("workflow"), F.expr(sql).alias("json"))
+    documents, boxes, wires = workflow_files.taken_apart(files)
+    back = workflow_files.put_together(documents, boxes, wires).withColumnRenamed("json", "again")
+    plain = lambda c: F.to_json(F.parse_json(c))
+    at = lambda path: F.get_json_object("again", path)
+    out = files.join(back, "workflow").join(wires.select("workflow", "target"), "workflow")
+    return out.select("workflow", (plain("json") == plain("again")).alias("same"), at("$.mood.deep[0]").alias("deep"), at("$.nodes[0].flags.k").alias("flag"), at("$.nodes[0].outputs[0].tint").alias("tint"), at("$.nodes[1].inputs[0].shape").alias("shape"),
+        at("$.nodes[1].widgets_values[1][1]").alias("widget"), at("$.links[0][5]").alias("type"), at("$.links[0][6]").alias("more"), "target")
