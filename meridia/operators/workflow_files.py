@@ -33,10 +33,11 @@ def taken_apart(workflows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = rows.select("workflow", F.map_contains_key("f", "nodes").alias("has_nodes"), F.map_contains_key("f", "links").alias("has_links"), _without(F.col("f"), "nodes", "links").alias("rest"))
     boxes = rows.select("workflow", F.posexplode(F.try_variant_get(F.try_element_at("f", F.lit("nodes")), "$", f"array<{FIELDS}>")).alias("pos", "n"))
     field = lambda name: F.try_element_at("n", F.lit(name))
+    kind = F.when(_json(field("type")).startswith('"'), F.try_variant_get(field("type"), "$", "string"))
     many = lambda name: F.try_variant_get(field(name), "$", f"array<{FIELDS}>")
     nodes = boxes.select(
-        "workflow", "pos", _text(field("id")).alias("id"), F.when(F.map_contains_key("n", "id"), _json(field("id"))).alias("id_json"), F.try_variant_get(field("type"), "$", "string").alias("type"), many("inputs").alias("inputs"), many("outputs").alias("outputs"),
-        F.map_filter("n", lambda k, _: (k != "id") & ~((k == "type") & F.try_variant_get(field("type"), "$", "string").isNotNull()) & ~((k == "inputs") & many("inputs").isNotNull()) & ~((k == "outputs") & many("outputs").isNotNull())).alias("rest"),
+        "workflow", "pos", _text(field("id")).alias("id"), F.when(F.map_contains_key("n", "id"), _json(field("id"))).alias("id_json"), kind.alias("type"), many("inputs").alias("inputs"), many("outputs").alias("outputs"),
+        F.map_filter("n", lambda k, _: (k != "id") & ~((k == "type") & kind.isNotNull()) & ~((k == "inputs") & many("inputs").isNotNull()) & ~((k == "outputs") & many("outputs").isNotNull())).alias("rest"),
     )
     wires = rows.select("workflow", F.posexplode(F.try_variant_get(F.try_element_at("f", F.lit("links")), "$", "array<array<variant>>")).alias("pos", "items"))
     at = lambda k: F.try_element_at("items", F.lit(k))
