@@ -137,7 +137,18 @@ def broad_phase_sparse(spark, sf_dir):
 
 @query(_order_pairs("clustered"))
 def broad_phase_clustered(spark, sf_dir):
-    return spatial.overlap_pairs(_order_boxes(spark, sf_dir, "clustered"), cell=1.0)
+    return spatial.broad_phase(_order_boxes(spark, sf_dir, "clustered"))
+
+
+_WIDE = "w AS (SELECT * FROM b UNION ALL SELECT -1, min(lo_x) - 1, min(lo_y) - 1, min(lo_z) - 1, max(hi_x) + 1, max(hi_y) + 1, max(hi_z) + 1 FROM b)"
+
+
+@query(f"WITH b AS ({BOXES}), {_WIDE} SELECT a.idx AS left_idx, b.idx AS right_idx FROM w a JOIN w b ON a.idx < b.idx AND {_OVERLAP}")
+def broad_phase_auto(spark, sf_dir):
+    """Grids by the median extent, with a box around all others among them."""
+    b = lifts.boxes(spark, sf_dir)
+    around = b.agg(F.lit(-1).cast("long").alias("idx"), *((F.min(f"lo_{a}") - 1).alias(f"lo_{a}") for a in "xyz"), *((F.max(f"hi_{a}") + 1).alias(f"hi_{a}") for a in "xyz"))
+    return spatial.broad_phase(b.unionByName(around))
 
 
 @query(_order_pairs("overlapping"))
