@@ -2,8 +2,9 @@
 
 The test items are the indexed collection; every passage of every training document is a query. Impacts are
 divided by the score an item has against itself, so 1 means that a passage holds all of an item's terms and
-one threshold suits short and long items. Passages are windows of twice the longest item's words that overlap by
-half, so that every run of words as long as an item lies whole inside one passage.
+one threshold suits short and long items. Items are searched by their length: those of at most 2^k words, and more than half as many,
+meet passages of 2^(k + 1) words that overlap by half, so that every run of words as long as an item lies whole inside one passage,
+and how long other items are changes no item's passages.
 
 The search is block-max WAND, over all passages of a document at once: passages are passed over whose lists' maxima can't
 reach the threshold, then blocks of items whose block maxima can't, and the items of the blocks that are left are
@@ -67,28 +68,30 @@ def overlap(part: list[str], passage: list[str], width: int = 3) -> float:
     return len(want & grams(passage, width)) / len(want) if len(passage) >= width else 0.0
 
 
-class ItemIndex:
-    """Postings of one part of the benchmark by term, in blocks of neighbouring items, with the maxima of lists and blocks.
+def reach_of(words: int) -> int:
+    """The power of two that a number of words doesn't go beyond: half the words of the passages it is looked for in."""
+    return 1 << max(0, words - 1).bit_length()
+
+
+class LengthIndex:
+    """Postings of items of about one length by term, in blocks of neighbouring items, with the maxima of lists and blocks.
 
     Term t has block postings ``first[t] : first[t + 1]``; block posting j is for block ``blocks[j]``, whose largest impact is
-    ``tops[j]`` and whose item postings are ``start[j] : start[j + 1]``.
+    ``tops[j]`` and whose item postings are ``start[j] : start[j + 1]``. Terms are numbered over all lengths.
     """
 
-    def __init__(self, postings: list[tuple[str, int, float]], items: list[tuple[int, str]], block: int = 4):
-        self.items, self.block = items, block
-        self.terms: dict[str, int] = {}
-        rows = [(self.terms.setdefault(term, len(self.terms) + 1), item, impact) for term, item, impact in postings]
+    def __init__(self, rows: list[tuple[int, int, float]], terms: int, items: list[tuple[int, str]], reach: int, block: int = 4):
+        self.items, self.block, self.reach = items, block, reach
         rows.sort()
         t, self.item, self.impact = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        n = len(self.terms)
         self.per_item = -(-len(items) // block)  # blocks
         key = t.astype(np.int64) * (self.per_item + 1) + self.item // block
         heads = np.nonzero(np.diff(key, prepend=-1))[0]
         self.start = np.append(heads, len(rows))
         self.blocks = self.item[heads] // block
         self.tops = np.maximum.reduceat(self.impact, heads) if len(rows) else np.zeros(0)
-        self.first = np.searchsorted(t[heads], np.arange(n + 2))
-        self.upper = np.zeros(n + 1)
+        self.first = np.searchsorted(t[heads], np.arange(terms + 2))
+        self.upper = np.zeros(terms + 1)
         np.maximum.at(self.upper, t, self.impact)
         self.words = [split_item(text) for _, text in items]
 
@@ -122,17 +125,14 @@ class ItemIndex:
         good = np.nonzero(score + slack >= threshold)[0]
         return [(int(c) // len(self.items), int(c) % len(self.items), float(score[i])) for i, c in zip(good, cells[good])]
 
-    def matches(self, text: str | None, window: int, threshold: float, question: float, answer: float) -> list[tuple]:
+    def matches(self, words: list[str], ids: np.ndarray, limits: tuple[float, float, float]) -> Iterator[tuple]:
         """(item_id, score, question overlap, answer overlap, first word) of each verified item, best passage first."""
-        words = words_of(text)
-        if not words or not len(self.item):
-            return []
-        get = self.terms.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        place = np.nonzero(ids)[0]
-        if self.upper[ids].sum() + 1e-9 < threshold:
-            return []
-        half = max(1, window // 2)
+        threshold, question, answer = limits
+        upper = self.upper[ids]
+        if upper.sum() + 1e-9 < threshold:
+            return
+        place = np.nonzero(upper)[0]
+        half, window = self.reach, 2 * self.reach
         last = max(0, -(-len(words) // half) - 2)
         best: dict[int, tuple] = {}
         for at in range(0, len(place), 200_000):  # a very long text in parts that share a window
@@ -148,16 +148,42 @@ class ItemIndex:
                 found = overlap(q, passage), overlap(a, passage)
                 if found[0] >= question and found[1] >= answer:
                     best[item] = (self.items[item][0], score, *found, w * half)
-        return [best[i] for i in sorted(best)]
+        yield from (best[i] for i in sorted(best))
+
+
+class ItemIndex:
+    """One part of the benchmark: an index for each length of items, and the numbers of all their terms."""
+
+    def __init__(self, postings: list[tuple[str, int, float]], items: list[tuple[int, str, int]]):
+        self.terms: dict[str, int] = {}
+        of: dict[int, list[int]] = {}
+        place = []
+        for k, (_, _, length) in enumerate(items):
+            mine = of.setdefault(reach_of(length), [])
+            place.append(len(mine))
+            mine.append(k)
+        rows: dict[int, list] = {reach: [] for reach in of}
+        for term, item, impact in postings:
+            rows[reach_of(items[item][2])].append((self.terms.setdefault(term, len(self.terms) + 1), place[item], impact))
+        self.lengths = [LengthIndex(rows[reach], len(self.terms), [items[k][:2] for k in of[reach]], reach) for reach in sorted(of)]
+
+    def matches(self, text: str | None, *limits: float) -> list[tuple]:
+        """All verified items of a text, shorter ones first; ``limits`` are the threshold and the shares of question and answer."""
+        words = words_of(text)
+        if not words or not self.terms:
+            return []
+        get = self.terms.get
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        return [hit for one in self.lengths for hit in one.matches(words, ids, limits)]
 
 
-def index_parts(benchmark: DataFrame, k1: float, b: float, max_postings: int) -> Iterator[tuple[ItemIndex, int, int]]:
-    """Index parts of bounded size one after the other, with the longest item's words and the number of parts."""
+def index_parts(benchmark: DataFrame, k1: float, b: float, max_postings: int) -> Iterator[tuple[ItemIndex, int]]:
+    """Index parts of bounded size one after the other, with the number of parts."""
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     words = F.pandas_udf(lambda texts: texts.map(words_of), "array<string>")
     items = items.withColumn("words", words("text")).where(F.size("words") > 0)
     items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "items")
-    n, mean, longest = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    n, mean = items.agg(F.count("*"), F.avg(F.size("words"))).first()
     if not n:
         return
     tf = items.select("row", F.size("words").alias("dl"), F.explode("words").alias("term"))
@@ -171,10 +197,10 @@ def index_parts(benchmark: DataFrame, k1: float, b: float, max_postings: int) ->
     scaled = impacts.join(own, "row").select("row", "term", (F.col("impact") / F.col("own")).alias("impact"))
     for part in range(parts):
         mine = F.pmod(F.xxhash64("row"), F.lit(parts)) == part
-        rows = items.where(mine).select("row", "item_id", "text").orderBy("item_id", "row").collect()
+        rows = items.where(mine).select("row", "item_id", "text", F.size("words").alias("length")).orderBy("item_id", "row").collect()
         at = {r["row"]: k for k, r in enumerate(rows)}
         postings = [(r["term"], at[r["row"]], r["impact"]) for r in scaled.where(mine).collect()]
-        yield ItemIndex(postings, [(r["item_id"], r["text"]) for r in rows]), longest, parts
+        yield ItemIndex(postings, [(r["item_id"], r["text"], r["length"]) for r in rows]), parts
 
 
 def contaminated(
@@ -195,8 +221,8 @@ def contaminated(
     out = None
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(shared, window: int) -> DataFrame:
-        return map_batches(slim, _finder(shared, (window, threshold, question, answer)), RESULT)
+    def search(shared) -> DataFrame:
+        return map_batches(slim, _finder(shared, (threshold, question, answer)), RESULT)
 
     for found in _part_by_part(benchmark, k1, b, max_postings, search):
         out = found if out is None else out.unionByName(found)
@@ -204,12 +230,12 @@ def contaminated(
 
 
 def _part_by_part(benchmark: DataFrame, k1: float, b: float, max_postings: int, search) -> Iterator[DataFrame]:
-    """``search(broadcast index, window)`` for each part; where there are several, its result is written and the part let go
+    """``search(broadcast index)`` for each part; where there are several, its result is written and the part let go
     before the next is made, so that one is held at a time."""
     sc = benchmark.sparkSession.sparkContext
-    for index, longest, parts in index_parts(benchmark, k1, b, max_postings):
+    for index, parts in index_parts(benchmark, k1, b, max_postings):
         shared = sc.broadcast(index)
-        found = search(shared, 2 * max(longest, 1))
+        found = search(shared)
         if parts > 1:
             found = materialise(found, "searched")
             shared.destroy()
@@ -251,8 +277,8 @@ def without_contaminated(
     """The rows of ``docs`` that hold no test item, all columns kept, without a join; a filter for each part of the index."""
     left = docs
 
-    def search(shared, window: int) -> DataFrame:
-        return left.where(_judge(shared, (window, threshold, question, answer))(F.col("text").cast("string")))
+    def search(shared) -> DataFrame:
+        return left.where(_judge(shared, (threshold, question, answer))(F.col("text").cast("string")))
 
     for left in _part_by_part(benchmark, k1, b, max_postings, search):  # noqa: B007  each part searches what the last one left
         pass

@@ -14,7 +14,7 @@ from meridia.llm import decontamination, licenses, mixing, near_duplicates, shar
 def brute_bm25(docs, items, threshold=0.6, question=0.6, answer=0.5, k1=1.2, b=0.75):
     """(doc, item, score, overlaps, first word) of every item found, from scores of all items against all passages."""
     split = {i: decontamination.words_of(t) for i, t in items if t and decontamination.words_of(t)}
-    n, mean, longest = len(split), np.mean([len(w) for w in split.values()]), max(map(len, split.values()))
+    n, mean = len(split), np.mean([len(w) for w in split.values()])
     df = Counter(t for w in split.values() for t in set(w))
     impact = {}
     for i, w in split.items():
@@ -26,8 +26,9 @@ def brute_bm25(docs, items, threshold=0.6, question=0.6, answer=0.5, k1=1.2, b=0
     out = []
     for doc, text in docs:
         words = decontamination.words_of(text)
-        last = max(0, -(-len(words) // longest) - 2)
         for i in split:
+            longest = decontamination.reach_of(len(split[i]))
+            last = max(0, -(-len(words) // longest) - 2)
             best = None
             for w in range(last + 1):
                 passage = words[w * longest : w * longest + 2 * longest] if w < last else words[w * longest :]
@@ -73,6 +74,23 @@ def test_whole_results_equal_brute_force(spark, postings):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if str(d) not in bad)
 
 
+def test_other_items_lengths_change_nothing(spark):
+    """An item of 8 words in pieces over a long text isn't found, however long another item is; one of 2,000 words is found whole."""
+    rng = np.random.default_rng(9)
+    short, filler = "alpha beta gamma delta epsilon zeta eta theta", [f"f{k}" for k in rng.integers(0, 5000, 1800)]
+    pieces = list(filler)
+    for k, w in enumerate(short.split()):
+        pieces[k * 220] = w
+    long_item = " ".join(f"long{k}" for k in rng.integers(0, 3000, 2000))
+    texts = [" ".join(pieces), " ".join([*filler[:900], short, *filler[900:]]), " ".join([*filler[:300], long_item, *filler[:50]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for items in ([(1, short)], [(1, short), (2, long_item)]):
+        got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+        found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+        assert found == {(1, 1)} | ({(2, 2)} if len(items) == 2 else set())
+    assert rounded(map(tuple, got.collect())) == rounded(brute_bm25(list(enumerate(texts)), items))
+
+
 def test_licenses_with_clashing_columns_and_repeats(spark):
     odd = odd_documents(spark)
     more = odd.limit(1).select(F.lit(50).cast("long").alias("doc_id"), F.lit("Words.\nReleased under the MIT License.").alias("text"), *(F.lit("clash").alias(c) for c in ("place", "part", "row", "sentence_id", "license", "kept")))

@@ -249,9 +249,10 @@ def test_block_search_equals_plain_scores():
     rng = np.random.default_rng(2)
     postings = sorted({(f"t{t}", int(i)): float(rng.random()) for t in range(60) for i in rng.integers(0, 40, 9)}.items())
     postings = [(t, i, w) for (t, i), w in postings]
-    index = decontamination.ItemIndex(postings, [(k, "x") for k in range(40)], block=3)
-    sets = [sorted(set(rng.integers(1, 61, 12).tolist())) for _ in range(20)]
-    names = {v: k for k, v in index.terms.items()}
+    numbers = {t: k + 1 for k, t in enumerate(sorted({t for t, _, _ in postings}))}
+    index = decontamination.LengthIndex([(numbers[t], i, w) for t, i, w in postings], len(numbers), [(k, "x") for k in range(40)], 1, block=3)
+    sets = [sorted(set(rng.integers(1, len(numbers) + 1, 12).tolist())) for _ in range(20)]
+    names = {v: k for k, v in numbers.items()}
     want = {}
     for w, terms in enumerate(sets):
         for item in range(40):
