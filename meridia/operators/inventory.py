@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_number, shell_quote
@@ -28,9 +28,53 @@ def classified(files: DataFrame) -> DataFrame:
     return rows.select("kind", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "path", "length")
 
 
-def extra_paths_yaml(base: str, folders: dict[str, str]) -> str:
-    """Configuration text that names model folders; a few lines, put together on the driver."""
-    return "\n".join([f"{base}:", *(f"    {kind}: {folder}" for kind, folder in sorted(folders.items()))]) + "\n"
+# Kinds of models in order with the folders below "models" that hold them, and the endings that are taken.
+MODEL_FOLDERS = {
+    "checkpoints": ["checkpoints"], "configs": ["configs"], "loras": ["loras"], "vae": ["vae"], "text_encoders": ["text_encoders", "clip"], "diffusion_models": ["unet", "diffusion_models"],
+    "clip_vision": ["clip_vision"], "style_models": ["style_models"], "embeddings": ["embeddings"], "vae_approx": ["vae_approx"], "controlnet": ["controlnet", "t2i_adapter"], "gligen": ["gligen"],
+    "upscale_models": ["upscale_models"], "latent_upscale_models": ["latent_upscale_models"], "hypernetworks": ["hypernetworks"], "photomaker": ["photomaker"], "classifiers": ["classifiers"],
+    "model_patches": ["model_patches"], "audio_encoders": ["audio_encoders"],
+}
+MODEL_ENDINGS = ["ckpt", "pt", "pt2", "bin", "pth", "safetensors", "pkl", "sft"]
+ENDINGS_OF = {"configs": ["yaml", "yml"], "classifiers": [""]}
+
+
+def model_kind(key: Column) -> Column:
+    """The kind that a folder's key stands for: older names give today's, unknown ones stay, an empty one has none."""
+    older = {folder: kind for kind, folders in MODEL_FOLDERS.items() for folder in folders if folder != kind}
+    known = F.create_map(*(F.lit(v) for pair in older.items() for v in pair))
+    return F.when(key != "", F.coalesce(F.try_element_at(known, key), key))
+
+
+def model_assets(files: DataFrame) -> DataFrame:
+    """(kind, name, place, length) of ``files(path, length)`` below a folder of models with an ending that its kind takes, in the order of
+    kinds and names; the name is the path below the kind's folder, ``place`` counts from 1 over all."""
+    folders = "|".join(sorted(f for names in MODEL_FOLDERS.values() for f in names))
+    kind = model_kind(F.regexp_extract("path", f"/models/({folders})/", 1))
+    ending = F.lower(F.regexp_extract("path", r"[^/.][^/]*\.([^./]*)$", 1))
+    rows = files.withColumn("kind", kind).where("kind IS NOT NULL")
+    special = F.when(F.lit(False), F.lit(False))
+    for name, endings in ENDINGS_OF.items():
+        special = special.when(F.col("kind") == name, ending.isin(endings))
+    rows = rows.where(special.otherwise(ending.isin(MODEL_ENDINGS)))
+    rank = F.array_position(F.array(*map(F.lit, MODEL_FOLDERS)), F.col("kind"))
+    rows = rows.select("kind", F.regexp_extract("path", f"/models/(?:{folders})/(.*)$", 1).alias("name"), "path", "length").withColumn("_rank", rank)
+    out = numbered(rows, ["_rank", "name", "path"], "place")
+    return out.select("kind", "name", (F.col("place") + 1).alias("place"), "length")
+
+
+def extra_paths(paths: DataFrame) -> DataFrame:
+    """(section, content): configuration text of ``paths(section, base_path, is_default, kind, k, path)``, a section a row. A kind of one path is quoted in
+    its line, one of several a block of lines in the order of ``k``. A section has the paths of a few folders."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("''")), F.lit("'"))
+    plain = F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda s: F.replace(s["path"], F.lit("\\"), F.lit("/")))
+    kinds = paths.groupBy("section", "base_path", "is_default", "kind").agg(plain.alias("p"))
+    many = F.concat(F.lit(": |\n"), F.array_join(F.transform("p", lambda x: F.concat(F.lit("    "), x)), "\n"), F.lit("\n"))
+    line = F.concat(F.lit("  "), "kind", F.when(F.size("p") == 1, F.concat(F.lit(": "), quoted(F.element_at("p", 1)), F.lit("\n"))).otherwise(many))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", line.alias("line")))), lambda s: s["line"]), "")
+    rows = kinds.groupBy("section", "base_path", "is_default").agg(lines.alias("lines"))
+    default = F.when(F.col("is_default"), "  is_default: true\n").otherwise("")
+    return rows.select("section", F.concat("section", F.lit(":\n  base_path: "), quoted(F.col("base_path")), F.lit("\n"), default, "lines").alias("content"))
 
 
 def image_list(images: DataFrame) -> DataFrame:

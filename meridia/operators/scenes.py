@@ -204,6 +204,13 @@ def buffered_frames(detector: str, width: int = 2, length: int = 15, merges: boo
     return late[detector]
 
 
+def every_frame(frames: DataFrame, n: int) -> DataFrame:
+    """Every ``n``-th frame of each video, from frame 0."""
+    if n < 1:
+        raise ValueError("frames are sampled every 1 or more")
+    return frames.where(F.col("frame") % n == 0)
+
+
 def marked_frames(cuts: DataFrame, found: DataFrame) -> DataFrame:
     """(video, frame) of all cuts and of the first and last frames of all scenes, each once, in order."""
     ends = found.select("video", F.explode(F.array("start_frame", "end_frame")).alias("frame"))

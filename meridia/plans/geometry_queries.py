@@ -390,3 +390,57 @@ def matrix_operations(spark, sf_dir):
     rows = lifts.point_pairs(spark, sf_dir)
     out = {"determinant": m.determinant(), "inverse_xx": m.inverse().rows[0][0], "square_xy": (m @ m).rows[0][1], "transposed_xz": m.transpose().rows[0][2]}
     return rows.select("idx", *(tidy(v).alias(n) for n, v in out.items()))
+
+
+@query(f"""WITH m AS (SELECT idx, 0.75 * sin(0.1) + 0.25 * sin(0.1 + x) AS z, 0.75 * cos(0.1) + 0.25 * cos(0.1 + x) AS w FROM ({POINTS})) SELECT idx, {r('z / sqrt(z * z + w * w)', 'qz')}, {r('w / sqrt(z * z + w * w)', 'qw')} FROM m""")
+def quaternion_nlerp(spark, sf_dir):
+    """A linear blend towards a rotation that is given with the opposite sign, along the shorter way."""
+    rows, b = held(lifts.points(spark, sf_dir), b=Quat.about(Vec.of(0, 0, 1), 0.2 + 2 * F.col("x")))
+    rows, s = held(rows, s=Quat.about(Vec.of(0, 0, 1), 0.2).nlerp(Quat(*(-c for c in b)), 0.25))
+    return rows.select("idx", tidy(s.z).alias("qz"), tidy(s.w).alias("qw"))
+
+
+_ORDERS = ("xyz", "xzy", "yxz", "yzx", "zxy", "zyx")
+
+
+def _turns(order: str) -> tuple[str, str, str]:
+    """(1, 2, 3) turned about the axes by the angles x, y and z, in that order."""
+    v = {"x": "1.0", "y": "2.0", "z": "3.0"}
+    for axis in order:
+        i, j = {"x": "yz", "y": "zx", "z": "xy"}[axis]
+        v |= {i: f"(cos({axis}) * {v[i]} - sin({axis}) * {v[j]})", j: f"(sin({axis}) * {v[i]} + cos({axis}) * {v[j]})"}
+    return v["x"], v["y"], v["z"]
+
+
+@query(" UNION ALL ".join(f"SELECT idx, '{o}' AS turn_order, {r(_turns(o)[0], 'vx')}, {r(_turns(o)[1], 'vy')}, {r(_turns(o)[2], 'vz')}, {r('x', 'ex')}, {r('y', 'ey')}, {r('z', 'ez')} FROM ({POINTS})" for o in _ORDERS))
+def euler_orders(spark, sf_dir):
+    """A vector turned by angles in each of the six orders, and the angles found again."""
+    out = None
+    for order in _ORDERS:
+        rows, q = held(lifts.points(spark, sf_dir), q=Quat.euler(order, F.col("x"), F.col("y"), F.col("z")))
+        turned, angles = q.rotate(Vec.of(1, 2, 3)), q.to_euler(order)
+        one = rows.select("idx", F.lit(order).alias("turn_order"), *(tidy(c).alias(f"v{k}") for k, c in zip("xyz", turned)), *(tidy(c).alias(f"e{k}") for k, c in zip("xyz", angles)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_A1 = tuple(f"{c} + {t}" for c, t in zip(_rotated("x * 1.0", "y * 2.0", "z * 3.0"), (0.1, 0.2, 0.3)))
+_A2 = tuple(f"{c} + {t}" for c, t in zip(_rotated("p * 1.0", "q * 2.0", "s * 3.0"), (0.1, 0.2, 0.3)))
+
+
+@query(f"WITH one AS (SELECT idx, x, {_A1[0]} AS p, {_A1[1]} AS q, {_A1[2]} AS s FROM ({POINTS})) SELECT idx, {r(_A2[0], 'x')}, {r(_A2[1], 'y')}, {r(_A2[2], 'z')}, {r('x', 'back_x')} FROM one")
+def affine_composed(spark, sf_dir):
+    """An affine map after itself as one matrix, and its inverse."""
+    m = trs(Vec.of(0.1, 0.2, 0.3), Quat.about(Vec.of(1, 2, 2), 0.5), Vec.of(1, 2, 3))
+    both = m @ m
+    out = both.apply(Vec.columns())
+    return lifts.points(spark, sf_dir).select("idx", *out.named(), tidy(both.inverse().apply(out).x).alias("back_x"))
+
+
+@query(f"""WITH p AS (SELECT *, sqrt(x * x + z * z) AS h, sqrt(x * x + y * y + z * z) AS n FROM ({POINTS}))
+ SELECT idx, {r('-z / h', 'right_x')}, {r('y / n', 'back_y')}, {r('-n', 'depth')}, {r('-1.0 - n', 'ahead')} FROM p""")
+def webgl_view(spark, sf_dir):
+    """Cameras at the points that look at the origin, as a view in which forward is -z: the origin, and a point a step behind it."""
+    rows, pose = held(lifts.points(spark, sf_dir), pose=Pose.look_at(Vec.columns(), Vec.of(0, 0, 0), Vec.of(0, 1, 0)))
+    m = pose.webgl_view_matrix()
+    return rows.select("idx", tidy(m.rows[0][0]).alias("right_x"), tidy(m.rows[2][1]).alias("back_y"), tidy(m.apply(Vec.of(0, 0, 0)).z).alias("depth"), tidy(m.apply(pose.forward).z).alias("ahead"))

@@ -106,3 +106,29 @@ def model_scan(spark, sf_dir):
 def command_plan(spark, sf_dir):
     i = F.col("page_id")
     return inventory.command_plan(lifts.table(spark, sf_dir, "pages").select(i.alias("run"), F.lit("/my images").alias("images"), F.concat(F.lit("/w/"), i.cast("string")).alias("workspace")))
+
+
+_FOLDERS = ["checkpoints", "clip", "unet", "t2i_adapter", "configs", "classifiers", "loras", "elsewhere"]
+_ENDS = [".SafeTensors", ".ckpt", ".yaml", "", ".txt"]
+
+
+@query(f"""WITH f AS (SELECT page_id, {_FOLDERS}[page_id % 8 + 1] AS folder, {_ENDS}[page_id % 5 + 1] AS ending FROM pages),
+ k AS (SELECT *, CASE folder WHEN 'clip' THEN 'text_encoders' WHEN 'unet' THEN 'diffusion_models' WHEN 't2i_adapter' THEN 'controlnet' ELSE folder END AS kind FROM f WHERE folder <> 'elsewhere'
+  AND CASE folder WHEN 'configs' THEN ending = '.yaml' WHEN 'classifiers' THEN ending = '' ELSE ending IN ('.SafeTensors', '.ckpt') END)
+ SELECT kind, 'sub/m' || page_id || ending AS name, row_number() OVER (ORDER BY list_position(['checkpoints', 'configs', 'loras', 'text_encoders', 'diffusion_models', 'controlnet', 'classifiers'], kind), 'sub/m' || page_id || ending, page_id) AS place, page_id AS length FROM k""")
+def model_assets(spark, sf_dir):
+    """Model files by today's kinds, in the order of kinds and names."""
+    i = F.col("page_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (i % n + 1).cast("int"))
+    path = F.concat(F.lit("/root/models/"), pick(_FOLDERS, 8), F.lit("/sub/m"), i.cast("string"), pick(_ENDS, 5))
+    return inventory.model_assets(lifts.table(spark, sf_dir, "pages").select(path.alias("path"), i.alias("length")))
+
+
+@query("""WITH p AS (SELECT 's' || page_id % 20 AS section, '/my ' || chr(39) || page_id % 20 || chr(39) AS base, page_id % 20 % 2 = 0 AS main, ['loras', 'vae', 'checkpoints'][page_id % 3 + 1] AS kind, page_id, 'd' || chr(92) || page_id AS path FROM pages),
+ k AS (SELECT section, base, main, kind, CASE WHEN count(*) = 1 THEN '  ' || kind || ': ' || chr(39) || replace(any_value(path), chr(92), '/') || chr(39) || chr(10) ELSE '  ' || kind || ': |' || chr(10) || string_agg('    ' || replace(path, chr(92), '/') || chr(10), '' ORDER BY page_id) END AS line FROM p GROUP BY 1, 2, 3, 4)
+ SELECT section, section || ':' || chr(10) || '  base_path: ' || chr(39) || replace(base, chr(39), chr(39) || chr(39)) || chr(39) || chr(10) || CASE WHEN main THEN '  is_default: true' || chr(10) ELSE '' END || string_agg(line, '' ORDER BY kind) AS content FROM k GROUP BY section, base, main""")
+def extra_model_paths(spark, sf_dir):
+    i = F.col("page_id")
+    s = (i % 20).cast("string")
+    rows = lifts.table(spark, sf_dir, "pages").select(F.concat(F.lit("s"), s).alias("section"), F.concat(F.lit("/my '"), s, F.lit("'")).alias("base_path"), (i % 20 % 2 == 0).alias("is_default"), F.element_at(F.array(F.lit("loras"), F.lit("vae"), F.lit("checkpoints")), (i % 3 + 1).cast("int")).alias("kind"), i.alias("k"), F.concat(F.lit("d\\"), i.cast("string")).alias("path"))
+    return inventory.extra_paths(rows)

@@ -172,3 +172,8 @@ def distinct_tracks(spark, sf_dir):
     at = lambda n: (F.col("event_id") * 7 % n).cast("int")
     boxes = lifts.table(spark, sf_dir, "events").select(F.concat(F.lit("scene_"), "user_id").alias("scene"), F.floor(F.col("event_id") / 50).alias("frame"), F.col("event_id").alias("idx"), at(40).alias("x"), at(30).alias("y"), F.lit(20).alias("width"), F.lit(16).alias("height"))
     return timeline.distinct_tracks(boxes)
+
+
+@query(f"SELECT video, frame, value FROM ({FRAMES}) WHERE frame % 7 = 0")
+def sampled_every(spark, sf_dir):
+    return scenes.every_frame(lifts.frames(spark, sf_dir), 7).select("video", "frame", "value")

@@ -194,22 +194,20 @@ def scene_list_csv(spark, sf_dir):
     return rows.select("video", whole("Scene Number", "scene"), whole("Start Frame", "start_frame"), F.col("Start Timecode").alias("start_time"), whole("End Frame", "end_frame"), F.col("End Timecode").alias("end_time"), F.col("Length (seconds)").alias("seconds"))
 
 
-@query(f"WITH {_SCENES} SELECT video, start_frame AS cut FROM sc WHERE video IN ('click', 'view') AND start_frame > 0 AND start_frame BETWEEN 100 AND 899")
+@query(f"WITH {_SCENES} SELECT video, start_frame AS cut FROM sc WHERE start_frame > 0 AND start_frame BETWEEN 100 AND 899")
 def load_scene_list(spark, sf_dir):
-    """The cuts of two videos' lists, clipped to frames 100 to 900."""
-    folder = _scene_csv(spark, sf_dir)
-    one = lambda video: scene_files.load_scenes(spark, f"{folder}/video={video}", 25, 100, 900).select(F.lit(video).alias("video"), "cut")
-    return reduce(DataFrame.unionByName, map(one, ("click", "view")))
+    """The cuts of all videos' lists, clipped to frames 100 to 900."""
+    return scene_files.load_scenes(spark, _scene_csv(spark, sf_dir), 25, 100, 900)
 
 
-@query(f"WITH f AS ({FRAMES}) SELECT frame, 'size' AS metric, CAST(sum(frame + 1) AS DOUBLE) AS value FROM f WHERE video = 'click' GROUP BY 1 UNION ALL SELECT frame, 'value', value FROM f WHERE video = 'click' AND frame % 3 <> 0")
+@query(f"WITH f AS ({FRAMES}) SELECT video, frame, 'size' AS metric, CAST(frame + 1 AS DOUBLE) AS value FROM f UNION ALL SELECT video, frame, 'value', value FROM f WHERE frame % 3 <> 0")
 def statistics_csv(spark, sf_dir):
-    """Two metrics of a video's frames, one of them missing in every third frame."""
-    f = lifts.frames(spark, sf_dir).where("video = 'click'")
+    """Two metrics of all videos' frames, one of them missing in every third frame."""
+    f = lifts.frames(spark, sf_dir)
     one = f.select("video", "frame", F.lit("size").alias("metric"), (F.col("frame") + 1).cast("double").alias("value"))
     two = f.where("frame % 3 <> 0").select("video", "frame", F.lit("value").alias("metric"), "value")
     folder = fresh_path(spark, "statistics")
-    scene_files.stats_table(one.unionByName(two), ["value", "size"]).drop("video").write.csv(folder, header=True)
+    scene_files.stats_table(one.unionByName(two), ["value", "size"]).write.partitionBy("video").csv(folder, header=True)
     return scene_files.load_stats(spark, folder)
 
 

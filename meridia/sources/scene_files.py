@@ -27,13 +27,15 @@ def write_scene_list(scenes: DataFrame, fps: float, path: str) -> None:
 
 
 def load_scenes(spark: SparkSession, path: str, fps: float, start: int, end: int, column: str = "Start Timecode") -> DataFrame:
-    """(cut): scene starts of CSV files as frames, the first left out, clipped to [start, end)."""
+    """(cut): scene starts of CSV files as frames, the first left out, clipped to [start, end); with the video where folders by video are read."""
     rows = spark.read.csv(path, header=True)
     at = parse_timecode(F.col(column), F.lit(float(fps)))
     at = at if column == "Start Timecode" else at - 1
-    rows = rows.select(at.alias("cut"))
-    first = rows.agg(F.min("cut").alias("first"))
-    return rows.crossJoin(F.broadcast(first)).where((F.col("cut") > F.col("first")) & (F.col("cut") >= start) & (F.col("cut") < end)).select("cut").distinct()
+    keys = [c for c in rows.columns if c == "video"]
+    rows = rows.select(*keys, at.alias("cut")).where("cut IS NOT NULL")
+    first = rows.groupBy(*keys).agg(F.min("cut").alias("first"))
+    both = rows.join(first, keys) if keys else rows.crossJoin(F.broadcast(first))
+    return both.where((F.col("cut") > F.col("first")) & (F.col("cut") >= start) & (F.col("cut") < end)).select(*keys, "cut").distinct()
 
 
 def stats_table(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -43,13 +45,14 @@ def stats_table(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, metric, value) of statistics files: 0-based frames; "None" and blanks are absent."""
+    """(frame, metric, value) of statistics files: 0-based frames; "None" and blanks are absent; with the video where folders by video are read."""
     rows = spark.read.csv(path, header=True)
     if "Frame Number" not in rows.columns:
         raise ValueError("a statistics file begins with Frame Number")
     names = [c for c in rows.columns if c not in ("Frame Number", "Timecode", "video")]
-    long = rows.unpivot("Frame Number", names, "metric", "text")
-    return long.where("text IS NOT NULL AND trim(text) NOT IN ('', 'None')").select((F.col("Frame Number").cast("long") - 1).alias("frame"), "metric", F.col("text").cast("double").alias("value"))
+    keys = [c for c in rows.columns if c == "video"]
+    long = rows.unpivot([*keys, "Frame Number"], names, "metric", "text")
+    return long.where("text IS NOT NULL AND trim(text) NOT IN ('', 'None')").select(*keys, (F.col("Frame Number").cast("long") - 1).alias("frame"), "metric", F.col("text").cast("double").alias("value"))
 
 
 def edit_list(scenes: DataFrame, fps: float, title: str) -> DataFrame:
