@@ -55,7 +55,13 @@ def scene_projection(spark, sf_dir):
     return out.select("id", tidy(F.col("sx")).alias("sx"), tidy(F.col("sy")).alias("sy"), (F.col("layer") + 1).alias("layer"))
 
 
-@query()
+def _plain(value: str) -> str:
+    text = f"regexp_replace(printf('%.3f', {value}), '\\.?0+$', '')"
+    return f"(CASE WHEN {text} IN ('-0', '') THEN '0' ELSE {text} END)"
+
+
+@query(f"""WITH RECURSIVE {_TREE} SELECT 0 AS drawing, '<svg xmlns="http://www.w3.org/2000/svg" width="100" height="80">' || string_agg('<circle cx="' || {_plain("x + 50")} || '" cy="' || {_plain("40 - y")} || '" r="' || {_plain("scale")} || '" fill="' || coalesce(colour, 'black')
+ || '"><title>node &lt;' || id || '&gt;</title></circle>', '' ORDER BY z DESC, id) || '</svg>' AS content FROM tree""")
 def scene_svg(spark, sf_dir):
     flat = scene_graph.projected(scene_graph.flattened(_tree(spark, sf_dir)), 100, 80, None).withColumn("drawing", F.lit(0))
     return scene_graph.svg(flat, 100, 80, F.concat(F.lit("node <"), F.col("id").cast("string"), F.lit(">")))

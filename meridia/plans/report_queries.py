@@ -11,7 +11,7 @@ from . import lifts
 from .lifts import POINTS, r
 from .registry import query
 from .source_queries import _reconstruction, _splats
-from .vision_queries import _PX, pixel_frames
+from .vision_queries import _PX, _hashes, pixel_frames
 
 _POINTS = "pts AS (SELECT vec_id AS point_id, vec_id % 4 + 1 AS length, (vec_id % 10) / 4.0 AS error FROM embeddings)"
 _HISTOGRAM = "(SELECT string_agg(length || ':' || n, ',' ORDER BY length) FROM (SELECT length, count(*) AS n FROM pts GROUP BY 1)) AS histogram"
@@ -96,7 +96,8 @@ def histogram_detector(spark, sf_dir):
     return frame_hash.histogram_cuts(pixel_frames(spark, sf_dir), 0.05, 16, 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PX}, {_hashes(8, 16)}, keep AS (SELECT video, (SELECT min(frame) FROM changed h WHERE h.video = v.video AND distance >= 0.395 AND frame >= 3) AS cut FROM (SELECT DISTINCT video FROM px) v
+ UNION ALL SELECT k.video, (SELECT min(frame) FROM changed h WHERE h.video = k.video AND distance >= 0.395 AND frame >= k.cut + 3) FROM keep k WHERE k.cut IS NOT NULL) SELECT video, cut FROM keep WHERE cut IS NOT NULL""")
 def hash_detector(spark, sf_dir):
     """Cuts by perceptual hashes of the embeddings' pictures."""
     return frame_hash.hash_cuts(pixel_frames(spark, sf_dir, side=32), 0.395, 8, 2, 3)

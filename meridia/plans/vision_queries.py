@@ -209,7 +209,18 @@ def mean_rgb(spark, sf_dir):
     return inside.groupBy("video", "frame").agg(*(tidy(F.avg(c)).alias(c) for c in "rgb"))
 
 
-@query()
+def _hashes(size: int, side: int) -> str:
+    """Hash bits of the pictures: a cosine transform of ``side`` by ``side`` cells as sums, its low part against its median."""
+    wave = lambda k, i: f"CASE WHEN {k} = 0 THEN sqrt(1.0 / {side}) ELSE sqrt(2.0 / {side}) * cos(pi() * (2 * {i} + 1) * {k} / {2 * side}) END"
+    return f"""grey AS (SELECT video, frame, y, x, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) AS l FROM px),
+ cells AS (SELECT video, frame, cy, cx, l / CAST(greatest(max(l) OVER (PARTITION BY video, frame), 1) AS DOUBLE) AS v FROM grey JOIN (SELECT i AS cy, i * 8 // {side} AS y FROM range({side}) t(i)) USING (y) JOIN (SELECT i AS cx, i * 8 // {side} AS x FROM range({side}) t(i)) USING (x)),
+ across AS (SELECT video, frame, cy, l, sum(v * {wave("l", "cx")}) AS v FROM cells, range({size}) q(l) GROUP BY 1, 2, 3, 4),
+ low AS (SELECT video, frame, k, l, sum(v * {wave("k", "cy")}) AS v FROM across, range({size}) p(k) GROUP BY 1, 2, 3, 4),
+ bits AS (SELECT video, frame, k, l, v > median(v) OVER (PARTITION BY video, frame) AS bit FROM low),
+ changed AS (SELECT video, frame, avg(CASE WHEN bit <> was THEN 1.0 ELSE 0.0 END) AS distance FROM (SELECT *, lag(bit) OVER (PARTITION BY video, k, l ORDER BY frame) AS was FROM bits) WHERE was IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PX}, {_hashes(4, 8)} SELECT video, frame, {r('distance', 'distance')} FROM changed")
 def hash_frame(spark, sf_dir):
     """Perceptual hashes of frames and their distance to the frame before."""
     from ..operators.frame_hash import hash_distances
