@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml, short_number
+from .scene_render import root_paths
 from .tables import written
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
     """(id, depth, x, y, z, scale, colour): each node's place in the world. A node that isn't visible hides what is below it; a
-    colour that is null is inherited. The tree is walked by a recursive query, one level a round."""
-    spark, view = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    tree = spark.sql(f"""
-        WITH RECURSIVE tree(id, depth, x, y, z, scale, colour) AS (
-          SELECT id, 0, tx, ty, tz, scale, colour FROM {view} WHERE parent IS NULL AND visible
-          UNION ALL
-          SELECT n.id, t.depth + 1, t.x + t.scale * n.tx, t.y + t.scale * n.ty, t.z + t.scale * n.tz, t.scale * n.scale, coalesce(n.colour, t.colour)
-          FROM tree t JOIN {view} n ON n.parent = t.id WHERE n.visible)
-        SELECT * FROM tree""")
-    spark.catalog.dropTempView(view)  # the plan holds what it needs of it
-    return tree
+    colour that is null is inherited. Paths from the roots are found by doubling, and folded in one expression a node."""
+    names = ["tx", "ty", "tz", "scale"]
+    local = F.struct(*(F.col(n).cast("double").alias(n) for n in names), F.col("colour").cast("string").alias("colour"), F.coalesce("visible", F.lit(False)).alias("visible"))
+    top = F.struct(*(F.lit(float(n == "scale")).alias(n) for n in names), F.lit(None).cast("string").alias("colour"), F.lit(True).alias("visible"))
+
+    def below(up: Column, own: Column) -> Column:
+        at = [(up[n] + up["scale"] * own[n]).alias(n) for n in names[:3]]
+        return F.struct(*at, (up["scale"] * own["scale"]).alias("scale"), F.coalesce(own["colour"], up["colour"]).alias("colour"), (up["visible"] & own["visible"]).alias("visible"))
+
+    rows = root_paths(nodes, [], local).select("id", (F.size("path") - 1).alias("depth"), F.aggregate("path", top, below).alias("w")).where("w.visible")
+    return rows.select("id", "depth", *(F.col(f"w.{n}").alias(a) for n, a in zip(names, ("x", "y", "z", "scale"))), F.col("w.colour").alias("colour"))
 
 
 def projected(points: DataFrame, width: float, height: float, focal: float | None, near: float = 0.01, far: float = 1e6) -> DataFrame:
