@@ -2,8 +2,8 @@
 
 The test items are the indexed collection; every passage of every training document is a query. Impacts are
 divided by the score an item has against itself, so 1 means that a passage holds all of an item's terms and
-one threshold suits short and long items. Items are searched by their length: those of at most 2^k words, and more than half as many,
-meet passages of 2^(k + 1) words that overlap by half, so that every run of words as long as an item lies whole inside one passage,
+one threshold suits short and long items. Items are searched by their length: those of at most 4^k words, and more than a quarter as many,
+meet passages of 2 * 4^k words that overlap by half, so that every run of words as long as an item lies whole inside one passage,
 and how long other items are changes no item's passages.
 
 The search is block-max WAND, over all passages of a document at once: passages are passed over whose lists' maxima can't
@@ -69,8 +69,8 @@ def overlap(part: list[str], passage: list[str], width: int = 3) -> float:
 
 
 def reach_of(words: int) -> int:
-    """The power of two that a number of words doesn't go beyond: half the words of the passages it is looked for in."""
-    return 1 << max(0, words - 1).bit_length()
+    """The power of four that a number of words doesn't go beyond: half the words of the passages it is looked for in."""
+    return 1 << -(-max(0, words - 1).bit_length() // 2) * 2
 
 
 class LengthIndex:
