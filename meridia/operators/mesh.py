@@ -337,7 +337,8 @@ def _nearest_weights(near: DataFrame, p: Vec) -> tuple[DataFrame, Column, Column
 
 
 def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """(query, mesh_id, t_idx, distance, x, y, z): the nearest surface point of each of ``queries(query, qx, qy, qz)`` on each mesh.
+    """(query, mesh_id, t_idx, distance, x, y, z): the nearest surface point of each of ``queries(query, qx, qy, qz)`` on each mesh, or where
+    the queries have a mesh_id on that mesh.
 
     Each mesh is a tree of bounds; cells that begin farther off than another ends are left out at every step. The smaller t_idx wins ties. An
     aggregate keeps only the best so far, so no candidate list is sorted.
@@ -350,11 +351,15 @@ def closest_points(queries: DataFrame, vertices: DataFrame, triangles: DataFrame
         met = met.withColumn("begin", box.distance(p)).withColumn("end", F.min(end).over(Window.partitionBy("query", KEY)))
         return met.where(F.col("begin") <= F.col("end") * (1 + 1e-9)).drop("begin", "end")
 
-    # the result has a row for each query and mesh
-    meshes = written(rows.select(KEY).distinct(), "meshes").limit(2).collect()
-    some = queries.select("query", "qx", "qy", "qz")
-    start = some.withColumn(KEY, F.lit(meshes[0][0])) if len(meshes) == 1 else some.crossJoin(rows.select(KEY).distinct())
-    keys = [] if len(meshes) == 1 else [KEY]
+    own = KEY in queries.columns
+    some, keys = queries.select("query", "qx", "qy", "qz", *([KEY] if own else [])), [KEY]
+    if own:
+        start = some
+    else:
+        # the result has a row for each query and mesh
+        meshes = written(rows.select(KEY).distinct(), "meshes")
+        first = meshes.limit(2).collect()
+        start, keys = (some.withColumn(KEY, F.lit(first[0][0])), []) if len(first) == 1 else (some.crossJoin(meshes), keys)
     met = _descended(start.withColumn("cell", F.lit(0).cast("long")), rows, depth, keys, kept).withColumnRenamed("cell", "code")
     near, v, w = _nearest_weights(met.join(rows, [KEY, "code"]), p)
     near, at = held(near, near=t.a + (t.b - t.a) * v + (t.c - t.a) * w)

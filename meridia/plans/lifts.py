@@ -70,7 +70,7 @@ SAMPLES = "SELECT DISTINCT user_id AS track, CAST(floor(epoch(ts)) AS DOUBLE) AS
 
 
 def grid_mesh(spark: SparkSession, sf_dir: str, side: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Square grids of points, as many meshes as there are embeddings for, as vertices and triangles: bent, and rough by the first component.
+    """Square grids of points side by side, as many meshes as there are embeddings for, as vertices and triangles: bent, and rough by the first component.
 
     A square of four points is two triangles; some are missing. The last grid may end early.
     """
@@ -78,9 +78,9 @@ def grid_mesh(spark: SparkSession, sf_dir: str, side: int = 12) -> tuple[DataFra
     n = side * side
     v = v.select(F.floor(F.col("vec_id") / n).cast("int").alias("mesh_id"), (F.col("vec_id") % n).alias("v_idx"), F.col("embedding")[0].cast("double").alias("e"))
     x, y = (F.col("v_idx") % side).cast("double"), F.floor(F.col("v_idx") / side).cast("double")
-    v = v.select("mesh_id", "v_idx", x.alias("x"), y.alias("y"), ((x * x + y * F.col("mesh_id")) * 0.1 + F.col("e")).alias("z"))
+    v = v.select("mesh_id", "v_idx", (x + F.col("mesh_id") * side).alias("x"), y.alias("y"), ((x * x + y * (F.col("mesh_id") % 5)) * 0.1 + F.col("e")).alias("z"))
     ends = v.groupBy("mesh_id").agg(F.max("v_idx").alias("last"))
-    low = v.where(F.col("x") < side - 1).join(ends, "mesh_id").where(F.col("v_idx") + side + 1 <= F.col("last"))
+    low = v.where(F.col("v_idx") % side < side - 1).join(ends, "mesh_id").where(F.col("v_idx") + side + 1 <= F.col("last"))
     quad = F.floor(F.col("v_idx") / side) * (side - 1) + F.col("v_idx") % side
     i = F.col("v_idx")
     two = F.array(F.struct((quad * 2).alias("t_idx"), i.alias("a"), (i + 1).alias("b"), (i + side).alias("c")), F.struct((quad * 2 + 1).alias("t_idx"), (i + 1).alias("a"), (i + side + 1).alias("b"), (i + side).alias("c")))
@@ -90,8 +90,8 @@ def grid_mesh(spark: SparkSession, sf_dir: str, side: int = 12) -> tuple[DataFra
 
 def mesh_sql(side: int = 12) -> str:
     n = side * side
-    return f"""vertices AS (SELECT CAST(vec_id // {n} AS INTEGER) AS mesh_id, vec_id % {n} AS v_idx, CAST(vec_id % {n} % {side} AS DOUBLE) AS x, CAST(vec_id % {n} // {side} AS DOUBLE) AS y,
-  (CAST(vec_id % {n} % {side} AS DOUBLE) * CAST(vec_id % {n} % {side} AS DOUBLE) + CAST(vec_id % {n} // {side} AS DOUBLE) * CAST(vec_id // {n} AS INTEGER)) * 0.1 + CAST(embedding[1] AS DOUBLE) AS z FROM embeddings),
+    local, row, mesh = f"CAST(vec_id % {n} % {side} AS DOUBLE)", f"CAST(vec_id % {n} // {side} AS DOUBLE)", f"vec_id // {n}"
+    return f"""vertices AS (SELECT CAST({mesh} AS INTEGER) AS mesh_id, vec_id % {n} AS v_idx, {local} + {mesh} * {side} AS x, {row} AS y, ({local} * {local} + {row} * ({mesh} % 5)) * 0.1 + CAST(embedding[1] AS DOUBLE) AS z FROM embeddings),
 raw AS (SELECT v.mesh_id, v_idx AS low, odd, (v_idx // {side} * {side - 1} + v_idx % {side}) * 2 + odd AS t_idx FROM vertices v
   JOIN (SELECT mesh_id, max(v_idx) AS last FROM vertices GROUP BY 1) e ON e.mesh_id = v.mesh_id AND v_idx + {side} + 1 <= last, (VALUES (0), (1)) o(odd) WHERE v_idx % {side} < {side - 1}),
 triangles AS (SELECT mesh_id, t_idx, low + odd AS a, CASE WHEN odd = 1 THEN low + {side} + 1 ELSE low + 1 END AS b, low + {side} AS c FROM raw WHERE t_idx % 17 <> 5)"""

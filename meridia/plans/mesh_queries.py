@@ -94,14 +94,15 @@ def sample_points_uniform(spark, sf_dir):
     return mesh.samples(*lifts.grid_mesh(spark, sf_dir), 50).select("s_idx", "mesh_id", "t_idx", tidy(F.col("x")).alias("x"))
 
 
-_PLACE = ", ".join(f"5.5 + 8 * CAST(embedding[{k}] AS DOUBLE) AS {{p}}{a}" for k, a in ((5, "x"), (6, "y"))) + ", {z} AS {p}z"
+_PLACE = "vec_id // 144 * 12 + 5.5 + 8 * CAST(embedding[5] AS DOUBLE) AS {p}x, 5.5 + 8 * CAST(embedding[6] AS DOUBLE) AS {p}y, {z} AS {p}z"
 _RAYS = f"rays AS (SELECT vec_id AS ray, {_PLACE.format(p='o', z='-50.0')} FROM embeddings)"
 
 
 def _places(spark, sf_dir, prefix: str, name: str):
-    """A place over the grids for each embedding, with its other components."""
+    """A place over its own grid for each embedding, with its other components."""
     e = lambda k: F.col("embedding")[k].cast("double")
-    return lifts.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(name), (5.5 + 8 * e(4)).alias(f"{prefix}x"), (5.5 + 8 * e(5)).alias(f"{prefix}y"), (2 + 8 * e(6)).alias(f"{prefix}z"))
+    own = F.floor(F.col("vec_id") / 144)
+    return lifts.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(name), own.cast("int").alias("mesh_id"), (own * 12 + 5.5 + 8 * e(4)).alias(f"{prefix}x"), (5.5 + 8 * e(5)).alias(f"{prefix}y"), (2 + 8 * e(6)).alias(f"{prefix}z"))
 
 
 @query(f"""WITH {mesh_sql()}, {_CORNERS}, {_RAYS}, h AS (SELECT ray, mesh_id, t_idx, nx, ny, nz, n2, (ox - ax) * nx + (oy - ay) * ny + (oz - az) * nz AS above, nz AS facing, ax, ay, bx, by_, cx, cy, ox, oy FROM rays JOIN faces
@@ -109,7 +110,7 @@ def _places(spark, sf_dir, prefix: str, name: str):
  w AS (SELECT *, ((by_ - cy) * (ox - cx) + (cx - bx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (ox - cx) + (ax - cx) * (oy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v FROM h)
  SELECT ray, mesh_id, t_idx, {r('-above / facing', 'distance')} FROM w WHERE u >= -1.1920929e-07 AND v >= -1.1920929e-07 AND u + v <= 1 + 1.1920929e-07""")
 def mesh_ray_hits(spark, sf_dir):
-    rays = _places(spark, sf_dir, "o", "ray").withColumns({"oz": F.lit(-50.0), "dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(1.0)})
+    rays = _places(spark, sf_dir, "o", "ray").drop("mesh_id").withColumns({"oz": F.lit(-50.0), "dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(1.0)})
     return mesh.ray_hits(rays, *lifts.grid_mesh(spark, sf_dir)).withColumn("distance", tidy(F.col("distance")))
 
 
@@ -121,11 +122,11 @@ def _segment(p: str, q: str) -> str:
     return " + ".join(f"pow(q{k} - {at(p, k)} - {t} * {d[k]}, 2)" for k in "xyz")
 
 
-@query(f"""WITH {mesh_sql()}, {_CORNERS}, q AS (SELECT vec_id AS query, {_PLACE.format(p='q', z='2 + 8 * CAST(embedding[7] AS DOUBLE)')} FROM embeddings),
- h AS (SELECT *, ((qx - ax) * nx + (qy - ay) * ny + (qz - az) * nz) / n2 AS above FROM q, faces), f AS (SELECT *, qx - above * nx / n2 AS fx, qy - above * ny / n2 AS fy FROM h),
+@query(f"""WITH {mesh_sql()}, {_CORNERS}, q AS (SELECT vec_id AS query, vec_id // 144 AS own, {_PLACE.format(p='q', z='2 + 8 * CAST(embedding[7] AS DOUBLE)')} FROM embeddings),
+ h AS (SELECT *, ((qx - ax) * nx + (qy - ay) * ny + (qz - az) * nz) / n2 AS above FROM q JOIN faces ON mesh_id = own), f AS (SELECT *, qx - above * nx / n2 AS fx, qy - above * ny / n2 AS fy FROM h),
  w AS (SELECT *, ((by_ - cy) * (fx - cx) + (cx - bx) * (fy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (fx - cx) + (ax - cx) * (fy - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v FROM f)
  SELECT query, mesh_id, {r("sqrt(min(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN above * above ELSE least(" + _segment("a", "b") + ", " + _segment("b", "c") + ", " + _segment("c", "a") + ") END))", "distance")} FROM w GROUP BY 1, 2""")
 def mesh_closest_points(spark, sf_dir):
-    """How far a place for each embedding lies from each of the meshes."""
+    """How far a place for each embedding lies from its own mesh."""
     found = mesh.closest_points(_places(spark, sf_dir, "q", "query"), *lifts.grid_mesh(spark, sf_dir))
     return found.select("query", "mesh_id", tidy(F.col("distance")).alias("distance"))
