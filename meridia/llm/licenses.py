@@ -5,7 +5,9 @@ brackets of list marks). Parts are normalised: lower case, marks to spaces. Know
 is found where a run of parts, one after the other, holds just its words. So a wrapped sentence is found over its lines,
 and one that ends in a colon before the next on its line. It has the place where it begins. Rules are ordered sequences of
 identifiers: a rule matches where its sentences follow each other in the text, each beginning within ``gap`` places after
-the end of the one before (other known or unknown sentences may stand in between).
+the end of the one before (other known or unknown sentences may stand in between). Longer ones come first: where several known
+sentences begin at one part, the one of the most characters is taken, and a rule takes its sentences from shorter rules of other
+licences that begin with it and want nothing more, so that three clauses aren't two as well.
 
 Every known sentence holds one of a few words, so texts without any of these are passed over after one search of the whole
 text. The others are cut and normalised once; all rules work on the sentences found.
@@ -155,14 +157,16 @@ def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
     for spdx, forms in names.items():
         key = spdx.lower()
         sentences += [(f"{key}-name", form) for form in forms]
-        sentences += [(f"{key}-spdx", f"SPDX-License-Identifier: {spdx}{more}") for more in ("", "-only", "-or-later")]
-        rules += [(spdx, f"{key}-named", [f"{key}-name"]), (spdx, f"{key}-spdx", [f"{key}-spdx"])]
+        rules.append((spdx, f"{key}-named", [f"{key}-name"]))
+        for more in ("", "-only", "-or-later"):
+            sentences.append((f"{key}{more}-spdx", f"SPDX-License-Identifier: {spdx}{more}"))
+            rules.append((f"{spdx}{more}", f"{key}{more}-spdx", [f"{key}{more}-spdx"]))
     for kind, thing, name, versions in GNU:
         sentences.append((f"{kind}-warranty", f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"))
         for spdx, version in versions:
             key = spdx.lower()
             sentences += [(f"{key}-grant", f"This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version") for mark in ":;"]
-            rules += [(spdx, f"{key}-notice", [f"{key}-grant", f"{kind}-warranty"]), (spdx, f"{key}-full", [f"{key}-grant", f"{kind}-warranty", f"{kind}-details"])]
+            rules += [(f"{spdx}-or-later", f"{key}-notice", [f"{key}-grant", f"{kind}-warranty"]), (f"{spdx}-or-later", f"{key}-full", [f"{key}-grant", f"{kind}-warranty", f"{kind}-details"])]
     # one wording may serve several identifiers: the warranty of two GNU notices is the same
     return sorted({(k, _plain(t)) for k, t in sentences}), rules
 
@@ -170,6 +174,19 @@ def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
 SENTENCES, RULES = _tables()
 
 
+def _wider() -> list[tuple[str, str]]:
+    """(longer, shorter): rules of different licences where the longer holds all the shorter's sentences in order, from the first on."""
+    within = lambda short, long: all(i in rest for rest in [iter(long)] for i in short)
+    by_first: dict[str, list] = {}
+    for name, rule, ids in RULES:
+        by_first.setdefault(ids[0], []).append((name, rule, ids))
+    return sorted((b[1], a[1]) for found in by_first.values() for a in found for b in found if a[0] != b[0] and len(b[2]) > len(a[2]) and within(a[2], b[2]))
+
+
+#: a match of the first takes the sentences of a match of the second that begins with it
+WIDER = _wider()
+
+
 def _fixed(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
     """A fixed table of at most some thousand rows, made of literals, so that it may be broadcast."""
     values = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
@@ -211,6 +228,7 @@ def known_sentences(docs: DataFrame) -> DataFrame:
     same = (F.substring_index("flat", " ", 1) == F.col("opening")) & F.col("flat").startswith(F.col("sentence"))
     rows = rows.join(known, same & F.substring("ahead", end + 1, F.lit(1)).isin("", "\n"))
     over = F.size(F.split(F.substring("ahead", F.lit(1), end), "\n")) - 1
+    rows = rows.withColumn("longest", F.max(end).over(Window.partitionBy("row", "part"))).where(end == F.col("longest"))
     return rows.select(
         "row", "doc_id", "part", (F.col("part") + over).alias("last_part"), F.col("places")[0].alias("place"),
         F.col("places")[over].alias("last_place"), "sentence_id",
@@ -221,7 +239,7 @@ def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
     """(doc_id, license, rule, first_place, last_place): every place at which a rule's sentences stand in order.
 
     From each sentence that opens a rule, each next sentence the rule wants must begin within ``gap`` places of the end of
-    the one before. All ways are tried; ``last_place`` is where the last sentence begins in the one that ends first.
+    the one before. All ways are tried; a rule's sentences are taken from narrower rules (``WIDER``); ``last_place`` is where the last sentence begins in the one that ends first.
     """
     found = materialise(known_sentences(docs), "known-sentences")
     out = None
@@ -232,9 +250,12 @@ def license_matches(docs: DataFrame, gap: int = 5) -> DataFrame:
         rows = found.join(table, F.col("sentence_id") == F.col("s0")).withColumn("first_place", F.col("place"))
         for name in names[1:]:
             rows = _followed(rows, found, name, gap)
-        rows = rows.groupBy("row", "doc_id", "license", "rule", "first_place").agg(F.min("place").alias("last_place")).drop("row")
+        rows = rows.groupBy("row", "doc_id", "license", "rule", "first_place").agg(F.min("place").alias("last_place"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    out = materialise(out, "license-rules")
+    wider = _fixed(docs.sparkSession, WIDER, ["longer", "shorter"])
+    taken = out.join(wider, F.col("rule") == F.col("longer")).select("row", "first_place", F.col("shorter").alias("rule")).distinct()
+    return out.join(taken, ["row", "first_place", "rule"], "left_anti").select("doc_id", "license", "rule", "first_place", "last_place")
 
 
 def _followed(rows: DataFrame, found: DataFrame, wanted: str, gap: int) -> DataFrame:

@@ -6,7 +6,7 @@ from .decontamination import op1_decontamination
 from .embedding_duplicates import op6_embedding_duplicates
 from .hard_negatives import op11_hard_negatives
 from .language import op13_language
-from .licenses import RULES, SENTENCES, op4_licenses
+from .licenses import RULES, SENTENCES, WIDER, op4_licenses
 from .mixing import op5_mixing
 from .near_duplicates import op3_near_duplicates
 from .quality import op7_quality
@@ -52,7 +52,7 @@ def _license_sql(gap: int = 5) -> str:
             )
             last = f"f{k}.place"
         parts.append(
-            f"SELECT f0.doc_id, r.license, r.rule, f0.place AS first_place, {last} AS last_place FROM found f0"
+            f"SELECT f0.rid, f0.doc_id, r.license, r.rule, f0.place AS first_place, {last} AS last_place FROM found f0"
             f" JOIN ({_values(rules)}) r(license, rule, {names}) ON f0.sentence_id = r.s0{join}"
         )
     return f"""
@@ -62,7 +62,9 @@ cut AS (SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(regexp
 sentences AS (SELECT doc_id, rid, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS place FROM cut),
 found AS (SELECT DISTINCT doc_id, rid, CAST(place AS INTEGER) AS place, sentence_id FROM sentences JOIN known
   ON known.sentence = trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))
-{" UNION ALL ".join(parts)}"""
+, matches AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, license, rule, first_place, last_place FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches l JOIN ({_values(WIDER)}) w(longer, shorter) ON l.rule = w.longer
+  WHERE l.rid = m.rid AND l.first_place = m.first_place AND m.rule = w.shorter)"""
 
 
 ORACLE_SQL = {

@@ -95,7 +95,7 @@ MORE = {
     "mpl2-notice": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
     "unlicense-text": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
     "cc-by-sa-4.0-named": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
-    "gpl-2.0-spdx": "// SPDX-License-Identifier: GPL-2.0-or-later",
+    "gpl-2.0-or-later-spdx": "// SPDX-License-Identifier: GPL-2.0-or-later",
     "bsd3-text": BSD.format("1.", "2.") + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
     "lgpl-2.1-full": GPL.replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1"),
 }
@@ -104,3 +104,20 @@ MORE = {
 def test_other_licenses(spark):
     found = rules(spark, MORE.values())
     assert {(k, rule) for k, rule in enumerate(MORE)} <= found
+
+
+def named(spark, text):
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return {r["license"] for r in licenses.license_matches(rows).collect()}
+
+
+def test_longer_sentences_and_rules_take_what_they_hold(spark):
+    """One licence each: three clauses aren't two, a whole grant isn't its beginning, later versions are said."""
+    isc = MORE["isc-full"]
+    assert named(spark, MORE["bsd3-text"]) == {"BSD-3-Clause"} and named(spark, BSD.format("1.", "2.")) == {"BSD-2-Clause"}
+    assert named(spark, isc) == {"ISC"} and named(spark, isc.replace("hereby granted, provided", "hereby granted,\nprovided")) == {"ISC"}
+    assert named(spark, "SPDX-License-Identifier: GPL-2.0-or-later") == {"GPL-2.0-or-later"}
+    assert named(spark, "SPDX-License-Identifier: GPL-2.0-only") == {"GPL-2.0-only"} and named(spark, GPL) == {"GPL-3.0-or-later"}
+    both = MORE["bsd3-text"] + "\n\nPart two.\n" + "filler.\n" * 9 + BSD.format("1.", "2.")
+    assert named(spark, both) == {"BSD-3-Clause", "BSD-2-Clause"}
+    assert licenses.WIDER == [("bsd3-text", "bsd2-text")]
