@@ -73,6 +73,18 @@ def reach_of(words: int) -> int:
     return 1 << -(-max(0, words - 1).bit_length() // 2) * 2
 
 
+#: sums are taken in an array of all cells where it is not larger than this, else by sorting
+DENSE = 1 << 22
+
+
+def _summed(key: np.ndarray, weights: np.ndarray, cells: int) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """(cells or None where all are there in order, sums, the place of each key in them)."""
+    if cells <= DENSE:
+        return None, np.bincount(key, weights=weights, minlength=cells), key
+    found, at = np.unique(key, return_inverse=True)
+    return found, np.bincount(at, weights=weights, minlength=len(found)), at
+
+
 class LengthIndex:
     """Postings of items of about one length by term, in blocks of neighbouring items, with the maxima of lists and blocks.
 
@@ -114,16 +126,15 @@ class LengthIndex:
         window, term = window[keep], term[keep]
         pair, j = self._expand(self.first[term], self.first[term + 1])
         key = window[pair] * np.int64(self.per_item) + self.blocks[j]
-        cells, at = np.unique(key, return_inverse=True)
-        may = np.bincount(at, weights=self.tops[j], minlength=len(cells)) + slack >= threshold
-        keep = may[at]
+        _, sums, at = _summed(key, self.tops[j], n * self.per_item)
+        keep = sums[at] + slack >= threshold
         key, j = key[keep], j[keep]
         posting, k = self._expand(self.start[j], self.start[j + 1])
         full = (key[posting] // self.per_item) * np.int64(len(self.items)) + self.item[k]
-        cells, at = np.unique(full, return_inverse=True)
-        score = np.bincount(at, weights=self.impact[k], minlength=len(cells))
+        cells, score, _ = _summed(full, self.impact[k], n * len(self.items))
         good = np.nonzero(score + slack >= threshold)[0]
-        return [(int(c) // len(self.items), int(c) % len(self.items), float(score[i])) for i, c in zip(good, cells[good])]
+        found = good if cells is None else cells[good]
+        return [(int(c) // len(self.items), int(c) % len(self.items), float(score[i])) for i, c in zip(good, found)]
 
     def matches(self, words: list[str], ids: np.ndarray, limits: tuple[float, float, float]) -> Iterator[tuple]:
         """(item_id, score, question overlap, answer overlap, first word) of each verified item, best passage first."""
@@ -138,8 +149,10 @@ class LengthIndex:
         for at in range(0, len(place), 200_000):  # a very long text in parts that share a window
             span = place[max(0, at - window) : at + 200_000]
             k = np.minimum(span // half, last)
-            both = np.concatenate([k, np.maximum(np.minimum(span // half - 1, last), 0)]) * np.int64(len(self.upper)) + np.tile(ids[span], 2)
-            pairs = np.unique(both)
+            w, t = np.concatenate([k, np.maximum(np.minimum(span // half - 1, last), 0)]), np.tile(ids[span], 2)
+            # words that repeat count each time here: a bound that asks for no sort
+            keep = np.bincount(w, weights=self.upper[t])[w] + 1e-9 >= threshold
+            pairs = np.unique(w[keep] * np.int64(len(self.upper)) + t[keep])
             for w, item, score in self.search(pairs // len(self.upper), pairs % len(self.upper), threshold):
                 if item in best and best[item][1] >= score:
                     continue

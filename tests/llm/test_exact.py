@@ -245,7 +245,9 @@ def test_decontamination_of_changed_and_odd_rows(spark):
     assert decontamination.contaminated(no_documents(spark), bench).count() == 0
 
 
-def test_block_search_equals_plain_scores():
+@pytest.mark.parametrize("dense", [1 << 22, 0])
+def test_block_search_equals_plain_scores(monkeypatch, dense):
+    monkeypatch.setattr(decontamination, "DENSE", dense)
     rng = np.random.default_rng(2)
     postings = sorted({(f"t{t}", int(i)): float(rng.random()) for t in range(60) for i in rng.integers(0, 40, 9)}.items())
     postings = [(t, i, w) for (t, i), w in postings]
