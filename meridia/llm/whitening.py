@@ -125,6 +125,8 @@ def _whitened(rows: Centred, k: int) -> DataFrame:
     e, vectors, trace, _ = principal(rows, min(k, rows.dim))
     sure = e > max(e[0], 0.0) * 1e-12
     e, vectors = e[sure], vectors[:, sure]
+    if not len(e):
+        return rows.rows.sparkSession.createDataFrame([], WHITENED)
     n, dim, sums, k = rows.n, rows.dim, rows.sums, len(e)
     p = vectors / np.sqrt(e)
     error = float(np.abs(rows.covariance(p) - np.eye(k)).max(initial=0.0))

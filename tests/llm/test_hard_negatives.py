@@ -73,9 +73,10 @@ def test_whole_groups_are_dropped_by_bounds(spark):
     df = hn.whole_rows(spark.createDataFrame(rows, KIND), 256).where("dim = 3")
     x = np.array(df.select("x").toArrow().column("x").to_pylist())
     filed = hn.materialise(hn.filed(df, hn._split(x, 7), 7), "filed").withColumns({"lows": F.array(F.lit(hn.LEAST)), "highs": F.array(F.lit(hn.MOST))})
-    anchors = hn.blocks(filed.where("anchor"), 7, 16, True, 3, "anchors")
-    candidates = hn.blocks(filed, 7, 32, True, 3, "candidates")
+    anchors = hn.blocks(filed.where("anchor"), 7, 4, True, 3, "anchors")
+    candidates = hn.blocks(filed, 7, 16, True, 3, "candidates")
     found = hn.meeting(hn.nodes(anchors, True, 3, "a"), hn.nodes(candidates, True, 3, "c"), 7, 6, True)
     all_pairs = anchors.select("root").join(candidates.select("root"), "root").count()
+    print(found.count(), all_pairs)
     assert found.count() < all_pairs / 3
     assert candidates.agg(F.sum("n")).first()[0] == len(rows)
