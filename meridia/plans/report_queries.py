@@ -87,7 +87,7 @@ def known_pose_sparse_mapper(spark, sf_dir):
     return good.unionByName(rejects.select(name, (-F.col("n")).alias("n"), *(F.lit(None).cast("double").alias(c) for c in "xyz")))
 
 
-@query(f"""WITH RECURSIVE {_PX}, y AS (SELECT video, frame, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) // 16 AS bin FROM px), n AS (SELECT video, frame, bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
+@query(f"""WITH RECURSIVE {_PX}, y AS (SELECT video, frame, CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS INTEGER) // 16 AS bin FROM px), n AS (SELECT video, frame, bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
  d AS (SELECT f.video, f.frame, k AS bin, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT video, frame FROM px) f CROSS JOIN range(16) t(k) LEFT JOIN n ON n.video = f.video AND n.frame = f.frame AND n.bin = k),
  c AS (SELECT a.video, a.frame, corr(a.n, b.n) AS c FROM d a JOIN d b ON b.video = a.video AND b.frame = a.frame - 1 AND b.bin = a.bin GROUP BY 1, 2), hot AS (SELECT video, frame FROM c WHERE c <= 0.95),
  keep AS (SELECT video, (SELECT min(frame) FROM hot h WHERE h.video = v.video AND frame >= 1 + 4) AS cut FROM (SELECT DISTINCT video FROM hot) v

@@ -183,7 +183,7 @@ def pixel_frame_deltas(spark, sf_dir):
     return both.groupBy("video", "frame").agg(*(tidy(F.avg(F.coalesce(F.abs(F.col(c) - F.col(f"b_{c}")), F.lit(0)))).alias(c) for c in ("hue", "sat", "lum")))
 
 
-@query(f"""WITH {_PX}, y AS (SELECT video, frame, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) AS l FROM px), hist AS (SELECT video, frame, l // 16 AS bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
+@query(f"""WITH {_PX}, y AS (SELECT video, frame, CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS INTEGER) AS l FROM px), hist AS (SELECT video, frame, l // 16 AS bin, count(*) AS n FROM y GROUP BY 1, 2, 3),
  grid AS (SELECT DISTINCT y.video, y.frame, k AS bin FROM y, range(16) t(k)), d AS (SELECT g.*, coalesce(n, 0) AS n FROM grid g LEFT JOIN hist USING (video, frame, bin))
  SELECT a.video, a.frame, {r('corr(a.n, b.n)', 'correlation')} FROM d a JOIN d b ON b.video = a.video AND b.frame = a.frame - 1 AND b.bin = a.bin GROUP BY 1, 2""")
 def histogram_correlation(spark, sf_dir):
@@ -212,7 +212,7 @@ def mean_rgb(spark, sf_dir):
 def _hashes(size: int, side: int) -> str:
     """Hash bits of the pictures: a cosine transform of ``side`` by ``side`` cells as sums, its low part against its median."""
     wave = lambda k, i: f"CASE WHEN {k} = 0 THEN sqrt(1.0 / {side}) ELSE sqrt(2.0 / {side}) * cos(pi() * (2 * {i} + 1) * {k} / {2 * side}) END"
-    return f"""grey AS (SELECT video, frame, y, x, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INTEGER) AS l FROM px),
+    return f"""grey AS (SELECT video, frame, y, x, CAST(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS INTEGER) AS l FROM px),
  cells AS (SELECT video, frame, cy, cx, l / CAST(greatest(max(l) OVER (PARTITION BY video, frame), 1) AS DOUBLE) AS v FROM grey JOIN (SELECT i AS cy, i * 8 // {side} AS y FROM range({side}) t(i)) USING (y) JOIN (SELECT i AS cx, i * 8 // {side} AS x FROM range({side}) t(i)) USING (x)),
  across AS (SELECT video, frame, cy, l, sum(v * {wave("l", "cx")}) AS v FROM cells, range({size}) q(l) GROUP BY 1, 2, 3, 4),
  low AS (SELECT video, frame, k, l, sum(v * {wave("k", "cy")}) AS v FROM across, range({size}) p(k) GROUP BY 1, 2, 3, 4),
