@@ -57,7 +57,7 @@ class PieceEncoder:
     SPACE = re.compile(r"[ \t\n\r]+")
     SPAN = 1 << 18
 
-    def __init__(self, path: str, dtype: str, limit: int = 300_000):
+    def __init__(self, path: str, dtype: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
