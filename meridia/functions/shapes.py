@@ -204,11 +204,12 @@ class Tri(NamedTuple):
         return Vec(*((p + q + r) / 3 for p, q, r in zip(*self)))
 
     def barycentric(self, p: Vec) -> tuple[Column, Column, Column]:
+        """Weights of the corners; NULL where two sides are parallel, whatever the triangle's size."""
         v0, v1, v2 = self.b - self.a, self.c - self.a, p - self.a
-        d00, d01, d11, d20, d21 = v0.dot(v0), v0.dot(v1), v1.dot(v1), v2.dot(v0), v2.dot(v1)
-        below = d00 * d11 - d01 * d01
-        ok = absolute(below) > EPSILON
-        v, w = (d11 * d20 - d01 * d21) / below, (d00 * d21 - d01 * d20) / below
+        normal = v0.cross(v1)
+        below = normal.squared()
+        ok = below > v0.squared() * v1.squared() * EPSILON**2
+        v, w = v2.cross(v1).dot(normal) / below, v0.cross(v2).dot(normal) / below
         return pick(ok, 1 - v - w), pick(ok, v), pick(ok, w)
 
     def foot(self, p: Vec) -> Vec:
