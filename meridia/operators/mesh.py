@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.shapes import Box, Ray, Tri
 from ..functions.vectors import EPSILON, Vec, held
 from .graph import min_labels
-from .tables import written
+from .tables import broadcast_if_small, written
 
 KEY = "mesh_id"
 
@@ -151,55 +152,103 @@ def welded(vertices: DataFrame, triangles: DataFrame, epsilon: float = 0.0) -> t
 
 #: vertices of a block of ``welded``, which decides in order by itself
 WELD_BLOCK = 16_384
+#: rows that stay, once for each cell around them, that are broadcast at most
+WELD_ROWS = 500_000
 
 
-def _decided(table: pa.Table) -> pa.Table:
-    """What a block can decide of (v_idx, u, rep): ``u`` are the earlier neighbours, ``rep`` what is known of them from elsewhere."""
-    order = table.sort_by([("v_idx", "ascending"), ("u", "ascending")])
-    vs, us, reps = (order.column(c).to_pylist() for c in ("v_idx", "u", "rep"))
-    known: dict[int, int] = {}
-    i = 0
-    while i < len(vs):
-        v, rep, sure = vs[i], vs[i], True
-        while i < len(vs) and vs[i] == v:
-            at = known.get(us[i], reps[i])
-            if sure and rep == v:
-                # the first that stays takes it, once all before that are decided
-                sure = at is not None
-                rep = us[i] if at == us[i] else rep
-            i += 1
-        if sure:
-            known[v] = rep
-    return pa.table({KEY: pa.array([order.column(KEY)[0].as_py()] * len(known), table.schema.field(KEY).type), "v_idx": pa.array(known.keys(), pa.int64()), "rep": pa.array(known.values(), pa.int64())})
+def _certain(epsilon: float):
+    """For a block of (v_idx, x, y, z, own): the own vertices that stay for certain, in order.
+
+    Others of the block may depend on vertices elsewhere: what may stay counts as in doubt, and so does what lies within ``epsilon`` of one in doubt.
+    No pairs are listed; cells of half that side hold one that stays at most.
+    """
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+    def near(p, cell, held: dict) -> bool:
+        i, j, k = cell
+        for a, b, c in steps:
+            for q in held.get((i + a, j + b, k + c), ()):
+                x, y, z = p[0] - q[0], p[1] - q[1], p[2] - q[2]
+                if math.sqrt(x * x + y * y + z * z) <= epsilon:
+                    return True
+        return False
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("v_idx")
+        at = np.stack([table.column(k).to_numpy() for k in "xyz"], axis=1)
+        cells, halves = (map(tuple, np.floor(at / side).astype(np.int64).tolist()) for side in (epsilon, epsilon / 2))
+        stay, doubt, taken, doubtful, found = {}, {}, set(), set(), []
+        for n, (p, cell, half, own) in enumerate(zip(at.tolist(), cells, halves, table.column("own").to_pylist())):
+            if half in taken or near(p, cell, stay):
+                continue
+            if own and half not in doubtful and not near(p, cell, doubt):
+                found.append(n)
+                taken.add(half)
+                stay.setdefault(cell, []).append(p)
+            else:
+                doubtful.add(half)
+                doubt.setdefault(cell, []).append(p)
+        return table.select([KEY, "v_idx", "x", "y", "z"]).take(pa.array(found, pa.int64()))
+
+    return decide
+
+
+def _around(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` once for each of the cells around that of their columns ``names``, as cx, cy, cz."""
+    for k, name in zip("xyz", names):
+        rows = rows.withColumn(f"c{k}", F.explode(F.sequence(F.col(name) - 1, F.col(name) + 1)))
+    return rows
 
 
 def _first_within(vertices: DataFrame, epsilon: float, block: int = WELD_BLOCK) -> DataFrame:
     """(mesh_id, v_idx, rep): the vertex itself if it stays, else the first of those that stay within ``epsilon``.
 
-    Vertices that lie together are a block of about ``block``. In each round every block decides all it can in order, and tells the others what it
-    decided; so rounds are as many as a chain of dependent vertices goes over to another block, not as it has vertices.
+    Those that stay lie apart, so however dense the vertices are there are few of them in a cell. The first ``block`` vertices decide in order, and
+    what lies within ``epsilon`` of one that stays goes, as long as that takes half of the rest. What is left decides by blocks of cells that lie
+    together: in each round a block is told of the undecided vertices around it and decides all it can, so rounds are as many as a chain of
+    dependent vertices goes over to another block, not as it has vertices.
     """
-    here, filed = vertices, vertices.select(KEY, F.col("v_idx").alias("u"), *(F.col(k).alias(f"u{k}") for k in "xyz"))
-    for k in "xyz":
-        at = F.floor(F.col(k) / epsilon)
-        here = here.withColumn(f"c{k}", F.explode(F.sequence(at - 1, at + 1)))
-        filed = filed.withColumn(f"c{k}", F.floor(F.col(f"u{k}") / epsilon))
-    near = (F.col("u") < F.col("v_idx")) & (Vec.columns().distance(Vec.columns("u")) <= epsilon)
-    earlier = written(here.join(filed, [KEY, "cx", "cy", "cz"]).where(near).select(KEY, "v_idx", "u"), "earlier")
-    ends = [f(k).alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
-    placed = _with_code(vertices.join(vertices.groupBy(KEY).agg(*ends), KEY), "", 10).select(KEY, "v_idx", "code")
-    parts = -(-placed.count() // block) or 1
-    placed = written(placed.repartitionByRange(parts, KEY, "code").withColumn("block", F.spark_partition_id()), "weld-blocks")
-    known = written(vertices.join(earlier, [KEY, "v_idx"], "left_anti").select(KEY, "v_idx", F.col("v_idx").alias("rep")), "known")
-    open_ = written(earlier.join(placed.select(KEY, "v_idx", "block"), [KEY, "v_idx"]), "open")
-    kind = f"{KEY} {vertices.schema[KEY].dataType.simpleString()}, v_idx long, rep long"
-    while True:
-        heard = open_.join(known.withColumnRenamed("v_idx", "u"), [KEY, "u"], "left").select(KEY, "v_idx", "u", "rep", "block")
-        step = written(heard.groupBy(KEY, "block").applyInArrow(lambda t: _decided(t), kind), "decided")
-        if step.isEmpty():
-            return known
-        known = written(known.unionByName(step), "known")
-        open_ = written(open_.join(step, [KEY, "v_idx"], "left_anti"), "open")
+    cell = ["cx", "cy", "cz"]
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.col(k) * 0 == 0, F.lit(False)) for k in "xyz"])
+    kind = f"{KEY} {vertices.schema[KEY].dataType.simpleString()}, v_idx long, x double, y double, z double"
+    rows = vertices.where(whole).select(KEY, F.col("v_idx").cast("long").alias("v_idx"), *(F.col(k).cast("double").alias(k) for k in "xyz"))
+    rows = rows.withColumns({f"c{k}": F.floor(F.col(k) / epsilon) for k in "xyz"})
+
+    def reach(kept: DataFrame) -> DataFrame:
+        wide = kept.select(KEY, F.col("v_idx").alias("u"), *(F.col(k).alias(f"u{k}") for k in "xyz"), *(F.floor(F.col(k) / epsilon).alias(f"f{k}") for k in "xyz"))
+        wide = _around(wide, ["fx", "fy", "fz"]).drop("fx", "fy", "fz")
+        return broadcast_if_small(wide, kept.count() * 27, WELD_ROWS)
+
+    def rest(open_: DataFrame, kept: DataFrame) -> DataFrame:
+        a, b = open_.alias("a"), reach(kept).alias("b")
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (KEY, *cell)]
+        far = Vec.columns("a.").distance(Vec.columns("b.u"))
+        return written(a.join(b, reduce(lambda p, q: p & q, [*on, far <= epsilon]), "left_anti"), "open")
+
+    open_, stay = written(rows, "open"), []
+    n = before = open_.count()
+    while n and (not stay or n * 2 <= before):
+        first = open_.orderBy("v_idx").limit(block).withColumn("own", F.lit(True))
+        stay.append(written(first.select(KEY, "v_idx", "x", "y", "z", "own").groupBy(KEY).applyInArrow(_certain(epsilon), kind), "decided"))
+        open_ = rest(open_, stay[-1])
+        n, before = open_.count(), n
+    if n:
+        ends = [f(f"c{k}").alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
+        placed = _with_code(open_.join(F.broadcast(open_.groupBy(KEY).agg(*ends)), KEY), "c", 10).select(KEY, *cell, "code")
+        placed = placed.repartitionByRange(-(-n // block), KEY, "code").withColumn("block", F.spark_partition_id())
+        placed = written(placed.select(KEY, *cell, "block").distinct(), "weld-blocks")
+        other = placed.select(KEY, *(F.col(c).alias(f"f{c[1]}") for c in cell), F.col("block").alias("to"))
+        blocks = _around(other, ["fx", "fy", "fz"]).groupBy(KEY, *cell).agg(F.collect_set("to").alias("blocks"))
+        open_ = written(open_.join(placed, [KEY, *cell]).join(blocks, [KEY, *cell]), "open")
+    while n:
+        told = open_.select(KEY, "v_idx", "x", "y", "z", "block", F.explode("blocks").alias("to")).withColumn("own", F.col("block") == F.col("to"))
+        stay.append(written(told.drop("block").groupBy(KEY, "to").applyInArrow(_certain(epsilon), kind), "decided"))
+        open_ = rest(open_, stay[-1])
+        n = open_.count()
+    kept = reduce(DataFrame.unionByName, stay) if stay else rows.limit(0)
+    first = rows.join(reach(kept), [KEY, *cell]).where((F.col("u") <= F.col("v_idx")) & (Vec.columns().distance(Vec.columns("u")) <= epsilon))
+    first = first.groupBy(KEY, "v_idx").agg(F.min("u").alias("rep"))
+    return first.unionByName(vertices.where(~whole).select(KEY, "v_idx", F.col("v_idx").alias("rep")))
 
 
 def smoothed(vertices: DataFrame, triangles: DataFrame, rounds: int, factor: float) -> DataFrame:

@@ -19,3 +19,24 @@ def test_weights_of_small_and_flat_triangles(spark):
     found = df.select("idx", *t.barycentric(centre), t.closest(centre, foot).distance(centre)).collect()
     for k, u, v, w, off in found:
         assert (k > 8 and u is None) or (np.allclose([u, v, w], 1 / 3) and off < 1e-9), k
+
+
+def test_welding_lists_no_pairs(spark, monkeypatch):
+    """Twelve thousand vertices in a few dense spots: what is written stays below their number, and the order decides."""
+    from meridia.operators import mesh
+
+    tables, plain = [], mesh.written
+    monkeypatch.setattr(mesh, "written", lambda df, name: (tables.append(out := plain(df, name)), out)[1])
+    rng = np.random.default_rng(1)
+    at = rng.normal(0, 0.02, (12_000, 3)) + rng.choice([0.0, 0.05, 0.3], (12_000, 1))
+    v = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(at)] + [(0, 12_000, float("nan"), 0.0, 0.0)], "mesh_id int, v_idx long, x double, y double, z double")
+    stay, want = np.zeros(len(at), dtype=bool), []
+    for k, p in enumerate(at):
+        near = np.nonzero(stay & (np.sqrt(((at - p) ** 2).sum(1)) <= 0.06))[0]
+        stay[k] = not len(near)
+        want.append((k, int(near[0]) if len(near) else k))
+    for block in (100, 5_000):
+        tables.clear()
+        got = sorted((r["v_idx"], r["rep"]) for r in mesh._first_within(v, 0.06, block).collect())
+        assert got == [*want, (12_000, 12_000)]
+        assert max(t.count() for t in tables) <= 12_000
