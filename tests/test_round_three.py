@@ -40,3 +40,19 @@ def test_welding_lists_no_pairs(spark, monkeypatch):
         got = sorted((r["v_idx"], r["rep"]) for r in mesh._first_within(v, 0.06, block).collect())
         assert got == [*want, (12_000, 12_000)]
         assert max(t.count() for t in tables) <= 12_000
+
+
+def test_nearest_points_begin_with_cells_that_hold_few(spark):
+    from meridia.operators import cloud
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, 0.01, (3_000, 3)), np.full((2_000, 3), 0.5), rng.uniform(5, 9, (20, 3))])
+    q = np.concatenate([rng.normal(0, 0.012, (200, 3)), rng.uniform(-3, 9, (20, 3)), [[0.5, 0.5, 0.51]]])
+    of = lambda x: spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "idx long, x double, y double, z double")
+    d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2))
+    got = {r["q_idx"]: (r["idx"], r["distance"]) for r in cloud.nearest_each(of(q), of(p), 0.08).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate(d.argmin(1).tolist()))
+    assert np.allclose([got[k][1] for k in range(len(q))], d.min(1))
+    points = of(p).dropDuplicates(["x", "y", "z"])
+    edge = cloud._fine(points, 0.08)
+    assert edge < 0.01 and cloud._fine(of(p[-20:]), 0.08) == 0.08
