@@ -56,3 +56,14 @@ def test_nearest_points_begin_with_cells_that_hold_few(spark):
     points = of(p).dropDuplicates(["x", "y", "z"])
     edge = cloud._fine(points, 0.08)
     assert edge < 0.01 and cloud._fine(of(p[-20:]), 0.08) == 0.08
+
+
+def test_sweep_pairs_are_not_compared_by_slices(spark):
+    """Boxes of one slice along x that lie apart along y don't meet in one key."""
+    from meridia.operators import spatial
+
+    df = spark.range(60_000).selectExpr("id AS idx", "0D AS lo_x", "id * 2D AS lo_y", "0D AS lo_z", "1D AS hi_x", "id * 2D + IF(id % 1000 = 0, 3, 1) AS hi_y", "1D AS hi_z")
+    found = spatial.sweep_pairs(df, 4.0)
+    assert sorted(map(tuple, found.collect())) == [(k, k + 1) for k in range(0, 60_000, 1000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "cy" in plan and "cz" in plan
