@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import item_id, normalised, socket_type, upload_date, source_url
+from .tables import written
 
 NODES = "nodes array<struct<id:string,type:string,inputs:array<struct<name:string,type:string,link:bigint>>,outputs:array<struct<name:string,type:string,links:array<bigint>>>,widgets_values:array<string>>>"
 LINKS = "links array<array<string>>"
 
 
 def parsed(workflows: DataFrame) -> DataFrame:
-    """``workflows(workflow, json)`` with nodes and links; what is not JSON gives NULLs."""
-    return workflows.withColumn("g", F.from_json("json", f"{NODES}, {LINKS}"))
+    """``workflows(workflow, json)`` with nodes and links; what is not JSON gives NULLs. Those of ``graphs`` are as they are."""
+    return workflows if "g" in workflows.columns else workflows.withColumn("g", F.from_json("json", f"{NODES}, {LINKS}"))
+
+
+def graphs(workflows: DataFrame) -> DataFrame:
+    """(workflow, g): nodes and links, parsed once and written, for what reads them several times."""
+    return written(parsed(workflows).select("workflow", "g"), "graphs")
 
 
 def nodes(workflows: DataFrame) -> DataFrame:
@@ -33,7 +39,8 @@ def links(workflows: DataFrame) -> DataFrame:
 
 def problems(workflows: DataFrame) -> DataFrame:
     """(workflow, problem, ref): repeated ids, links to missing nodes, inputs and outputs to missing links."""
-    n, e = nodes(workflows), links(workflows)
+    held = graphs(workflows)
+    n, e = nodes(held), links(held)
     repeated = lambda rows, what: rows.groupBy("workflow", "id").agg(F.count("*").alias("k")).where("k > 1").select("workflow", F.lit(what).alias("problem"), F.col("id").cast("string").alias("ref"))
     ends = e.select("workflow", F.col("id").cast("string").alias("ref"), F.explode(F.array("origin", "target")).alias("id"))
     lost = ends.join(n.select("workflow", "id"), ["workflow", "id"], "left_anti").select("workflow", F.lit("link_without_node").alias("problem"), "ref").distinct()
@@ -47,7 +54,8 @@ def problems(workflows: DataFrame) -> DataFrame:
 
 def socket_types(workflows: DataFrame) -> DataFrame:
     """(workflow, inputs, outputs, links): the distinct socket types of each, sorted."""
-    n, e = nodes(workflows), links(workflows)
+    held = graphs(workflows)
+    n, e = nodes(held), links(held)
     of = lambda rows, kind: rows.where("t IS NOT NULL").select("workflow", F.lit(kind).alias("kind"), socket_type(F.col("t")).alias("t"))
     ins = of(n.select("workflow", F.explode("inputs").alias("i")).select("workflow", F.col("i.type").alias("t")), "inputs")
     outs = of(n.select("workflow", F.explode("outputs").alias("o")).select("workflow", F.col("o.type").alias("t")), "outputs")

@@ -67,3 +67,15 @@ def test_sweep_pairs_are_not_compared_by_slices(spark):
     assert sorted(map(tuple, found.collect())) == [(k, k + 1) for k in range(0, 60_000, 1000)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "cy" in plan and "cz" in plan
+
+
+def test_workflows_are_parsed_once(spark, monkeypatch):
+    """Several reads of the same texts take apart one written table."""
+    from meridia.operators import workflow
+
+    seen, plain = [], workflow.parsed
+    monkeypatch.setattr(workflow, "parsed", lambda w: (seen.append("json" in w.columns), plain(w))[1])
+    rows = spark.createDataFrame([(1, '{"nodes":[{"id":1,"inputs":[{"type":"image","link":7}]}],"links":[[5,1,0,2,0,"bool"],[5,1,0,2,0,"bool"]]}'), (2, "no")], "workflow long, json string")
+    found = sorted(map(tuple, workflow.problems(rows).collect()))
+    assert found == [(1, "input_without_link", "1"), (1, "link_without_node", "5"), (1, "repeated_link", "5")] and seen.count(True) == 1
+    assert [tuple(r) for r in workflow.socket_types(rows).collect()] == [(1, ["IMAGE"], [], ["BOOLEAN"])] and seen.count(True) == 2
