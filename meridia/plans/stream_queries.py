@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import tidy
-from ..operators.tables import fresh_path
+from ..operators.tables import fresh_path, written
 from ..streaming import detection
 from ..streaming.cuts import frame_rates, live_cuts
 from . import lifts
@@ -47,7 +47,8 @@ def _arrivals(spark, rows, files: int = 6) -> str:
     """A folder of files in which ``rows``, with a timestamp ``ts``, arrive up to ``LATE`` hours late, and behind them a record of no key, far ahead in time."""
     out = fresh_path(spark, "arrivals")
     late = F.expr(f"make_interval(0, 0, 0, 0, pmod(xxhash64(ts), {LATE}), 0, 0)")
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrives", F.col("ts") + late)
+    # written once: every file below is a part of it
+    rows = written(rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrives", F.col("ts") + late), "late")
     ends = rows.agg(F.min("arrives").alias("a"), F.max("arrives").alias("z")).first()
     step = (ends["z"] - ends["a"]) / files
     keep = [c for c in rows.columns if c != "arrives"]

@@ -174,18 +174,22 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", f"ms long, {self.machine.payload}")
+        # a list, which goes to the state store and back in batches and not record by record
+        self.waiting = handle.getListState("waiting", f"at long, ms long, {self.machine.payload}")
         self.memory = handle.getValueState("memory", "state string, at long, ms long, timer long")
 
-    def _released(self, key: tuple, mark: int) -> pd.DataFrame:
+    def _held(self) -> dict[int, tuple]:
+        return {number: values for number, *values in self.waiting.get()} if self.waiting.exists() else {}
+
+    def _released(self, key: tuple, mark: int, records: dict[int, tuple]) -> pd.DataFrame:
         state, at, latest, timer = self.memory.get() if self.memory.exists() else ("{}", -1, -1, -1)
         state, out, left = json.loads(state), [], []
-        for (number,), (ms, *values) in sorted(((k, v) for k, v in self.waiting.iterator()), key=lambda kv: kv[0][0]):
+        for number in sorted(records):
+            ms, *values = records[number]
             latest = max(latest, ms)
             if ms > mark:
-                left.append(ms)
+                left.append((number, ms, *values))
                 continue
-            self.waiting.removeKey((number,))
             if number > at:
                 out += self.machine.step(state, number, tuple(values))
                 at = number
@@ -196,7 +200,11 @@ class InOrder(StatefulProcessor):
             self.memory.clear()
             self.waiting.clear()
         else:
-            timer = min(left) if left else latest + self.idle_ms
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+            timer = min(ms for _, ms, *_ in left) if left else latest + self.idle_ms
             self.handle.registerTimer(timer)
             self.memory.update((json.dumps(state), at, latest, timer))
         return pd.DataFrame([(key[0], *o) for o in out], columns=self.names)
@@ -204,17 +212,18 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if key[0] is None:
             return
+        records = self._held()
         for part in rows:
             for row in part.itertuples(index=False):
                 _, at, ms, *values = row[:-1]  # the last is the event time itself
                 if pd.isna(at) or pd.isna(ms):
                     continue
-                self.waiting.updateValue((int(at),), (int(ms), *(v.item() if hasattr(v, "item") else v for v in values)))
-        yield self._released(key, timerValues.getCurrentWatermarkInMs())
+                records[int(at)] = (int(ms), *(v.item() if hasattr(v, "item") else v for v in values))
+        yield self._released(key, timerValues.getCurrentWatermarkInMs(), records)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.memory.exists():
-            yield self._released(key, timerValues.getCurrentWatermarkInMs())
+            yield self._released(key, timerValues.getCurrentWatermarkInMs(), self._held())
 
     def close(self) -> None:
         pass
