@@ -85,8 +85,7 @@ def _with_halo(tiles: DataFrame, column: str, halo: int, tile: int, work, extra:
     messages = f"{head}{more}, y int, x int, rows int, part binary"
     kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(messages))}
 
-    def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def meet(rows: list[dict]) -> list:
         first = rows[0]
         top, left, height, width = first["top"], first["left"], first["height"], first["width"]
         bottom, right = min(top + tile, height), min(left + tile, width)
@@ -100,11 +99,31 @@ def _with_halo(tiles: DataFrame, column: str, halo: int, tile: int, work, extra:
         # what lies outside repeats the nearest pixel of the frame
         near_y, near_x = np.clip(ys, 0, height - 1) - (top - halo), np.clip(xs, 0, width - 1) - (left - halo)
         made = work(padded[np.ix_(near_y, near_x)], inside, first)
-        values = [first["video"], first["frame"], top, left, height, width, made.astype(np.uint8).tobytes()]
-        return pa.table({n: pa.array([v], kinds.get(n, pa.binary())) for n, v in zip([*KEY, "height", "width", column], values)})
+        return [first["video"], first["frame"], top, left, height, width, made.astype(np.uint8).tobytes()]
+
+    def receive(batches):
+        """Messages come in the order of tiles; a tile is done when the next one begins."""
+        place, rows = None, []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                at = tuple(row[c] for c in KEY)
+                if at != place:
+                    if rows:
+                        done.append(meet(rows))
+                    place, rows = at, []
+                rows.append(row)
+            yield made_of(done)
+        yield made_of([meet(rows)] if rows else [])
+
+    def made_of(done: list) -> pa.RecordBatch:
+        columns = zip(*done) if done else [[]] * (len(KEY) + 3)
+        return pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in zip([*KEY, "height", "width", column], columns)})
 
     sent = tiles.select(*KEY, "height", "width", *extra, column).mapInArrow(send, messages)
-    return written(sent.groupBy(*KEY).applyInArrow(meet, f"{head}, {column} binary"), out)
+    # tiles by the thousands in a task: a group of its own for each would take longer than its work
+    sent = sent.repartition(*KEY).sortWithinPartitions(*KEY)
+    return written(sent.mapInArrow(receive, f"{head}, {column} binary"), out)
 
 
 def _thinned(padded: np.ndarray, inside: np.ndarray, row: dict) -> np.ndarray:

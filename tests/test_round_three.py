@@ -1,8 +1,6 @@
 """Results on odd and dense inputs, held against plain loops."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from meridia.functions.shapes import Tri
 from meridia.functions.vectors import Vec, held
@@ -79,3 +77,16 @@ def test_workflows_are_parsed_once(spark, monkeypatch):
     found = sorted(map(tuple, workflow.problems(rows).collect()))
     assert found == [(1, "input_without_link", "1"), (1, "link_without_node", "5"), (1, "repeated_link", "5")] and seen.count(True) == 1
     assert [tuple(r) for r in workflow.socket_types(rows).collect()] == [(1, ["IMAGE"], [], ["BOOLEAN"])] and seen.count(True) == 2
+
+
+def test_tiles_are_no_groups_of_their_own(spark, monkeypatch):
+    """Tiles with their halos come as a sorted stream, many in a task, and give each tile once."""
+    from meridia.operators import edges
+
+    plans, plain = {}, edges.written
+    monkeypatch.setattr(edges, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), plain(df, name))[1])
+    kind = "video int, frame long, height int, width int, top int, left int, edges binary"
+    tiles = spark.createDataFrame([(0, f, 4, 3, 0, 0, bytes(12)) for f in range(30)], kind)
+    found = edges.grown(tiles, 4, 3)
+    assert sorted(r["frame"] for r in found.collect()) == list(range(30))
+    assert "FlatMapGroups" not in plans["grown"] and "MapInArrow" in plans["grown"]
