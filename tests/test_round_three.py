@@ -90,3 +90,20 @@ def test_tiles_are_no_groups_of_their_own(spark, monkeypatch):
     found = edges.grown(tiles, 4, 3)
     assert sorted(r["frame"] for r in found.collect()) == list(range(30))
     assert "FlatMapGroups" not in plans["grown"] and "MapInArrow" in plans["grown"]
+
+
+def test_listed_boxes_are_shuffled_once(spark, monkeypatch):
+    """Crowded cells, dealt out on both sides, go once through a shuffle and give each pair once."""
+    from meridia.operators import spatial
+
+    monkeypatch.setattr(spatial, "CROWD", 40)
+    rng = np.random.default_rng(8)
+    at, half = rng.uniform(0, 3, (500, 3)), np.where(np.arange(500) % 50 == 0, 2.0, 0.3)
+    df = spark.createDataFrame([(k, *map(float, p - h), *map(float, p + h)) for k, (p, h) in enumerate(zip(at, half))], "idx long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    found = spatial.overlap_pairs(df, cell=0.6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    far = np.abs(at[:, None] - at[None]).max(2)
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(far < half[:, None] + half[None]))) if i < j}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) > 2_000 and set(got) == want
