@@ -288,15 +288,19 @@ def samples(vertices: DataFrame, triangles: DataFrame, n: int) -> DataFrame:
     return f.select("s_idx", KEY, "t_idx", *(c.alias(k) for k, c in zip("xyz", p)))
 
 
-#: levels of eight that a step of a search goes down, and about how many triangles a leaf holds
-STEP, LEAF = 2, 24
+#: levels of eight that a step of a search goes down, about how many triangles a leaf holds, and the most levels of a tree
+STEP, LEAF, DEEPEST = 2, 24, 20
 
 
 def _with_code(rows: DataFrame, place: str, depth: int) -> DataFrame:
-    """``rows`` with ``code``: ``depth`` bits of each axis of their place within l.. and h.., one of each axis after the other."""
+    """``rows`` with ``code``: ``depth`` bits of each axis of their place within l.. and h.., one of each axis after the other.
+
+    All axes are cut by the longest of them: cells are cubes, and a long row of meshes isn't cut into slabs that hold parts of many.
+    """
     code = F.lit(0).cast("long")
+    side = F.nullif(F.greatest(*(F.col(f"h{k}") - F.col(f"l{k}") for k in "xyz")), F.lit(0.0))
     for axis, k in enumerate("xyz"):
-        share = F.coalesce((F.col(f"{place}{k}") - F.col(f"l{k}")) / F.nullif(F.col(f"h{k}") - F.col(f"l{k}"), F.lit(0.0)), F.lit(0.0))
+        share = F.coalesce((F.col(f"{place}{k}") - F.col(f"l{k}")) / side, F.lit(0.0))
         rows = rows.withColumn(f"i{k}", F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)).cast("long"))
         for bit in range(depth):
             code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"i{k}"), bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + axis))
@@ -313,12 +317,21 @@ def _tree(vertices: DataFrame, triangles: DataFrame, keys: list[str]) -> tuple[D
     rows = with_corners(vertices, triangles).withColumns({f"m{k}": c for k, c in zip("xyz", t.centroid())})
     rows = written(rows.select(KEY, "t_idx", *(f"{c}{k}" for c in "abcm" for k in "xyz")), "corners")
     ends = [f(f"m{k}").alias(f"{e}{k}") for e, f in (("l", F.min), ("h", F.max)) for k in "xyz"]
-    bounds = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), *ends), "bounds")
-    most = bounds.agg(F.max("n")).first()[0] or 1
-    depth = STEP * max(1, min(5, math.ceil(math.log(max(1, most / LEAF), 8**STEP))))
+    bounds = written(rows.groupBy(*keys).agg(*ends), "bounds")
     rows = rows.join(bounds, keys) if keys else rows.join(F.broadcast(bounds), F.lit(True))
-    rows = _with_code(rows, "m", depth)
-    return written(rows.select(KEY, "t_idx", "code", *(f"{c}{k}" for c in "abc" for k in "xyz")), "coded"), depth
+    rows = written(_with_code(rows, "m", DEEPEST).select(KEY, "t_idx", "code", *(f"{c}{k}" for c in "abc" for k in "xyz")), "coded")
+    depth = _depth(rows, keys)
+    return rows.withColumn("code", F.shiftright("code", 3 * (DEEPEST - depth))), depth
+
+
+def _depth(rows: DataFrame, keys: list[str]) -> int:
+    """The first level of which a triangle shares its cell with about ``LEAF`` at most, or with about as few as on the deepest."""
+    levels = list(range(STEP, DEEPEST + 1, STEP))
+    cell = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright("code", 3 * (DEEPEST - n)).alias("cell")) for n in levels)))
+    cells = rows.select(*keys, cell.alias("_c")).groupBy(*keys, "_c.level", "_c.cell").agg(F.count("*").cast("double").alias("n"))
+    # a row for each level
+    shared = {r["level"]: r["shared"] for r in cells.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("shared")).collect()}
+    return next((n for n in levels if shared and shared[n] <= max(LEAF, 1.5 * min(shared.values()))), STEP)
 
 
 def _level(rows: DataFrame, depth: int, level: int, keys: list[str]) -> DataFrame:

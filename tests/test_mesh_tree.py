@@ -102,3 +102,15 @@ def test_a_long_strip_takes_few_rounds(spark, monkeypatch):
     got = mesh._first_within(v, 0.0101)
     assert got.where("rep = v_idx").count() == 50_000 and got.count() == 100_000
     assert rounds.count("decided") < 20
+
+
+def test_leaves_of_a_dense_spot_hold_few_triangles(spark):
+    """A spot of many triangles among others far apart is cut until few share a leaf; equal ones end the cutting."""
+    rng = np.random.default_rng(9)
+    middle = np.concatenate([rng.uniform(0, 1, (1500, 3)), np.linspace([0.0] * 3, [4000.0] * 3, 500)])
+    corners = middle[:, None] + rng.uniform(-0.02, 0.02, (2000, 3, 3))
+    shared = lambda rows: rows.groupBy("code").count().selectExpr("sum(count * count) / sum(count)").first()[0]
+    rows, depth = mesh._tree(*tables(spark, corners), [])
+    assert shared(rows) <= mesh.LEAF and rows.count() == 2000 and depth <= mesh.DEEPEST
+    same, depth = mesh._tree(*tables(spark, np.repeat(corners[:1], 100, axis=0)), [])
+    assert shared(same) == 100 and depth == mesh.STEP
