@@ -11,8 +11,8 @@ listed once. Keys of halves that over ``HOT`` fingerprints share are not joined:
 are compared in tasks of their own, and each gives back a spanning forest of its links instead of the links.
 
 ``one_of_each_similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such sets differ
-in more bits of a SimHash than wildcards reach, so candidates share a band of MinHash values. Texts that hang together by bands
-are a cluster; its members are dealt into chunks, and tasks compare the sets of pairs of chunks, each giving back a
+in more bits of a SimHash than wildcards reach, so candidates are linked by their fingerprints, as above, or share a band of MinHash
+values. Texts that hang together by either are a cluster; its members are dealt into chunks, and tasks compare the sets of pairs of chunks, each giving back a
 spanning forest of the pairs that are similar. Texts with equal sets are one vertex.
 
 Nulls and empty texts: a null text counts as empty; texts without words have fingerprint zero, which links like any other.
@@ -170,6 +170,7 @@ def _named(vertices: DataFrame, classes: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) per row: component_id the smallest doc_id reachable over texts of that similarity.
 
+    Candidates come by the links of ``near_duplicates`` and by MinHash bands; the sets decide.
     Bands are cut for a similarity of 0.8 or more; less is refused.
     """
     return _similar_groups(docs, width, similarity).select("doc_id", F.col("name.doc_id").alias("component_id"))
@@ -184,7 +185,8 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame
     def start():
         def sign(batch: dict) -> dict:
             sets = [shingles(t, width) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "h": batch["h"], "fp": [set_id(s) for s in sets], "size": [len(s) for s in sets], "keys": [bands(s) for s in sets]}
+            signs = {"fp": [set_id(s) for s in sets], "size": [len(s) for s in sets], "keys": [bands(s) for s in sets]}
+            return {"doc_id": batch["doc_id"], "h": batch["h"], "print": [signed(simhash(t)) for t in batch["text"]]} | signs
 
         return sign
 
@@ -195,11 +197,15 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame
 
         return take
 
-    prints = materialise(map_batches(slim, start, "doc_id long, h long, fp long, size long, keys array<long>"), "bands")
+    prints = materialise(map_batches(slim, start, "doc_id long, h long, print long, fp long, size long, keys array<long>"), "bands")
     vertices = _vertices(prints)
     sizes = materialise(prints.groupBy("fp").agg(F.max("size").alias("size"), F.first("keys").alias("keys")), "sizes")
-    rows = sizes.select("fp", F.explode("keys").alias("key"))
-    # texts that share a band hang together through the smallest of it: clusters hold all candidates
+    # a text without words has fingerprint zero and no shingle to share
+    near = materialise(prints.where("size > 0").select("fp", "print").distinct(), "prints")
+    classes = components(links(near.select(F.col("print").alias("fp")).distinct()))
+    near = near.join(classes, near["print"] == classes["id"], "left").select("fp", F.coalesce("component_id", "print").alias("key"))
+    rows = sizes.select("fp", F.explode("keys").alias("key")).unionByName(near)
+    # texts that share a band or a class of fingerprints hang together through the smallest of it: clusters hold all candidates
     low = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("key", "a")
     clusters = components(rows.join(low, "key").where("a < fp").select("a", F.col("fp").alias("b")))
     members = materialise(_dealt(clusters.select(F.col("id").alias("fp"), F.col("component_id").alias("cluster")).join(sizes.select("fp", "size"), "fp")), "members")
@@ -213,9 +219,9 @@ def _similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame
     shingles_dealt = members.agg(F.sum("size")).first()[0] or 0
     bucket = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(int(shingles_dealt // SHINGLES) + 1))
     dealt = members.join(sets.hint("merge"), "fp").withColumn("bucket", bucket)
-    links = dealt.groupBy("bucket").applyInArrow(_similar_pairs(similarity), "a long, b long")
-    names = materialise(_named(vertices, components(links)), "classes")
-    return prints.drop("keys", "size").join(names, "fp")
+    found = dealt.groupBy("bucket").applyInArrow(_similar_pairs(similarity), "a long, b long")
+    names = materialise(_named(vertices, components(found)), "classes")
+    return prints.drop("keys", "size", "print").join(names, "fp")
 
 
 def _dealt(members: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 
 import corpus_pipeline
 import numpy as np
-from helpers import DOCS, classes, fold, no_documents, odd_documents, words
+from helpers import DOCS, classes, fold, no_documents, odd_documents, simhash, words
 
 
 def shingle_set(text, width=5):
@@ -68,3 +68,21 @@ def test_a_large_loose_cluster_and_long_texts(spark, sf_dir, monkeypatch):
     rows += [(500, " ".join(long)), (501, " ".join([*long[:4000], "y", *long[4000:]])), (502, " ".join(reversed(long)))]
     kept = stage(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS), sf_dir)
     assert kept == brute_kept(rows) and kept[-2:] == [500, 502]
+
+
+def test_stage_takes_candidates_from_fingerprints_too(spark, sf_dir, monkeypatch):
+    """Without a shared band, texts that op3 links are compared all the same, and the similarity of their sets decides."""
+    from meridia.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "bands", lambda hashes: [])
+    rows, seed = [], 0
+    while len(rows) < 40:
+        rng, seed = np.random.default_rng(seed), seed + 1
+        base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        copy = list(base)
+        for at in rng.choice(300, 12 if len(rows) % 4 else 3, replace=False):
+            copy[at] = "changed"
+        if (simhash(" ".join(base)) ^ simhash(" ".join(copy))).bit_count() <= 3:
+            rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((base, copy))]
+    kept = stage(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS), sf_dir)
+    assert kept == brute_kept(rows) and kept == [k for k, _ in rows if k % 4 != 1]
