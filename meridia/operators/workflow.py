@@ -41,12 +41,13 @@ def problems(workflows: DataFrame) -> DataFrame:
     """(workflow, problem, ref): repeated ids, links to missing nodes, inputs and outputs to missing links."""
     held = graphs(workflows)
     n, e = nodes(held), links(held)
+    # sizes after the explode are guessed far too low, so say that neither nodes nor links are to be broadcast
     repeated = lambda rows, what: rows.groupBy("workflow", "id").agg(F.count("*").alias("k")).where("k > 1").select("workflow", F.lit(what).alias("problem"), F.col("id").cast("string").alias("ref"))
     ends = e.select("workflow", F.col("id").cast("string").alias("ref"), F.explode(F.array("origin", "target")).alias("id"))
-    lost = ends.join(n.select("workflow", "id"), ["workflow", "id"], "left_anti").select("workflow", F.lit("link_without_node").alias("problem"), "ref").distinct()
+    lost = ends.join(n.select("workflow", "id").hint("merge"), ["workflow", "id"], "left_anti").select("workflow", F.lit("link_without_node").alias("problem"), "ref").distinct()
     ins = n.select("workflow", F.col("id").alias("ref"), F.explode("inputs").alias("i")).select("workflow", "ref", F.col("i.link").alias("id"))
     outs = n.select("workflow", F.col("id").alias("ref"), F.explode("outputs").alias("o")).select("workflow", "ref", F.explode("o.links").alias("id"))
-    known = e.select("workflow", "id")
+    known = e.select("workflow", "id").hint("merge")
     miss = lambda rows, what: rows.where("id IS NOT NULL").join(known, ["workflow", "id"], "left_anti").select("workflow", F.lit(what).alias("problem"), "ref").distinct()
     out = repeated(n, "repeated_node").unionByName(repeated(e, "repeated_link")).unionByName(lost)
     return out.unionByName(miss(ins, "input_without_link")).unionByName(miss(outs, "output_without_link"))

@@ -50,3 +50,14 @@ def test_templates_hang_together(spark):
     assert ends[1, 6]["widgets_values"] == ["3", "20", "7.5", '"euler"', '"normal"', "0.5"] and ends[0, 5]["widgets_values"][5] == "1.0"
     plain = nodes.withColumn("outputs", F.transform("outputs", lambda o: F.struct(o["name"], o["type"], o["links"])))
     assert workflow.problems(workflow.as_json(plain, links)).count() == 0
+
+
+def test_no_side_of_problems_is_broadcast(spark):
+    """The size of nodes and links is guessed from their compressed files, far too low, so the driver would hold all of them."""
+    link = [[1, 1, 0, 2, 0, "A"], [1, 1, 0, 3, 0, "A"]]
+    node = [{"id": 1, "inputs": [{"link": 7}], "outputs": [{"links": [1, 8]}]}, {"id": "2"}, {"id": 2}]
+    rows = [(k, json.dumps({"nodes": node, "links": link})) for k in range(20)]
+    found = workflow.problems(spark.createDataFrame(rows, "workflow long, json string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("input_without_link", "1"), ("link_without_node", "1"), ("output_without_link", "1"), ("repeated_link", "1"), ("repeated_node", "2")]
+    assert sorted(map(tuple, found.collect())) == [(k, *w) for k in range(20) for w in want]
